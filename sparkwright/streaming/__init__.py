@@ -1,0 +1,8 @@
+"""Streaming.
+
+The job specs this library runs have no stream semantics of their own: no source, watermark, window or
+state appears in them, and "Streaming/ELT" is only one of the four workload labels that
+``functions.jobs`` assigns. So nothing streaming-specific is built here. A spec's frame is an ordinary
+DataFrame, and a user who wants it per micro-batch can call ``build_frame`` inside their own
+``foreachBatch``.
+"""
