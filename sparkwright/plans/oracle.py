@@ -171,7 +171,7 @@ LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 8000) c ON o.o_custkey = c.c
 SQL["group_agg"] = """
 SELECT l_returnflag,
        CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_qty,
-       CAST(avg(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,4)) AS avg_price,
+       avg(l_quantity) AS avg_qty,
        count(*) AS n_lines, max(l_discount) AS max_disc, min(l_shipdate) AS min_ship
 FROM lineitem GROUP BY l_returnflag
 """
