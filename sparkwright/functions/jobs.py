@@ -65,7 +65,10 @@ CONF_KEYS = (
 
 # A number as the list parser accepts it: optional sign, digits with an optional fraction (or a bare
 # fraction), optional exponent. Underscores, "inf", "nan" and suffixes count as bad items.
-NUMBER_RE = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"[+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)(?:[eE][+-]?[0-9]+)?"
+NUMBER_RE = rf"^{NUMBER}$"
+# A whole list is good when every comma-separated item is blank or a number (whitespace around items allowed).
+GOOD_LIST_RE = rf"^\s*(?:{NUMBER})?\s*(?:,\s*(?:{NUMBER})?\s*)*$"
 
 SIZE = "decimal(18,4)"
 
@@ -74,21 +77,23 @@ SIZE = "decimal(18,4)"
 # K1: list parsing
 # ---------------------------------------------------------------------------------------------------------
 
-def list_items(text: Column) -> Column:
-    """Comma text -> trimmed, non-blank items."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)),
-                    lambda x: x != F.lit(""))
-
-
 def list_has_bad_item(text: Column) -> Column:
-    return F.exists(list_items(text), lambda x: ~x.rlike(NUMBER_RE))
+    """True when some non-blank item of the comma text is not a number (one regex, no per-item lambda)."""
+    return ~F.coalesce(text, F.lit("")).rlike(GOOD_LIST_RE)
 
 
 def parse_number_list(text: Column) -> Column:
     """Comma text -> ``array<double>``: split, trim, drop blanks; if any item is not a number the whole list
-    becomes ``[1.0]``. Blank text gives an empty array."""
-    return F.when(list_has_bad_item(text), F.array(F.lit(DEFAULT_LIST_ITEM))).otherwise(
-        F.transform(list_items(text), lambda x: x.cast("double")))
+    becomes ``[1.0]``. Blank text gives an empty array.
+
+    Built from native expressions only (regex check, split, ``array_remove``, array cast), so it stays in
+    whole-stage codegen instead of evaluating a lambda per item.
+    """
+    t = F.coalesce(text, F.lit(""))
+    tidy = F.regexp_replace(F.regexp_replace(t, r"\s*,\s*", ","), r"^\s+|\s+$", "")
+    items = F.array_remove(F.split(tidy, ","), "")
+    return F.when(list_has_bad_item(t), F.array(F.lit(DEFAULT_LIST_ITEM))).otherwise(
+        items.cast("array<double>"))
 
 
 def lists_to_long(jobs_text: DataFrame, id_col: str = "job_id",

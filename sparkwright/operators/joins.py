@@ -140,12 +140,26 @@ class Chain:
         return Chain(df, [(left_alias, c) for c in names] + [(right_alias, c) for c in names])
 
 
+# A cross product is only run with a right side of at most this many rows (proven by a bounded count); the
+# right side is then broadcast and the left side streams past it, so the cost is linear in the left side.
+CROSS_MAX_ROWS = 100_000
+
+
 def join(left: DataFrame, right: DataFrame, cond: str | Column | None, how: str = "inner") -> DataFrame:
-    """One join step with a SQL-text condition."""
+    """One join step with a SQL-text condition.
+
+    A join without any condition (``cross``, or an inner join with blank text) pairs every row with every
+    row. It is allowed only when the right side is proven small, and then broadcast; anything larger is an
+    error rather than an all-pairs shuffle.
+    """
     how = spark_join_type(how)
     c = condition(cond)
+    if c is None and how in ("cross", "inner"):
+        if bounded_rows(right, CROSS_MAX_ROWS) is None:
+            raise ValueError(f"cross join refused: the right side has more than {CROSS_MAX_ROWS} rows")
+        return left.crossJoin(F.broadcast(right))
     if how == "cross":
-        return left.crossJoin(right) if c is None else left.join(right, c, "inner")
+        how = "inner"
     return left.join(right, c, how)
 
 
