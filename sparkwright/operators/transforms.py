@@ -23,7 +23,7 @@ error naming them (D6).
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,15 @@ class Transformation:
     output_column: str
     expression: str
     kind: str | None = None
+    # an ordered window to compute with hot keys split (see operators.windows); the expression text then
+    # documents the same window in SQL
+    skew_safe: dict | None = field(default=None, hash=False, compare=False)
+
+
+def as_transformation(e: "Transformation | dict") -> "Transformation":
+    if isinstance(e, Transformation):
+        return e
+    return Transformation(e.get("output_column", ""), e["expression"], e.get("kind"), e.get("skew_safe"))
 
 
 def split_top_level(text: str, sep: str = ",") -> list[str]:
@@ -87,15 +96,13 @@ def group_keys(expression: str) -> list[str]:
 
 def only_adds_columns(entries: list[Transformation | dict]) -> bool:
     """True when the entries route to added columns (F3), i.e. every input column stays."""
-    ts = [e if isinstance(e, Transformation) else Transformation(
-        e.get("output_column", ""), e["expression"], e.get("kind")) for e in entries]
+    ts = [as_transformation(e) for e in entries]
     roles = [classify(t) for t in ts]
     return bool(roles) and all(r in ("column", "window") for r in roles)
 
 
 def apply_transformations(df: DataFrame, entries: list[Transformation | dict]) -> DataFrame:
-    ts = [e if isinstance(e, Transformation) else Transformation(
-        e.get("output_column", ""), e["expression"], e.get("kind")) for e in entries]
+    ts = [as_transformation(e) for e in entries]
     if not ts:
         return df
     roles = [(classify(t), t) for t in ts]
@@ -122,8 +129,13 @@ def apply_transformations(df: DataFrame, entries: list[Transformation | dict]) -
         raise ValueError(f"cannot combine select items with added columns: {[t.output_column for t in columns]}")
     if selects:
         return df.selectExpr(*[_as(t) for t in selects])
+    safe = [(t.output_column, t.skew_safe) for t in columns if t.skew_safe]
+    if safe:
+        from .windows import from_spec
+        df = from_spec(df, safe)
     for t in columns:
-        df = df.withColumn(t.output_column, F.expr(t.expression))
+        if not t.skew_safe:
+            df = df.withColumn(t.output_column, F.expr(t.expression))
     return df
 
 

@@ -418,6 +418,50 @@ def window_frame(spark, sf_dir):
     })
 
 
+# The same three windows with hot partition keys split into ordered buckets (operators.windows). At this
+# scale no key is large, so the hot share is set low enough that many keys take the split path.
+
+def window_rank_hot(spark, sf_dir):
+    return _run(spark, sf_dir, {
+        "tables": [_t("orders", "o")],
+        "transformations": [{"output_column": "price_rank", "expression":
+                             "CAST(row_number() OVER (PARTITION BY o_custkey "
+                             "ORDER BY o_totalprice DESC, o_orderkey) AS INT)",
+                             "skew_safe": {"partition_by": ["o_custkey"],
+                                           "order_by": [["o_totalprice", "desc"], ["o_orderkey", "asc"]],
+                                           "func": "row_number", "cast": "int", "hot_fraction": 0.001}}],
+    })
+
+
+def window_sum_hot(spark, sf_dir):
+    return _run(spark, sf_dir, {
+        "tables": [_t("orders", "o")],
+        "transformations": [{"output_column": "running_total", "expression":
+                             "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey "
+                             "ORDER BY o_orderdate, o_orderkey) AS DECIMAL(38,2))",
+                             "skew_safe": {"partition_by": ["o_custkey"],
+                                           "order_by": [["o_orderdate", "asc"], ["o_orderkey", "asc"]],
+                                           "func": "running_sum", "value": "CAST(o_totalprice AS DECIMAL(18,2))",
+                                           "cast": "decimal(38,2)", "hot_fraction": 0.001}}],
+    })
+
+
+def window_frame_hot(spark, sf_dir):
+    safe = {"partition_by": ["user_id"], "order_by": [["ts", "asc"], ["event_id", "asc"]], "hot_fraction": 0.005}
+    return _run(spark, sf_dir, {
+        "tables": [_t("events", "e")],
+        "transformations": [
+            {"output_column": "prev_value",
+             "expression": "lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)",
+             "skew_safe": {**safe, "func": "lag", "value": "value"}},
+            {"output_column": "n_last3", "expression":
+             "CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id "
+             "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT)",
+             "skew_safe": {**safe, "func": "rows_count", "preceding": 2, "cast": "bigint"}},
+        ],
+    })
+
+
 # ---------------------------------------------------------------------------------------------------------
 # whole jobs
 # ---------------------------------------------------------------------------------------------------------

@@ -220,6 +220,10 @@ SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_v
 FROM events
 """
 
+SQL["window_rank_hot"] = SQL["window_rank"]
+SQL["window_sum_hot"] = SQL["window_sum"]
+SQL["window_frame_hot"] = SQL["window_frame"]
+
 SQL["spec_agg"] = """
 SELECT c.c_nationkey, o.o_orderpriority, count(*) AS n_rows, count(l.l_orderkey) AS n_returned,
        CAST(sum(CAST(l.l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_qty, max(o.o_totalprice) AS max_price

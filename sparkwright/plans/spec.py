@@ -124,7 +124,8 @@ def parse_spec(spec: dict | str) -> JobSpec:
             continue
         if t.get("kind") and t["kind"] not in KINDS:
             raise ValueError(f"unknown transformation kind {t['kind']!r}")
-        trans.append(Transformation(t.get("output_column") or "", t["expression"], t.get("kind")))
+        trans.append(Transformation(t.get("output_column") or "", t["expression"], t.get("kind"),
+                                    t.get("skew_safe")))
 
     target = None
     tgt = spec.get("target")
