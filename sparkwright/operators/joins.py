@@ -191,35 +191,50 @@ def band_join(left: DataFrame, right: DataFrame, cond: str, low: str, high: str,
 # Broadcast join behind a size check
 # ---------------------------------------------------------------------------------------------------------
 
-# Bytes assumed per value when a type has no fixed width (strings, binary, nested types).
-_VAR_WIDTH = 64
 _FIXED_WIDTH = {"boolean": 1, "tinyint": 1, "byte": 1, "smallint": 2, "short": 2, "int": 4, "integer": 4,
                 "date": 4, "float": 4, "bigint": 8, "long": 8, "double": 8, "timestamp": 8,
                 "timestamp_ntz": 8}
 
 
-def row_width(df: DataFrame) -> int:
-    """Bytes per row of ``df``, by type (an upper-bound guess for variable-width columns)."""
-    width = 8  # row header
-    for f in df.schema.fields:
-        t = f.dataType.simpleString()
-        width += 16 if t.startswith("decimal") else _FIXED_WIDTH.get(t, _VAR_WIDTH)
-    return width
+def _value_bytes(name: str, type_name: str) -> Column:
+    """Bytes of one value: fixed widths by type, measured lengths for strings and binary, a per-element
+    estimate for nested values."""
+    c = F.col(f"`{name}`")
+    if type_name in _FIXED_WIDTH:
+        return F.lit(_FIXED_WIDTH[type_name])
+    if type_name.startswith("decimal"):
+        return F.lit(16)
+    if type_name in ("string", "binary") or type_name.startswith(("varchar", "char")):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if type_name.startswith(("array", "map")):
+        return F.coalesce(F.size(c), F.lit(0)) * F.lit(16)
+    return F.lit(64)
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
-    """Row count of ``df`` if it is at most ``max_rows``, else None.
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Exact row count and an in-memory byte size of ``df`` in one two-phase aggregate.
 
-    Costs one job that stops after ``max_rows + 1`` rows, whatever the table size: the limit is pushed into
-    every partition before anything reaches the driver (only a count comes back).
+    Every task sends one partial row, and no rows are funnelled into a single task. For a plain Parquet
+    scan the count is answered from file metadata.
     """
-    n = df.limit(max_rows + 1).count()
+    widths = [_value_bytes(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    row = F.lit(8)
+    for w in widths:
+        row = row + w
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("bigint")).alias("b")).first()
+    return int(r["n"]), int(r["b"] or 0)
+
+
+def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
+    """Row count of ``df`` if it is at most ``max_rows``, else None."""
+    n = df.count()
     return n if n <= max_rows else None
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = 2_000_000, max_bytes: int = 256 << 20) -> bool:
-    n = bounded_rows(df, max_rows)
-    return n is not None and n * row_width(df) <= max_bytes
+    """True when ``df`` is measured to hold at most ``max_rows`` rows and ``max_bytes`` bytes."""
+    n, b = measure(df)
+    return n <= max_rows and b <= max_bytes
 
 
 def broadcast_join(left: DataFrame, right: DataFrame, cond: str | Column | None, how: str = "inner",
