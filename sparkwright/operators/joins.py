@@ -93,20 +93,48 @@ class Chain:
 
     def join_salted(self, right: DataFrame, right_alias: str, cond: str | Column | None, how: str,
                     left_keys: list[str], right_keys: list[str], salts: int = 8,
-                    salt_from: list[str] | None = None, hot_fraction: float | None = None) -> "Chain":
-        """An equi-join step with salted keys (J13); ``cond`` may add further (non-equi) terms."""
+                    salt_from: list[str] | None = None, hot_fraction: float | None = None,
+                    skewed_side: str = "left") -> "Chain":
+        """An equi-join step with salted keys (J13); ``cond`` may add further (non-equi) terms.
+
+        ``skewed_side="right"`` handles keys that are hot on the right table (for example the many side of
+        ``orders LEFT JOIN lineitem``), which AQE cannot split for a left outer join.
+        """
         how = spark_join_type(how)
         if how not in SALTABLE:
             raise ValueError(f"salted join is only exact for {SALTABLE}, not {how!r}")
         if right_alias in self.aliases:
             raise ValueError(f"alias {right_alias!r} is already in the join chain")
+        extra = condition(cond)
+        if skewed_side == "right":
+            r = right.alias(right_alias)
+            rkeys = [k if "." in k else f"{right_alias}.{k}" for k in right_keys]
+            if how in ("left_semi", "left_anti"):
+                # only key existence matters: distinct keys (partial aggregation) remove the hot rows
+                if extra is not None:
+                    raise ValueError("a right-skewed semi/anti join takes key equality only")
+                keys = r.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(rkeys)]).distinct()
+                on = _and([F.col(lk) == F.col(f"__k{i}") for i, lk in enumerate(left_keys)])
+                return Chain(self.df.join(keys, on, how), list(self.cols))
+            sf = salt_from or [f"`{right_alias}`.`{c}`" for c in right.columns]
+            left_s, right_s = add_salt_columns_right_skew(self.df, r, left_keys, rkeys, salts, sf,
+                                                          hot_fraction if hot_fraction is not None else 0.001)
+            terms = [F.col(lk) == F.col(rk) for lk, rk in zip(left_keys, rkeys)]
+            terms.append(F.col("__lsalt") == F.col("__rsalt"))
+            if extra is not None:
+                terms.append(extra)
+            df = left_s.join(right_s, _and(terms), how)
+            # a hot key always has right rows somewhere, so its unmatched replicas are dropped
+            df = df.filter(~(F.col("__lhot") & F.col("__rmark").isNull())) \
+                   .drop("__lsalt", "__rsalt", "__lhot", "__rmark")
+            return Chain(df, self.cols + [(right_alias, x) for x in right.columns])
         if salt_from is None:
             salt_from = [f"`{a}`.`{c}`" if a else f"`{c}`" for a, c in self.cols]
         left_s, right_s = add_salt_columns(self.df, right, left_keys, right_keys, salts, salt_from, hot_fraction)
         terms = [F.col(lk) == F.col(rk) for lk, rk in zip(left_keys, right_keys)]
         terms.append(F.col("__lsalt") == F.col("__rsalt"))
-        if condition(cond) is not None:
-            terms.append(condition(cond))
+        if extra is not None:
+            terms.append(extra)
         df = left_s.join(right_s.alias(right_alias), _and(terms), how).drop("__lsalt", "__rsalt")
         if how in ("left_semi", "left_anti"):
             return Chain(df, list(self.cols))
@@ -294,6 +322,39 @@ def add_salt_columns(left: DataFrame, right: DataFrame, left_keys: list[str], ri
     return left_s, right_s
 
 
+def add_salt_columns_right_skew(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
+                                salts: int = 8, salt_from: list[str] | None = None,
+                                hot_fraction: float = 0.001) -> tuple[DataFrame, DataFrame]:
+    """Salting for keys that are hot on the *right* side (the mirror of :func:`add_salt_columns`).
+
+    Right rows of a hot key get ``__rsalt = pmod(xxhash64(salt_from), salts)``, and left rows of a hot key are
+    replicated once per salt. The left gets ``__lhot``, and the right a ``__rmark`` that is null when a left
+    row found no partner. Hot keys are read from the right side's key counts (at most ``1/hot_fraction``).
+    """
+    if len(left_keys) != len(right_keys) or not left_keys:
+        raise ValueError("salted join needs equal, non-empty key lists")
+    salt_from = salt_from or [c for c in right.columns if c not in right_keys]
+    total = right.count()
+    threshold = max(1, int(total * hot_fraction))
+    hot = (right.groupBy(*[F.col(k).alias(f"__hot_{i}") for i, k in enumerate(right_keys)]).count()
+           .filter(F.col("count") > threshold).drop("count").withColumn("__is_hot", F.lit(True)))
+    hot = F.broadcast(hot)
+    drop = [f"__hot_{i}" for i in range(len(left_keys))] + ["__is_hot"]
+    on_l = _and([F.col(k) == F.col(f"__hot_{i}") for i, k in enumerate(left_keys)])
+    on_r = _and([F.col(k) == F.col(f"__hot_{i}") for i, k in enumerate(right_keys)])
+    rsalt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_from]), F.lit(salts)).cast("int")
+    left_s = (left.join(hot, on_l, "left")
+              .withColumn("__lhot", F.coalesce(F.col("__is_hot"), F.lit(False)))
+              .withColumn("__lsalt", F.explode(F.when(F.col("__lhot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+                                               .otherwise(F.array(F.lit(0)))))
+              .drop(*drop))
+    right_s = (right.join(hot, on_r, "left")
+               .withColumn("__rsalt", F.when(F.col("__is_hot"), rsalt).otherwise(F.lit(0)))
+               .withColumn("__rmark", F.lit(True))
+               .drop(*drop))
+    return left_s, right_s
+
+
 def salted_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
                 how: str = "inner", salts: int = 8, salt_from: list[str] | None = None,
                 hot_fraction: float | None = None, extra_condition: str | None = None) -> DataFrame:

@@ -6,8 +6,9 @@ with a third of the rows is a straggler that AQE cannot split. Here:
 1. Keys holding more than ``hot_fraction`` of the rows are found with a two-phase count. At most
    ``1/hot_fraction`` such keys exist, which bounds the broadcast list.
 2. For each hot key, ``buckets - 1`` split points of the first ordering column are taken with
-   ``percentile_approx``, a bounded-memory, partially aggregated sketch. A row's bucket is the number of
-   split points it passes. Buckets follow the ordering and keep equal values together, so ties and peers
+   ``percentile_approx``, a bounded-memory, partially aggregated sketch. They are fixed once as a small
+   table, so recomputed tasks bucket every row the same way. A row's bucket is the number of split points
+   it passes. Buckets follow the ordering and keep equal values together, so ties and peers
    never straddle two buckets. Cold keys stay in bucket 0.
 3. The window runs per ``(key, bucket)``: one shuffle, as for the plain window, but a hot key is now
    ``buckets`` tasks.
@@ -83,9 +84,14 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
     probs = [i / buckets for i in range(1, buckets)]
     sort_v = _sortable(F.col(first), dtype)
     d = df.alias("__d")
-    splits = (d.join(F.broadcast(hot.alias("__h")), _null_safe_on(keys, "__d", "__h"), "left_semi")
+    sketch = (d.join(F.broadcast(hot.alias("__h")), _null_safe_on(keys, "__d", "__h"), "left_semi")
                 .groupBy(*keys).agg(F.percentile_approx(sort_v, probs, accuracy).alias("__splits")))
-    splits = F.broadcast(splits.alias("__s"))
+    # The split points are fixed once, as a small literal table: a sketch recomputed after a lost executor
+    # could place them differently, and the bucketing and the summary below must agree on every row.
+    rows = sketch.collect()
+    if len(rows) > max(1, int(1 / hot_fraction)):
+        raise RuntimeError("more hot keys than the bound allows")
+    splits = F.broadcast(df.sparkSession.createDataFrame(rows, sketch.schema).alias("__s"))
 
     v = F.col("__v")
     passed = (F.filter(F.col("__splits"), lambda s: v > s) if first_asc

@@ -264,6 +264,15 @@ def join_chain(spark, sf_dir):
     return _run(spark, sf_dir, _join_chain_spec())
 
 
+def join_chain_hot(spark, sf_dir):
+    """``join_chain`` with the left join salted for keys that are hot on the lineitem side."""
+    spec = _join_chain_spec()
+    spec["joins"][1].update({"strategy": "salted", "salt": {
+        "left_keys": ["o.o_orderkey"], "right_keys": ["l.l_orderkey"], "salts": 4, "skewed_side": "right",
+        "salt_from": ["l.l_linenumber", "l.l_partkey", "l.l_suppkey"], "hot_fraction": 0.0002}})
+    return _run(spark, sf_dir, spec)
+
+
 def _semi_anti(kind: str) -> dict:
     return {"tables": [_t("customer", "c"), _t("orders", "o", "o_totalprice > 300000")],
             "joins": [{"type": kind, "right_table": "o", "conditions": "c.c_custkey = o.o_custkey"}]}

@@ -139,6 +139,7 @@ WHERE c.c_mktsegment = 'BUILDING' AND o.o_totalprice > 100000
 """
 
 SQL["join_chain"] = "SELECT c.*, o.*, l.* " + _JOIN_CHAIN_FROM
+SQL["join_chain_hot"] = SQL["join_chain"]
 
 SQL["semi_join"] = """
 SELECT c.* FROM customer c SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o

@@ -51,7 +51,8 @@ def build_frame(spark: SparkSession, spec: dict | str | JobSpec, resolver: Resol
                 chain = chain.join_salted(right, j.right_table, opts.get("condition"), j.type,
                                           left_keys=opts["left_keys"], right_keys=opts["right_keys"],
                                           salts=int(opts.get("salts", 8)), salt_from=opts.get("salt_from"),
-                                          hot_fraction=opts.get("hot_fraction"))
+                                          hot_fraction=opts.get("hot_fraction"),
+                                          skewed_side=opts.get("skewed_side", "left"))
             elif j.strategy == "band":
                 b = j.band
                 chain = chain.join_band(right, j.right_table, j.conditions, b["low"], b["high"], b["point"],

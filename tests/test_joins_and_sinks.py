@@ -147,3 +147,16 @@ def test_insert_with_column_list_fills_unlisted_with_null(spark):
     out = run_job(spark, spec, resolver=R)
     r = out.orderBy("a").first()
     assert r.note is None and r.a == 0 and r.b is not None
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_right_skewed_salted_join_equals_plain(spark, how):
+    from sparkwright.operators.joins import Chain
+    # right side: key 3 holds half of all rows; left side has keys with and without partners
+    right = spark.range(0, 3000).select(F.when(F.col("id") % 2 == 0, F.lit(3)).otherwise(F.col("id") % 40)
+                                        .alias("rk"), F.col("id").alias("rv"))
+    left = spark.range(0, 60).select((F.col("id") % 50).alias("lk"), F.col("id").alias("lv"))
+    chain = Chain.of(left.alias("a"), "a").join_salted(right, "b", None, how, ["a.lk"], ["rk"], salts=6,
+                                                         salt_from=["b.rv"], hot_fraction=0.05, skewed_side="right")
+    plain = left.join(right, left.lk == right.rk, how)
+    assert _rows(chain.flattened().df) == _rows(plain)
