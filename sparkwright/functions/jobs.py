@@ -121,18 +121,23 @@ def lists_to_long(jobs_text: DataFrame, id_col: str = "job_id",
 # K2 + K5: one aggregate per job
 # ---------------------------------------------------------------------------------------------------------
 
-def _padded_sum(col: str, n: Column, k: Column) -> Column:
-    """Sum of the list padded or cut to n items (K5): if k < n the reference repeats the whole list n times,
-    else it keeps the first n items."""
-    return F.when(k < n, n.cast("decimal(10,0)") * F.sum(col)).otherwise(
-        F.sum(F.when(F.col("pos") < n, F.col(col))))
+def _padded_sum(col: str, n: Column, k: Column, pad: str = "repeat") -> Column:
+    """Sum of the list padded or cut to n items (K5). The reference repeats the whole list n times when it
+    is shorter (``pad="repeat"``, the default). ``pad="last"`` instead extends it with its last item. A list
+    at least n long keeps its first n items."""
+    if pad == "last":
+        short = F.sum(col) + (n - k).cast("decimal(10,0)") * F.max_by(F.col(col), F.col("pos"))
+    else:
+        short = n.cast("decimal(10,0)") * F.sum(col)
+    return F.when(k < n, short).otherwise(F.sum(F.when(F.col("pos") < n, F.col(col))))
 
 
 def _padded_max(col: str, n: Column, k: Column) -> Column:
+    # repeating the list or its last item never raises the maximum
     return F.when(k < n, F.max(col)).otherwise(F.max(F.when(F.col("pos") < n, F.col(col))))
 
 
-def job_features(jobs: DataFrame, job_tables: DataFrame) -> DataFrame:
+def job_features(jobs: DataFrame, job_tables: DataFrame, pad: str = "repeat") -> DataFrame:
     """Per job: list statistics as given (K2) and after padding to ``num_tables`` (K5).
 
     Size statistics are exact decimals; the variance test ``var_pop(size) > 10000`` is evaluated exactly as
@@ -155,7 +160,7 @@ def job_features(jobs: DataFrame, job_tables: DataFrame) -> DataFrame:
                 F.avg("join_cx").alias("avg_join"), F.max("join_cx").alias("max_join"),
                 F.avg("xf_cx").alias("avg_xf"), F.max("xf_cx").alias("max_xf"),
                 F.avg("skew").alias("avg_skew"), F.max("skew").alias("max_skew"),
-                _padded_sum("size_gb", n, ks).cast("decimal(38,4)").alias("padded_total_size"),
+                _padded_sum("size_gb", n, ks, pad).cast("decimal(38,4)").alias("padded_total_size"),
                 _padded_max("join_cx", n, kj).alias("padded_max_join"),
                 _padded_max("xf_cx", n, kx).alias("padded_max_xf"),
                 _padded_max("skew", n, kk).alias("padded_max_skew"))
@@ -217,9 +222,9 @@ def workload_type_column() -> Column:
             .when(top - second > 2, best).otherwise(F.lit(GENERAL))
 
 
-def classify_jobs(jobs: DataFrame, job_tables: DataFrame) -> DataFrame:
+def classify_jobs(jobs: DataFrame, job_tables: DataFrame, pad: str = "repeat") -> DataFrame:
     """Features, scores and ``computed_type`` for every job."""
-    return score_columns(job_features(jobs, job_tables)).withColumn("computed_type", workload_type_column())
+    return score_columns(job_features(jobs, job_tables, pad)).withColumn("computed_type", workload_type_column())
 
 
 # ---------------------------------------------------------------------------------------------------------
@@ -285,12 +290,44 @@ def advice_column() -> Column:
         autoscale, F.lit(ADVICE_STEPS), F.lit(ADVICE_COOLDOWN), F.lit(ADVICE_SAFEGUARD)))
 
 
-def recommend(jobs: DataFrame, job_tables: DataFrame, gb_per_core: int = GB_PER_CORE) -> DataFrame:
+def recommend(jobs: DataFrame, job_tables: DataFrame, gb_per_core: int = GB_PER_CORE,
+              pad: str = "repeat") -> DataFrame:
     """Everything per job: features, scores, type, sizing, settings map and advice list."""
-    c = sizing_columns(classify_jobs(jobs, job_tables), gb_per_core)
+    if pad not in ("repeat", "last"):
+        raise ValueError("pad must be 'repeat' or 'last'")
+    c = sizing_columns(classify_jobs(jobs, job_tables, pad), gb_per_core)
     return c.withColumn("spark_conf", spark_conf_column()).withColumn("advice", advice_column())
 
 
+TEXT_LISTS = {"table_sizes": "size_gb", "join_complexities": "join_cx",
+              "transformation_complexities": "xf_cx", "data_skews": "skew"}
+
+
+def recommend_from_text(descriptors: DataFrame, gb_per_core: int = GB_PER_CORE) -> DataFrame:
+    """Recommendations for job descriptors as the form takes them: ``job_id, num_tables``, the four lists as
+    comma text, ``use_spot_instances, sla_requirements, enable_auto_termination, recency, frequency`` and
+    an optional ``workload_type`` override. Parsing is row-local, and the lists become the long form
+    without any shuffle."""
+    cols = set(descriptors.columns)
+    jobs = descriptors.select(
+        "job_id", F.col("num_tables").cast("int").alias("num_tables"),
+        F.col("recency").cast("int").alias("recency"), F.col("frequency").cast("int").alias("frequency"),
+        F.coalesce(F.col("use_spot_instances"), F.lit(False)).alias("use_spot"),
+        F.coalesce(F.col("sla_requirements"), F.lit(False)).alias("sla"),
+        F.coalesce(F.col("enable_auto_termination"), F.lit(False)).alias("auto_terminate"),
+        (F.col("workload_type") if "workload_type" in cols else F.lit(None)).cast("string").alias("workload_type"))
+    return recommend(jobs, lists_to_long(descriptors, "job_id", TEXT_LISTS), gb_per_core)
+
+
+def settings_lines(rec: DataFrame, job_id) -> list[str]:
+    """One job's eight settings as ``key = value`` lines, ready for ``functions.conf.apply_settings`` or a
+    spec's ``settings``. Only that job's map (eight entries) reaches the driver."""
+    row = rec.filter(F.col("job_id") == F.lit(job_id)).select("spark_conf").first()
+    if row is None:
+        raise KeyError(f"no job {job_id!r}")
+    return [f"{k} = {row.spark_conf[k]}" for k in CONF_KEYS]
+
+
 def fleet_summary(rec: DataFrame) -> DataFrame:
     """Jobs and cores per sizing type (K13): a two-phase aggregate over four keys at most."""
     return rec.groupBy(F.col("sizing_type").alias("workload_type")).agg(

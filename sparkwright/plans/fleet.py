@@ -129,6 +129,34 @@ def job_list_parse(spark, sf_dir):
                     F.array_max(arr).alias("max_item"))
 
 
+def order_descriptors(orders: DataFrame) -> DataFrame:
+    """One job descriptor per order, in the form's text shape, built from that order's own columns: lists
+    of different lengths, blanks, a decimal item, an occasional bad item, and a type override on some."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = lambda e: e.cast("string")
+    return orders.select(
+        k.alias("job_id"), (1 + k % 20).cast("int").alias("num_tables"),
+        F.concat_ws(",", s(F.round(F.col("o_totalprice") / 1000).cast("bigint")), s(c % 700),
+                    F.when(k % 17 == 0, F.lit("x")).otherwise(F.lit(""))).alias("table_sizes"),
+        F.concat_ws(",", s(1 + k % 10), s(1 + c % 10)).alias("join_complexities"),
+        s(1 + (k * 3) % 10).alias("transformation_complexities"),
+        F.concat_ws(",", s(1 + c % 9), F.lit(" "), F.lit("7.5")).alias("data_skews"),
+        (F.col("o_orderstatus") != "P").alias("use_spot_instances"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("sla_requirements"),
+        (F.col("o_orderstatus") == "F").alias("enable_auto_termination"),
+        (k % 11).cast("int").alias("recency"), (c % 11).cast("int").alias("frequency"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("General")).alias("workload_type"))
+
+
+def job_text_recommend(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    r = J.recommend_from_text(order_descriptors(orders))
+    return r.select("job_id", "status", F.col("computed_type").alias("computed_type"), "sizing_type",
+                    "padded_total_size", "cores", "workers", "spot_workers", "on_demand_workers",
+                    F.col("spark_conf").getItem("spark.sql.adaptive.skewJoin.skewedPartitionFactor")
+                    .alias("skew_factor"), F.size("advice").cast("int").alias("n_advice"))
+
+
 def key_skew_profile(spark, sf_dir):
     li = _lineitem(spark, sf_dir)
     return _profile(li, ["l_suppkey", "l_partkey", "l_orderkey"], table_name="lineitem")
@@ -153,6 +181,7 @@ def cached_branches(spark, sf_dir):
 
 QUERIES = {
     "job_list_parse": job_list_parse,
+    "job_text_recommend": job_text_recommend,
     "job_features": job_features,
     "job_scores": job_scores,
     "workload_type": workload_type,
@@ -171,7 +200,7 @@ QUERIES = {
 # DuckDB oracles: the same rules written as plain SQL
 # ---------------------------------------------------------------------------------------------------------
 
-def _cte(padded: bool) -> str:
+def _derived_sources(padded: bool) -> str:
     n = "CAST(1 + l_orderkey % 8 AS INTEGER)" if padded else "CAST(count(*) AS INTEGER)"
     return f"""
 WITH jt AS (
@@ -186,11 +215,51 @@ WITH jt AS (
 jobs AS (
   SELECT l_orderkey AS job_id, {n} AS num_tables,
          CAST(l_orderkey % 11 AS INTEGER) AS recency, CAST(l_orderkey * 7 % 11 AS INTEGER) AS frequency,
-         l_orderkey % 2 = 0 AS use_spot, l_orderkey % 3 = 0 AS sla, l_orderkey % 3 = 1 AS auto_terminate
+         l_orderkey % 2 = 0 AS use_spot, l_orderkey % 3 = 0 AS sla, l_orderkey % 3 = 1 AS auto_terminate,
+         CAST(NULL AS VARCHAR) AS workload_type
   FROM lineitem GROUP BY l_orderkey),
-f AS (
+"""
+
+
+def _parse_sql(col: str) -> str:
+    """The list rule in DuckDB: split, trim, drop blanks; any bad item -> [1.0]."""
+    items = f"list_filter(list_transform(string_split(coalesce({col}, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
+    return (f"CASE WHEN coalesce(list_bool_or(list_transform({items}, "
+            f"lambda x: NOT regexp_full_match(x, '{J.NUMBER_RE}'))), false) "
+            f"THEN [1.0::DOUBLE] ELSE list_transform({items}, lambda x: CAST(x AS DOUBLE)) END")
+
+
+_TEXT_SOURCES = f"""
+WITH src AS (
+  SELECT o_orderkey AS job_id, CAST(1 + o_orderkey % 20 AS INTEGER) AS num_tables,
+         concat_ws(',', CAST(CAST(round(o_totalprice / 1000) AS BIGINT) AS VARCHAR), CAST(o_custkey % 700 AS VARCHAR),
+                   CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE '' END) AS table_sizes,
+         concat_ws(',', CAST(1 + o_orderkey % 10 AS VARCHAR), CAST(1 + o_custkey % 10 AS VARCHAR)) AS join_complexities,
+         CAST(1 + (o_orderkey * 3) % 10 AS VARCHAR) AS transformation_complexities,
+         concat_ws(',', CAST(1 + o_custkey % 9 AS VARCHAR), ' ', '7.5') AS data_skews,
+         o_orderstatus <> 'P' AS use_spot, o_orderpriority = '1-URGENT' AS sla, o_orderstatus = 'F' AS auto_terminate,
+         CAST(o_orderkey % 11 AS INTEGER) AS recency, CAST(o_custkey % 11 AS INTEGER) AS frequency,
+         CASE WHEN o_orderpriority = '5-LOW' THEN 'General' END AS workload_type
+  FROM orders),
+lists AS (
+  SELECT *, {_parse_sql('table_sizes')} AS l_size, {_parse_sql('join_complexities')} AS l_join,
+         {_parse_sql('transformation_complexities')} AS l_xf, {_parse_sql('data_skews')} AS l_skew FROM src),
+pos AS (
+  SELECT job_id, l_size, l_join, l_xf, l_skew,
+         unnest(range(0, greatest(len(l_size), len(l_join), len(l_xf), len(l_skew)))) AS pos FROM lists),
+jt AS (
+  SELECT job_id, CAST(pos AS INTEGER) AS pos, CAST(l_size[pos + 1] AS DECIMAL(18,4)) AS size_gb,
+         l_join[pos + 1] AS join_cx, l_xf[pos + 1] AS xf_cx, l_skew[pos + 1] AS skew FROM pos),
+jobs AS (
+  SELECT job_id, num_tables, recency, frequency, use_spot, sla, auto_terminate, workload_type FROM src),
+"""
+
+
+def _cte(padded: bool, sources: str | None = None) -> str:
+    return (sources or _derived_sources(padded)) + """f AS (
   SELECT jt.job_id, jobs.num_tables, jobs.recency, jobs.frequency, jobs.use_spot, jobs.sla, jobs.auto_terminate,
-         count(size_gb) AS k_size,
+         jobs.workload_type AS override_type,
+         count(size_gb) AS k_size, count(join_cx) AS k_join, count(xf_cx) AS k_xf, count(skew) AS k_skew,
          CAST(sum(size_gb) AS DECIMAL(38,4)) AS total_size,
          CAST(avg(size_gb) AS DECIMAL(38,8)) AS avg_size,
          max(size_gb) AS max_size,
@@ -210,7 +279,8 @@ f AS (
          CASE WHEN count(skew) < jobs.num_tables THEN max(skew)
               ELSE max(skew) FILTER (WHERE pos < jobs.num_tables) END AS padded_max_skew
   FROM jt JOIN jobs ON jt.job_id = jobs.job_id
-  GROUP BY jt.job_id, jobs.num_tables, jobs.recency, jobs.frequency, jobs.use_spot, jobs.sla, jobs.auto_terminate),
+  GROUP BY jt.job_id, jobs.num_tables, jobs.recency, jobs.frequency, jobs.use_spot, jobs.sla, jobs.auto_terminate,
+           jobs.workload_type),
 s AS (
   SELECT *,
     CAST((CASE WHEN num_tables <= 5 THEN 1 WHEN num_tables <= 15 THEN 2 ELSE 0 END)
@@ -238,7 +308,7 @@ s AS (
        + (CASE WHEN recency >= 4 AND recency <= 7 THEN 1 ELSE 0 END)
        + (CASE WHEN frequency >= 4 AND frequency <= 7 THEN 1 ELSE 0 END) AS INTEGER) AS score_caching
   FROM f),
-t AS (
+t0 AS (
   SELECT *,
     CASE WHEN list_sort([score_general, score_ml, score_streaming, score_caching])[4]
               - list_sort([score_general, score_ml, score_streaming, score_caching])[3] > 2
@@ -247,8 +317,12 @@ t AS (
                 WHEN score_streaming THEN 'Streaming/ELT' ELSE 'Data Caching/Analysis' END
          ELSE 'General' END AS workload_type
   FROM s),
+t AS (
+  SELECT *, coalesce(override_type, workload_type) AS sizing_type,
+         CASE WHEN least(k_size, k_join, k_xf, k_skew) = 0 THEN 'empty list' ELSE 'ok' END AS status
+  FROM t0),
 z AS (
-  SELECT *, CASE workload_type WHEN 'ML/High Memory' THEN 'r5.xlarge' WHEN 'Streaming/ELT' THEN 'c5.xlarge'
+  SELECT *, CASE sizing_type WHEN 'ML/High Memory' THEN 'r5.xlarge' WHEN 'Streaming/ELT' THEN 'c5.xlarge'
                  WHEN 'Data Caching/Analysis' THEN 'i3.xlarge' ELSE 'm5.xlarge' END AS instance_type,
          greatest(2, CAST(ceil(padded_total_size / 128) AS BIGINT)) AS cores
   FROM t),
@@ -302,11 +376,12 @@ SELECT job_id, num_tables, k_size, total_size, avg_size, max_size, CAST(var_size
 SELECT job_id, score_general, score_ml, score_streaming, score_caching FROM s""",
     "workload_type": _cte(False) + "SELECT job_id, workload_type FROM t",
     "job_sizing": _cte(False) + """
-SELECT job_id, workload_type AS sizing_type, padded_total_size, cores, instance_type, 4 AS instance_cores,
+SELECT job_id, sizing_type, padded_total_size, cores, instance_type, 4 AS instance_cores,
        16 AS instance_memory_gb, workers, min_instances, max_instances, 1 AS scale_out_step, -1 AS scale_in_step,
        300 AS cooldown_seconds, 21600 AS max_execution_seconds FROM r""",
     "fleet_summary": _cte(False) + """
-SELECT workload_type, count(*) AS n_jobs, CAST(sum(cores) AS BIGINT) AS total_cores FROM r GROUP BY workload_type""",
+SELECT sizing_type AS workload_type, count(*) AS n_jobs, CAST(sum(cores) AS BIGINT) AS total_cores
+FROM r GROUP BY sizing_type""",
     "job_padded_size": _cte(True) + """
 SELECT job_id, num_tables, k_size, padded_total_size, padded_max_join, padded_max_xf, padded_max_skew, cores FROM r""",
     "job_spot_split": _cte(True) + """
@@ -316,6 +391,12 @@ FROM r""",
         f"SELECT job_id, {i} AS conf_pos, '{k}' AS conf_key, {v} AS conf_value FROM r"
         for i, (k, v) in enumerate(_CONF)),
     "job_advice": _cte(True) + f"SELECT job_id, {_N_ADVICE} AS n_advice, {_ADVICE} AS advice_text FROM r",
+    "job_text_recommend": _cte(False, _TEXT_SOURCES) + f"""
+SELECT job_id, status, CASE WHEN status = 'ok' THEN workload_type END AS computed_type, sizing_type,
+       padded_total_size, cores, workers, spot_workers, workers - coalesce(spot_workers, 0) AS on_demand_workers,
+       CAST(greatest(5, CAST(floor(padded_max_skew) AS BIGINT)) AS VARCHAR) AS skew_factor,
+       {_N_ADVICE} AS n_advice
+FROM r""",
     "job_list_parse": f"""
 WITH t AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,

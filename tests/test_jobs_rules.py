@@ -120,3 +120,22 @@ def test_lists_of_different_lengths(spark):
 def test_empty_list_gives_status_and_null_type(spark):
     r = _classify(spark, [(1, "", "5", "5", "5", 0, 0)])[0]
     assert r.status == "empty list" and r.computed_type is None
+
+
+def test_pad_last_extends_with_last_item(spark):
+    texts = spark.createDataFrame([Row(job_id=1, table_sizes="10,20", join_complexities="1",
+                                       transformation_complexities="1", data_skews="1")])
+    jobs = spark.createDataFrame([(1, 3, 0, 0, False, False, False, None)], JOB_SCHEMA)
+    jt = J.lists_to_long(texts)
+    assert float(J.recommend(jobs, jt).first().padded_total_size) == 90.0
+    assert float(J.recommend(jobs, jt, pad="last").first().padded_total_size) == 50.0
+
+
+def test_settings_lines_feed_apply_settings(spark):
+    from sparkwright.functions.conf import parse_settings
+    texts = spark.createDataFrame([Row(job_id=4, table_sizes="2000", join_complexities="1",
+                                       transformation_complexities="9", data_skews="1")])
+    jobs = spark.createDataFrame([(4, 2, 0, 0, True, False, False, None)], JOB_SCHEMA)
+    lines = J.settings_lines(J.recommend(jobs, J.lists_to_long(texts)), 4)
+    assert lines[0] == "spark.sql.shuffle.partitions = 64"
+    assert dict(parse_settings(lines))["spark.sql.adaptive.skewJoin.skewedPartitionFactor"] == "5"
