@@ -68,7 +68,7 @@ CONF_KEYS = (
 NUMBER = r"[+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)(?:[eE][+-]?[0-9]+)?"
 NUMBER_RE = rf"^{NUMBER}$"
 # A whole list is good when every comma-separated item is blank or a number (whitespace around items allowed).
-GOOD_LIST_RE = rf"^\s*(?:{NUMBER})?\s*(?:,\s*(?:{NUMBER})?\s*)*$"
+GOOD_LIST_RE = rf"^\s*(?:{NUMBER}\s*)?(?:,\s*(?:{NUMBER}\s*)?)*$"   # unambiguous: no backtracking blow-up
 
 SIZE = "decimal(18,4)"
 
@@ -308,6 +308,9 @@ def recommend_from_text(descriptors: DataFrame, gb_per_core: int = GB_PER_CORE)
     comma text, ``use_spot_instances, sla_requirements, enable_auto_termination, recency, frequency`` and
     an optional ``workload_type`` override. Parsing is row-local, and the lists become the long form
     without any shuffle."""
+    from ..operators.partitioning import spread_if_narrow
+
+    descriptors = spread_if_narrow(descriptors)
     cols = set(descriptors.columns)
     jobs = descriptors.select(
         "job_id", F.col("num_tables").cast("int").alias("num_tables"),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import jobs as J
+from ..operators.partitioning import spread_if_narrow
 from ..operators.skew import key_skew_profile as _profile
 
 
@@ -120,7 +121,7 @@ def list_texts(lineitem: DataFrame) -> DataFrame:
 
 
 def job_list_parse(spark, sf_dir):
-    t = list_texts(_lineitem(spark, sf_dir))
+    t = spread_if_narrow(list_texts(_lineitem(spark, sf_dir)))
     arr = J.parse_number_list(F.col("list_text"))
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                     F.size(arr).cast("int").alias("n_items"),
