@@ -24,14 +24,17 @@ def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived_job_tables(lineitem: DataFrame) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    return lineitem.select(
-        F.col("l_orderkey").alias("job_id"),
-        (F.row_number().over(w) - 1).cast("int").alias("pos"),
+    # the key is renamed before the window, so the window's hash partitioning on job_id carries straight
+    # into the join with jobs (no second shuffle of the lines)
+    lines = lineitem.select(
+        F.col("l_orderkey").alias("job_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         (F.col("l_extendedprice").cast("decimal(18,2)") / 100).cast(J.SIZE).alias("size_gb"),
         (1 + F.col("l_quantity") % 10).cast("double").alias("join_cx"),
         (1 + F.col("l_partkey") % 10).cast("double").alias("xf_cx"),
         (1 + F.col("l_suppkey") % 10).cast("double").alias("skew"))
+    w = Window.partitionBy("job_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return lines.select("job_id", (F.row_number().over(w) - 1).cast("int").alias("pos"),
+                        "size_gb", "join_cx", "xf_cx", "skew")
 
 
 def derived_jobs(lineitem: DataFrame, padded: bool = False) -> DataFrame:
