@@ -50,13 +50,13 @@ def _null_safe_on(cols: list[str], left: str, right: str) -> Column:
     return cond
 
 
-def _sortable(c: Column, dtype: str) -> Column:
-    """A numeric stand-in for the first ordering column (percentiles need a numeric or time type)."""
-    if dtype.startswith("timestamp"):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if dtype == "date":
-        return F.unix_date(c).cast("double")
-    return c.cast("double")
+_SKETCHABLE = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+
+
+def _sketchable(dtype: str) -> bool:
+    """Types ``percentile_approx`` takes as they are. Split points then compare in the column's own
+    order, with no conversion through a time zone or to floating point."""
+    return dtype in _SKETCHABLE or dtype.startswith("decimal")
 
 
 def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tuple[str, bool]],
@@ -82,8 +82,11 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
 
     # 2. split points of the first ordering column, per hot key
     probs = [i / buckets for i in range(1, buckets)]
-    sort_v = _sortable(F.col(first), dtype)
     d = df.alias("__d")
+    if not _sketchable(dtype):
+        # no split points for this type: hot keys stay whole (still exact, just not split)
+        hot = hot.limit(0)
+    sort_v = F.col(first) if _sketchable(dtype) else F.lit(None).cast("double")
     sketch = (d.join(F.broadcast(hot.alias("__h")), _null_safe_on(keys, "__d", "__h"), "left_semi")
                 .groupBy(*keys).agg(F.percentile_approx(sort_v, probs, accuracy).alias("__splits")))
     # The split points are fixed once, as a small literal table: a sketch recomputed after a lost executor

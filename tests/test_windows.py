@@ -47,3 +47,13 @@ def test_hot_key_is_split_across_buckets(skewed_events):
     got = W.skew_safe_window(skewed_events, ["user_id"], [("ts", True)], [WinOut("row_number", "rn")],
                              hot_fraction=0.05, buckets=8)
     assert got.filter("user_id = 7").agg(F.max("rn")).first()[0] == skewed_events.filter("user_id = 7").count()
+
+
+def test_unsketchable_order_type_stays_exact(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    o = o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit(1)).otherwise(F.col("o_custkey")))
+    got = skew_safe_window(o, ["o_custkey"], [("o_orderpriority", True), ("o_orderkey", True)],
+                           [WinOut("row_number", "rn")], hot_fraction=0.05)
+    want = o.withColumn("rn", F.row_number().over(
+        Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
