@@ -116,6 +116,10 @@ class Chain:
                 keys = r.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(rkeys)]).distinct()
                 on = _and([F.col(lk) == F.col(f"__k{i}") for i, lk in enumerate(left_keys)])
                 return Chain(self.df.join(keys, on, how), list(self.cols))
+            if how == "left" and extra is not None:
+                # with a further condition a hot key's left row may match no right row at all, and its
+                # null-extended row could not be told apart from the replicas that are dropped below
+                raise ValueError("a right-skewed salted left join takes key equality only")
             sf = salt_from or [f"`{right_alias}`.`{c}`" for c in right.columns]
             left_s, right_s = add_salt_columns_right_skew(self.df, r, left_keys, rkeys, salts, sf,
                                                           hot_fraction if hot_fraction is not None else 0.001)

@@ -160,3 +160,12 @@ def test_right_skewed_salted_join_equals_plain(spark, how):
                                                          salt_from=["b.rv"], hot_fraction=0.05, skewed_side="right")
     plain = left.join(right, left.lk == right.rk, how)
     assert _rows(chain.flattened().df) == _rows(plain)
+
+
+def test_right_skewed_left_join_refuses_extra_condition(spark):
+    from sparkwright.operators.joins import Chain
+    left = spark.range(0, 10).select(F.col("id").alias("lk"))
+    right = spark.range(0, 100).select((F.col("id") % 3).alias("rk"), F.col("id").alias("rv"))
+    with pytest.raises(ValueError, match="key equality"):
+        Chain.of(left.alias("a"), "a").join_salted(right, "b", "b.rv > 1000", "left", ["a.lk"], ["rk"],
+                                                   skewed_side="right", hot_fraction=0.1)
