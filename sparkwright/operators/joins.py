@@ -172,7 +172,7 @@ class Chain:
         return Chain(df, [(left_alias, c) for c in names] + [(right_alias, c) for c in names])
 
 
-# A cross product is only run with a right side of at most this many rows (proven by a bounded count); the
+# A cross product is only run with a right side of at most this many rows (and 256 MB), as measured; the
 # right side is then broadcast and the left side streams past it, so the cost is linear in the left side.
 CROSS_MAX_ROWS = 100_000
 
@@ -187,8 +187,9 @@ def join(left: DataFrame, right: DataFrame, cond: str | Column | None, how: str
     how = spark_join_type(how)
     c = condition(cond)
     if c is None and how in ("cross", "inner"):
-        if bounded_rows(right, CROSS_MAX_ROWS) is None:
-            raise ValueError(f"cross join refused: the right side has more than {CROSS_MAX_ROWS} rows")
+        if not fits_broadcast(right, CROSS_MAX_ROWS):
+            raise ValueError(f"cross join refused: the right side is not proven small "
+                             f"(at most {CROSS_MAX_ROWS} rows and 256 MB)")
         return left.crossJoin(F.broadcast(right))
     if how == "cross":
         how = "inner"

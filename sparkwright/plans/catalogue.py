@@ -267,7 +267,7 @@ def join_chain(spark, sf_dir):
 def join_chain_hot(spark, sf_dir):
     """``join_chain`` with the left join salted for keys that are hot on the lineitem side."""
     spec = _join_chain_spec()
-    spec["joins"][1].update({"strategy": "salted", "salt": {
+    spec["joins"][1].update({"strategy": "salted", "conditions": "", "salt": {
         "left_keys": ["o.o_orderkey"], "right_keys": ["l.l_orderkey"], "salts": 4, "skewed_side": "right",
         "salt_from": ["l.l_linenumber", "l.l_partkey", "l.l_suppkey"], "hot_fraction": 0.0002}})
     return _run(spark, sf_dir, spec)

@@ -48,7 +48,9 @@ def build_frame(spark: SparkSession, spec: dict | str | JobSpec, resolver: Resol
             right = frames[j.right_table]
             if j.strategy == "salted":
                 opts = dict(j.salt or {})
-                chain = chain.join_salted(right, j.right_table, opts.get("condition"), j.type,
+                # the keys carry the equality; any join text is kept as further terms, never dropped
+                extra = " AND ".join(f"({t})" for t in (j.conditions, opts.get("condition")) if t and t.strip())
+                chain = chain.join_salted(right, j.right_table, extra or None, j.type,
                                           left_keys=opts["left_keys"], right_keys=opts["right_keys"],
                                           salts=int(opts.get("salts", 8)), salt_from=opts.get("salt_from"),
                                           hot_fraction=opts.get("hot_fraction"),
