@@ -119,7 +119,8 @@ def apply_transformations(df: DataFrame, entries: list[Transformation | dict]) -
         dropped = [t.output_column or t.expression for t in selects + columns]
         if dropped:
             raise ValueError(f"cannot combine group keys/aggregates with select or column entries: {dropped}")
-        agg_cols = [F.expr(t.expression).alias(t.output_column) for t in aggs]
+        agg_cols = [F.expr(t.expression).alias(t.output_column) if t.output_column else F.expr(t.expression)
+                    for t in aggs]
         if keys and agg_cols:
             return df.groupBy(*[F.expr(k) for k in keys]).agg(*agg_cols)
         if keys:
@@ -133,6 +134,9 @@ def apply_transformations(df: DataFrame, entries: list[Transformation | dict]) -
     if safe:
         from .windows import from_spec
         df = from_spec(df, safe)
+    unnamed = [t.expression for t in columns if not t.output_column]
+    if unnamed:
+        raise ValueError(f"added columns need an output_column: {unnamed}")
     for t in columns:
         if not t.skew_safe:
             df = df.withColumn(t.output_column, F.expr(t.expression))

@@ -60,6 +60,8 @@ def write(df: DataFrame, target: Target) -> str:
     df = with_static_partitions(df, target.partitions)
     part_cols = [c for c, _ in target.partitions]
     name = target.qualified
+    if target.schema:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{target.schema}`")
     if target.columns is not None:
         return insert_columns(df, target)
     if target.replace_partitions:

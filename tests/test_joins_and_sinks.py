@@ -169,3 +169,11 @@ def test_right_skewed_left_join_refuses_extra_condition(spark):
     with pytest.raises(ValueError, match="key equality"):
         Chain.of(left.alias("a"), "a").join_salted(right, "b", "b.rv > 1000", "left", ["a.lk"], ["rk"],
                                                    skewed_side="right", hot_fraction=0.1)
+
+
+def test_target_schema_is_created(spark):
+    name = fresh_table_name("t_db")
+    spec = _target_spec(name, fresh_location(spark, "t_db"), "overwrite")
+    spec["target"]["schema"] = "sales_dw_test"
+    out = run_job(spark, spec, resolver=R)
+    assert out.count() > 0 and spark.catalog.tableExists(f"sales_dw_test.{name}")
