@@ -419,7 +419,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(len(vals) AS INTEGER
        coalesce(bad, false) AS is_default, list_sum(vals) AS sum_items, list_max(vals) AS max_item
 FROM v""",
     "key_skew_profile": "\nUNION ALL\n".join(f"""
-SELECT 'lineitem' AS table_name, '{k}' AS key_column, sum(n) AS n_rows, count(*) AS n_keys, max(n) AS max_freq,
+SELECT 'lineitem' AS table_name, '{k}' AS key_column, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys,
+       max(n) AS max_freq,
        CAST(sum(n) AS DOUBLE) / count(*) AS avg_freq,
        CAST(least(10, greatest(1, round(max(n) / (CAST(sum(n) AS DOUBLE) / count(*))))) AS INTEGER) AS skew
 FROM (SELECT {k}, count(*) AS n FROM lineitem GROUP BY {k})""" for k in ("l_suppkey", "l_partkey", "l_orderkey")),
