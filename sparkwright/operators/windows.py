@@ -4,7 +4,8 @@ A plain ``row_number() OVER (PARTITION BY k ORDER BY ...)`` puts every row of a
 with a third of the rows is a straggler that AQE cannot split. Here:
 
 1. Keys holding more than ``hot_fraction`` of the rows are found with a two-phase count. At most
-   ``1/hot_fraction`` such keys exist, which bounds the broadcast list.
+   ``1/hot_fraction`` such keys exist, which bounds the broadcast list. With no hot key the plain window
+   runs, and the only extra cost is that one narrow counting pass.
 2. For each hot key, ``buckets - 1`` split points of the first ordering column are taken with
    ``percentile_approx``, a bounded-memory, partially aggregated sketch. They are fixed once as a small
    table, so recomputed tasks bucket every row the same way. A row's bucket is the number of split points
@@ -59,6 +60,21 @@ def _sketchable(dtype: str) -> bool:
     return dtype in _SKETCHABLE or dtype.startswith("decimal")
 
 
+def _plain(df: DataFrame, w, outputs: list[WinOut]) -> DataFrame:
+    cols = []
+    for o in outputs:
+        if o.func == "row_number":
+            c = F.row_number().over(w)
+        elif o.func == "rows_count":
+            c = F.count(F.lit(1)).over(w.rowsBetween(-o.preceding, 0))
+        elif o.func == "running_sum":
+            c = F.sum(F.expr(o.value)).over(w)
+        else:
+            c = F.lag(F.expr(o.value), 1).over(w)
+        cols.append((c.cast(o.cast) if o.cast else c).alias(o.output))
+    return df.select("*", *cols)
+
+
 def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tuple[str, bool]],
                      outputs: list[WinOut], hot_fraction: float = 0.01, buckets: int = 16,
                      accuracy: int = 10000) -> DataFrame:
@@ -74,26 +90,28 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
     keys = list(partition_by)
     dtype = dict(df.dtypes)[first]
 
-    # 1. hot keys (bounded by construction)
+    # 1. hot keys (bounded by construction, so they may be fixed as a small literal table)
     total = df.count()
     threshold = max(1, int(total * hot_fraction))
     freq = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = freq.filter(F.col("__n") > threshold).select(*keys)
+    hot_rows = freq.filter(F.col("__n") > threshold).select(*keys).collect()
+    if len(hot_rows) > max(1, int(1 / hot_fraction)):
+        raise RuntimeError("more hot keys than the bound allows")
+    if not hot_rows or not _sketchable(dtype):
+        # nothing to split (or no split points for this type): the plain window is already balanced
+        w = Window.partitionBy(*keys).orderBy(*_order_cols(order_by))
+        return _plain(df, w, outputs)
+    hot = df.sparkSession.createDataFrame(hot_rows, freq.select(*keys).schema)
 
     # 2. split points of the first ordering column, per hot key
     probs = [i / buckets for i in range(1, buckets)]
     d = df.alias("__d")
-    if not _sketchable(dtype):
-        # no split points for this type: hot keys stay whole (still exact, just not split)
-        hot = hot.limit(0)
-    sort_v = F.col(first) if _sketchable(dtype) else F.lit(None).cast("double")
+    sort_v = F.col(first)
     sketch = (d.join(F.broadcast(hot.alias("__h")), _null_safe_on(keys, "__d", "__h"), "left_semi")
                 .groupBy(*keys).agg(F.percentile_approx(sort_v, probs, accuracy).alias("__splits")))
     # The split points are fixed once, as a small literal table: a sketch recomputed after a lost executor
     # could place them differently, and the bucketing and the summary below must agree on every row.
     rows = sketch.collect()
-    if len(rows) > max(1, int(1 / hot_fraction)):
-        raise RuntimeError("more hot keys than the bound allows")
     splits = F.broadcast(df.sparkSession.createDataFrame(rows, sketch.schema).alias("__s"))
 
     v = F.col("__v")

@@ -17,24 +17,32 @@ from pyspark.sql import functions as F
 from ..functions import jobs as J
 from ..operators.partitioning import spread_if_narrow
 from ..operators.skew import key_skew_profile as _profile
+from ..operators.windows import WinOut, skew_safe_window
 
 
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
 
 
-def derived_job_tables(lineitem: DataFrame) -> DataFrame:
-    # the key is renamed before the window, so the window's hash partitioning on job_id carries straight
-    # into the join with jobs (no second shuffle of the lines)
+def derived_job_tables(lineitem: DataFrame, skew_safe: bool = False) -> DataFrame:
+    """One list position per line. The key is renamed before the window, so the window's hash partitioning
+    on job_id carries straight into the join with jobs (no second shuffle of the lines). With
+    ``skew_safe`` the numbering runs through :func:`skew_safe_window`, which splits an order holding a
+    large share of all lines into ordered buckets. Plans that prune ``pos`` never run the window at all."""
     lines = lineitem.select(
         F.col("l_orderkey").alias("job_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         (F.col("l_extendedprice").cast("decimal(18,2)") / 100).cast(J.SIZE).alias("size_gb"),
         (1 + F.col("l_quantity") % 10).cast("double").alias("join_cx"),
         (1 + F.col("l_partkey") % 10).cast("double").alias("xf_cx"),
         (1 + F.col("l_suppkey") % 10).cast("double").alias("skew"))
-    w = Window.partitionBy("job_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    return lines.select("job_id", (F.row_number().over(w) - 1).cast("int").alias("pos"),
-                        "size_gb", "join_cx", "xf_cx", "skew")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    if skew_safe:
+        numbered = skew_safe_window(lines, ["job_id"], [(c, True) for c in order],
+                                    [WinOut("row_number", "__rn")])
+        rn = F.col("__rn")
+    else:
+        numbered, rn = lines, F.row_number().over(Window.partitionBy("job_id").orderBy(*order))
+    return numbered.select("job_id", (rn - 1).cast("int").alias("pos"), "size_gb", "join_cx", "xf_cx", "skew")
 
 
 def derived_jobs(lineitem: DataFrame, padded: bool = False) -> DataFrame:
@@ -49,8 +57,9 @@ def derived_jobs(lineitem: DataFrame, padded: bool = False) -> DataFrame:
 
 
 def _recommend(spark: SparkSession, sf_dir: str, padded: bool) -> DataFrame:
+    # sizing reads the padded lists, so the positions are needed: number them with hot orders split
     li = _lineitem(spark, sf_dir)
-    return J.recommend(derived_jobs(li, padded), derived_job_tables(li))
+    return J.recommend(derived_jobs(li, padded), derived_job_tables(li, skew_safe=True))
 
 
 # ---------------------------------------------------------------------------------------------------------
