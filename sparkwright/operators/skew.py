@@ -33,10 +33,3 @@ def profile_one(df: DataFrame, key: str, table_name: str) -> DataFrame:
 def key_skew_profile(df: DataFrame, keys: list[str], table_name: str = "") -> DataFrame:
     """One row per profiled key column."""
     return reduce(DataFrame.unionByName, [profile_one(df, k, table_name) for k in keys])
-
-
-def hot_keys(df: DataFrame, keys: list[str], fraction: float) -> DataFrame:
-    """Key values holding more than ``fraction`` of the rows: at most ``1/fraction`` of them exist."""
-    total = df.count()
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") > F.lit(max(1, int(total * fraction)))))

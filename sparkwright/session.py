@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -56,7 +55,3 @@ def fresh_location(spark: SparkSession, label: str) -> str:
 
 def fresh_table_name(label: str) -> str:
     return f"{label}_{uuid.uuid4().hex[:12]}"
-
-
-def default_sf_dir() -> str:
-    return os.environ.get("SPARKWRIGHT_SF_DIR", "/root/testdata/sf0.01")

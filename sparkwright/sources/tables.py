@@ -56,8 +56,3 @@ def subquery(spark: SparkSession, text: str, frames: Mapping[str, DataFrame] | N
     used = {k: v for k, v in frames.items() if "{" + k + "}" in text}
     df = spark.sql(text, **used) if used else spark.sql(text)
     return df.alias(alias) if alias else df
-
-
-def tables_from_dir(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
-    base = sf_dir.rstrip("/")
-    return {n: spark.read.parquet(f"{base}/{n}.parquet") for n in names}
