@@ -30,6 +30,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_LOCAL_ROOTS: dict[str, str] = {}   # local-mode fallback folder per application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
@@ -39,12 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS, S3, ...)")
-        d = tempfile.mkdtemp(prefix="sparkwright-ckpt-")
-    sc.setCheckpointDir(d)
-    return d
+    if d:
+        return d
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS, S3, ...)")
+    if sc.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="sparkwright-ckpt-")
+        sc.setCheckpointDir(_LOCAL_ROOTS[sc.applicationId])
+    return _LOCAL_ROOTS[sc.applicationId]
 
 
 def fresh_location(spark: SparkSession, label: str) -> str:
