@@ -46,3 +46,29 @@ def test_cli_runs_saved_job(tmp_path):
                          cwd=str(__import__("pathlib").Path(__file__).resolve().parents[1]))
     assert out.returncode == 0, out.stderr[-2000:]
     assert "o_orderstatus" in out.stdout
+
+
+def test_shared_dir_reads_session_and_falls_back_only_locally():
+    from types import SimpleNamespace
+
+    import pytest as _pytest
+
+    from sparkwright.session import shared_dir
+
+    class Ctx:
+        def __init__(self, master, conf):
+            self.master, self._conf, self.applicationId, self.dirs = master, conf, f"app-{master}", []
+
+        def getConf(self):
+            return SimpleNamespace(get=lambda k, d=None: self._conf.get(k, d))
+
+        def setCheckpointDir(self, d):
+            self.dirs.append(d)
+
+    set_ctx = Ctx("yarn", {"spark.checkpoint.dir": "hdfs://nn/shared"})
+    assert shared_dir(SimpleNamespace(sparkContext=set_ctx)) == "hdfs://nn/shared" and set_ctx.dirs == []
+    with _pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=Ctx("yarn", {})))
+    local = Ctx("local[2]", {})
+    a = shared_dir(SimpleNamespace(sparkContext=local))
+    assert a == shared_dir(SimpleNamespace(sparkContext=local)) and local.dirs == [a]
