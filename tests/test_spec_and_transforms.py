@@ -162,3 +162,26 @@ def test_settings_applied(spark):
         assert res == {"applied": ["spark.sql.shuffle.partitions"], "skipped": ["spark.executor.memory"]}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_spec_preview_and_settings(spark):
+    old = spark.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionFactor")
+    try:
+        df = run_job(spark, {"tables": [{"name": "orders", "alias": "o"}], "preview": 7,
+                             "settings": ["spark.sql.adaptive.skewJoin.skewedPartitionFactor = 9"]}, resolver=R)
+        assert df.count() == 7
+        assert spark.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionFactor") == "9"
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", old)
+
+
+def test_subquery_reads_filtered_frame_and_catalog(spark):
+    # {o} binds the filtered alias frame; a bare name would go to the catalog
+    df = build_frame(spark, {
+        "tables": [{"name": "customer", "alias": "c"},
+                   {"name": "orders", "alias": "o", "predicate": "o_orderstatus = 'F'"}],
+        "joins": [{"type": "subquery", "right_alias": "q", "conditions": "c.c_custkey = q.k",
+                   "subquery": "SELECT o_custkey AS k, count(*) AS n FROM {o} GROUP BY o_custkey"}],
+        "transformations": [{"output_column": "", "expression": "count(*)"}]}, resolver=R)
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_orderstatus = 'F'")
+    assert df.first()[0] == o.select("o_custkey").distinct().count()
