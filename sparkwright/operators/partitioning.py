@@ -12,5 +12,9 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     input the partitions far outnumber the cores and this is a no-op, so no shuffle is added where the
     scan is already parallel.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < cores
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session): leave the plan as it is
+        return df
+    return df.repartition(cores) if narrow else df

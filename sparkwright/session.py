@@ -40,7 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     a cluster session without the setting is an error, because a machine-local folder is not visible to the
     other executors.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no context; the setting is still readable
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS, S3, ...)")
+        return d
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if d:
         return d
