@@ -276,10 +276,8 @@ def _cte(padded: bool, sources: str | None = None) -> str:
          CAST(sum(size_gb) AS DECIMAL(38,4)) AS total_size,
          CAST(avg(size_gb) AS DECIMAL(38,8)) AS avg_size,
          max(size_gb) AS max_size,
-         var_pop(CAST(size_gb AS DOUBLE)) AS var_size,
          CAST(count(size_gb) AS HUGEINT) * sum(CAST(size_gb * 10000 AS HUGEINT) * CAST(size_gb * 10000 AS HUGEINT))
-           - sum(CAST(size_gb * 10000 AS HUGEINT)) * sum(CAST(size_gb * 10000 AS HUGEINT))
-           > CAST(1000000000000 AS HUGEINT) * count(size_gb) * count(size_gb) AS var_over_10000,
+           - sum(CAST(size_gb * 10000 AS HUGEINT)) * sum(CAST(size_gb * 10000 AS HUGEINT)) AS var_num,
          avg(join_cx) AS avg_join, max(join_cx) AS max_join,
          avg(xf_cx) AS avg_xf, max(xf_cx) AS max_xf,
          avg(skew) AS avg_skew, max(skew) AS max_skew,
@@ -294,6 +292,13 @@ def _cte(padded: bool, sources: str | None = None) -> str:
   FROM jt JOIN jobs ON jt.job_id = jobs.job_id
   GROUP BY jt.job_id, jobs.num_tables, jobs.recency, jobs.frequency, jobs.use_spot, jobs.sla, jobs.auto_terminate,
            jobs.workload_type),
+fv AS (
+  SELECT *,
+         CASE WHEN k_size > 0 THEN CAST((2 * var_num + CAST(k_size AS HUGEINT) * k_size * 1000000)
+                                        // (2 * CAST(k_size AS HUGEINT) * k_size * 1000000) AS DECIMAL(38,0)) * 0.01
+         END AS var_size,
+         var_num > CAST(1000000000000 AS HUGEINT) * k_size * k_size AS var_over_10000
+  FROM f),
 s AS (
   SELECT *,
     CAST((CASE WHEN num_tables <= 5 THEN 1 WHEN num_tables <= 15 THEN 2 ELSE 0 END)
@@ -320,7 +325,7 @@ s AS (
        + (CASE WHEN max_skew > 8 THEN 1 ELSE 0 END)
        + (CASE WHEN recency >= 4 AND recency <= 7 THEN 1 ELSE 0 END)
        + (CASE WHEN frequency >= 4 AND frequency <= 7 THEN 1 ELSE 0 END) AS INTEGER) AS score_caching
-  FROM f),
+  FROM fv),
 t0 AS (
   SELECT *,
     CASE WHEN list_sort([score_general, score_ml, score_streaming, score_caching])[4]
@@ -384,7 +389,7 @@ _NUM_RE = J.NUMBER_RE
 SQL = {
     "job_features": _cte(False) + """
 SELECT job_id, num_tables, k_size, total_size, avg_size, max_size, CAST(var_size AS DECIMAL(38,2)) AS var_size,
-       var_over_10000, avg_join, max_join, avg_xf, max_xf, avg_skew, max_skew FROM f""",
+       var_over_10000, avg_join, max_join, avg_xf, max_xf, avg_skew, max_skew FROM fv""",
     "job_scores": _cte(False) + """
 SELECT job_id, score_general, score_ml, score_streaming, score_caching FROM s""",
     "workload_type": _cte(False) + "SELECT job_id, workload_type FROM t",

@@ -139,3 +139,12 @@ def test_settings_lines_feed_apply_settings(spark):
     lines = J.settings_lines(J.recommend(jobs, J.lists_to_long(texts)), 4)
     assert lines[0] == "spark.sql.shuffle.partitions = 64"
     assert dict(parse_settings(lines))["spark.sql.adaptive.skewJoin.skewedPartitionFactor"] == "5"
+
+
+def test_variance_is_exact_and_rounded_half_up(spark):
+    from decimal import Decimal
+    rows = [_vary(sizes="100,300"), _vary(sizes="1,2"), _vary(sizes="1,2,4"), _vary(sizes="0.0001,0.0002"),
+            _vary(sizes="7")]
+    got = [r.var_size for r in _classify(spark, rows)]
+    # 10000 exactly; 0.25; 14/9 = 1.5555.. -> 1.56; 2.5e-9 -> 0.00; a single item -> 0
+    assert got == [Decimal("10000.00"), Decimal("0.25"), Decimal("1.56"), Decimal("0.00"), Decimal("0.00")]
