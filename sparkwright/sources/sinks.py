@@ -26,7 +26,7 @@ class Target:
     partitions: list[tuple[str, str | None]] = field(default_factory=list)
     replace_partitions: bool = False   # S9: overwrite only the partitions being written
     columns: list[str] | None = None   # S10: insert into these target columns, by name
-    format: str = "parquet"
+    format: str | None = None          # None: the session's default source (spark.sql.sources.default)
 
     @property
     def qualified(self) -> str:
@@ -78,7 +78,9 @@ def write(df: DataFrame, target: Target) -> str:
             finally:
                 spark.conf.set(key, old)
             return name
-    w = df.write.mode(target.mode).format(target.format)
+    w = df.write.mode(target.mode)
+    if target.format:
+        w = w.format(target.format)
     if part_cols:
         w = w.partitionBy(*part_cols)
     if target.path:

@@ -38,10 +38,11 @@ def scan(spark: SparkSession, name: str, *, schema: str | None = None, path: str
          alias: str | None = None, predicate: str | None = None,
          resolver: Resolver = catalog_or_path) -> DataFrame:
     """One table entry of a job spec: read, filter (if the predicate is non-blank), alias."""
-    df = resolver(spark, schema, name, path)
+    # aliased first, so the predicate may name columns either bare or as alias.column
+    df = resolver(spark, schema, name, path).alias(alias or name)
     if predicate and predicate.strip():
         df = df.filter(F.expr(predicate))
-    return df.alias(alias or name)
+    return df
 
 
 def subquery(spark: SparkSession, text: str, frames: Mapping[str, DataFrame] | None = None,

@@ -185,3 +185,11 @@ def test_subquery_reads_filtered_frame_and_catalog(spark):
         "transformations": [{"output_column": "", "expression": "count(*)"}]}, resolver=R)
     o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_orderstatus = 'F'")
     assert df.first()[0] == o.select("o_custkey").distinct().count()
+
+
+def test_table_predicate_may_use_alias(spark):
+    a = build_frame(spark, {"tables": [{"name": "orders", "alias": "o", "predicate": "o.o_totalprice > 300000"}]},
+                    resolver=R)
+    b = build_frame(spark, {"tables": [{"name": "orders", "alias": "o", "predicate": "o_totalprice > 300000"}]},
+                    resolver=R)
+    assert a.count() == b.count() > 0
