@@ -394,6 +394,41 @@ def salted_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
     return out.select(*keep)
 
 
+def salted_outer_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
+                      how: str = "full", salts: int = 8, salt_from: list[str] | None = None,
+                      hot_fraction: float | None = None) -> DataFrame:
+    """Right and full outer equi-joins with salted hot keys, exactly.
+
+    A salted join cannot be an outer join on the replicated side (each replica would be null-extended), so
+    these are decomposed:
+
+    * right: the left join with the sides swapped, columns put back in left-then-right order.
+    * full: the salted left join (every left row, matched or null-extended), plus the right rows whose key
+      has no partner on the left. That second part is an anti join against the *distinct* left keys, whose
+      partial aggregation removes any hot key before the shuffle, with the left columns null.
+
+    ``salt_from`` names columns of the side whose keys are salted (the left side for ``full``, the right
+    side for ``right``).
+    """
+    how = spark_join_type(how)
+    if how == "right":
+        swapped = salted_join(right, left, right_keys, left_keys, "left", salts, salt_from, hot_fraction)
+        # positions, not names: the two sides may share column names
+        nr = len(right.columns)
+        tmp = swapped.toDF(*[f"__c{i}" for i in range(len(swapped.columns))])
+        return tmp.select(*[F.col(f"__c{nr + i}").alias(c) for i, c in enumerate(left.columns)],
+                          *[F.col(f"__c{i}").alias(c) for i, c in enumerate(right.columns)])
+    if how != "full":
+        raise ValueError("salted_outer_join handles right and full joins; use salted_join for the others")
+    matched = salted_join(left, right, left_keys, right_keys, "left", salts, salt_from, hot_fraction)
+    keys = left.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(left_keys)]).distinct()
+    on = _and([F.col(rk) == F.col(f"__k{i}") for i, rk in enumerate(right_keys)])
+    right_only = right.join(keys, on, "left_anti")
+    padded = right_only.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields],
+                               *[right_only[c] for c in right.columns])
+    return matched.union(padded)
+
+
 def _and(cols: list[Column]) -> Column:
     out = cols[0]
     for c in cols[1:]:

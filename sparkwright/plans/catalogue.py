@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import salted_outer_join
 from ..sources.sinks import preview as preview_rows
 from ..sources.tables import parquet_dir_resolver
 from .run import build_frame, run_job
@@ -328,6 +329,17 @@ def salted_left_join(spark, sf_dir):
     })
 
 
+def salted_full_join(spark, sf_dir):
+    """A full outer join with hot left keys salted: a salted left join plus the right rows without any
+    partner (an anti join against the distinct left keys)."""
+    base = sf_dir.rstrip("/")
+    o = (spark.read.parquet(f"{base}/orders.parquet").filter("o_totalprice > 100000")
+         .select("o_orderkey", "o_custkey", "o_totalprice"))
+    c = spark.read.parquet(f"{base}/customer.parquet").filter("c_acctbal > 8000").select("c_custkey", "c_name")
+    return salted_outer_join(o, c, ["o_custkey"], ["c_custkey"], "full", salts=8, salt_from=["o_orderkey"],
+                             hot_fraction=0.001)
+
+
 # ---------------------------------------------------------------------------------------------------------
 # aggregation and windows
 # ---------------------------------------------------------------------------------------------------------

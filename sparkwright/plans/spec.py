@@ -110,6 +110,10 @@ def parse_spec(spec: dict | str) -> JobSpec:
             raise ValueError(f"unknown join strategy {js.strategy!r}")
         if js.strategy == "salted" and not (js.salt and js.salt.get("left_keys") and js.salt.get("right_keys")):
             raise ValueError("a salted join needs salt.left_keys and salt.right_keys")
+        if js.strategy == "salted" and kind not in ("self", "subquery") and \
+                spark_join_type(kind) in ("right", "full"):
+            raise ValueError("a salted step in a chain takes inner, left, semi or anti joins; for right and full "
+                             "joins use operators.joins.salted_outer_join")
         if js.strategy == "band":
             b = js.band or {}
             if not all(b.get(k) for k in ("low", "high", "point", "width")):
