@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "sparkwright") -> SparkSession:
+                  app_name: str = "sparkwright", conf: dict[str, str] | None = None) -> SparkSession:
     """A session with the settings every job here relies on.
 
     AQE stays on (coalescing, skew-join splitting, local shuffle reader); the session time zone is pinned to
@@ -25,6 +25,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true"))
+    for k, v in (conf or {}).items():
+        b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

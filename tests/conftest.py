@@ -13,6 +13,10 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark():
     from sparkwright.session import build_session
 
-    s = build_session("local[*]", 8, app_name="sparkwright-tests")
+    import tempfile
+
+    # managed tables of the tests go to a scratch warehouse, not into the working directory
+    s = build_session("local[*]", 8, app_name="sparkwright-tests",
+                      conf={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="sparkwright-wh-")})
     yield s
     s.stop()

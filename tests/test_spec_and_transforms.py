@@ -193,3 +193,29 @@ def test_table_predicate_may_use_alias(spark):
     b = build_frame(spark, {"tables": [{"name": "orders", "alias": "o", "predicate": "o_totalprice > 300000"}]},
                     resolver=R)
     assert a.count() == b.count() > 0
+
+
+def test_saved_job_file_end_to_end(spark):
+    """The form's saved-job shape: JSON-text lists, catalog tables by schema.name, '==' conditions, a
+    flat target with comma-text partitions, run as it is."""
+    import uuid
+    db = f"dw_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE DATABASE {db}")
+    for t in ("orders", "customer"):
+        spark.sql(f"CREATE TABLE {db}.{t} USING parquet LOCATION '{SF_SMALL}/{t}.parquet'")
+    saved = {
+        "tables": json.dumps([{"name": "orders", "schema": db, "alias": "o", "predicate": "o_totalprice > 100000"},
+                              {"name": "customer", "schema": db, "alias": "c", "predicate": ""}]),
+        "joins": json.dumps([{"left_table": "o", "type": "inner", "right_table": "c",
+                              "conditions": "o.o_custkey == c.c_custkey"}]),
+        "predicates": "c.c_acctbal > 0",
+        "transformations": json.dumps([{"output_column": "", "expression": "group by c.c_mktsegment"},
+                                       {"output_column": "n_orders", "expression": "count(*)"}]),
+        "output_table": "seg_orders", "output_schema": db, "write_mode": "overwrite",
+        "partition_columns": "", "partition_values": ""}
+    out = run_job(spark, saved)
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_totalprice > 100000")
+    c = spark.read.parquet(f"{SF_SMALL}/customer.parquet").filter("c_acctbal > 0")
+    want = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_orders"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert spark.catalog.tableExists(f"{db}.seg_orders")
