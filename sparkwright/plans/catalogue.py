@@ -340,6 +340,16 @@ def salted_full_join(spark, sf_dir):
                              hot_fraction=0.001)
 
 
+def salted_right_join(spark, sf_dir):
+    """A right outer join whose preserved (right) side has hot keys: the mirrored salted left join."""
+    base = sf_dir.rstrip("/")
+    c = spark.read.parquet(f"{base}/customer.parquet").filter("c_acctbal > 8000").select("c_custkey", "c_name")
+    o = (spark.read.parquet(f"{base}/orders.parquet").filter("o_totalprice > 100000")
+         .select("o_orderkey", "o_custkey", "o_totalprice"))
+    return salted_outer_join(c, o, ["c_custkey"], ["o_custkey"], "right", salts=8, salt_from=["o_orderkey"],
+                             hot_fraction=0.001)
+
+
 # ---------------------------------------------------------------------------------------------------------
 # aggregation and windows
 # ---------------------------------------------------------------------------------------------------------

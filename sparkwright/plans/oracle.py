@@ -175,6 +175,12 @@ FROM (SELECT * FROM orders WHERE o_totalprice > 100000) o
 FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 8000) c ON o.o_custkey = c.c_custkey
 """
 
+SQL["salted_right_join"] = """
+SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_custkey, o.o_totalprice
+FROM (SELECT * FROM customer WHERE c_acctbal > 8000) c
+RIGHT JOIN (SELECT * FROM orders WHERE o_totalprice > 100000) o ON c.c_custkey = o.o_custkey
+"""
+
 SQL["group_agg"] = """
 SELECT l_returnflag,
        CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_qty,
