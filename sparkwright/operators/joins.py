@@ -144,6 +144,39 @@ class Chain:
             return Chain(df, list(self.cols))
         return Chain(df, self.cols + [(right_alias, x) for x in right.columns])
 
+    def join_salted_outer(self, right: DataFrame, right_alias: str, how: str, left_keys: list[str],
+                          right_keys: list[str], salts: int = 8, salt_from: list[str] | None = None,
+                          hot_fraction: float | None = None) -> "Chain":
+        """A right or full outer join step with salted keys, by :func:`salted_outer_join`.
+
+        The union inside that decomposition drops alias qualifiers, so, as after a self join (D12), the
+        result is flattened: later text uses bare names, and a right-side name already taken becomes
+        ``alias_name``.
+        """
+        if right_alias in self.aliases:
+            raise ValueError(f"alias {right_alias!r} is already in the join chain")
+        base = self.flattened()
+        # left keys may be written alias.column: map them to the flattened names
+        mapping = dict(zip([f"{a}.{c}" if a else c for a, c in self.cols], [c for _, c in base.cols]))
+        lkeys = [mapping.get(k, k) for k in left_keys]
+        rkeys = [k.split(".", 1)[1] if k.startswith(f"{right_alias}.") else k for k in right_keys]
+        taken = {c for _, c in base.cols}
+        rnames = []
+        for c in right.columns:
+            name = c if c not in taken else f"{right_alias}_{c}"
+            while name in taken:
+                name = f"{right_alias}_{name}"
+            taken.add(name)
+            rnames.append(name)
+        r = right.toDF(*rnames)
+        rkeys = [rnames[right.columns.index(k)] for k in rkeys]
+        if how == "right":
+            sf = [rnames[right.columns.index(c)] if c in right.columns else c for c in (salt_from or [])] or None
+        else:
+            sf = [mapping.get(c, c) for c in salt_from] if salt_from else None
+        df = salted_outer_join(base.df, r, lkeys, rkeys, how, salts, sf, hot_fraction)
+        return Chain(df, [("", c) for c in df.columns])
+
     def join_band(self, right: DataFrame, right_alias: str, cond: str | Column, low: str, high: str,
                   point: str, width: float, range_side: str = "left") -> "Chain":
         """An inner join whose condition holds ``low <= point <= high`` (J8, band form); see :func:`band_keys`."""

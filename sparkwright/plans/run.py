@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.conf import apply_settings
-from ..operators.joins import Chain, fits_broadcast
+from ..operators.joins import Chain, fits_broadcast, spark_join_type
 from ..operators.transforms import apply_transformations, only_adds_columns
 from ..sources.sinks import write
 from ..sources.tables import Resolver, catalog_or_path, scan, subquery
@@ -46,7 +46,12 @@ def build_frame(spark: SparkSession, spec: dict | str | JobSpec, resolver: Resol
             chain = chain.self_join(j.left_alias, j.right_alias, j.conditions)
         else:
             right = frames[j.right_table]
-            if j.strategy == "salted":
+            if j.strategy == "salted" and j.type in ("right", "full", "right_outer", "full_outer", "outer"):
+                opts = dict(j.salt or {})
+                chain = chain.join_salted_outer(right, j.right_table, spark_join_type(j.type),
+                                                opts["left_keys"], opts["right_keys"], salts=int(opts.get("salts", 8)),
+                                                salt_from=opts.get("salt_from"), hot_fraction=opts.get("hot_fraction"))
+            elif j.strategy == "salted":
                 opts = dict(j.salt or {})
                 # the keys carry the equality; any join text is kept as further terms, never dropped
                 extra = " AND ".join(f"({t})" for t in (j.conditions, opts.get("condition")) if t and t.strip())

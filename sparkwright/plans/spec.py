@@ -112,8 +112,9 @@ def parse_spec(spec: dict | str) -> JobSpec:
             raise ValueError("a salted join needs salt.left_keys and salt.right_keys")
         if js.strategy == "salted" and kind not in ("self", "subquery") and \
                 spark_join_type(kind) in ("right", "full"):
-            raise ValueError("a salted step in a chain takes inner, left, semi or anti joins; for right and full "
-                             "joins use operators.joins.salted_outer_join")
+            if (js.conditions or "").strip() or (js.salt or {}).get("condition"):
+                raise ValueError("a salted right/full join takes key equality only (leave 'conditions' empty)")
+            # the decomposition flattens the chain: later steps use bare names (as after a self join)
         if js.strategy == "band":
             b = js.band or {}
             if not all(b.get(k) for k in ("low", "high", "point", "width")):

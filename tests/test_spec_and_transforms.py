@@ -219,3 +219,26 @@ def test_saved_job_file_end_to_end(spark):
     want = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_orders"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
     assert spark.catalog.tableExists(f"{db}.seg_orders")
+
+
+@pytest.mark.parametrize("how", ["right", "full"])
+def test_salted_outer_step_in_a_chain(spark, how):
+    spec = {"tables": [{"name": "customer", "alias": "c", "predicate": "c_acctbal > 8000"},
+                       {"name": "orders", "alias": "o", "predicate": "o_totalprice > 100000"},
+                       {"name": "nation", "alias": "n"}],
+            "joins": [{"type": how, "right_table": "o", "strategy": "salted",
+                       "salt": {"left_keys": ["c.c_custkey"], "right_keys": ["o.o_custkey"], "salts": 4,
+                                "salt_from": ["o_orderkey"] if how == "right" else ["c.c_name"],
+                                "hot_fraction": 0.01}},
+                      {"type": "left", "right_table": "n", "conditions": "c_nationkey = n.n_nationkey"}],
+            "transformations": [{"output_column": "", "expression": "group by n_name"},
+                                {"output_column": "n_orders", "expression": "count(o_orderkey)"},
+                                {"output_column": "n_rows", "expression": "count(*)"}]}
+    got = sorted(map(tuple, run_job(spark, spec, resolver=R).collect()), key=repr)
+    c = spark.read.parquet(f"{SF_SMALL}/customer.parquet").filter("c_acctbal > 8000")
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_totalprice > 100000")
+    n = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
+    j = c.join(o, c.c_custkey == o.o_custkey, how)
+    want = (j.join(n, j.c_nationkey == n.n_nationkey, "left").groupBy("n_name")
+             .agg(F.count("o_orderkey").alias("n_orders"), F.count(F.lit(1)).alias("n_rows")))
+    assert got == sorted(map(tuple, want.collect()), key=repr)
