@@ -18,7 +18,8 @@ with a third of the rows is a straggler that AQE cannot split. Here:
    bound as step 1 times ``buckets``.
 
 The supported functions are ``row_number``, the running sum (default RANGE frame), ``lag(x, 1)`` and the
-row count of a ``ROWS BETWEEN p PRECEDING AND CURRENT ROW`` frame. Results equal the plain window. Where
+row count of a ``ROWS BETWEEN p PRECEDING AND CURRENT ROW`` frame. With no partition key the whole table is
+one hot group, so a global numbering or running total also runs in ``buckets`` tasks instead of one. Results equal the plain window. Where
 the ordering has ties, any tie order that the plain window could also have produced is valid.
 """
 
@@ -81,6 +82,12 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
     """Add the ``outputs`` window columns to ``df`` (all input columns kept)."""
     if not order_by:
         raise ValueError("an ordered window needs order_by")
+    if not partition_by:
+        # a window over the whole table is one group holding every row: split it like any hot key, so the
+        # numbering runs in ``buckets`` tasks instead of one
+        out = skew_safe_window(df.withColumn("__all", F.lit(0)), ["__all"], order_by, outputs,
+                               hot_fraction, buckets, accuracy)
+        return out.drop("__all")
     for o in outputs:
         if o.func not in ("row_number", "running_sum", "lag", "rows_count"):
             raise ValueError(f"unsupported window function {o.func!r}")

@@ -57,3 +57,16 @@ def test_unsketchable_order_type_stays_exact(spark):
     want = o.withColumn("rn", F.row_number().over(
         Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_global_window_is_split(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    got = skew_safe_window(li, [], [("l_extendedprice", False), ("l_orderkey", True), ("l_linenumber", True),
+                                    ("l_partkey", True), ("l_suppkey", True)],
+                           [WinOut("row_number", "rk"), WinOut("running_sum", "run", "l_quantity")], buckets=8)
+    w = Window.orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    want = li.select("*", F.row_number().over(w).alias("rk"), F.sum("l_quantity").over(w).alias("run"))
+    key = lambda r: r.rk
+    g, x = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    assert [tuple(r)[:-1] for r in g] == [tuple(r)[:-1] for r in x]
+    assert all(abs(a.run - b.run) < 1e-6 for a, b in zip(g, x))
