@@ -34,15 +34,18 @@ def _sel(*pairs: tuple[str, str]) -> list[dict]:
 # ---------------------------------------------------------------------------------------------------------
 
 def scan_filter(spark, sf_dir):
+    """One table, a predicate pushed into the Parquet scan."""
     return _run(spark, sf_dir, {"tables": [_t("lineitem", "l", "l_quantity > 45 AND l_returnflag <> 'N'")]})
 
 
 def preview(spark, sf_dir):
+    """The first 20 rows in key order (a top-k, not a full sort)."""
     df = build_frame(spark, {"tables": [_t("orders", "o")]}, resolver=parquet_dir_resolver(sf_dir))
     return preview_rows(df, 20, order_by=["o_orderkey"])
 
 
 def project_case(spark, sf_dir):
+    """select list with a searched CASE, a string function and year()."""
     return _run(spark, sf_dir, {
         "tables": [_t("orders", "o")],
         "transformations": _sel(
@@ -55,6 +58,7 @@ def project_case(spark, sf_dir):
 
 
 def add_columns(spark, sf_dir):
+    """added columns; the second names the first."""
     return _run(spark, sf_dir, {
         "tables": [_t("lineitem", "l")],
         "transformations": [
@@ -65,6 +69,7 @@ def add_columns(spark, sf_dir):
 
 
 def scalar_string(spark, sf_dir):
+    """F8 (strings): builtin string functions by text."""
     return _run(spark, sf_dir, {
         "tables": [_t("part", "p", "p_name LIKE '%widget%'")],
         "transformations": _sel(
@@ -80,6 +85,7 @@ def scalar_string(spark, sf_dir):
 
 
 def scalar_date(spark, sf_dir):
+    """F8 (dates): builtin date functions by text on timestamp_ntz."""
     return _run(spark, sf_dir, {
         "tables": [_t("orders", "o")],
         "transformations": _sel(
@@ -96,6 +102,7 @@ def scalar_date(spark, sf_dir):
 
 
 def scalar_math(spark, sf_dir):
+    """F8 (math): abs, floor, ceil, sqrt, mod, sign, least/greatest."""
     return _run(spark, sf_dir, {
         "tables": [_t("supplier", "s")],
         "transformations": _sel(
@@ -111,6 +118,7 @@ def scalar_math(spark, sf_dir):
 
 
 def scalar_json(spark, sf_dir):
+    """F8 (JSON): a key of the events' JSON text."""
     return _run(spark, sf_dir, {
         "tables": [_t("events", "e")],
         "transformations": _sel(
@@ -121,6 +129,7 @@ def scalar_json(spark, sf_dir):
 
 
 def scalar_array(spark, sf_dir):
+    """F8 (arrays): size and items of the embedding arrays."""
     return _run(spark, sf_dir, {
         "tables": [_t("embeddings", "v")],
         "transformations": _sel(
@@ -147,10 +156,12 @@ def _inner_join_spec(strategy: str | None = None) -> dict:
 
 
 def inner_join(spark, sf_dir):
+    """Inner join on alias-qualified text ('==' accepted)."""
     return _run(spark, sf_dir, _inner_join_spec())
 
 
 def broadcast_join(spark, sf_dir):
+    """The inner join with the right side broadcast after a measured bound."""
     return _run(spark, sf_dir, _inner_join_spec("broadcast"))
 
 
@@ -167,14 +178,17 @@ def _outer_pair(kind: str) -> dict:
 
 
 def left_join(spark, sf_dir):
+    """Left outer join; the filter on orders creates misses."""
     return _run(spark, sf_dir, _outer_pair("left"))
 
 
 def right_join(spark, sf_dir):
+    """Right outer join, same pair as left_join."""
     return _run(spark, sf_dir, _outer_pair("right"))
 
 
 def full_join(spark, sf_dir):
+    """Full outer join on nation."""
     return _run(spark, sf_dir, {
         "tables": [_t("supplier", "s", "s_nationkey < 15"),
                    _t("customer", "c", "c_nationkey >= 10 AND c_acctbal > 9000")],
@@ -185,6 +199,7 @@ def full_join(spark, sf_dir):
 
 
 def self_join(spark, sf_dir):
+    """The chain joined with itself under two new aliases."""
     return _run(spark, sf_dir, {
         "tables": [_t("supplier", "s")],
         "joins": [{"type": "self", "left_alias": "l", "right_alias": "r",
@@ -195,6 +210,7 @@ def self_join(spark, sf_dir):
 
 
 def subquery_join(spark, sf_dir):
+    """Join with a grouped subquery that reads the filtered alias frame."""
     return _run(spark, sf_dir, {
         "tables": [_t("customer", "c"), _t("orders", "o")],
         "joins": [{"type": "subquery", "right_alias": "oc", "conditions": "c.c_custkey = oc.o_custkey",
@@ -205,6 +221,7 @@ def subquery_join(spark, sf_dir):
 
 
 def subquery_union(spark, sf_dir):
+    """Join with a UNION subquery."""
     return _run(spark, sf_dir, {
         "tables": [_t("customer", "c"), _t("orders", "o")],
         "joins": [{"type": "subquery", "right_alias": "u", "conditions": "c.c_custkey = u.o_custkey",
@@ -216,6 +233,7 @@ def subquery_union(spark, sf_dir):
 
 
 def subquery_rollup(spark, sf_dir):
+    """Join with a ROLLUP subquery, then group keys and aggregates."""
     return _run(spark, sf_dir, {
         "tables": [_t("customer", "c")],
         "joins": [{"type": "subquery", "right_alias": "r", "conditions": "c.c_mktsegment = r.seg",
@@ -230,6 +248,7 @@ def subquery_rollup(spark, sf_dir):
 
 
 def subquery_topk(spark, sf_dir):
+    """Join with an ORDER BY ... LIMIT 50 subquery."""
     return _run(spark, sf_dir, {
         "tables": [_t("customer", "c"), _t("orders", "o")],
         "joins": [{"type": "subquery", "right_alias": "t", "conditions": "c.c_custkey = t.o_custkey",
@@ -241,6 +260,7 @@ def subquery_topk(spark, sf_dir):
 
 
 def subquery_setops(spark, sf_dir):
+    """Join with an INTERSECT / EXCEPT subquery."""
     return _run(spark, sf_dir, {
         "tables": [_t("customer", "c"), _t("orders", "o")],
         "joins": [{"type": "subquery", "right_alias": "s", "conditions": "c.c_custkey = s.o_custkey",
@@ -262,6 +282,7 @@ def _join_chain_spec() -> dict:
 
 
 def join_chain(spark, sf_dir):
+    """Inner then left join from the first table, a global predicate, D11 flattening."""
     return _run(spark, sf_dir, _join_chain_spec())
 
 
@@ -280,14 +301,17 @@ def _semi_anti(kind: str) -> dict:
 
 
 def semi_join(spark, sf_dir):
+    """Left semi join."""
     return _run(spark, sf_dir, _semi_anti("left_semi"))
 
 
 def anti_join(spark, sf_dir):
+    """Left anti join."""
     return _run(spark, sf_dir, _semi_anti("left_anti"))
 
 
 def cross_join(spark, sf_dir):
+    """Cross join, allowed because one side is measured small."""
     return _run(spark, sf_dir, {"tables": [_t("region", "r"), _t("nation", "n")],
                                 "joins": [{"type": "cross", "right_table": "n", "conditions": ""}]})
 
@@ -307,6 +331,7 @@ def theta_join(spark, sf_dir):
 
 
 def salted_join(spark, sf_dir):
+    """Lineitem x part with every key salted 8 ways."""
     return _run(spark, sf_dir, {
         "tables": [_t("lineitem", "l"), _t("part", "p")],
         "joins": [{"type": "inner", "right_table": "p", "strategy": "salted",
@@ -319,6 +344,7 @@ def salted_join(spark, sf_dir):
 
 
 def salted_left_join(spark, sf_dir):
+    """Left join with only hot keys salted."""
     return _run(spark, sf_dir, {
         "tables": [_t("orders", "o", "o_totalprice > 100000"), _t("customer", "c", "c_acctbal > 8000")],
         "joins": [{"type": "left", "right_table": "c", "strategy": "salted",
@@ -355,6 +381,7 @@ def salted_right_join(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------------------
 
 def group_agg(spark, sf_dir):
+    """Group key with sum, avg, count, max, min."""
     return _run(spark, sf_dir, {
         "tables": [_t("lineitem", "l")],
         "transformations": [
@@ -370,6 +397,7 @@ def group_agg(spark, sf_dir):
 
 
 def group_multi(spark, sf_dir):
+    """Two group keys across a join."""
     return _run(spark, sf_dir, {
         "tables": [_t("customer", "c"), _t("nation", "n")],
         "joins": [{"type": "inner", "right_table": "n", "conditions": "c.c_nationkey = n.n_nationkey"}],
@@ -382,6 +410,7 @@ def group_multi(spark, sf_dir):
 
 
 def count_distinct(spark, sf_dir):
+    """count(distinct ...)."""
     return _run(spark, sf_dir, {
         "tables": [_t("customer", "c")],
         "transformations": [
@@ -393,6 +422,7 @@ def count_distinct(spark, sf_dir):
 
 
 def conditional_agg(spark, sf_dir):
+    """Expressions inside and around aggregates."""
     return _run(spark, sf_dir, {
         "tables": [_t("customer", "c")],
         "transformations": [
@@ -408,6 +438,7 @@ def conditional_agg(spark, sf_dir):
 
 
 def global_agg(spark, sf_dir):
+    """Aggregates without a key."""
     return _run(spark, sf_dir, {
         "tables": [_t("lineitem", "l")],
         "transformations": [
@@ -419,6 +450,7 @@ def global_agg(spark, sf_dir):
 
 
 def window_rank(spark, sf_dir):
+    """Ranking window as an added column."""
     return _run(spark, sf_dir, {
         "tables": [_t("orders", "o")],
         "transformations": [{"output_column": "price_rank", "expression":
@@ -428,6 +460,7 @@ def window_rank(spark, sf_dir):
 
 
 def window_sum(spark, sf_dir):
+    """Aggregate window standing alone (added column)."""
     return _run(spark, sf_dir, {
         "tables": [_t("orders", "o")],
         "transformations": [{"output_column": "running_total", "expression":
@@ -437,6 +470,7 @@ def window_sum(spark, sf_dir):
 
 
 def window_frame(spark, sf_dir):
+    """Lag and a ROWS frame."""
     return _run(spark, sf_dir, {
         "tables": [_t("events", "e")],
         "transformations": [
@@ -453,6 +487,7 @@ def window_frame(spark, sf_dir):
 # scale no key is large, so the hot share is set low enough that many keys take the split path.
 
 def window_rank_hot(spark, sf_dir):
+    """W1 with hot partition keys split into ordered buckets."""
     return _run(spark, sf_dir, {
         "tables": [_t("orders", "o")],
         "transformations": [{"output_column": "price_rank", "expression":
@@ -465,6 +500,7 @@ def window_rank_hot(spark, sf_dir):
 
 
 def window_sum_hot(spark, sf_dir):
+    """W2 with hot partition keys split into ordered buckets."""
     return _run(spark, sf_dir, {
         "tables": [_t("orders", "o")],
         "transformations": [{"output_column": "running_total", "expression":
@@ -478,6 +514,7 @@ def window_sum_hot(spark, sf_dir):
 
 
 def window_frame_hot(spark, sf_dir):
+    """W3 with hot partition keys split into ordered buckets."""
     safe = {"partition_by": ["user_id"], "order_by": [["ts", "asc"], ["event_id", "asc"]], "hot_fraction": 0.005}
     return _run(spark, sf_dir, {
         "tables": [_t("events", "e")],
@@ -498,6 +535,7 @@ def window_frame_hot(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------------------
 
 def spec_agg(spark, sf_dir):
+    """The join chain with group keys and aggregates."""
     spec = _join_chain_spec()
     spec["transformations"] = [
         {"output_column": "", "expression": "group by c.c_nationkey, o.o_orderpriority"},
@@ -510,6 +548,7 @@ def spec_agg(spark, sf_dir):
 
 
 def spec_select(spark, sf_dir):
+    """The join chain with a select list."""
     spec = _join_chain_spec()
     spec["transformations"] = _sel(
         ("c_name", "c.c_name"), ("o_orderkey", "o.o_orderkey"), ("l_linenumber", "l.l_linenumber"),

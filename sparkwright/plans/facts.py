@@ -33,6 +33,7 @@ FACT_DDL = ("FK_Order_Id BIGINT, FK_Product_Id BIGINT, FK_Customer_Id BIGINT, FK
 
 
 def fact_sales_spec() -> dict:
+    """The fact load as a job spec (P2): five joins, twelve outputs, lateral aliases, CASE."""
     # Dimension-first chain: orders joins customer (a shuffle of orders, not of the fact) and the
     # broadcast date dimension before the fact arrives. The fact is then shuffled twice (order key, part
     # key) instead of three times. All joins are inner, so the order does not change the result.
@@ -78,6 +79,7 @@ def fact_sales_spec() -> dict:
 
 
 def fact_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact rows, not written."""
     return run_job(spark, fact_sales_spec(), resolver=parquet_dir_resolver(sf_dir))
 
 

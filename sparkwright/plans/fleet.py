@@ -46,6 +46,7 @@ def derived_job_tables(lineitem: DataFrame, skew_safe: bool = False) -> DataFram
 
 
 def derived_jobs(lineitem: DataFrame, padded: bool = False) -> DataFrame:
+    """One job per order: line count (or 1 + key % 8 when padded) and the flag rules above."""
     k = F.col("job_id")
     base = lineitem.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.count(F.lit(1)).alias("n_lines"))
     n = (1 + k % 8) if padded else F.col("n_lines")
@@ -67,6 +68,7 @@ def _recommend(spark: SparkSession, sf_dir: str, padded: bool) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------------
 
 def job_features(spark, sf_dir):
+    """K2: list statistics as given, per derived job."""
     li = _lineitem(spark, sf_dir)
     f = J.job_features(derived_jobs(li), derived_job_tables(li))
     return f.select("job_id", "num_tables", "k_size", "total_size", "avg_size", "max_size",
@@ -75,18 +77,21 @@ def job_features(spark, sf_dir):
 
 
 def job_scores(spark, sf_dir):
+    """K3: the four rule scores per derived job."""
     li = _lineitem(spark, sf_dir)
     c = J.classify_jobs(derived_jobs(li), derived_job_tables(li))
     return c.select("job_id", "score_general", "score_ml", "score_streaming", "score_caching")
 
 
 def workload_type(spark, sf_dir):
+    """K4: the computed workload type per derived job."""
     li = _lineitem(spark, sf_dir)
     c = J.classify_jobs(derived_jobs(li), derived_job_tables(li))
     return c.select("job_id", F.col("computed_type").alias("workload_type"))
 
 
 def job_sizing(spark, sf_dir):
+    """Cores, instance family, workers and autoscale bounds per derived job."""
     r = _recommend(spark, sf_dir, padded=False)
     return r.select("job_id", "sizing_type", "padded_total_size", "cores", "instance_type", "instance_cores",
                     "instance_memory_gb", "workers", "min_instances", "max_instances", "scale_out_step",
@@ -94,25 +99,30 @@ def job_sizing(spark, sf_dir):
 
 
 def fleet_summary(spark, sf_dir):
+    """Jobs and cores per sizing type."""
     return J.fleet_summary(_recommend(spark, sf_dir, padded=False))
 
 
 def job_padded_size(spark, sf_dir):
+    """K5: lists padded (whole list repeated) or cut to num_tables."""
     r = _recommend(spark, sf_dir, padded=True)
     return r.select("job_id", "num_tables", "k_size", "padded_total_size", "padded_max_join", "padded_max_xf",
                     "padded_max_skew", "cores")
 
 
 def job_spot_split(spark, sf_dir):
+    """K9: spot percentage and the spot / on-demand split."""
     r = _recommend(spark, sf_dir, padded=True)
     return r.select("job_id", "use_spot", "sla", "workers", "spot_pct", "spot_workers", "on_demand_workers")
 
 
 def job_spark_conf(spark, sf_dir):
+    """The eight settings, one row per (job, setting)."""
     return J.conf_rows(_recommend(spark, sf_dir, padded=True))
 
 
 def job_advice(spark, sf_dir):
+    """The advice lines in order, joined by newlines."""
     r = _recommend(spark, sf_dir, padded=True)
     return r.select("job_id", F.size("advice").cast("int").alias("n_advice"),
                     F.concat_ws("\n", "advice").alias("advice_text"))
@@ -133,6 +143,7 @@ def list_texts(lineitem: DataFrame) -> DataFrame:
 
 
 def job_list_parse(spark, sf_dir):
+    """K1: comma text parsed to numbers; any bad item gives the default list."""
     t = spread_if_narrow(list_texts(_lineitem(spark, sf_dir)))
     arr = J.parse_number_list(F.col("list_text"))
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -162,6 +173,7 @@ def order_descriptors(orders: DataFrame) -> DataFrame:
 
 
 def job_text_recommend(spark, sf_dir):
+    """K1-K12 from descriptors in the form's text shape, one per order."""
     orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
     r = J.recommend_from_text(order_descriptors(orders))
     return r.select("job_id", "status", F.col("computed_type").alias("computed_type"), "sizing_type",
@@ -171,6 +183,7 @@ def job_text_recommend(spark, sf_dir):
 
 
 def key_skew_profile(spark, sf_dir):
+    """Rows, keys, largest key and a 1-10 skew score per profiled column."""
     li = _lineitem(spark, sf_dir)
     return _profile(li, ["l_suppkey", "l_partkey", "l_orderkey"], table_name="lineitem")
 
