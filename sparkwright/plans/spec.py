@@ -149,7 +149,7 @@ def parse_spec(spec: dict | str) -> JobSpec:
         parts = [(p["column"], p.get("value")) for p in (tgt.get("partitions") or [])]
         target = Target(table=tgt["table"], schema=tgt.get("schema") or None, path=tgt.get("path"), mode=mode,
                         partitions=parts, replace_partitions=bool(tgt.get("replace_partitions")),
-                        columns=tgt.get("columns"), format=tgt.get("format"))
+                        columns=tgt.get("columns"), format=tgt.get("format"), rebalance=tgt.get("rebalance"))
 
     settings = spec.get("settings") or []
     if isinstance(settings, str):

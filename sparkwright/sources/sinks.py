@@ -27,6 +27,8 @@ class Target:
     replace_partitions: bool = False   # S9: overwrite only the partitions being written
     columns: list[str] | None = None   # S10: insert into these target columns, by name
     format: str | None = None          # None: the session's default source (spark.sql.sources.default)
+    # REBALANCE on the dynamic partition columns before writing; None = only when there are dynamic ones
+    rebalance: bool | None = None
 
     @property
     def qualified(self) -> str:
@@ -59,6 +61,11 @@ def write(df: DataFrame, target: Target) -> str:
         raise ValueError(f"write mode must be one of {WRITE_MODES}, not {target.mode!r}")
     df = with_static_partitions(df, target.partitions)
     part_cols = [c for c, _ in target.partitions]
+    dynamic = [c for c, v in target.partitions if v is None]
+    if target.rebalance or (target.rebalance is None and dynamic):
+        # without this, every task writes one file per partition value it holds (tasks x values files);
+        # REBALANCE lets AQE size the write tasks, splitting a skewed value and coalescing small ones
+        df = df.hint("rebalance", *dynamic)
     name = target.qualified
     if target.schema:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{target.schema}`")

@@ -194,3 +194,16 @@ def test_salted_outer_join_equals_plain(spark, how, hot):
                                salt_from=["v"] if how == "full" else ["w"], hot_fraction=hot)
     assert salted.columns == plain.columns
     assert _rows(salted) == _rows(plain)
+
+
+def test_dynamic_partition_write_writes_few_files(spark):
+    import glob
+    name, path = fresh_table_name("t_files"), fresh_location(spark, "t_files")
+    spec = {"tables": [{"name": "lineitem", "alias": "l"}],
+            "target": {"table": name, "path": path, "mode": "overwrite",
+                       "partitions": [{"column": "l_returnflag", "value": None}]}}
+    out = run_job(spark, spec, resolver=R)
+    assert out.count() == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    files = glob.glob(f"{path}/l_returnflag=*/*.parquet")
+    # one file per flag value here (the data is small), not one per task and value
+    assert len(files) == len({r.l_returnflag for r in out.select("l_returnflag").distinct().collect()})
