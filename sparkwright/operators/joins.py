@@ -146,7 +146,7 @@ class Chain:
 
     def join_salted_outer(self, right: DataFrame, right_alias: str, how: str, left_keys: list[str],
                           right_keys: list[str], salts: int = 8, salt_from: list[str] | None = None,
-                          hot_fraction: float | None = None) -> "Chain":
+                          hot_fraction: float | None = None, skewed_side: str = "left") -> "Chain":
         """A right or full outer join step with salted keys, by :func:`salted_outer_join`.
 
         The union inside that decomposition drops alias qualifiers, so, as after a self join (D12), the
@@ -156,10 +156,9 @@ class Chain:
         if right_alias in self.aliases:
             raise ValueError(f"alias {right_alias!r} is already in the join chain")
         base = self.flattened()
-        # left keys may be written alias.column: map them to the flattened names
+        # left names may be written alias.column: map them to the flattened names
         mapping = dict(zip([f"{a}.{c}" if a else c for a, c in self.cols], [c for _, c in base.cols]))
-        lkeys = [mapping.get(k, k) for k in left_keys]
-        rkeys = [k.split(".", 1)[1] if k.startswith(f"{right_alias}.") else k for k in right_keys]
+        unq = lambda k: k.split(".", 1)[1] if k.startswith(f"{right_alias}.") else k
         taken = {c for _, c in base.cols}
         rnames = []
         for c in right.columns:
@@ -169,12 +168,15 @@ class Chain:
             taken.add(name)
             rnames.append(name)
         r = right.toDF(*rnames)
-        rkeys = [rnames[right.columns.index(k)] for k in rkeys]
-        if how == "right":
-            sf = [rnames[right.columns.index(c)] if c in right.columns else c for c in (salt_from or [])] or None
+        lkeys = [mapping.get(k, k) for k in left_keys]
+        rkeys = [rnames[right.columns.index(unq(k))] for k in right_keys]
+        if salt_from and skewed_side == "right":
+            sf = [rnames[right.columns.index(unq(c))] for c in salt_from]
+        elif salt_from:
+            sf = [mapping.get(c, c) for c in salt_from]
         else:
-            sf = [mapping.get(c, c) for c in salt_from] if salt_from else None
-        df = salted_outer_join(base.df, r, lkeys, rkeys, how, salts, sf, hot_fraction)
+            sf = None
+        df = salted_outer_join(base.df, r, lkeys, rkeys, how, salts, sf, hot_fraction, skewed_side)
         return Chain(df, [("", c) for c in df.columns])
 
     def join_band(self, right: DataFrame, right_alias: str, cond: str | Column, low: str, high: str,
@@ -427,25 +429,56 @@ def salted_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
     return out.select(*keep)
 
 
+def salted_left_join_right_skew(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
+                                salts: int = 8, salt_from: list[str] | None = None,
+                                hot_fraction: float = 0.001) -> DataFrame:
+    """``left LEFT JOIN right`` on key equality with keys that are hot on the *right* side: left columns,
+    then right columns (by position; names may repeat)."""
+    rn = [f"__r{i}" for i in range(len(right.columns))]
+    r = right.toDF(*rn)
+    rk = [rn[right.columns.index(k)] for k in right_keys]
+    sf = [rn[right.columns.index(c)] for c in salt_from] if salt_from else None
+    ln = [f"__l{i}" for i in range(len(left.columns))]
+    lft = left.toDF(*ln)
+    lk = [ln[left.columns.index(k)] for k in left_keys]
+    left_s, right_s = add_salt_columns_right_skew(lft, r, lk, rk, salts, sf, hot_fraction)
+    terms = [F.col(a) == F.col(b) for a, b in zip(lk, rk)] + [F.col("__lsalt") == F.col("__rsalt")]
+    df = left_s.join(right_s, _and(terms), "left").filter(~(F.col("__lhot") & F.col("__rmark").isNull()))
+    return df.select(*[F.col(c).alias(o) for c, o in zip(ln, left.columns)],
+                     *[F.col(c).alias(o) for c, o in zip(rn, right.columns)])
+
+
+def _salted_left(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], salts: int,
+                 salt_from: list[str] | None, hot_fraction: float | None, skewed_side: str) -> DataFrame:
+    if skewed_side == "right":
+        return salted_left_join_right_skew(left, right, left_keys, right_keys, salts, salt_from,
+                                           hot_fraction if hot_fraction is not None else 0.001)
+    return salted_join(left, right, left_keys, right_keys, "left", salts, salt_from, hot_fraction)
+
+
 def salted_outer_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
                       how: str = "full", salts: int = 8, salt_from: list[str] | None = None,
-                      hot_fraction: float | None = None) -> DataFrame:
+                      hot_fraction: float | None = None, skewed_side: str = "left") -> DataFrame:
     """Right and full outer equi-joins with salted hot keys, exactly.
 
     A salted join cannot be an outer join on the replicated side (each replica would be null-extended), so
     these are decomposed:
 
     * right: the left join with the sides swapped, columns put back in left-then-right order.
-    * full: the salted left join (every left row, matched or null-extended), plus the right rows whose key
-      has no partner on the left. That second part is an anti join against the *distinct* left keys, whose
+    * full: a left join (every left row, matched or null-extended), plus the right rows whose key has no
+      partner on the left. That second part is an anti join against the *distinct* left keys, whose
       partial aggregation removes any hot key before the shuffle, with the left columns null.
 
-    ``salt_from`` names columns of the side whose keys are salted (the left side for ``full``, the right
-    side for ``right``).
+    ``skewed_side`` names the side whose keys are hot (``salt_from`` names columns of that side). The left
+    join inside is salted for exactly that side.
     """
     how = spark_join_type(how)
+    if skewed_side not in ("left", "right"):
+        raise ValueError("skewed_side must be 'left' or 'right'")
     if how == "right":
-        swapped = salted_join(right, left, right_keys, left_keys, "left", salts, salt_from, hot_fraction)
+        # swapped: right LEFT JOIN left, so the hot side's role flips
+        flipped = "right" if skewed_side == "left" else "left"
+        swapped = _salted_left(right, left, right_keys, left_keys, salts, salt_from, hot_fraction, flipped)
         # positions, not names: the two sides may share column names
         nr = len(right.columns)
         tmp = swapped.toDF(*[f"__c{i}" for i in range(len(swapped.columns))])
@@ -453,7 +486,7 @@ def salted_outer_join(left: DataFrame, right: DataFrame, left_keys: list[str], r
                           *[F.col(f"__c{i}").alias(c) for i, c in enumerate(right.columns)])
     if how != "full":
         raise ValueError("salted_outer_join handles right and full joins; use salted_join for the others")
-    matched = salted_join(left, right, left_keys, right_keys, "left", salts, salt_from, hot_fraction)
+    matched = _salted_left(left, right, left_keys, right_keys, salts, salt_from, hot_fraction, skewed_side)
     keys = left.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(left_keys)]).distinct()
     on = _and([F.col(rk) == F.col(f"__k{i}") for i, rk in enumerate(right_keys)])
     right_only = right.join(keys, on, "left_anti")

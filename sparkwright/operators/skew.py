@@ -33,3 +33,36 @@ def profile_one(df: DataFrame, key: str, table_name: str) -> DataFrame:
 def key_skew_profile(df: DataFrame, keys: list[str], table_name: str = "") -> DataFrame:
     """One row per profiled key column."""
     return reduce(DataFrame.unionByName, [profile_one(df, k, table_name) for k in keys])
+
+
+def hot_key_count(df: DataFrame, keys: list[str], hot_fraction: float) -> int:
+    """How many key values hold more than ``hot_fraction`` of the rows (at most ``1/hot_fraction``)."""
+    total = df.count()
+    threshold = max(1, int(total * hot_fraction))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > threshold).count()
+
+
+def join_advice(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
+                how: str = "inner", hot_fraction: float = 0.01, salts: int = 16,
+                max_broadcast_rows: int = 2_000_000, max_broadcast_bytes: int = 256 << 20) -> dict:
+    """The join-step settings a spec should carry for this join, measured rather than guessed.
+
+    In order: a right side proven small is broadcast (for join types that can build on the right). Then
+    hot keys are looked for on the side AQE cannot split for this join type: the right side of left, semi
+    and anti joins, the left side of right joins, and both sides of full joins. Inner joins are left to AQE's
+    skew-join splitting. Returns ``{}`` when the plain join is fine.
+    """
+    from .joins import fits_broadcast, spark_join_type
+
+    how = spark_join_type(how)
+    if how in ("inner", "left", "left_semi", "left_anti") and \
+            fits_broadcast(right, max_broadcast_rows, max_broadcast_bytes):
+        return {"strategy": "broadcast"}
+    salt = {"left_keys": left_keys, "right_keys": right_keys, "salts": salts, "hot_fraction": hot_fraction}
+    if how in ("left", "left_semi", "left_anti") and hot_key_count(right, right_keys, hot_fraction):
+        return {"strategy": "salted", "conditions": "", "salt": {**salt, "skewed_side": "right"}}
+    if how in ("right", "full") and hot_key_count(left, left_keys, hot_fraction):
+        return {"strategy": "salted", "conditions": "", "salt": {**salt, "skewed_side": "left"}}
+    if how == "full" and hot_key_count(right, right_keys, hot_fraction):
+        return {"strategy": "salted", "conditions": "", "salt": {**salt, "skewed_side": "right"}}
+    return {}

@@ -367,13 +367,14 @@ def salted_full_join(spark, sf_dir):
 
 
 def salted_right_join(spark, sf_dir):
-    """A right outer join whose preserved (right) side has hot keys: the mirrored salted left join."""
+    """J3 + J13: a right outer join whose non-preserved (left) side has the hot keys, which AQE cannot
+    split. The hot order keys are salted, their customer rows replicated, exactly."""
     base = sf_dir.rstrip("/")
-    c = spark.read.parquet(f"{base}/customer.parquet").filter("c_acctbal > 8000").select("c_custkey", "c_name")
     o = (spark.read.parquet(f"{base}/orders.parquet").filter("o_totalprice > 100000")
          .select("o_orderkey", "o_custkey", "o_totalprice"))
-    return salted_outer_join(c, o, ["c_custkey"], ["o_custkey"], "right", salts=8, salt_from=["o_orderkey"],
-                             hot_fraction=0.001)
+    c = spark.read.parquet(f"{base}/customer.parquet").filter("c_acctbal > 8000").select("c_custkey", "c_name")
+    return salted_outer_join(o, c, ["o_custkey"], ["c_custkey"], "right", salts=8, salt_from=["o_orderkey"],
+                             hot_fraction=0.001, skewed_side="left")
 
 
 # ---------------------------------------------------------------------------------------------------------

@@ -176,9 +176,9 @@ FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 8000) c ON o.o_custkey = c.c
 """
 
 SQL["salted_right_join"] = """
-SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_custkey, o.o_totalprice
-FROM (SELECT * FROM customer WHERE c_acctbal > 8000) c
-RIGHT JOIN (SELECT * FROM orders WHERE o_totalprice > 100000) o ON c.c_custkey = o.o_custkey
+SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, c.c_custkey, c.c_name
+FROM (SELECT * FROM orders WHERE o_totalprice > 100000) o
+RIGHT JOIN (SELECT * FROM customer WHERE c_acctbal > 8000) c ON o.o_custkey = c.c_custkey
 """
 
 SQL["group_agg"] = """

@@ -50,7 +50,8 @@ def build_frame(spark: SparkSession, spec: dict | str | JobSpec, resolver: Resol
                 opts = dict(j.salt or {})
                 chain = chain.join_salted_outer(right, j.right_table, spark_join_type(j.type),
                                                 opts["left_keys"], opts["right_keys"], salts=int(opts.get("salts", 8)),
-                                                salt_from=opts.get("salt_from"), hot_fraction=opts.get("hot_fraction"))
+                                                salt_from=opts.get("salt_from"), hot_fraction=opts.get("hot_fraction"),
+                                                skewed_side=opts.get("skewed_side", "left"))
             elif j.strategy == "salted":
                 opts = dict(j.salt or {})
                 # the keys carry the equality; any join text is kept as further terms, never dropped

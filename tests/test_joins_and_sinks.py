@@ -181,7 +181,8 @@ def test_target_schema_is_created(spark):
 
 @pytest.mark.parametrize("how", ["right", "full"])
 @pytest.mark.parametrize("hot", [None, 0.05])
-def test_salted_outer_join_equals_plain(spark, how, hot):
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_salted_outer_join_equals_plain(spark, how, hot, side):
     from sparkwright.operators.joins import salted_outer_join
     # key 3 holds half of the left rows; both sides have keys without partners, and null keys
     left = spark.range(0, 2000).select(
@@ -189,9 +190,13 @@ def test_salted_outer_join_equals_plain(spark, how, hot):
         .otherwise(F.col("id") % 30).alias("k"), F.col("id").alias("v"))
     right = spark.range(0, 60).select(F.when(F.col("id") == 59, F.lit(None)).otherwise(F.col("id") % 45)
                                       .alias("k"), (F.col("id") * 10).alias("w"))
+    if side == "right":  # make the right side the hot one
+        left, right = right.withColumnRenamed("w", "v"), left.withColumnRenamed("v", "w")
+    if hot is None and side == "right":
+        hot = 0.05  # the right-hot form always salts only the hot keys
     plain = left.join(right, left.k == right.k, how)
     salted = salted_outer_join(left, right, ["k"], ["k"], how, salts=5,
-                               salt_from=["v"] if how == "full" else ["w"], hot_fraction=hot)
+                               salt_from=["v"] if side == "left" else ["w"], hot_fraction=hot, skewed_side=side)
     assert salted.columns == plain.columns
     assert _rows(salted) == _rows(plain)
 
@@ -207,3 +212,17 @@ def test_dynamic_partition_write_writes_few_files(spark):
     files = glob.glob(f"{path}/l_returnflag=*/*.parquet")
     # one file per flag value here (the data is small), not one per task and value
     assert len(files) == len({r.l_returnflag for r in out.select("l_returnflag").distinct().collect()})
+
+
+def test_join_advice(spark):
+    from sparkwright.operators.skew import join_advice
+    small = spark.range(0, 50).select(F.col("id").alias("k2"))
+    big_hot = spark.range(0, 5000).select(F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id"))
+                                          .alias("k2"), F.col("id").alias("v"))
+    left = spark.range(0, 200).select(F.col("id").alias("k"))
+    assert join_advice(left, small, ["k"], ["k2"], "left")["strategy"] == "broadcast"
+    a = join_advice(left, big_hot, ["k"], ["k2"], "left", max_broadcast_rows=100)
+    assert a["strategy"] == "salted" and a["salt"]["skewed_side"] == "right"
+    assert join_advice(left, big_hot, ["k"], ["k2"], "inner", max_broadcast_rows=100) == {}
+    assert join_advice(big_hot.withColumnRenamed("k2", "k"), left.withColumnRenamed("k", "k2"), ["k"], ["k2"],
+                       "full")["strategy"] == "salted"

@@ -228,7 +228,7 @@ def test_salted_outer_step_in_a_chain(spark, how):
                        {"name": "nation", "alias": "n"}],
             "joins": [{"type": how, "right_table": "o", "strategy": "salted",
                        "salt": {"left_keys": ["c.c_custkey"], "right_keys": ["o.o_custkey"], "salts": 4,
-                                "salt_from": ["o_orderkey"] if how == "right" else ["c.c_name"],
+                                "salt_from": ["c.c_name"],
                                 "hot_fraction": 0.01}},
                       {"type": "left", "right_table": "n", "conditions": "c_nationkey = n.n_nationkey"}],
             "transformations": [{"output_column": "", "expression": "group by n_name"},
