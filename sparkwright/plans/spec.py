@@ -110,6 +110,8 @@ def parse_spec(spec: dict | str) -> JobSpec:
             raise ValueError(f"unknown join strategy {js.strategy!r}")
         if js.strategy == "salted" and not (js.salt and js.salt.get("left_keys") and js.salt.get("right_keys")):
             raise ValueError("a salted join needs salt.left_keys and salt.right_keys")
+        if js.strategy == "salted" and js.salt.get("skewed_side", "left") not in ("left", "right"):
+            raise ValueError("salt.skewed_side must be 'left' or 'right'")
         if js.strategy == "salted" and kind not in ("self", "subquery") and \
                 spark_join_type(kind) in ("right", "full"):
             if (js.conditions or "").strip() or (js.salt or {}).get("condition"):

@@ -61,3 +61,17 @@ def test_band_join_equals_condition_join(spark, ranges, points, width):
     got = band_join(a, b, cond, "__bl.lo", "__bl.hi", "__br.p", width)
     want = a.alias("x").join(b.alias("y"), F.expr("y.p BETWEEN x.lo AND x.hi"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@SETTINGS
+@given(rows, st.lists(st.tuples(st.integers(0, 8), st.integers(0, 50)), min_size=0, max_size=30),
+       st.sampled_from(["right", "full"]), st.sampled_from(["left", "right"]), st.integers(1, 6))
+def test_salted_outer_join_equals_plain_join(spark, left_rows, right_rows, how, side, salts):
+    from sparkwright.operators.joins import salted_outer_join
+    left = spark.createDataFrame([(0 if v % 3 == 0 else k, v) for k, v in left_rows], "k int, v int")
+    right = spark.createDataFrame(right_rows, "k2 int, w int")
+    plain = left.join(right, left.k == right.k2, how)
+    got = salted_outer_join(left, right, ["k"], ["k2"], how, salts=salts,
+                            salt_from=["v"] if side == "left" else ["w"], hot_fraction=0.2, skewed_side=side)
+    key = lambda t: tuple((x is None, repr(x)) for x in t)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
