@@ -7,7 +7,9 @@
   key-skew profiling and cached branches.
 """
 
-from .plans.run import build_frame, run_job  # noqa: F401
-from .session import build_session, shared_dir  # noqa: F401
+from .plans.run import build_frame, run_job
+from .session import build_session, shared_dir
+
+__all__ = ["build_frame", "build_session", "run_job", "shared_dir"]
 
 __version__ = "0.1.0"

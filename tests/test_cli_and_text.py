@@ -4,7 +4,6 @@ import json
 import subprocess
 import sys
 
-from pyspark.sql import Row
 
 from sparkwright.functions import jobs as J
 from sparkwright.operators.partitioning import spread_if_narrow
