@@ -199,13 +199,15 @@ def full_join(spark, sf_dir):
 
 
 def self_join(spark, sf_dir):
-    """The chain joined with itself under two new aliases."""
+    """The chain joined with itself under two new aliases. Each supplier meets the supplier with
+    the next key (one partner at most), not every supplier of its nation, so a large nation cannot turn
+    into all of its pairs."""
     return _run(spark, sf_dir, {
         "tables": [_t("supplier", "s")],
         "joins": [{"type": "self", "left_alias": "l", "right_alias": "r",
-                   "conditions": "l.s_nationkey = r.s_nationkey AND l.s_suppkey < r.s_suppkey"}],
+                   "conditions": "r.s_suppkey = l.s_suppkey + 1"}],
         "transformations": _sel(("left_key", "l.s_suppkey"), ("right_key", "r.s_suppkey"),
-                                ("nation", "l.s_nationkey")),
+                                ("same_nation", "l.s_nationkey = r.s_nationkey")),
     })
 
 
@@ -233,17 +235,14 @@ def subquery_union(spark, sf_dir):
 
 
 def subquery_rollup(spark, sf_dir):
-    """Join with a ROLLUP subquery, then group keys and aggregates."""
+    """A ROLLUP subquery over customer, joined to the nation dimension. Customer is read only by the
+    (partially aggregated) rollup; the join pairs each nation with its few rollup rows."""
     return _run(spark, sf_dir, {
-        "tables": [_t("customer", "c")],
-        "joins": [{"type": "subquery", "right_alias": "r", "conditions": "c.c_mktsegment = r.seg",
+        "tables": [_t("nation", "n"), _t("customer", "c")],
+        "joins": [{"type": "subquery", "right_alias": "r", "conditions": "n.n_nationkey = r.nat",
                    "subquery": "SELECT c_mktsegment AS seg, c_nationkey AS nat, count(*) AS n "
                                "FROM {c} GROUP BY ROLLUP (c_mktsegment, c_nationkey)"}],
-        "transformations": [
-            {"output_column": "", "expression": "group by r.seg, r.nat"},
-            {"output_column": "n", "expression": "max(r.n)"},
-            {"output_column": "n_seg_customers", "expression": "count(*)"},
-        ],
+        "transformations": _sel(("n_name", "n.n_name"), ("seg", "r.seg"), ("nat", "r.nat"), ("n", "r.n")),
     })
 
 

@@ -91,8 +91,8 @@ FULL JOIN (SELECT * FROM customer WHERE c_nationkey >= 10 AND c_acctbal > 9000)
 """
 
 SQL["self_join"] = """
-SELECT l.s_suppkey AS left_key, r.s_suppkey AS right_key, l.s_nationkey AS nation
-FROM supplier l JOIN supplier r ON l.s_nationkey = r.s_nationkey AND l.s_suppkey < r.s_suppkey
+SELECT l.s_suppkey AS left_key, r.s_suppkey AS right_key, l.s_nationkey = r.s_nationkey AS same_nation
+FROM supplier l JOIN supplier r ON r.s_suppkey = l.s_suppkey + 1
 """
 
 SQL["subquery_join"] = """
@@ -109,11 +109,10 @@ FROM customer c JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalpric
 """
 
 SQL["subquery_rollup"] = """
-SELECT r.seg, r.nat, max(r.n) AS n, count(*) AS n_seg_customers
-FROM customer c JOIN (SELECT c_mktsegment AS seg, c_nationkey AS nat, count(*) AS n
-                      FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)) r
-  ON c.c_mktsegment = r.seg
-GROUP BY r.seg, r.nat
+SELECT n.n_name, r.seg, r.nat, r.n
+FROM nation n JOIN (SELECT c_mktsegment AS seg, c_nationkey AS nat, count(*) AS n
+                    FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)) r
+  ON n.n_nationkey = r.nat
 """
 
 SQL["subquery_topk"] = """

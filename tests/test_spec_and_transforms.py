@@ -126,13 +126,14 @@ def test_self_join_after_chain(spark):
         "tables": [{"name": "supplier", "alias": "s"}, {"name": "nation", "alias": "n"}],
         "joins": [{"type": "inner", "right_table": "n", "conditions": "s.s_nationkey = n.n_nationkey"},
                   {"type": "self", "left_alias": "x", "right_alias": "y",
-                   "conditions": "x.n_regionkey = y.n_regionkey AND x.s_suppkey < y.s_suppkey"}],
+                   "conditions": "x.n_regionkey = y.n_regionkey AND y.s_suppkey = x.s_suppkey + 1"}],
         "transformations": [{"output_column": "a", "expression": "x.s_suppkey"},
                             {"output_column": "b", "expression": "y.s_suppkey"}]}, resolver=R)
     s = spark.read.parquet(f"{SF_SMALL}/supplier.parquet")
     n = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
     sn = s.join(n, s.s_nationkey == n.n_nationkey)
-    expect = sn.alias("x").join(sn.alias("y"), F.expr("x.n_regionkey = y.n_regionkey AND x.s_suppkey < y.s_suppkey"))
+    expect = sn.alias("x").join(sn.alias("y"),
+                                F.expr("x.n_regionkey = y.n_regionkey AND y.s_suppkey = x.s_suppkey + 1"))
     assert df.count() == expect.count()
 
 
