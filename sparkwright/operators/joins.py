@@ -1,9 +1,15 @@
 """Join operators (J1-J13) and the column bookkeeping a chain of aliased joins needs.
 
-All joins take the condition as SQL text and go through ``F.expr``, never as a USING column name.
-Physical strategy (broadcast hash, shuffled hash, sort-merge) is left to Catalyst and AQE, except for the two
-remedies: :func:`broadcast_join` (forced broadcast, but only behind a size check) and :func:`salted_join`
-(hot keys spread over several tasks).
+All join conditions are SQL text through ``F.expr``, never a USING column name. The physical strategy
+(broadcast hash, shuffled hash, sort-merge) is Catalyst's and AQE's, except where a remedy chooses it:
+
+* ``Chain``: the left-deep chain of a job spec, with (alias, column) origins, flattening, self joins, and
+  the salted, band and outer-salted steps.
+* ``join``: one step. A join without a condition runs only against a measured small side.
+* band form (J8): a ``BETWEEN`` condition as an equi-join on value buckets.
+* ``measure`` / ``fits_broadcast`` / ``broadcast_join`` (J12): broadcast only behind a measured bound.
+* salting (J13): ``salted_join`` for keys hot on the left, ``add_salt_columns_right_skew`` for keys hot on
+  the right, and ``salted_outer_join`` for right and full joins by exact decomposition.
 """
 
 from __future__ import annotations
