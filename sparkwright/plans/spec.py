@@ -108,6 +108,10 @@ def parse_spec(spec: dict | str) -> JobSpec:
             chain.append(js.right_table)
         if js.strategy not in (None, "broadcast", "salted", "band"):
             raise ValueError(f"unknown join strategy {js.strategy!r}")
+        if kind == "self" and js.strategy:
+            raise ValueError("a self join takes no strategy")
+        if kind == "subquery" and js.strategy not in (None, "broadcast"):
+            raise ValueError("a subquery join takes only the broadcast strategy")
         if js.strategy == "salted" and not (js.salt and js.salt.get("left_keys") and js.salt.get("right_keys")):
             raise ValueError("a salted join needs salt.left_keys and salt.right_keys")
         if js.strategy == "salted" and js.salt.get("skewed_side", "left") not in ("left", "right"):

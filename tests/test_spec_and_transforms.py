@@ -243,3 +243,13 @@ def test_salted_outer_step_in_a_chain(spark, how):
     want = (j.join(n, j.c_nationkey == n.n_nationkey, "left").groupBy("n_name")
              .agg(F.count("o_orderkey").alias("n_orders"), F.count(F.lit(1)).alias("n_rows")))
     assert got == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_strategy_not_silently_ignored():
+    with pytest.raises(ValueError, match="subquery"):
+        parse_spec({"tables": [{"name": "a"}], "joins": [{"type": "subquery", "subquery": "SELECT 1 AS x",
+                                                          "conditions": "true", "strategy": "salted",
+                                                          "salt": {"left_keys": ["a"], "right_keys": ["x"]}}]})
+    with pytest.raises(ValueError, match="self"):
+        parse_spec({"tables": [{"name": "a"}], "joins": [{"type": "self", "left_alias": "l", "right_alias": "r",
+                                                          "conditions": "true", "strategy": "broadcast"}]})
