@@ -112,6 +112,9 @@ def parse_spec(spec: dict | str) -> JobSpec:
             raise ValueError("a self join takes no strategy")
         if kind == "subquery" and js.strategy not in (None, "broadcast"):
             raise ValueError("a subquery join takes only the broadcast strategy")
+        if js.strategy == "broadcast" and kind not in ("self", "subquery") and \
+                spark_join_type(kind) in ("right", "full"):
+            raise ValueError("a right or full join cannot build on (broadcast) its right side")
         if js.strategy == "salted" and not (js.salt and js.salt.get("left_keys") and js.salt.get("right_keys")):
             raise ValueError("a salted join needs salt.left_keys and salt.right_keys")
         if js.strategy == "salted" and js.salt.get("skewed_side", "left") not in ("left", "right"):
