@@ -1,4 +1,4 @@
-"""Run a saved job spec: ``python -m sparkwright job.json [--preview N] [--settings FILE]``.
+"""Run a saved job spec: ``python -m sparkwright job.json [--preview N] [--settings FILE] [--explain]``.
 
 The spec may be in our form or in the saved-job form (tables, joins, predicates, transformations,
 output_table, output_schema, write_mode, partition_columns, partition_values). Submit it with
@@ -17,6 +17,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("spec", help="path to the job spec (JSON)")
     ap.add_argument("--preview", type=int, default=0, help="print the first N result rows")
     ap.add_argument("--settings", help="file of 'key = value' Spark settings (lines not starting 'spark.' ignored)")
+    ap.add_argument("--explain", action="store_true",
+                    help="print the formatted physical plan of the job's result and stop (nothing is written)")
     args = ap.parse_args(argv)
 
     from .functions.conf import apply_settings
@@ -31,6 +33,11 @@ def main(argv: list[str] | None = None) -> int:
             report = apply_settings(spark, f.read())
         if report["skipped"]:
             print(f"not modifiable at runtime (set them at submit time): {report['skipped']}", file=sys.stderr)
+    if args.explain:
+        from .plans.run import build_frame
+
+        build_frame(spark, spec).explain("formatted")
+        return 0
     df = run_job(spark, spec)
     if args.preview:
         df.show(args.preview, truncate=False)

@@ -45,6 +45,10 @@ def test_cli_runs_saved_job(tmp_path):
                          cwd=str(__import__("pathlib").Path(__file__).resolve().parents[1]))
     assert out.returncode == 0, out.stderr[-2000:]
     assert "o_orderstatus" in out.stdout
+    plan = subprocess.run([sys.executable, "-m", "sparkwright", str(p), "--explain"],
+                          capture_output=True, text=True, timeout=300,
+                          cwd=str(__import__("pathlib").Path(__file__).resolve().parents[1]))
+    assert plan.returncode == 0 and "PushedFilters" in plan.stdout
 
 
 def test_shared_dir_reads_session_and_falls_back_only_locally():
