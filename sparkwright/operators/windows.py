@@ -79,7 +79,15 @@ def _plain(df: DataFrame, w, outputs: list[WinOut]) -> DataFrame:
 def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tuple[str, bool]],
                      outputs: list[WinOut], hot_fraction: float = 0.01, buckets: int = 16,
                      accuracy: int = 10000) -> DataFrame:
-    """Add the ``outputs`` window columns to ``df`` (all input columns kept)."""
+    """Add the ``outputs`` window columns to ``df`` (all input columns kept). An output named like an
+    input column replaces it in place, as ``withColumn`` does, after the window has read the old values."""
+    taken = set(df.columns)
+    if any(o.output in taken for o in outputs):
+        tmp = [WinOut(o.func, f"__out{i}", o.value, o.preceding, o.cast) for i, o in enumerate(outputs)]
+        res = skew_safe_window(df, partition_by, order_by, tmp, hot_fraction, buckets, accuracy)
+        for i, o in enumerate(outputs):
+            res = res.withColumn(o.output, F.col(f"__out{i}"))
+        return res.drop(*[f"__out{i}" for i in range(len(outputs))])
     if not order_by:
         raise ValueError("an ordered window needs order_by")
     if not partition_by:

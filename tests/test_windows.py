@@ -70,3 +70,12 @@ def test_global_window_is_split(spark):
     g, x = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
     assert [tuple(r)[:-1] for r in g] == [tuple(r)[:-1] for r in x]
     assert all(abs(a.run - b.run) < 1e-6 for a, b in zip(g, x))
+
+
+def test_output_replaces_input_column_in_place(spark):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    got = skew_safe_window(ev, ["user_id"], [("ts", True), ("event_id", True)],
+                           [WinOut("lag", "value", "value")])
+    want = ev.withColumn("value", F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    assert got.columns == ev.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
