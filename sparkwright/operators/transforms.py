@@ -130,17 +130,21 @@ def apply_transformations(df: DataFrame, entries: list[Transformation | dict]) -
         raise ValueError(f"cannot combine select items with added columns: {[t.output_column for t in columns]}")
     if selects:
         return df.selectExpr(*[_as(t) for t in selects])
-    safe = [(t.output_column, t.skew_safe) for t in columns if t.skew_safe]
-    if safe:
-        from .windows import from_spec
-        df = from_spec(df, safe)
     unnamed = [t.expression for t in columns if not t.output_column]
     if unnamed:
         raise ValueError(f"added columns need an output_column: {unnamed}")
+    # in the written order, so a later entry may read an earlier one; consecutive skew-safe windows
+    # that share partitioning and ordering run as one window
+    from .windows import from_spec
+    batch: list[tuple[str, dict]] = []
     for t in columns:
-        if not t.skew_safe:
-            df = df.withColumn(t.output_column, F.expr(t.expression))
-    return df
+        if t.skew_safe:
+            batch.append((t.output_column, t.skew_safe))
+            continue
+        if batch:
+            df, batch = from_spec(df, batch), []
+        df = df.withColumn(t.output_column, F.expr(t.expression))
+    return from_spec(df, batch) if batch else df
 
 
 def _as(t: Transformation) -> str:
