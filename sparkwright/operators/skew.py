@@ -4,12 +4,12 @@ For each profiled key: rows, distinct keys, the largest key's row count, the mea
 score from 1 (even) to 10 (very skewed): ``least(10, greatest(1, round(max / mean)))``.
 
 Each key is two aggregates: a count per key value (partial counts map-side, so a key holding a third of the
-rows costs one counter per task, not a hot shuffle partition), then a global aggregate over the counts.
+rows costs one counter per task, not a hot shuffle partition), then an aggregate over the counts. Several
+keys share one scan through grouping sets.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +31,29 @@ def profile_one(df: DataFrame, key: str, table_name: str) -> DataFrame:
 
 
 def key_skew_profile(df: DataFrame, keys: list[str], table_name: str = "") -> DataFrame:
-    """One row per profiled key column."""
-    return reduce(DataFrame.unionByName, [profile_one(df, k, table_name) for k in keys])
+    """One row per profiled key column, from a single scan.
+
+    Several keys are counted together with grouping sets: one expand and one partial aggregate per task,
+    so profiling k columns of a large table reads it once, not k times. ``grouping_id`` tells the sets
+    apart: for key i of n it has every bit set except bit n-1-i.
+    """
+    if len(keys) == 1:
+        return profile_one(df, keys[0], table_name)
+    n = len(keys)
+    counts = (df.groupingSets([[k] for k in keys], *keys)
+                .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")))
+    stats = counts.groupBy("gid").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"),
+                                      F.max("n").alias("max_freq"))
+    full = (1 << n) - 1
+    key_name = F.lit(None).cast("string")
+    for i, k in enumerate(keys):
+        key_name = F.when(F.col("gid") == F.lit(full - (1 << (n - 1 - i))), F.lit(k)).otherwise(key_name)
+    avg = F.col("n_rows").cast("double") / F.col("n_keys")
+    return stats.select(F.lit(table_name).alias("table_name"), key_name.alias("key_column"),
+                        F.col("n_rows").cast("bigint").alias("n_rows"), "n_keys", "max_freq",
+                        avg.alias("avg_freq"),
+                        F.least(F.lit(10), F.greatest(F.lit(1), F.round(F.col("max_freq") / avg)))
+                        .cast("int").alias("skew"))
 
 
 def hot_key_count(df: DataFrame, keys: list[str], hot_fraction: float) -> int:
