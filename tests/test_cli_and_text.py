@@ -75,3 +75,45 @@ def test_shared_dir_reads_session_and_falls_back_only_locally():
     local = Ctx("local[2]", {})
     a = shared_dir(SimpleNamespace(sparkContext=local))
     assert a == shared_dir(SimpleNamespace(sparkContext=local)) and local.dirs == [a]
+
+
+def test_example_fact_job_runs_as_written(spark):
+    """The example spec, unchanged, against catalog tables built from the small tables (FIXTURES mapping)."""
+    import pathlib
+
+    from sparkwright.plans.facts import fact_sales
+    from sparkwright.plans.run import run_job
+
+    for db in ("Prepared", "Sales_DW"):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
+    src = {t: spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("lineitem", "orders", "part", "customer",
+                                                                      "supplier")}
+    views = {
+        "Prepared.Sales": src["lineitem"].selectExpr(
+            "l_orderkey AS Order_Id", "l_partkey AS Product_Id", "l_suppkey AS SalesRep_Id",
+            "l_quantity AS Quantity", "l_discount AS Discount", "l_tax AS Tax_Rate"),
+        "Sales_DW.DimOrders": src["orders"].selectExpr(
+            "o_orderkey AS Order_Id", "o_custkey AS Customer_Id", "CAST(o_orderdate AS DATE) AS Order_Date",
+            "CASE WHEN o_orderstatus = 'F' THEN 'Yes' ELSE 'No' END AS Tax_Applicable"),
+        "Sales_DW.DimProduct": src["part"].selectExpr(
+            "p_partkey AS Product_Id", "p_retailprice AS Product_List_Price", "0.0D AS Product_Discount",
+            "0.6 * p_retailprice AS Product_Cost"),
+        "Sales_DW.DimCustomer": src["customer"].selectExpr("c_custkey AS Customer_Id"),
+        "Sales_DW.DimSalesRep": src["supplier"].selectExpr("s_suppkey AS SalesRep_Id"),
+        "Sales_DW.DimDate": src["orders"].selectExpr(
+            "CAST(o_orderdate AS DATE) AS Full_Date",
+            "CAST(date_format(o_orderdate, 'yyyyMMdd') AS INT) AS Date_Key").distinct(),
+    }
+    for name, df in views.items():
+        df.write.mode("overwrite").saveAsTable(name)
+    spark.sql("CREATE TABLE IF NOT EXISTS Sales_DW.Fact_Sales (FK_Order_Id BIGINT, FK_Product_Id BIGINT, "
+              "FK_Customer_Id BIGINT, FK_SalesRep_Id BIGINT, FK_Date_Key INT, Quantity_Sold DOUBLE, "
+              "Sales_Amount DOUBLE, Discount_Amount DOUBLE, Net_Sales_Amount DOUBLE, Profit_Amount DOUBLE, "
+              "Tax_Amount DOUBLE, Total_Amount DOUBLE) USING parquet")
+    spec = json.loads((pathlib.Path(__file__).resolve().parents[1] / "examples" / "fact_sales_job.json").read_text())
+    out = run_job(spark, spec)
+    assert out.count() == fact_sales(spark, SF_SMALL).count() > 0
+    # every loaded key pair matches the registered fact query
+    got = {(r.FK_Order_Id, r.FK_Product_Id, r.FK_Date_Key) for r in out.collect()}
+    want = {(r.FK_Order_Id, r.FK_Product_Id, r.FK_Date_Key) for r in fact_sales(spark, SF_SMALL).collect()}
+    assert got == want
