@@ -122,11 +122,10 @@ class Chain:
                 keys = r.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(rkeys)]).distinct()
                 on = _and([F.col(lk) == F.col(f"__k{i}") for i, lk in enumerate(left_keys)])
                 return Chain(self.df.join(keys, on, how), list(self.cols))
-            if how == "left" and extra is not None:
-                # with a further condition a hot key's left row may match no right row at all, and its
-                # null-extended row could not be told apart from the replicas that are dropped below
-                raise ValueError("a right-skewed salted left join takes key equality only")
             sf = salt_from or [f"`{right_alias}`.`{c}`" for c in right.columns]
+            if how == "left" and extra is not None:
+                return self._left_join_right_skew_with_condition(right, right_alias, r, left_keys, rkeys, extra,
+                                                                 salts, sf, hot_fraction)
             left_s, right_s = add_salt_columns_right_skew(self.df, r, left_keys, rkeys, salts, sf,
                                                           hot_fraction if hot_fraction is not None else 0.001)
             terms = [F.col(lk) == F.col(rk) for lk, rk in zip(left_keys, rkeys)]
@@ -150,6 +149,52 @@ class Chain:
             return Chain(df, list(self.cols))
         return Chain(df, self.cols + [(right_alias, x) for x in right.columns])
 
+    def _left_join_right_skew_with_condition(self, right: DataFrame, right_alias: str, r: DataFrame,
+                                             left_keys: list[str], rkeys: list[str], extra: Column, salts: int,
+                                             salt_from: list[str], hot_fraction: float | None) -> "Chain":
+        """``LEFT JOIN ... ON keys AND extra`` with keys hot on the right, exactly.
+
+        A hot key's left row may meet no right row under ``extra``, so unmatched replicas cannot simply be
+        dropped. The result is put together from three parts instead:
+
+        1. the matched pairs: the salted inner join;
+        2. left rows of cold keys without a partner: an anti join (cold keys have no hot partners);
+        3. left rows of hot keys without a partner: those rows ``EXCEPT ALL`` the left side of their
+           matches. Identical rows are matched or unmatched together, so the multiplicities come out
+           right.
+
+        The union drops alias qualifiers, so the chain is flattened afterwards (as after a self join).
+        """
+        left_s, right_s = add_salt_columns_right_skew(self.df, r, left_keys, rkeys, salts, salt_from,
+                                                      hot_fraction if hot_fraction is not None else 0.001)
+        on = _and([F.col(lk) == F.col(rk) for lk, rk in zip(left_keys, rkeys)]
+                  + [F.col("__lsalt") == F.col("__rsalt"), extra])
+        lref = [F.col(f"`{a}`.`{c}`") if a else F.col(f"`{c}`") for a, c in self.cols]
+        rref = [F.col(f"`{right_alias}`.`{c}`") for c in right.columns]
+        nulls = [F.lit(None).cast(f.dataType) for f in right.schema.fields]
+        matched = left_s.join(right_s, on, "inner")
+        cold_unmatched = left_s.filter(~F.col("__lhot")).join(right_s, on, "left_anti")
+        hot_rows = left_s.filter(F.col("__lhot") & (F.col("__lsalt") == 0)).select(*lref)
+        hot_matched = matched.filter(F.col("__lhot")).select(*lref)
+        hot_unmatched = hot_rows.exceptAll(hot_matched)
+        flat = self.flattened()
+        lnames = [c for _, c in flat.cols]
+        taken = set(lnames)
+        rnames = []
+        for c in right.columns:
+            name = c if c not in taken else f"{right_alias}_{c}"
+            while name in taken:
+                name = f"{right_alias}_{name}"
+            taken.add(name)
+            rnames.append(name)
+        names = lnames + rnames
+        parts = [matched.select(*lref, *rref),
+                 cold_unmatched.select(*lref, *nulls),
+                 hot_unmatched.select(*[F.col(c) for c in hot_unmatched.columns], *nulls)]
+        parts = [p.toDF(*names) for p in parts]
+        df = parts[0].unionAll(parts[1]).unionAll(parts[2])
+        return Chain(df, [("", c) for c in names])
+
     def join_salted_outer(self, right: DataFrame, right_alias: str, how: str, left_keys: list[str],
                           right_keys: list[str], salts: int = 8, salt_from: list[str] | None = None,
                           hot_fraction: float | None = None, skewed_side: str = "left") -> "Chain":

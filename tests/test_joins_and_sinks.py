@@ -162,13 +162,21 @@ def test_right_skewed_salted_join_equals_plain(spark, how):
     assert _rows(chain.flattened().df) == _rows(plain)
 
 
-def test_right_skewed_left_join_refuses_extra_condition(spark):
+def test_right_skewed_left_join_with_extra_condition(spark):
     from sparkwright.operators.joins import Chain
-    left = spark.range(0, 10).select(F.col("id").alias("lk"))
-    right = spark.range(0, 100).select((F.col("id") % 3).alias("rk"), F.col("id").alias("rv"))
-    with pytest.raises(ValueError, match="key equality"):
-        Chain.of(left.alias("a"), "a").join_salted(right, "b", "b.rv > 1000", "left", ["a.lk"], ["rk"],
-                                                   skewed_side="right", hot_fraction=0.1)
+    # right key 3 holds half the rows; the condition leaves some hot-key left rows without any partner,
+    # and the left side has duplicate rows
+    right = spark.range(0, 3000).select(F.when(F.col("id") % 2 == 0, F.lit(3)).otherwise(F.col("id") % 40)
+                                        .alias("rk"), F.col("id").alias("rv"))
+    left = spark.range(0, 80).select((F.col("id") % 50).alias("lk"), (F.col("id") % 7 * 500).alias("lim"))
+    # two identical hot-key rows that no right row can satisfy
+    left = left.unionByName(spark.createDataFrame([(3, 0), (3, 0)], "lk long, lim long"))
+    cond = "b.rv < a.lim"
+    got = Chain.of(left.alias("a"), "a").join_salted(right, "b", cond, "left", ["a.lk"], ["rk"], salts=6,
+                                                      salt_from=["b.rv"], hot_fraction=0.05, skewed_side="right")
+    plain = left.alias("a").join(right.alias("b"), F.expr("a.lk = b.rk AND b.rv < a.lim"), "left")
+    assert _rows(got.df) == _rows(plain)
+    assert got.df.filter("rk IS NULL AND lk = 3").count() == 2  # hot-key rows without partners survive
 
 
 def test_target_schema_is_created(spark):

@@ -75,3 +75,19 @@ def test_salted_outer_join_equals_plain_join(spark, left_rows, right_rows, how,
                             salt_from=["v"] if side == "left" else ["w"], hot_fraction=0.2, skewed_side=side)
     key = lambda t: tuple((x is None, repr(x)) for x in t)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 60)), min_size=1, max_size=60),
+       st.lists(st.tuples(st.integers(0, 6), st.integers(0, 60)), min_size=0, max_size=120), st.integers(1, 5))
+def test_right_skewed_left_join_with_condition_equals_plain(spark, left_rows, right_rows, salts):
+    from sparkwright.operators.joins import Chain
+    left = spark.createDataFrame(left_rows, "lk int, lim int")
+    # key 0 made hot on the right
+    right = spark.createDataFrame([(0 if w % 2 == 0 else k, w) for k, w in right_rows], "rk int, rv int")
+    got = Chain.of(left.alias("a"), "a").join_salted(right, "b", "b.rv < a.lim", "left", ["a.lk"], ["rk"],
+                                                      salts=salts, salt_from=["b.rv"], hot_fraction=0.2,
+                                                      skewed_side="right").df
+    plain = left.alias("a").join(right.alias("b"), F.expr("a.lk = b.rk AND b.rv < a.lim"), "left")
+    key = lambda t: tuple((x is None, repr(x)) for x in t)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
