@@ -231,11 +231,13 @@ class Chain:
         return Chain(df, [("", c) for c in df.columns])
 
     def join_band(self, right: DataFrame, right_alias: str, cond: str | Column, low: str, high: str,
-                  point: str, width: float, range_side: str = "left") -> "Chain":
+                  point: str, width: float | str, range_side: str = "left") -> "Chain":
         """An inner join whose condition holds ``low <= point <= high`` (J8, band form); see :func:`band_keys`."""
         if right_alias in self.aliases:
             raise ValueError(f"alias {right_alias!r} is already in the join chain")
         r = right.alias(right_alias)
+        if width == "auto":
+            width = auto_band_width(self.df if range_side == "left" else r, low, high)
         if range_side == "left":
             left_b = self.df.withColumn("__lband", F.explode(band_keys(low, high, width)))
             right_b = r.withColumn("__rband", point_key(point, width))
@@ -286,6 +288,13 @@ def join(left: DataFrame, right: DataFrame, cond: str | Column | None, how: str
 # J8, band form: a range condition as an equi-join on value buckets
 # ---------------------------------------------------------------------------------------------------------
 
+def auto_band_width(ranges: DataFrame, low: str, high: str) -> float:
+    """A bucket width about the median range length (one ``percentile_approx`` aggregate, bounded memory),
+    so a typical range row falls into one or two buckets. Falls back to 1 for empty or point ranges."""
+    w = ranges.agg(F.percentile_approx((F.expr(high) - F.expr(low)).cast("double"), 0.5, 1000)).first()[0]
+    return float(w) if w and w > 0 else 1.0
+
+
 def point_key(point: str, width: float) -> Column:
     return F.floor(F.expr(point) / F.lit(width)).cast("bigint")
 

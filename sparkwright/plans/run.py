@@ -63,8 +63,9 @@ def build_frame(spark: SparkSession, spec: dict | str | JobSpec, resolver: Resol
                                           skewed_side=opts.get("skewed_side", "left"))
             elif j.strategy == "band":
                 b = j.band
+                width = b["width"] if b["width"] == "auto" else float(b["width"])
                 chain = chain.join_band(right, j.right_table, j.conditions, b["low"], b["high"], b["point"],
-                                        float(b["width"]), b.get("range_side", "left"))
+                                        width, b.get("range_side", "left"))
             else:
                 chain = chain.join(_maybe_broadcast(right, j.strategy), j.right_table, j.conditions, j.type)
 

@@ -234,3 +234,16 @@ def test_join_advice(spark):
     assert join_advice(left, big_hot, ["k"], ["k2"], "inner", max_broadcast_rows=100) == {}
     assert join_advice(big_hot.withColumnRenamed("k2", "k"), left.withColumnRenamed("k", "k2"), ["k"], ["k2"],
                        "full")["strategy"] == "salted"
+
+
+def test_band_join_auto_width(spark):
+    df = run_job(spark, {
+        "tables": [{"name": "part", "alias": "p", "predicate": "p_size > 30"}, {"name": "supplier", "alias": "s"}],
+        "joins": [{"type": "inner", "right_table": "s", "strategy": "band",
+                   "conditions": "s.s_acctbal BETWEEN p.p_retailprice AND p.p_retailprice + 250",
+                   "band": {"low": "p.p_retailprice", "high": "p.p_retailprice + 250", "point": "s.s_acctbal",
+                            "width": "auto"}}]}, resolver=R)
+    p = spark.read.parquet(f"{SF_SMALL}/part.parquet").filter("p_size > 30")
+    s = spark.read.parquet(f"{SF_SMALL}/supplier.parquet")
+    want = p.alias("x").join(s.alias("y"), F.expr("y.s_acctbal BETWEEN x.p_retailprice AND x.p_retailprice + 250"))
+    assert _rows(df) == _rows(want)
