@@ -17,8 +17,10 @@ with a third of the rows is a straggler that AQE cannot split. Here:
    running-sum offset and the carried-in previous value. It is joined back by broadcast, with the same
    bound as step 1 times ``buckets``.
 
-The supported functions are ``row_number``, the running sum (default RANGE frame), ``lag(x, 1)`` and the
-row count of a ``ROWS BETWEEN p PRECEDING AND CURRENT ROW`` frame. With no partition key the whole table is
+The supported functions are ``row_number``, ``rank``, ``dense_rank``, the running sum (default RANGE
+frame), ``lag(x, 1)``, ``lead(x, 1)`` and the row count of a ``ROWS BETWEEN p PRECEDING AND CURRENT ROW``
+frame. Peers (rows equal on the whole ordering) always share a bucket, so ranks need only the row count,
+or the distinct ordering values, of the earlier buckets. With no partition key the whole table is
 one hot group, so a global numbering or running total also runs in ``buckets`` tasks instead of one. Results equal the plain window. Where
 the ordering has ties, any tie order that the plain window could also have produced is valid.
 """
@@ -31,9 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+FUNCS = ("row_number", "rank", "dense_rank", "running_sum", "lag", "lead", "rows_count")
+
+
 @dataclass(frozen=True)
 class WinOut:
-    func: str            # "row_number" | "running_sum" | "lag" | "rows_count"
+    func: str            # "row_number" | "rank" | "dense_rank" | "running_sum" | "lag" | "lead" | "rows_count"
     output: str
     value: str | None = None   # SQL expression summed / lagged
     preceding: int = 0         # rows_count: frame of `preceding` rows before the current one
@@ -66,6 +71,12 @@ def _plain(df: DataFrame, w, outputs: list[WinOut]) -> DataFrame:
     for o in outputs:
         if o.func == "row_number":
             c = F.row_number().over(w)
+        elif o.func == "rank":
+            c = F.rank().over(w)
+        elif o.func == "dense_rank":
+            c = F.dense_rank().over(w)
+        elif o.func == "lead":
+            c = F.lead(F.expr(o.value), 1).over(w)
         elif o.func == "rows_count":
             c = F.count(F.lit(1)).over(w.rowsBetween(-o.preceding, 0))
         elif o.func == "running_sum":
@@ -97,10 +108,10 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
                                hot_fraction, buckets, accuracy)
         return out.drop("__all")
     for o in outputs:
-        if o.func not in ("row_number", "running_sum", "lag", "rows_count"):
+        if o.func not in FUNCS:
             raise ValueError(f"unsupported window function {o.func!r}")
-        if o.func == "lag" and any(asc != order_by[0][1] for _, asc in order_by):
-            raise ValueError("lag needs all ordering columns in one direction")
+        if o.func in ("lag", "lead") and any(asc != order_by[0][1] for _, asc in order_by):
+            raise ValueError(f"{o.func} needs all ordering columns in one direction")
     first, first_asc = order_by[0]
     keys = list(partition_by)
     dtype = dict(df.dtypes)[first]
@@ -150,6 +161,12 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
             local = local.withColumn(f"__sum_{o.output}", F.sum(F.expr(o.value)).over(w))
         elif o.func == "lag":
             local = local.withColumn(f"__lag_{o.output}", F.lag(F.expr(o.value), 1).over(w))
+        elif o.func == "lead":
+            local = local.withColumn(f"__lead_{o.output}", F.lead(F.expr(o.value), 1).over(w))
+        elif o.func == "rank":
+            local = local.withColumn(f"__rank_{o.output}", F.rank().over(w))
+        elif o.func == "dense_rank":
+            local = local.withColumn(f"__drank_{o.output}", F.dense_rank().over(w))
 
     # 4. per-(hot key, bucket) summary -> offsets, joined back by broadcast
     aggs = [F.count(F.lit(1)).alias("__cnt")]
@@ -160,6 +177,11 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
         elif o.func == "lag":
             pick = F.max_by if first_asc else F.min_by
             aggs.append(pick(F.expr(o.value), ord_struct).alias(f"__blast_{o.output}"))
+        elif o.func == "lead":
+            pick = F.min_by if first_asc else F.max_by
+            aggs.append(pick(F.expr(o.value), ord_struct).alias(f"__bfirst_{o.output}"))
+        elif o.func == "dense_rank":
+            aggs.append(F.count_distinct(ord_struct).alias(f"__bdist_{o.output}"))
     summary = bucketed.filter("__hot").groupBy(*keys, "__b").agg(*aggs)
     ws = Window.partitionBy(*keys).orderBy("__b")
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
@@ -167,7 +189,12 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
                           *[F.sum(f"__bsum_{o.output}").over(before).alias(f"__osum_{o.output}")
                             for o in outputs if o.func == "running_sum"],
                           *[F.lag(f"__blast_{o.output}", 1).over(ws).alias(f"__carry_{o.output}")
-                            for o in outputs if o.func == "lag"])
+                            for o in outputs if o.func == "lag"],
+                          *[F.lead(f"__bfirst_{o.output}", 1).over(ws).alias(f"__next_{o.output}")
+                            for o in outputs if o.func == "lead"],
+                          *[F.coalesce(F.sum(f"__bdist_{o.output}").over(before), F.lit(0)).alias(f"__doff_{o.output}")
+                            for o in outputs if o.func == "dense_rank"],
+                          F.col("__cnt").alias("__bcnt"))
     offs = F.broadcast(offs.alias("__o"))
     lo = local.alias("__l")
     joined = lo.join(offs, _null_safe_on(keys + ["__b"], "__l", "__o"), "left")
@@ -187,6 +214,17 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
         elif o.func == "lag":
             out = out.withColumn(o.output, F.when(F.col("__rn") == 1, F.col(f"__carry_{o.output}"))
                                  .otherwise(F.col(f"__lag_{o.output}")))
+        elif o.func == "lead":
+            # a bucket's last row takes the first value of the next bucket (cold keys: one bucket, no next)
+            last = F.col("__bcnt").isNotNull() & (F.col("__rn") == F.col("__bcnt"))
+            out = out.withColumn(o.output, F.when(last, F.col(f"__next_{o.output}"))
+                                 .otherwise(F.col(f"__lead_{o.output}")))
+        elif o.func == "rank":
+            out = out.withColumn(o.output, (F.col(f"__rank_{o.output}") + F.coalesce(F.col("__off"), F.lit(0)))
+                                 .cast("int"))
+        elif o.func == "dense_rank":
+            out = out.withColumn(o.output, (F.col(f"__drank_{o.output}")
+                                            + F.coalesce(F.col(f"__doff_{o.output}"), F.lit(0))).cast("int"))
     return out.select(*df.columns, *[F.col(o.output).cast(o.cast) if o.cast else F.col(o.output)
                                       for o in outputs])
 

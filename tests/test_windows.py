@@ -20,13 +20,14 @@ def skewed_events(spark):
 
 def test_all_functions_match_plain_window(skewed_events):
     outs = [WinOut("row_number", "rn"), WinOut("running_sum", "rs", "CAST(value AS DECIMAL(18,2))"),
-            WinOut("lag", "lg", "value"), WinOut("rows_count", "c3", preceding=2)]
+            WinOut("lag", "lg", "value"), WinOut("rows_count", "c3", preceding=2), WinOut("lead", "ld", "value")]
     got = skew_safe_window(skewed_events, ["user_id"], [("ts", True), ("event_id", True)], outs,
                            hot_fraction=0.05, buckets=8)
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     want = skewed_events.select(
         "*", F.row_number().over(w).alias("rn"), F.sum(F.col("value").cast("decimal(18,2)")).over(w).alias("rs"),
-        F.lag("value", 1).over(w).alias("lg"), F.count(F.lit(1)).over(w.rowsBetween(-2, 0)).alias("c3"))
+        F.lag("value", 1).over(w).alias("lg"), F.count(F.lit(1)).over(w.rowsBetween(-2, 0)).alias("c3"),
+        F.lead("value", 1).over(w).alias("ld"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
@@ -79,3 +80,23 @@ def test_output_replaces_input_column_in_place(spark):
     want = ev.withColumn("value", F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     assert got.columns == ev.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+@pytest.mark.parametrize("asc", [True, False])
+def test_rank_dense_rank_lead_match_plain(spark, asc):
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    # customer 5 holds a third of the orders; prices rounded so the ordering has many ties
+    o = (o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(5)).otherwise(F.col("o_custkey")))
+          .withColumn("price", F.round(F.col("o_totalprice"), -5)))
+    outs = [WinOut("rank", "rk"), WinOut("dense_rank", "drk"), WinOut("lead", "nxt", "o_orderkey")]
+    got = skew_safe_window(o, ["o_custkey"], [("price", asc), ("o_orderdate", asc)], outs,
+                           hot_fraction=0.05, buckets=8)
+    order = [F.col("price").asc(), F.col("o_orderdate").asc()] if asc else \
+        [F.col("price").desc(), F.col("o_orderdate").desc()]
+    w = Window.partitionBy("o_custkey").orderBy(*order)
+    want = o.select("*", F.rank().over(w).alias("rk"), F.dense_rank().over(w).alias("drk"))
+    g = {r.o_orderkey: (r.rk, r.drk) for r in got.collect()}
+    x = {r.o_orderkey: (r.rk, r.drk) for r in want.collect()}
+    assert g == x
+    # with ties the partner of lead is one of several valid rows; one row per customer has none
+    assert got.filter("nxt IS NULL").count() == o.select("o_custkey").distinct().count()
