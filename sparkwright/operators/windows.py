@@ -18,8 +18,9 @@ with a third of the rows is a straggler that AQE cannot split. Here:
    bound as step 1 times ``buckets``.
 
 The supported functions are ``row_number``, ``rank``, ``dense_rank``, the running sum (default RANGE
-frame), ``lag(x, 1)``, ``lead(x, 1)`` and the row count of a ``ROWS BETWEEN p PRECEDING AND CURRENT ROW``
-frame. Peers (rows equal on the whole ordering) always share a bucket, so ranks need only the row count,
+frame), ``lag(x, 1)``, ``lead(x, 1)``, and the row count and the sum over a ``ROWS BETWEEN p PRECEDING AND
+CURRENT ROW`` frame. For the framed sum, the first p rows of a bucket add the last values of the earlier
+buckets, gathered from the bucket tails (at most p rows each). Peers (rows equal on the whole ordering) always share a bucket, so ranks need only the row count,
 or the distinct ordering values, of the earlier buckets. With no partition key the whole table is
 one hot group, so a global numbering or running total also runs in ``buckets`` tasks instead of one. Results equal the plain window. Where
 the ordering has ties, any tie order that the plain window could also have produced is valid.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-FUNCS = ("row_number", "rank", "dense_rank", "running_sum", "lag", "lead", "rows_count")
+FUNCS = ("row_number", "rank", "dense_rank", "running_sum", "lag", "lead", "rows_count", "rows_sum")
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ class WinOut:
     func: str            # "row_number" | "rank" | "dense_rank" | "running_sum" | "lag" | "lead" | "rows_count"
     output: str
     value: str | None = None   # SQL expression summed / lagged
-    preceding: int = 0         # rows_count: frame of `preceding` rows before the current one
+    preceding: int = 0         # rows_count / rows_sum: frame of `preceding` rows before the current one
     cast: str | None = None    # optional output type
 
 
@@ -79,6 +80,8 @@ def _plain(df: DataFrame, w, outputs: list[WinOut]) -> DataFrame:
             c = F.lead(F.expr(o.value), 1).over(w)
         elif o.func == "rows_count":
             c = F.count(F.lit(1)).over(w.rowsBetween(-o.preceding, 0))
+        elif o.func == "rows_sum":
+            c = F.sum(F.expr(o.value)).over(w.rowsBetween(-o.preceding, 0))
         elif o.func == "running_sum":
             c = F.sum(F.expr(o.value)).over(w)
         else:
@@ -167,6 +170,11 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
             local = local.withColumn(f"__rank_{o.output}", F.rank().over(w))
         elif o.func == "dense_rank":
             local = local.withColumn(f"__drank_{o.output}", F.dense_rank().over(w))
+        elif o.func == "rows_sum":
+            local = local.withColumn(f"__rsum_{o.output}", F.sum(F.expr(o.value)).over(w.rowsBetween(-o.preceding, 0)))
+    frames = [o for o in outputs if o.func == "rows_sum"]
+    if frames:
+        local = local.withColumn("__bsize", F.count(F.lit(1)).over(Window.partitionBy(*keys, "__b")))
 
     # 4. per-(hot key, bucket) summary -> offsets, joined back by broadcast
     aggs = [F.count(F.lit(1)).alias("__cnt")]
@@ -200,6 +208,20 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
     joined = lo.join(offs, _null_safe_on(keys + ["__b"], "__l", "__o"), "left")
     out = joined.select(*[F.col(f"__l.{c}") for c in local.columns],
                         *[F.col(f"__o.{c}") for c in offs.columns if c not in keys + ["__b"]])
+    for o in frames:
+        # the last p values of every earlier bucket, in order: from the bucket tails (at most p rows each)
+        p_ = o.preceding
+        tails = (local.filter(F.col("__hot") & (F.col("__rn") > F.col("__bsize") - p_))
+                 .select(*keys, "__b", "__rn", F.expr(o.value).alias("__v")))
+        per_key = tails.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__b", "__rn", "__v"))).alias("__t"))
+        buckets_of = tails.select(*keys, "__b").distinct()
+        carry = (buckets_of.join(per_key, keys)
+                 .withColumn("__prev", F.filter("__t", lambda x: x["__b"] < F.col("__b")))
+                 .select(*keys, "__b", F.transform(F.slice("__prev", F.greatest(F.size("__prev") - p_ + 1, F.lit(1)),
+                                                            p_), lambda x: x["__v"]).alias(f"__c_{o.output}")))
+        out = (out.alias("__m").join(F.broadcast(carry.alias("__k")), _null_safe_on(keys + ["__b"], "__m", "__k"),
+                                     "left")
+               .select(*[F.col(f"__m.{c}") for c in out.columns], F.col(f"__k.__c_{o.output}")))
     rn = F.col("__rn") + F.coalesce(F.col("__off"), F.lit(0))
     for o in outputs:
         if o.func == "row_number":
@@ -222,6 +244,20 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
         elif o.func == "rank":
             out = out.withColumn(o.output, (F.col(f"__rank_{o.output}") + F.coalesce(F.col("__off"), F.lit(0)))
                                  .cast("int"))
+        elif o.func == "rows_sum":
+            # rows near a bucket's start add the last (p - rn + 1) values carried from earlier buckets,
+            # summed in the same type as the window's own sum (exact for decimals), nulls skipped
+            k = F.lit(o.preceding) - F.col("__rn") + 1
+            c = F.col(f"__c_{o.output}")
+            take = F.greatest(F.least(k, F.size(c)), F.lit(0))     # never negative, whatever is evaluated
+            carried = F.filter(F.slice(c, F.greatest(F.size(c) - take + 1, F.lit(1)), take),
+                               lambda x: x.isNotNull())
+            sum_type = df.select(F.sum(F.expr(o.value)).alias("s")).schema["s"].dataType
+            extra = F.when((k > 0) & c.isNotNull() & (F.size(carried) > 0),
+                           F.aggregate(carried, F.lit(0).cast(sum_type), lambda acc, x: (acc + x).cast(sum_type)))
+            local_sum = F.col(f"__rsum_{o.output}")
+            out = out.withColumn(o.output, F.when(extra.isNull(), local_sum)
+                                 .when(local_sum.isNull(), extra).otherwise(local_sum + extra))
         elif o.func == "dense_rank":
             out = out.withColumn(o.output, (F.col(f"__drank_{o.output}")
                                             + F.coalesce(F.col(f"__doff_{o.output}"), F.lit(0))).cast("int"))

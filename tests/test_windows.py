@@ -100,3 +100,19 @@ def test_rank_dense_rank_lead_match_plain(spark, asc):
     assert g == x
     # with ties the partner of lead is one of several valid rows; one row per customer has none
     assert got.filter("nxt IS NULL").count() == o.select("o_custkey").distinct().count()
+
+
+@pytest.mark.parametrize("p", [1, 3])
+def test_rows_sum_matches_plain(skewed_events, p):
+    outs = [WinOut("rows_sum", "s_d", "CAST(value AS DECIMAL(18,2))", preceding=p),
+            WinOut("rows_sum", "s_f", "value", preceding=p)]
+    got = skew_safe_window(skewed_events, ["user_id"], [("ts", True), ("event_id", True)], outs,
+                           hot_fraction=0.05, buckets=8)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-p, 0)
+    want = skewed_events.select("*", F.sum(F.col("value").cast("decimal(18,2)")).over(w).alias("s_d"),
+                                F.sum("value").over(w).alias("s_f"))
+    g = {r.event_id: (r.s_d, r.s_f) for r in got.collect()}
+    x = {r.event_id: (r.s_d, r.s_f) for r in want.collect()}
+    assert {k: v[0] for k, v in g.items()} == {k: v[0] for k, v in x.items()}
+    assert all((a[1] is None) == (b[1] is None) and (a[1] is None or abs(a[1] - b[1]) < 1e-6)
+               for a, b in ((g[k], x[k]) for k in g))
