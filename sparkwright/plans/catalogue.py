@@ -540,6 +540,31 @@ def window_frame_hot(spark, sf_dir):
     })
 
 
+def window_analytics(spark, sf_dir):
+    """Rank, dense_rank, lead and a framed sum per customer, hot customers split into buckets."""
+    by_date = {"partition_by": ["o_custkey"], "hot_fraction": 0.001}
+    unique = [["o_orderdate", "asc"], ["o_orderkey", "asc"]]
+    return _run(spark, sf_dir, {
+        "tables": [_t("orders", "o")],
+        "transformations": [
+            {"output_column": "date_rank",
+             "expression": "CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS INT)",
+             "skew_safe": {**by_date, "order_by": [["o_orderdate", "asc"]], "func": "rank", "cast": "int"}},
+            {"output_column": "date_dense_rank",
+             "expression": "CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS INT)",
+             "skew_safe": {**by_date, "order_by": [["o_orderdate", "asc"]], "func": "dense_rank", "cast": "int"}},
+            {"output_column": "next_order",
+             "expression": "lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
+             "skew_safe": {**by_date, "order_by": unique, "func": "lead", "value": "o_orderkey"}},
+            {"output_column": "last3_total", "expression":
+             "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, "
+             "o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DECIMAL(38,2))",
+             "skew_safe": {**by_date, "order_by": unique, "func": "rows_sum", "preceding": 2,
+                           "value": "CAST(o_totalprice AS DECIMAL(18,2))", "cast": "decimal(38,2)"}},
+        ],
+    })
+
+
 # ---------------------------------------------------------------------------------------------------------
 # whole jobs
 # ---------------------------------------------------------------------------------------------------------

@@ -236,6 +236,16 @@ SQL["window_rank_hot"] = SQL["window_rank"]
 SQL["window_sum_hot"] = SQL["window_sum"]
 SQL["window_frame_hot"] = SQL["window_frame"]
 
+SQL["window_analytics"] = """
+SELECT *,
+       CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS INTEGER) AS date_rank,
+       CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS INTEGER) AS date_dense_rank,
+       lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next_order,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+            ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DECIMAL(38,2)) AS last3_total
+FROM orders
+"""
+
 SQL["spec_agg"] = """
 SELECT c.c_nationkey, o.o_orderpriority, count(*) AS n_rows, count(l.l_orderkey) AS n_returned,
        CAST(sum(CAST(l.l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_qty, max(o.o_totalprice) AS max_price
