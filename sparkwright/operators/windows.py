@@ -90,15 +90,27 @@ def _plain(df: DataFrame, w, outputs: list[WinOut]) -> DataFrame:
     return df.select("*", *cols)
 
 
+def hot_keys(df: DataFrame, keys: list[str], hot_fraction: float) -> list:
+    """Key values holding more than ``hot_fraction`` of the rows: at most ``1/hot_fraction`` of them exist,
+    so they come back to the driver as a small, fixed list."""
+    total = df.count()
+    threshold = max(1, int(total * hot_fraction))
+    rows = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+              .filter(F.col("__n") > threshold).select(*keys).collect())
+    if len(rows) > max(1, int(1 / hot_fraction)):
+        raise RuntimeError("more hot keys than the bound allows")
+    return rows
+
+
 def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tuple[str, bool]],
                      outputs: list[WinOut], hot_fraction: float = 0.01, buckets: int = 16,
-                     accuracy: int = 10000) -> DataFrame:
+                     accuracy: int = 10000, hot_rows: list | None = None) -> DataFrame:
     """Add the ``outputs`` window columns to ``df`` (all input columns kept). An output named like an
     input column replaces it in place, as ``withColumn`` does, after the window has read the old values."""
     taken = set(df.columns)
     if any(o.output in taken for o in outputs):
         tmp = [WinOut(o.func, f"__out{i}", o.value, o.preceding, o.cast) for i, o in enumerate(outputs)]
-        res = skew_safe_window(df, partition_by, order_by, tmp, hot_fraction, buckets, accuracy)
+        res = skew_safe_window(df, partition_by, order_by, tmp, hot_fraction, buckets, accuracy, hot_rows)
         for i, o in enumerate(outputs):
             res = res.withColumn(o.output, F.col(f"__out{i}"))
         return res.drop(*[f"__out{i}" for i in range(len(outputs))])
@@ -120,17 +132,13 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
     dtype = dict(df.dtypes)[first]
 
     # 1. hot keys (bounded by construction, so they may be fixed as a small literal table)
-    total = df.count()
-    threshold = max(1, int(total * hot_fraction))
-    freq = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot_rows = freq.filter(F.col("__n") > threshold).select(*keys).collect()
-    if len(hot_rows) > max(1, int(1 / hot_fraction)):
-        raise RuntimeError("more hot keys than the bound allows")
+    if hot_rows is None:
+        hot_rows = hot_keys(df, keys, hot_fraction)
     if not hot_rows or not _sketchable(dtype):
         # nothing to split (or no split points for this type): the plain window is already balanced
         w = Window.partitionBy(*keys).orderBy(*_order_cols(order_by))
         return _plain(df, w, outputs)
-    hot = df.sparkSession.createDataFrame(hot_rows, freq.select(*keys).schema)
+    hot = df.sparkSession.createDataFrame(hot_rows, df.select(*keys).schema)
 
     # 2. split points of the first ordering column, per hot key
     probs = [i / buckets for i in range(1, buckets)]
@@ -276,6 +284,12 @@ def from_spec(df: DataFrame, entries: list[tuple[str, dict]]) -> DataFrame:
         key = (tuple(d["partition_by"]), order, d.get("hot_fraction", 0.01), d.get("buckets", 16))
         groups.setdefault(key, []).append((WinOut(d["func"], out, d.get("value"), int(d.get("preceding", 0)),
                                                   d.get("cast")), d))
+    probed: dict[tuple, list] = {}
     for (parts, order, frac, nb), outs in groups.items():
-        df = skew_safe_window(df, list(parts), list(order), [o for o, _ in outs], hot_fraction=frac, buckets=nb)
+        # groups over the same keys and share reuse one hot-key probe; the input rows are the same, since
+        # window outputs only add columns
+        if parts and (parts, frac) not in probed:
+            probed[(parts, frac)] = hot_keys(df, list(parts), frac)
+        df = skew_safe_window(df, list(parts), list(order), [o for o, _ in outs], hot_fraction=frac, buckets=nb,
+                              hot_rows=probed.get((parts, frac)))
     return df
