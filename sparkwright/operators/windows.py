@@ -222,8 +222,9 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
         tails = (local.filter(F.col("__hot") & (F.col("__rn") > F.col("__bsize") - p_))
                  .select(*keys, "__b", "__rn", F.expr(o.value).alias("__v")))
         per_key = tails.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__b", "__rn", "__v"))).alias("__t"))
-        buckets_of = tails.select(*keys, "__b").distinct()
-        carry = (buckets_of.join(per_key, keys)
+        buckets_of = tails.select(*keys, "__b").distinct().alias("__x")
+        carry = (buckets_of.join(per_key.alias("__y"), _null_safe_on(keys, "__x", "__y"))  # a hot key may be null
+                 .select(*[F.col(f"__x.{k}") for k in keys], F.col("__x.__b"), F.col("__y.__t"))
                  .withColumn("__prev", F.filter("__t", lambda x: x["__b"] < F.col("__b")))
                  .select(*keys, "__b", F.transform(F.slice("__prev", F.greatest(F.size("__prev") - p_ + 1, F.lit(1)),
                                                             p_), lambda x: x["__v"]).alias(f"__c_{o.output}")))

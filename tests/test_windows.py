@@ -116,3 +116,17 @@ def test_rows_sum_matches_plain(skewed_events, p):
     assert {k: v[0] for k, v in g.items()} == {k: v[0] for k, v in x.items()}
     assert all((a[1] is None) == (b[1] is None) and (a[1] is None or abs(a[1] - b[1]) < 1e-6)
                for a, b in ((g[k], x[k]) for k in g))
+
+
+def test_hot_null_key(spark):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    # half of the rows have a null user: the null key is the hot one
+    ev = ev.withColumn("user_id", F.when(F.col("event_id") % 2 == 0, F.lit(None)).otherwise(F.col("user_id")))
+    outs = [WinOut("row_number", "rn"), WinOut("rows_sum", "s3", "CAST(value AS DECIMAL(18,2))", preceding=2),
+            WinOut("lag", "lg", "value"), WinOut("dense_rank", "dr")]
+    got = skew_safe_window(ev, ["user_id"], [("ts", True), ("event_id", True)], outs, hot_fraction=0.05, buckets=8)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    want = ev.select("*", F.row_number().over(w).alias("rn"),
+                     F.sum(F.col("value").cast("decimal(18,2)")).over(w.rowsBetween(-2, 0)).alias("s3"),
+                     F.lag("value").over(w).alias("lg"), F.dense_rank().over(w).alias("dr"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
