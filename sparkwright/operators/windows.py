@@ -18,7 +18,7 @@ with a third of the rows is a straggler that AQE cannot split. Here:
    bound as step 1 times ``buckets``.
 
 The supported functions are ``row_number``, ``rank``, ``dense_rank``, the running sum (default RANGE
-frame), ``lag(x, 1)``, ``lead(x, 1)``, and the row count and the sum over a ``ROWS BETWEEN p PRECEDING AND
+frame), ``lag(x, k)``, ``lead(x, k)``, and the row count and the sum over a ``ROWS BETWEEN p PRECEDING AND
 CURRENT ROW`` frame. For the framed sum, the first p rows of a bucket add the last values of the earlier
 buckets, gathered from the bucket tails (at most p rows each). Peers (rows equal on the whole ordering) always share a bucket, so ranks need only the row count,
 or the distinct ordering values, of the earlier buckets. With no partition key the whole table is
@@ -44,6 +44,7 @@ class WinOut:
     value: str | None = None   # SQL expression summed / lagged
     preceding: int = 0         # rows_count / rows_sum: frame of `preceding` rows before the current one
     cast: str | None = None    # optional output type
+    offset: int = 1            # lag / lead: how many rows back or ahead
 
 
 def _order_cols(order_by: list[tuple[str, bool]]) -> list[Column]:
@@ -77,7 +78,7 @@ def _plain(df: DataFrame, w, outputs: list[WinOut]) -> DataFrame:
         elif o.func == "dense_rank":
             c = F.dense_rank().over(w)
         elif o.func == "lead":
-            c = F.lead(F.expr(o.value), 1).over(w)
+            c = F.lead(F.expr(o.value), o.offset).over(w)
         elif o.func == "rows_count":
             c = F.count(F.lit(1)).over(w.rowsBetween(-o.preceding, 0))
         elif o.func == "rows_sum":
@@ -85,7 +86,7 @@ def _plain(df: DataFrame, w, outputs: list[WinOut]) -> DataFrame:
         elif o.func == "running_sum":
             c = F.sum(F.expr(o.value)).over(w)
         else:
-            c = F.lag(F.expr(o.value), 1).over(w)
+            c = F.lag(F.expr(o.value), o.offset).over(w)
         cols.append((c.cast(o.cast) if o.cast else c).alias(o.output))
     return df.select("*", *cols)
 
@@ -109,7 +110,7 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
     input column replaces it in place, as ``withColumn`` does, after the window has read the old values."""
     taken = set(df.columns)
     if any(o.output in taken for o in outputs):
-        tmp = [WinOut(o.func, f"__out{i}", o.value, o.preceding, o.cast) for i, o in enumerate(outputs)]
+        tmp = [WinOut(o.func, f"__out{i}", o.value, o.preceding, o.cast, o.offset) for i, o in enumerate(outputs)]
         res = skew_safe_window(df, partition_by, order_by, tmp, hot_fraction, buckets, accuracy, hot_rows)
         for i, o in enumerate(outputs):
             res = res.withColumn(o.output, F.col(f"__out{i}"))
@@ -171,9 +172,9 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
         if o.func == "running_sum":
             local = local.withColumn(f"__sum_{o.output}", F.sum(F.expr(o.value)).over(w))
         elif o.func == "lag":
-            local = local.withColumn(f"__lag_{o.output}", F.lag(F.expr(o.value), 1).over(w))
+            local = local.withColumn(f"__lag_{o.output}", F.lag(F.expr(o.value), o.offset).over(w))
         elif o.func == "lead":
-            local = local.withColumn(f"__lead_{o.output}", F.lead(F.expr(o.value), 1).over(w))
+            local = local.withColumn(f"__lead_{o.output}", F.lead(F.expr(o.value), o.offset).over(w))
         elif o.func == "rank":
             local = local.withColumn(f"__rank_{o.output}", F.rank().over(w))
         elif o.func == "dense_rank":
@@ -181,7 +182,8 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
         elif o.func == "rows_sum":
             local = local.withColumn(f"__rsum_{o.output}", F.sum(F.expr(o.value)).over(w.rowsBetween(-o.preceding, 0)))
     frames = [o for o in outputs if o.func == "rows_sum"]
-    if frames:
+    far = [o for o in outputs if o.func in ("lag", "lead") and o.offset > 1]
+    if frames or far:
         local = local.withColumn("__bsize", F.count(F.lit(1)).over(Window.partitionBy(*keys, "__b")))
 
     # 4. per-(hot key, bucket) summary -> offsets, joined back by broadcast
@@ -231,6 +233,24 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
         out = (out.alias("__m").join(F.broadcast(carry.alias("__k")), _null_safe_on(keys + ["__b"], "__m", "__k"),
                                      "left")
                .select(*[F.col(f"__m.{c}") for c in out.columns], F.col(f"__k.__c_{o.output}")))
+    for o in far:
+        # lag k: the last k values of the earlier buckets; lead k: the first k values of the later ones
+        k_ = o.offset
+        edge = (F.col("__rn") > F.col("__bsize") - k_) if o.func == "lag" else (F.col("__rn") <= k_)
+        rows_ = (local.filter(F.col("__hot") & edge)
+                 .select(*keys, "__b", "__rn", F.expr(o.value).alias("__v")))
+        per_key = rows_.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__b", "__rn", "__v"))).alias("__t"))
+        bk = local.filter(F.col("__hot")).select(*keys, "__b").distinct().alias("__x")
+        picked = (F.filter("__t", lambda x: x["__b"] < F.col("__b")) if o.func == "lag"
+                  else F.filter("__t", lambda x: x["__b"] > F.col("__b")))
+        near = (F.slice(picked, F.greatest(F.size(picked) - k_ + 1, F.lit(1)), k_) if o.func == "lag"
+                else F.slice(picked, 1, k_))
+        carry_k = (bk.join(per_key.alias("__y"), _null_safe_on(keys, "__x", "__y"))
+                   .select(*[F.col(f"__x.{k}") for k in keys], F.col("__x.__b"),
+                           F.transform(near, lambda x: x["__v"]).alias(f"__k_{o.output}")))
+        out = (out.alias("__m").join(F.broadcast(carry_k.alias("__q")), _null_safe_on(keys + ["__b"], "__m", "__q"),
+                                     "left")
+               .select(*[F.col(f"__m.{c}") for c in out.columns], F.col(f"__q.__k_{o.output}")))
     rn = F.col("__rn") + F.coalesce(F.col("__off"), F.lit(0))
     for o in outputs:
         if o.func == "row_number":
@@ -242,6 +262,18 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
             carry = F.col(f"__osum_{o.output}")
             out = out.withColumn(o.output, F.when(carry.isNull(), local_sum).otherwise(
                 F.when(local_sum.isNull(), carry).otherwise(local_sum + carry)))
+        elif o.func == "lag" and o.offset > 1:
+            c = F.col(f"__k_{o.output}")
+            idx = F.size(c) - F.lit(o.offset) + F.col("__rn")      # position in the carried values, 1-based
+            from_carry = (F.col("__rn") <= o.offset) & c.isNotNull() & (idx >= 1)
+            out = out.withColumn(o.output, F.when(F.col("__rn") > o.offset, F.col(f"__lag_{o.output}"))
+                                 .when(from_carry, F.element_at(c, F.greatest(idx, F.lit(1)).cast("int"))))
+        elif o.func == "lead" and o.offset > 1:
+            c = F.col(f"__k_{o.output}")
+            idx = F.lit(o.offset) - (F.col("__bsize") - F.col("__rn"))   # how far past the bucket's end
+            from_carry = (idx >= 1) & c.isNotNull() & (idx <= F.size(c))
+            out = out.withColumn(o.output, F.when(idx < 1, F.col(f"__lead_{o.output}"))
+                                 .when(from_carry, F.element_at(c, F.greatest(idx, F.lit(1)).cast("int"))))
         elif o.func == "lag":
             out = out.withColumn(o.output, F.when(F.col("__rn") == 1, F.col(f"__carry_{o.output}"))
                                  .otherwise(F.col(f"__lag_{o.output}")))
@@ -284,7 +316,7 @@ def from_spec(df: DataFrame, entries: list[tuple[str, dict]]) -> DataFrame:
         order = tuple((c, str(dirn).lower() != "desc") for c, dirn in d["order_by"])
         key = (tuple(d["partition_by"]), order, d.get("hot_fraction", 0.01), d.get("buckets", 16))
         groups.setdefault(key, []).append((WinOut(d["func"], out, d.get("value"), int(d.get("preceding", 0)),
-                                                  d.get("cast")), d))
+                                                  d.get("cast"), int(d.get("offset", 1))), d))
     probed: dict[tuple, list] = {}
     for (parts, order, frac, nb), outs in groups.items():
         # groups over the same keys and share reuse one hot-key probe; the input rows are the same, since

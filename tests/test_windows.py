@@ -130,3 +130,13 @@ def test_hot_null_key(spark):
                      F.sum(F.col("value").cast("decimal(18,2)")).over(w.rowsBetween(-2, 0)).alias("s3"),
                      F.lag("value").over(w).alias("lg"), F.dense_rank().over(w).alias("dr"))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_lag_lead_with_offset(skewed_events, k):
+    outs = [WinOut("lag", "lg", "value", offset=k), WinOut("lead", "ld", "event_id", offset=k)]
+    got = skew_safe_window(skewed_events, ["user_id"], [("ts", True), ("event_id", True)], outs,
+                           hot_fraction=0.05, buckets=8)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    want = skewed_events.select("*", F.lag("value", k).over(w).alias("lg"), F.lead("event_id", k).over(w).alias("ld"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
