@@ -90,8 +90,8 @@ def parse_number_list(text: Column) -> Column:
     whole-stage codegen instead of evaluating a lambda per item.
     """
     t = F.coalesce(text, F.lit(""))
-    tidy = F.regexp_replace(F.regexp_replace(t, r"\s*,\s*", ","), r"^\s+|\s+$", "")
-    items = F.array_remove(F.split(tidy, ","), "")
+    # outer whitespace off, then split on commas with their surrounding whitespace: blank items become ""
+    items = F.array_remove(F.split(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\s*,\s*"), "")
     return F.when(list_has_bad_item(t), F.array(F.lit(DEFAULT_LIST_ITEM))).otherwise(
         items.cast("array<double>"))
 
