@@ -110,6 +110,13 @@ def job_padded_size(spark, sf_dir):
                     "padded_max_skew", "cores")
 
 
+def job_padded_last(spark, sf_dir):
+    """K5 with D22's option: short lists are extended with their last item instead of repeated whole."""
+    li = _lineitem(spark, sf_dir)
+    f = J.job_features(derived_jobs(li, padded=True), derived_job_tables(li, skew_safe=True), pad="last")
+    return f.select("job_id", "num_tables", "k_size", "padded_total_size")
+
+
 def job_spot_split(spark, sf_dir):
     """K9: spot percentage and the spot / on-demand split."""
     r = _recommend(spark, sf_dir, padded=True)
@@ -213,6 +220,7 @@ QUERIES = {
     "workload_type": workload_type,
     "job_sizing": job_sizing,
     "job_padded_size": job_padded_size,
+    "job_padded_last": job_padded_last,
     "job_spot_split": job_spot_split,
     "job_spark_conf": job_spark_conf,
     "job_advice": job_advice,
@@ -415,6 +423,15 @@ SELECT sizing_type AS workload_type, count(*) AS n_jobs, CAST(sum(cores) AS BIGI
 FROM r GROUP BY sizing_type""",
     "job_padded_size": _cte(True) + """
 SELECT job_id, num_tables, k_size, padded_total_size, padded_max_join, padded_max_xf, padded_max_skew, cores FROM r""",
+    "job_padded_last": _derived_sources(True) + """
+p AS (
+  SELECT jt.job_id, jobs.num_tables, count(size_gb) AS k_size,
+         CAST(CASE WHEN count(size_gb) < jobs.num_tables
+                   THEN sum(size_gb) + (jobs.num_tables - count(size_gb)) * arg_max(size_gb, pos)
+                   ELSE sum(size_gb) FILTER (WHERE pos < jobs.num_tables) END AS DECIMAL(38,4)) AS padded_total_size
+  FROM jt JOIN jobs ON jt.job_id = jobs.job_id
+  GROUP BY jt.job_id, jobs.num_tables)
+SELECT job_id, num_tables, k_size, padded_total_size FROM p""",
     "job_spot_split": _cte(True) + """
 SELECT job_id, use_spot, sla, workers, spot_pct, spot_workers, workers - coalesce(spot_workers, 0) AS on_demand_workers
 FROM r""",
