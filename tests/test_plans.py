@@ -89,3 +89,10 @@ def test_no_python_in_any_plan(at_scale):
             continue
         p = plan(at_scale, name)
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+@pytest.mark.parametrize("name", ["window_rank_hot", "window_frame_hot", "window_analytics"])
+def test_hot_windows_split_by_bucket(at_scale, name):
+    p = plan(at_scale, name)
+    # the window is partitioned by (key, bucket), so a hot key is several tasks
+    assert re.search(r"Window \[.*\], \[[a-z_]+#\d+L?, __b#\d+\]", p), p[:2000]
