@@ -1,9 +1,13 @@
 """The operators' queries by registered name, and their SQL where SQL can express them."""
 
-from sparkwright.llm import bpe
+from sparkwright.llm import bpe, html_text, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op7_warc": warc.op7_warc,
+    "op9_html": html_text.op9_html,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_warc": warc.SQL,
+}
