@@ -97,8 +97,8 @@ class Tables:
             strings[i] = t.encode() + b" "
         self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
         self.buffer = np.frombuffer(b"".join(strings), dtype=np.uint8)
-        self.word_ids = Remembered(self.encode_word, WORD_CACHE)
-        self.chunk_ids = Remembered(lambda chunk: [i for w in self.words.findall(chunk) for i in self.word_ids[w]], CHUNK_CACHE)
+        self.word_ids = common.Remembered(self.encode_word, WORD_CACHE)
+        self.chunk_ids = common.Remembered(lambda chunk: [i for w in self.words.findall(chunk) for i in self.word_ids[w]], CHUNK_CACHE)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' symbols in rank order leaves exactly these two tokens."""
@@ -212,22 +212,6 @@ class Tables:
         return b"".join(out)[:-1].decode()
 
 
-class Remembered(dict):
-    """Results of ``make`` for short keys seen before; emptied when it holds ``most``, so memory is bounded."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key: str):
-        value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
-        return value
-
-
 def _tables(spark: SparkSession, path: str):
     """A function that gives the tables on an executor; the file's bytes go there once, by broadcast."""
     with open(path, "rb") as f:

@@ -59,6 +59,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+class Remembered(dict):
+    """Results of ``make`` for short keys seen before; emptied when it holds ``most``, so memory is bounded."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for words seen before; emptied when it holds ``most`` of them."""
 

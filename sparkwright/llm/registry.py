@@ -1,10 +1,11 @@
 """The operators' queries by registered name, and their SQL where SQL can express them."""
 
-from sparkwright.llm import bpe, html_text, warc
+from sparkwright.llm import bpe, decontaminate, html_text, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op7_warc": warc.op7_warc,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_html": html_text.op9_html,
 }
 
