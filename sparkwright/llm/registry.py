@@ -1,9 +1,10 @@
 """The operators' queries by registered name, and their SQL where SQL can express them."""
 
-from sparkwright.llm import bpe, decontaminate, html_text, quality, warc
+from sparkwright.llm import bpe, decontaminate, html_text, minmax, quality, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_minhash": minmax.op3_minhash,
     "op4_quality": quality.op4_quality,
     "op7_warc": warc.op7_warc,
     "op8_decontaminate": decontaminate.op8_decontaminate,
