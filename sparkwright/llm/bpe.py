@@ -27,8 +27,8 @@ from sparkwright.llm import common
 
 common.ship(__name__)
 
-#: Words, and chunks between white space, whose ids a Python worker keeps.
-WORD_CACHE, CHUNK_CACHE = 400_000, 200_000
+#: Words and chunks between white space whose ids a Python worker keeps, and pairs of tokens it has judged.
+WORD_CACHE, CHUNK_CACHE, PAIR_CACHE = 200_000, 120_000, 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -97,15 +97,15 @@ class Tables:
             strings[i] = t.encode() + b" "
         self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
         self.buffer = np.frombuffer(b"".join(strings), dtype=np.uint8)
-        self.word_ids = common.Remembered(self.encode_word, WORD_CACHE)
-        self.chunk_ids = common.Remembered(lambda chunk: [i for w in self.words.findall(chunk) for i in self.word_ids[w]], CHUNK_CACHE)
+        self.word_ids = common.Remembered(lambda word: tuple(self.encode_word(word)), WORD_CACHE)
+        self.chunk_ids = common.Remembered(lambda chunk: tuple(i for w in self.words.findall(chunk) for i in self.word_ids[w]), CHUNK_CACHE)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' symbols in rank order leaves exactly these two tokens."""
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= 1_000_000:
+            if len(self.fits) > PAIR_CACHE:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
