@@ -43,12 +43,42 @@ def byte_symbols() -> list[str]:
     return table
 
 
+class Offsets:
+    """The decoding side of a tokenizer file: all token strings in one buffer, each followed by a space."""
+
+    def __init__(self, raw: bytes):
+        import numpy as np
+
+        spec = json.loads(raw)
+        named = [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]
+        self.size = 1 + max(i for _, i in named)
+        strings = [b""] * self.size
+        for t, i in named:
+            strings[i] = t.encode() + b" "
+        self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
+        self.buffer = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def decode(self, ids) -> str:
+        """Token strings joined by one space; ids outside the vocabulary are dropped."""
+        import numpy as np
+
+        ids = np.asarray(ids, dtype=np.int64)
+        ids = ids[(ids >= 0) & (ids < self.size)]
+        out = []
+        for at in range(0, len(ids), 100_000):
+            part = ids[at : at + 100_000]
+            start = self.offsets[part]
+            size = self.offsets[part + 1] - start
+            ends = np.cumsum(size)
+            out.append(self.buffer[np.repeat(start - (ends - size), size) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)[:-1].decode()
+
+
 class Tables:
-    """Vocabulary, merge tables and automaton of one tokenizer file (bounded by the vocabulary's size)."""
+    """The encoding side: vocabulary, merge tables and automaton (bounded by the vocabulary's size)."""
 
     def __init__(self, raw: bytes):
         import ahocorasick
-        import numpy as np
         import regex
 
         spec = json.loads(raw)
@@ -92,11 +122,6 @@ class Tables:
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
 
-        strings = [b""] * self.size
-        for t, i in [*vocab.items(), *self.specials.items()]:
-            strings[i] = t.encode() + b" "
-        self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
-        self.buffer = np.frombuffer(b"".join(strings), dtype=np.uint8)
         self.word_ids = common.Remembered(lambda word: tuple(self.encode_word(word)), WORD_CACHE)
         self.chunk_ids = common.Remembered(lambda chunk: tuple(i for w in self.words.findall(chunk) for i in self.word_ids[w]), CHUNK_CACHE)
 
@@ -196,35 +221,20 @@ class Tables:
         text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
-    def decode(self, ids) -> str:
-        """Token strings joined by one space; ids outside the vocabulary are dropped."""
-        import numpy as np
-
-        ids = np.asarray(ids, dtype=np.int64)
-        ids = ids[(ids >= 0) & (ids < self.size)]
-        out = []
-        for at in range(0, len(ids), 100_000):
-            part = ids[at : at + 100_000]
-            start = self.offsets[part]
-            size = self.offsets[part + 1] - start
-            ends = np.cumsum(size)
-            out.append(self.buffer[np.repeat(start - (ends - size), size) + np.arange(ends[-1])].tobytes())
-        return b"".join(out)[:-1].decode()
-
 
-def _tables(spark: SparkSession, path: str):
-    """A function that gives the tables on an executor; the file's bytes go there once, by broadcast."""
+def _tables(spark: SparkSession, path: str, kind: type):
+    """A function that gives tables of a kind on an executor; the file's bytes go there once, by broadcast."""
     with open(path, "rb") as f:
         raw = f.read()
-    sent, key = spark.sparkContext.broadcast(raw), "bpe:" + hashlib.sha256(raw).hexdigest()
-    return lambda: common.per_process(key, lambda: Tables(sent.value))
+    sent, key = spark.sparkContext.broadcast(raw), f"{kind.__name__}:{hashlib.sha256(raw).hexdigest()}"
+    return lambda: common.per_process(key, lambda: kind(sent.value))
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """Add ``out``: the ids of each text (array<int>, never null)."""
     import pyarrow as pa
 
-    tables = _tables(df.sparkSession, path)
+    tables = _tables(df.sparkSession, path, Tables)
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
@@ -245,7 +255,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     """Add ``out``: the decoded text of each array of ids (null ids: empty text)."""
     import pyarrow as pa
 
-    tables = _tables(df.sparkSession, path)
+    tables = _tables(df.sparkSession, path, Offsets)
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
