@@ -1,12 +1,13 @@
 """The operators' queries by registered name, and their SQL where SQL can express them."""
 
-from sparkwright.llm import bpe, decontaminate, html_text, interpolation, minmax, pii, quality, warc
+from sparkwright.llm import bpe, decontaminate, fingerprint, html_text, interpolation, minmax, pii, quality, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_pii": pii.op2_pii,
     "op3_minhash": minmax.op3_minhash,
     "op4_quality": quality.op4_quality,
+    "op5_fingerprint": fingerprint.op5_fingerprint,
     "op7_warc": warc.op7_warc,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_html": html_text.op9_html,
