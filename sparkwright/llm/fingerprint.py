@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from sparkwright.llm import common
 
 K, TUPLE, FUNCTIONS, REACH = 2, 2, 48, 8
+#: Ranges of the id; their bounds are one literal. Beyond it buckets grow, and their sorts spill.
+MOST_BUCKETS = 100_000
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -39,13 +41,15 @@ def signatures(texts: DataFrame, group: list[str]) -> DataFrame:
     w = F.col("w")
     padded = [F.slice(w, i + 1, F.size(w)) if i else w for i in range(K)]
     kmers = texts.select(*group, F.size(w).alias("n"), F.posexplode(F.arrays_zip(*[p.alias(f"w{i}") for i, p in enumerate(padded)])).alias("at", "kmer"))
-    kmers = kmers.select(*group, "n", "at", F.xxhash64(*[F.col(f"kmer.w{i}") for i in range(K)]).alias("kmer"))
-    number = F.row_number().over(Window.partitionBy(*group, "kmer").orderBy("at"))
-    kmers = kmers.withColumn("what", F.xxhash64("kmer", number)).drop("kmer")
-    limit = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(REACH)) / F.col("n"))
+    # narrow rows: n and at share a column
+    both = F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")
+    kmers = kmers.select(*group, both.alias("n_at"), F.xxhash64(*[F.col(f"kmer.w{i}") for i in range(K)]).alias("kmer"))
+    number = F.row_number().over(Window.partitionBy(*group, "kmer").orderBy("n_at"))
+    kmers = kmers.select(*group, "n_at", F.xxhash64("kmer", number).alias("what"))
+    limit = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(REACH)) / F.shiftright("n_at", 32))
     values = [F.xxhash64(F.col("what"), F.lit(j)) for j in range(FUNCTIONS)]
     near = kmers.withColumn("limit", limit).where(F.least(*values).cast("double") <= F.col("limit"))
-    each = near.select(*group, "at", "what", "limit", F.posexplode(F.array(*values)).alias("j", "value"))
+    each = near.select(*group, F.col("n_at").bitwiseAND(0x7FFFFFFF).alias("at"), "what", "limit", F.posexplode(F.array(*values)).alias("j", "value"))
     each = each.where(F.col("value").cast("double") <= F.col("limit")).drop("limit")
     rank = F.row_number().over(Window.partitionBy(*group, "j").orderBy("value", "at"))
     least = each.withColumn("rank", rank).where(F.col("rank") <= TUPLE)
@@ -59,17 +63,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(FUNCTIONS))
 
 
+def cuts_below(cuts: Column, n: int, value: Column) -> Column:
+    """How many of the n sorted cuts are below the value, by bisection."""
+    def halve(state, _):
+        middle = F.shiftright(state["low"] + state["high"], 1)
+        below = (state["low"] < state["high"]) & (F.get(cuts, middle) < value)
+        return F.struct(F.when(below, middle + 1).otherwise(state["low"]).alias("low"),
+                        F.when(below | (state["low"] >= state["high"]), state["high"]).otherwise(middle).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.lit(n.bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), halve, lambda s: s["low"])
+
+
 def in_ranges(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
     """bucket, copy (0, or 1 for a row that also stands after another bucket's last), id, mark, text."""
     rows = docs.select(F.col(id_col).alias("id"), common.text_or_empty(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
-    n = max(1, math.ceil(size / bucket_bytes))
+    n = max(1, min(MOST_BUCKETS, math.ceil(size / bucket_bytes)))
     cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 100 * n).alias("c")).first().c if n > 1 else None
     cuts = sorted(set(cuts or []))  # as many as buckets
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    bucket = F.size(F.filter(bounds, lambda b: b < F.col("id"))) if cuts else F.lit(0)
+    bucket = cuts_below(F.lit(cuts), len(cuts), F.col("id")) if cuts else F.lit(0)
     # a null id: before the bucket of the least ids
-    rows = rows.withColumns({"bucket": F.when(F.col("id").isNull(), F.lit(-1)).otherwise(bucket), "mark": F.xxhash64("text")})
+    rows = rows.withColumns({"bucket": F.coalesce(F.when(F.col("id").isNull(), F.lit(-1)).otherwise(bucket), F.lit(0)), "mark": F.xxhash64("text")})
     tops = sorted(rows.groupBy("bucket").agg(F.max(F.struct("id", "mark")).alias("top")).collect())  # one row a bucket
     edges = [(tops[k].top.id, tops[k].top.mark, tops[(k + 1) % len(tops)].bucket) for k in range(len(tops))]
     if not edges:
@@ -78,10 +93,11 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) ->
     first = docs.sparkSession.createDataFrame(edges, f"__id {kind}, __mark long, __after int")
     hits = rows.join(F.broadcast(first), rows["id"].eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
     copies = hits.select("id", "text", F.col("__after").alias("bucket"), "mark").dropDuplicates(["bucket"]).withColumn("copy", F.lit(1))
-    return rows.withColumn("copy", F.lit(0)).unionByName(copies)
+    # as many partitions as buckets, so that sorts of the k-mers stay small
+    return rows.withColumn("copy", F.lit(0)).unionByName(copies).repartition(n, "bucket")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 6_000_000,
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 2_000_000,
                  keep: dict[str, Column] | None = None) -> DataFrame:
     """id, fingerprint and edited_fingerprint (hex), near_edited, near_next of each row, and the columns of ``keep``:
     expressions over text and edited (by default the edited text)."""
