@@ -93,6 +93,7 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) ->
     first = docs.sparkSession.createDataFrame(edges, f"__id {kind}, __mark long, __after int")
     hits = rows.join(F.broadcast(first), rows["id"].eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
     copies = hits.select("id", "text", F.col("__after").alias("bucket"), "mark").dropDuplicates(["bucket"]).withColumn("copy", F.lit(1))
+    copies = common.written(copies, "next_rows")  # one row a bucket
     # as many partitions as buckets, so that sorts of the k-mers stay small
     return rows.withColumn("copy", F.lit(0)).unionByName(copies).repartition(n, "bucket")
 

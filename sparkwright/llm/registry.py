@@ -1,6 +1,6 @@
 """The operators' queries by registered name, and their SQL where SQL can express them."""
 
-from sparkwright.llm import bpe, decontaminate, fingerprint, html_text, interpolation, minmax, pii, quality, warc
+from sparkwright.llm import bpe, decontaminate, fingerprint, html_text, interpolation, minmax, pii, quality, repeats, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_minhash": minmax.op3_minhash,
     "op4_quality": quality.op4_quality,
     "op5_fingerprint": fingerprint.op5_fingerprint,
+    "op6_repeats": repeats.op6_repeats,
     "op7_warc": warc.op7_warc,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_html": html_text.op9_html,
