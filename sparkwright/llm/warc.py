@@ -116,7 +116,7 @@ def member(buf, at: int) -> tuple[bytes | None, int]:
 
 def parse_archive(buf: bytes):
     """(start, end, record or None, reason) for each record and each gap, in file order; they cover the whole file."""
-    at, gap, why, magic = 0, None, "", re.compile(rb"(?:(?<=\n)|\A)WARC/[0-9]|\x1f\x8b\x08")
+    at, gap, why, magic = 0, None, "", re.compile(rb"WARC/[0-9]|\x1f\x8b\x08")  # a cut record may end anywhere
     while at < len(buf):
         found, end, reason = [], at, "no record header"
         if buf.startswith(b"\x1f\x8b\x08", at):
