@@ -70,7 +70,8 @@ NUMBER_RE = rf"^{NUMBER}$"
 # A whole list is good when every comma-separated item is blank or a number (whitespace around items allowed).
 GOOD_LIST_RE = rf"^\s*(?:{NUMBER}\s*)?(?:,\s*(?:{NUMBER}\s*)?)*$"   # unambiguous: no backtracking blow-up
 
-SIZE = "decimal(18,4)"
+# Sizes keep ten decimals and eighteen digits before the point; a sum of 1e10 of them still fits decimal(38,10).
+SIZE = "decimal(28,10)"
 
 
 # ---------------------------------------------------------------------------------------------------------
@@ -140,45 +141,32 @@ def _padded_max(col: str, n: Column, k: Column) -> Column:
 def job_features(jobs: DataFrame, job_tables: DataFrame, pad: str = "repeat") -> DataFrame:
     """Per job: list statistics as given (K2) and after padding to ``num_tables`` (K5).
 
-    Size statistics are exact decimals. The population variance is exact too, computed from integer sums
-    and rounded half up to cents. The rule ``var_pop(size) > 10000`` is then evaluated exactly as
-    ``k*sum(x^2) - sum(x)^2 > 10000*k^2``.
+    Size sums are exact decimals. The population variance is computed in doubles, as its squares have no bound
+    that a decimal could hold; the rule ``var_pop(size) > 10000`` is evaluated on it.
     """
     jt = job_tables.select("job_id", "pos", F.col("size_gb").cast(SIZE).alias("size_gb"),
                            F.col("join_cx").cast("double").alias("join_cx"),
                            F.col("xf_cx").cast("double").alias("xf_cx"),
                            F.col("skew").cast("double").alias("skew"))
-    # sizes as exact integers in units of 1e-4 GB, for the variance (decimal(38,0) keeps every digit)
-    units = (F.col("size_gb") * F.lit(10000)).cast("decimal(20,0)")
     n = F.col("num_tables")
     ks, kj, kx, kk = (F.count(c) for c in ("size_gb", "join_cx", "xf_cx", "skew"))
     agg = (jt.join(jobs.select("job_id", "num_tables"), "job_id", "inner")
            .groupBy("job_id", "num_tables")
            .agg(ks.alias("k_size"), kj.alias("k_join"), kx.alias("k_xf"), kk.alias("k_skew"),
-                F.sum("size_gb").cast("decimal(38,4)").alias("total_size"),
-                F.avg("size_gb").cast("decimal(38,8)").alias("avg_size"),
+                F.sum("size_gb").cast("decimal(38,10)").alias("total_size"),
+                F.avg("size_gb").cast("decimal(38,10)").alias("avg_size"),
                 F.max("size_gb").alias("max_size"),
-                F.sum(units).cast("decimal(20,0)").alias("_sx"),
-                F.sum(units * units).cast("decimal(38,0)").alias("_sxx"),
+                F.var_pop(F.col("size_gb").cast("double")).alias("_var"),
                 F.avg("join_cx").alias("avg_join"), F.max("join_cx").alias("max_join"),
                 F.avg("xf_cx").alias("avg_xf"), F.max("xf_cx").alias("max_xf"),
                 F.avg("skew").alias("avg_skew"), F.max("skew").alias("max_skew"),
-                _padded_sum("size_gb", n, ks, pad).cast("decimal(38,4)").alias("padded_total_size"),
+                _padded_sum("size_gb", n, ks, pad).cast("decimal(38,10)").alias("padded_total_size"),
                 _padded_max("join_cx", n, kj).alias("padded_max_join"),
                 _padded_max("xf_cx", n, kx).alias("padded_max_xf"),
                 _padded_max("skew", n, kk).alias("padded_max_skew"))
            .drop("num_tables"))
-    # population variance, exactly: var = (k*sum(X^2) - sum(X)^2) / k^2 in units of 1e-8 GB^2
-    k = F.col("k_size")
-    num = (k.cast("decimal(10,0)") * F.col("_sxx")).cast("decimal(38,0)") - \
-        (F.col("_sx") * F.col("_sx")).cast("decimal(38,0)")
-    k2e6 = (k * k * F.lit(1000000)).cast("decimal(20,0)")
-    # cents of the variance, rounded half up: (2*num + d) div (2*d) with d = k^2 * 1e6 (exact integer division)
-    agg = (agg.withColumn("_num", num).withColumn("_d", k2e6)
-              .withColumn("var_size", F.when(k > 0, (F.expr("(_num * 2 + _d) div (_d * 2)").cast("decimal(20,0)")
-                                                     * F.lit(0.01).cast("decimal(2,2)")).cast("decimal(38,2)")))
-              .withColumn("var_over_10000", F.col("_num") > (F.col("_d") * F.lit(1000000)).cast("decimal(38,0)"))
-              .drop("_num", "_d", "_sx", "_sxx"))
+    agg = (agg.withColumn("var_size", F.col("_var").try_cast("decimal(38,2)")).withColumn("var_over_10000", F.col("_var") > 10000)
+              .drop("_var"))
     out = jobs.join(agg, "job_id", "left")
     counts = ["k_size", "k_join", "k_xf", "k_skew"]
     return out.fillna(0, subset=counts).withColumn(
@@ -247,9 +235,11 @@ def sizing_columns(c: DataFrame, gb_per_core: int = GB_PER_CORE) -> DataFrame:
     """
     wtype = F.coalesce(F.col("workload_type"), F.col("computed_type"))
     total = F.col("padded_total_size")
-    # decimal(24,4) / int keeps every digit of the quotient, so ceil() sees the exact value
-    cores = F.greatest(F.lit(MIN_CORES),
-                       F.ceil(total.cast("decimal(24,4)") / F.lit(gb_per_core)).cast("bigint"))
+    # exact ceiling: the whole quotient, and one more if a remainder is left
+    left = total % F.lit(gb_per_core)
+    whole = ((total - left) / F.lit(gb_per_core)).cast("bigint")
+    whole = F.when(left > 0, whole + 1).otherwise(whole)
+    cores = F.greatest(F.lit(MIN_CORES), whole)
     workers = F.greatest(F.lit(MIN_WORKERS), F.ceil(F.col("cores") / F.lit(INSTANCE_CORES)).cast("bigint"))
     spot_pct = (F.when(~F.col("use_spot"), F.lit(0))
                  .when(F.col("sla"), F.lit(SPOT_PCT_SLA)).otherwise(F.lit(SPOT_PCT_NO_SLA)))

@@ -67,12 +67,17 @@ def _recommend(spark: SparkSession, sf_dir: str, padded: bool) -> DataFrame:
 # Spark queries
 # ---------------------------------------------------------------------------------------------------------
 
+def _as(name, kind):
+    """The library keeps ten decimals; the derived sizes have four, which the queries report."""
+    return F.col(name).cast(kind).alias(name)
+
+
 def job_features(spark, sf_dir):
     """K2: list statistics as given, per derived job."""
     li = _lineitem(spark, sf_dir)
     f = J.job_features(derived_jobs(li), derived_job_tables(li))
-    return f.select("job_id", "num_tables", "k_size", "total_size", "avg_size", "max_size",
-                    F.col("var_size").cast("decimal(38,2)").alias("var_size"), "var_over_10000",
+    return f.select("job_id", "num_tables", "k_size", _as("total_size", "decimal(38,4)"), _as("avg_size", "decimal(38,8)"),
+                    _as("max_size", "decimal(18,4)"), F.col("var_size").cast("decimal(38,2)").alias("var_size"), "var_over_10000",
                     "avg_join", "max_join", "avg_xf", "max_xf", "avg_skew", "max_skew")
 
 
@@ -93,7 +98,7 @@ def workload_type(spark, sf_dir):
 def job_sizing(spark, sf_dir):
     """Cores, instance family, workers and autoscale bounds per derived job."""
     r = _recommend(spark, sf_dir, padded=False)
-    return r.select("job_id", "sizing_type", "padded_total_size", "cores", "instance_type", "instance_cores",
+    return r.select("job_id", "sizing_type", _as("padded_total_size", "decimal(38,4)"), "cores", "instance_type", "instance_cores",
                     "instance_memory_gb", "workers", "min_instances", "max_instances", "scale_out_step",
                     "scale_in_step", "cooldown_seconds", "max_execution_seconds")
 
@@ -106,7 +111,7 @@ def fleet_summary(spark, sf_dir):
 def job_padded_size(spark, sf_dir):
     """K5: lists padded (whole list repeated) or cut to num_tables."""
     r = _recommend(spark, sf_dir, padded=True)
-    return r.select("job_id", "num_tables", "k_size", "padded_total_size", "padded_max_join", "padded_max_xf",
+    return r.select("job_id", "num_tables", "k_size", _as("padded_total_size", "decimal(38,4)"), "padded_max_join", "padded_max_xf",
                     "padded_max_skew", "cores")
 
 
@@ -114,7 +119,7 @@ def job_padded_last(spark, sf_dir):
     """K5 with D22's option: short lists are extended with their last item instead of repeated whole."""
     li = _lineitem(spark, sf_dir)
     f = J.job_features(derived_jobs(li, padded=True), derived_job_tables(li, skew_safe=True), pad="last")
-    return f.select("job_id", "num_tables", "k_size", "padded_total_size")
+    return f.select("job_id", "num_tables", "k_size", _as("padded_total_size", "decimal(38,4)"))
 
 
 def job_spot_split(spark, sf_dir):
@@ -184,7 +189,7 @@ def job_text_recommend(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
     r = J.recommend_from_text(order_descriptors(orders))
     return r.select("job_id", "status", F.col("computed_type").alias("computed_type"), "sizing_type",
-                    "padded_total_size", "cores", "workers", "spot_workers", "on_demand_workers",
+                    _as("padded_total_size", "decimal(38,4)"), "cores", "workers", "spot_workers", "on_demand_workers",
                     F.col("spark_conf").getItem("spark.sql.adaptive.skewJoin.skewedPartitionFactor")
                     .alias("skew_factor"), F.size("advice").cast("int").alias("n_advice"))
 

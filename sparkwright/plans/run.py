@@ -46,7 +46,7 @@ def build_frame(spark: SparkSession, spec: dict | str | JobSpec, resolver: Resol
             chain = chain.self_join(j.left_alias, j.right_alias, j.conditions)
         else:
             right = frames[j.right_table]
-            if j.strategy == "salted" and j.type in ("right", "full", "right_outer", "full_outer", "outer"):
+            if j.strategy == "salted" and spark_join_type(j.type) in ("right", "full"):
                 opts = dict(j.salt or {})
                 chain = chain.join_salted_outer(right, j.right_table, spark_join_type(j.type),
                                                 opts["left_keys"], opts["right_keys"], salts=int(opts.get("salts", 8)),

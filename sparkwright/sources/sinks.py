@@ -42,11 +42,17 @@ def preview(df: DataFrame, n: int = 20, order_by: list[str] | None = None) -> Da
     return df.limit(n)
 
 
-def with_static_partitions(df: DataFrame, partitions: list[tuple[str, str | None]]) -> DataFrame:
-    """Each ``column=value`` pair becomes a string literal column."""
+def with_static_partitions(df: DataFrame, partitions: list[tuple[str, str | None]],
+                           types: dict[str, str] | None = None) -> DataFrame:
+    """Each ``column=value`` pair becomes a literal column (D13, D14), of the type that ``types`` names, else a
+    string. A column that the rows already have is an error, as in ``INSERT .. PARTITION``: the literal would
+    overwrite its values."""
+    have = {c.lower() for c in df.columns}
     for col, val in partitions:
         if val is not None:
-            df = df.withColumn(col, F.lit(val).cast("string"))
+            if col.lower() in have:
+                raise ValueError(f"static partition column {col!r} is already a column of the rows")
+            df = df.withColumn(col, F.lit(val).cast((types or {}).get(col.lower(), "string")))
     return df
 
 
@@ -59,7 +65,9 @@ def write(df: DataFrame, target: Target) -> str:
     spark = df.sparkSession
     if target.mode not in WRITE_MODES:
         raise ValueError(f"write mode must be one of {WRITE_MODES}, not {target.mode!r}")
-    df = with_static_partitions(df, target.partitions)
+    # an existing table says what type its partition columns have
+    known = {c.lower(): t for c, t in spark.read.table(target.qualified).dtypes} if table_exists(spark, target.qualified) else {}
+    df = with_static_partitions(df, target.partitions, known)
     part_cols = [c for c, _ in target.partitions]
     dynamic = [c for c, v in target.partitions if v is None]
     if target.rebalance or (target.rebalance is None and dynamic):

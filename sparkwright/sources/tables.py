@@ -6,6 +6,7 @@ into the Parquet scan (``PushedFilters``) and prunes the columns nobody reads (`
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,5 +56,8 @@ def subquery(spark: SparkSession, text: str, frames: Mapping[str, DataFrame] | N
     """
     frames = dict(frames or {})
     used = {k: v for k, v in frames.items() if "{" + k + "}" in text}
+    if used:  # any other brace is text of the query, such as a count in a pattern
+        parts = re.split("(" + "|".join(re.escape("{" + k + "}") for k in used) + ")", text)
+        text = "".join(p if i % 2 else p.replace("{", "{{").replace("}", "}}") for i, p in enumerate(parts))
     df = spark.sql(text, **used) if used else spark.sql(text)
     return df.alias(alias) if alias else df

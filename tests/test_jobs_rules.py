@@ -148,3 +148,20 @@ def test_variance_is_exact_and_rounded_half_up(spark):
     got = [r.var_size for r in _classify(spark, rows)]
     # 10000 exactly; 0.25; 14/9 = 1.5555.. -> 1.56; 2.5e-9 -> 0.00; a single item -> 0
     assert got == [Decimal("10000.00"), Decimal("0.25"), Decimal("1.56"), Decimal("0.00"), Decimal("0.00")]
+
+
+def test_sizes_are_not_rounded_and_large_ones_fit(spark):
+    """256.00001 GB needs a third core; a 1e15 GB table is a job like any other; many rows do not overflow."""
+    from pyspark.sql import functions as F
+
+    jobs = spark.createDataFrame([(k, 1, 1, 1, False, False, False, None) for k in (1, 2, 3, 4)],
+                                 "job_id long, num_tables int, recency int, frequency int, use_spot boolean, sla boolean, auto_terminate boolean, workload_type string")
+    text = spark.createDataFrame([(1, "256.00001", "1", "1", "1"), (2, "500.00001", "1", "1", "1"), (3, "1e15", "1", "1", "1")],
+                                 "job_id long, table_sizes string, join_complexities string, transformation_complexities string, data_skews string")
+    many = spark.range(3_200_000).select(F.lit(4).cast("long").alias("job_id"), F.col("id").cast("int").alias("pos"), F.lit(1).cast(J.SIZE).alias("size_gb"),
+                                         F.lit(1.0).alias("join_cx"), F.lit(1.0).alias("xf_cx"), F.lit(1.0).alias("skew"))
+    tables = J.lists_to_long(text).unionByName(many)
+    got = {r.job_id: r for r in J.recommend(jobs, tables).collect()}
+    assert got[1].cores == 3 and got[3].cores == 7_812_500_000_000
+    assert (got[2].score_ml, got[2].score_caching) == (4, 0)
+    assert got[4].status == "ok" and got[4].k_size == 3_200_000

@@ -247,3 +247,28 @@ def test_band_join_auto_width(spark):
     s = spark.read.parquet(f"{SF_SMALL}/supplier.parquet")
     want = p.alias("x").join(s.alias("y"), F.expr("y.s_acctbal BETWEEN x.p_retailprice AND x.p_retailprice + 250"))
     assert _rows(df) == _rows(want)
+
+
+def test_static_partition_never_replaces_a_column(spark):
+    from sparkwright.sources.sinks import with_static_partitions
+
+    df = spark.createDataFrame([(1, "F"), (2, "O")], "k int, status string")
+    with pytest.raises(ValueError, match="already a column"):
+        with_static_partitions(df, [("Status", "F")])
+    assert with_static_partitions(df, [("batch", "7")], {"batch": "int"}).dtypes[-1] == ("batch", "int")
+
+
+def test_append_to_a_typed_partition(spark):
+    from sparkwright.sources.sinks import Target, create_table, write
+
+    create_table(spark, "typed_part", "k INT, batch INT", partitioned_by=["batch"])
+    write(spark.createDataFrame([(1,), (2,)], "k int"), Target(table="typed_part", mode="append", partitions=[("batch", "7")]))
+    assert sorted(map(tuple, spark.read.table("typed_part").collect())) == [(1, 7), (2, 7)]
+    spark.sql("DROP TABLE typed_part")
+
+
+def test_subquery_text_with_literal_braces(spark):
+    from sparkwright.sources.tables import subquery
+
+    df = spark.createDataFrame([("ab",), ("a",)], "v string")
+    assert [r.v for r in subquery(spark, "SELECT v FROM {t} WHERE v RLIKE '^.{2}$'", {"t": df}).collect()] == ["ab"]
