@@ -30,6 +30,8 @@ common.ship(__name__)
 
 BANDS, ROWS = 28, 6
 SMALL, HUBS = 8, 4
+#: Classes whose texts are sought by broadcast (some 40 bytes each); a shuffled join beyond it.
+MOST_BROADCAST = 100_000
 
 
 def shingle_set(text: str, words_of, size: int):
@@ -109,6 +111,9 @@ def set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, sh
         return pa.StructArray.from_arrays([pa.array([node_of(v) for v in values], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], ["node", "items"])
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t"))
+    wanted = common.written(wanted, "wanted")
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
     rows = rows.join(wanted, rows["__id"].eqNullSafe(wanted["rep"])).select("node", sets.asNondeterministic()("t").alias("s"))
     # a repeated id brings rows of other classes, which are left out here
     rows = rows.where(F.col("node") == F.col("s.node")).select("node", F.col("s.items").alias("items"))
@@ -205,8 +210,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component, that of the smallest id; columns as in ``docs``. A repeated row stays once."""
     found = link(docs, id_col, text_col, **options)
-    kept = found.where(F.col("__id").eqNullSafe(F.col("component"))).select(F.col("__id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col, text_col])
+    # a key that is never null, so that the join and the removal of repeated rows share one shuffle of the texts
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    kept = found.where(F.col("__id").eqNullSafe(F.col("component"))).select(name("__id").alias("__key")).distinct()
+    return docs.withColumn("__key", name(id_col)).join(kept, "__key", "left_semi").dropDuplicates(["__key", text_col]).drop("__key")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,9 +162,9 @@ def test_quality_probabilities_sum_to_one(spark):
 
     rng = random.Random(6)
     sample = spark.createDataFrame([("en", prose(rng, 50), False) for _ in range(60)], "lang string, text string, held boolean")
-    for _, logp in quality.train(sample, 50).values():
+    for _, logp in quality.train(sample, 50).values():  # float16
         total = np.exp(logp.astype(np.float64)).reshape(quality.ALPHABET, quality.ALPHABET, quality.ALPHABET).sum(2)
-        assert np.allclose(total, 1, atol=1e-3)
+        assert np.allclose(total, 1, atol=1e-2)
 
 
 def test_fingerprints(spark, docs, empty):
