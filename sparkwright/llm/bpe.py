@@ -28,7 +28,7 @@ from sparkwright.llm import common
 common.ship(__name__)
 
 #: Words and chunks between white space whose ids a Python worker keeps, and pairs of tokens it has judged.
-WORD_CACHE, CHUNK_CACHE, PAIR_CACHE = 200_000, 120_000, 100_000
+WORD_CACHE, CHUNK_CACHE, PAIR_CACHE = 140_000, 80_000, 60_000
 
 
 def byte_symbols() -> list[str]:

@@ -78,7 +78,7 @@ class Remembered(dict):
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for words seen before; emptied when it holds ``most`` of them."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 120_000):
         super().__init__()
         self.most = most
 

@@ -98,7 +98,7 @@ class Seeds:
             h, k, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
             self.seeds[mask] = (h[order], k[order], at[order])
-        self.chunk_ids = common.Remembered(lambda chunk: tuple(self.vocab.get(w, 0) for w in word_list(chunk)), 200_000)
+        self.chunk_ids = common.Remembered(lambda chunk: tuple(self.vocab.get(w, 0) for w in word_list(chunk)), 80_000)
 
     def leaks(self, texts: list[str | None], batch_words: int = 200_000):
         """The leaks of each text; texts are looked up together, some ``batch_words`` words at a time."""
