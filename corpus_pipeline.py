@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    return minmax.drop_near_duplicates(docs)
+    """Of each group of near duplicates (likeness 0.8 of their word shingles) the document of the smallest id stays."""
+    return minmax.drop_near_duplicates(docs, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct word shingles. Each of the permutations gives two signature values,
 the least and the greatest hash, so half as many permutations are evaluated as the signature has values; both are
 unbiased. Bands of ``ROWS`` values make bucket keys. With 28 bands of 6 values two sets of likeness 0.85 miss each
-other in all bands with a chance of 2 in a million.
+other in all bands with a chance of 2 in a million, two of likeness 0.8 (the pipeline's bound) with one of 2 in 10,000.
 
 Equal sets are one class from the start, so copies cost nothing further. Within buckets:
 1. buckets of up to ``SMALL`` classes compare all their classes; larger ones compare each class with about ``HUBS``

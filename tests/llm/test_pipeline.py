@@ -1,11 +1,13 @@
 """The pipeline's decisions on a small corpus with planted cases, and its edge cases."""
 
 import random
+import re
 
 import corpus_pipeline
-from sparkwright.llm import registry
+import pytest
+from sparkwright.llm import bpe, registry
 
-from test_operators import prose  # noqa: E402
+from test_operators import PLAIN, prose, shingles  # noqa: E402
 
 
 def planted(spark, folder):
@@ -41,3 +43,43 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
 
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def likeness(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def test_run_equals_brute_force_with_near_copies_from_80_percent(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    planted(spark, tmp_path)
+    folder = tmp_path / "near"
+    folder.mkdir()
+    for table in ("labels", "benchmark"):
+        (folder / f"{table}.parquet").symlink_to(tmp_path / f"{table}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    near = []
+    for r in docs.where("doc_id < 40").orderBy("doc_id").collect():
+        words = r.text.split()  # 56 shingles; likenesses of 51, 50 and 49 common ones: 0.836, 0.806, 0.778
+        words[3 if r.doc_id % 3 == 0 else 4] = "changed"
+        words[-2 if r.doc_id % 3 == 2 else -1] = "altered"
+        near.append((700 + r.doc_id, " ".join(words), "en", "s", 0))
+    docs.unionByName(spark.createDataFrame(near, docs.schema)).write.parquet(f"{folder}/documents.parquet")
+
+    given = corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{folder}/documents.parquet"), str(folder)).collect()
+    between = [(r.doc_id - 700, r.doc_id) for r in given if 700 <= r.doc_id]
+    texts = {r.doc_id: r.text for r in given}
+    assert sum(a in texts and 0.8 <= likeness(texts[a], texts[b]) < 0.85 for a, b in between) >= 10
+    sets, root = {k: shingles(t) for k, t in texts.items()}, {k: k for k in texts}
+    for b in sorted(texts):
+        for a in sorted(texts):
+            if a < b and sets[a] & sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    masked = {k: texts[k] for k, v in root.items() if k == v and not any(x in (texts[k] or "") for x in items)}
+    for kind, pattern, ok in PLAIN:
+        masked = {k: t and re.sub(pattern, lambda m: f"<{kind.upper()}>" if ok(m[0]) else m[0], t) for k, t in masked.items()}
+    reference = tokenizers.Tokenizer.from_file(bpe.default_path())
+    want = {k: (t, reference.encode(t or "", add_special_tokens=False).ids) for k, t in masked.items()}
+    got = {r.doc_id: (r.text, r.ids) for r in corpus_pipeline.run(spark, str(folder)).collect()}
+    assert got == want
