@@ -3,12 +3,14 @@
 Base spans come from fixed patterns with checks (addresses of mail and network, payment cards, telephone numbers). They
 are the seeds of a bootstrap over the whole corpus:
 
-1. the cue before a seed (its two last tokens, lower case, digits as 0, ending in a sign such as a colon, equals sign,
-   quote or bracket) is a lexical pattern; identifier-like tokens outside the seeds are candidates with such cues too;
-2. patterns and instances form a graph, counted by aggregation. In every round a pattern's confidence is the summed
-   confidence of its instances over their number plus ``doubt``, and an unknown instance gets the confidence of its
-   best pattern; seeds stay at 1;
-3. patterns with ``support`` distinct seeds and the confidence ``accept`` mark the candidates after them.
+1. the one to three tokens before a mention and the one or two after it (lower case, digits as 0, whatever signs they
+   hold) are its cues, each a lexical pattern; identifier-like tokens outside the seeds are candidates with cues too;
+2. patterns and instances form a graph, counted by aggregation. A pattern's support is the summed confidence of its
+   distinct instances, known and discovered, and its confidence is the support over their number plus ``doubt``.
+   Patterns with the support ``support`` and the confidence ``accept`` are accepted, which keeps vague cues out; an
+   unknown instance gets the confidence of its best accepted pattern, seeds stay at 1;
+3. this is repeated until no pattern is added and the confidences stand still (they never fall, so accepted patterns
+   stay so and the rounds end); the accepted patterns mark the candidates beside them.
 
 The graph holds only mentions, each round's tables are written under the shared folder, and hot patterns are
 pre-aggregated (their joins are ones that AQE splits). Offsets are code points, ends exclusive.
@@ -31,8 +33,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: Identifier-like: at least six signs, four of them digits.
 CANDIDATE = r"(?<![A-Za-z0-9@._%+-])(?=(?:[A-Za-z@._%+-]*+[0-9]){4})[A-Za-z0-9@._%+-]{6,}+"
-#: What stands before a mention, and the signs a cue ends in.
-CUE_CHARS, CUE = 48, r"(?:\S+\s+)?\S*[:=#\"'(<\[]\s*$"
+#: So many characters beside a mention are looked at; the tokens that are cues before and after it.
+CUE_CHARS = 48
+BEFORE = [r"\S+\s*$"] + [rf"(?<!\S)(?:\S+\s+){{{n}}}\S+\s*$" for n in (1, 2)]
+AFTER = [r"^\s*\S+", r"^\s*\S+\s+\S+"]
+#: The rounds end when all confidences together rise by less.
+SETTLED = 0.001
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -84,51 +90,57 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[spans(text, k) for k in KINDS])
 
 
-def cue_before(text: Column, start: Column) -> Column:
-    left = F.substring(text, F.greatest(start - CUE_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CUE_CHARS)))
-    cue = F.regexp_extract(F.lower(left), CUE, 0)
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.trim(cue), r"\s+", " "), "[0-9]", "0"), F.lit(""))
+def cues(text: Column, start: Column, end: Column) -> Column:
+    """array<string>: the tokens before and after a mention, the mention's place as a tilde."""
+    left = F.lower(F.substring(text, F.greatest(start - CUE_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CUE_CHARS))))
+    right = F.lower(F.substring(text, end + 1, F.lit(CUE_CHARS)))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", " "), "[0-9]", "0")
+    found = [F.concat(F.nullif(plain(F.regexp_extract(left, p, 0)), F.lit("")), F.lit(" ~")) for p in BEFORE]
+    found += [F.concat(F.lit("~ "), F.nullif(plain(F.regexp_extract(right, p, 0)), F.lit(""))) for p in AFTER]
+    return F.array_distinct(F.array_compact(F.array(*found)))
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, id, base, seen: all base spans, and every mention with its instance and cue (kind null: a candidate)."""
+    """key, id, base, seen: all base spans, and every mention with its instance and cues (kind null: a candidate)."""
     rows = docs.select(common.row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), common.text_or_empty(text_col).alias("t"))
     rows = rows.withColumn("base", base_spans(F.col("t")))
     inside = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     rows = rows.withColumn("other", F.filter(spans(F.col("t"), "candidate"), lambda c: ~inside(c)))
     name = lambda s: F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"])
     told = lambda spans_, kind: F.transform(spans_, lambda s: F.struct(
-        kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(name(s)).alias("instance"), cue_before(F.col("t"), s["start"]).alias("cue")))
+        kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(name(s)).alias("instance"), cues(F.col("t"), s["start"], s["end"]).alias("cues")))
     seen = F.concat(told("base", lambda s: s["kind"]), told("other", lambda s: F.lit(None).cast("string")))
-    return rows.select("key", "id", "base", F.filter(seen, lambda m: m["cue"].isNotNull()).alias("seen"))
+    return rows.select("key", "id", "base", F.filter(seen, lambda m: F.size(m["cues"]) > 0).alias("seen"))
 
 
-def learned_patterns(found: DataFrame, rounds: int, accept: float, support: int, doubt: float) -> DataFrame:
+def learned_patterns(found: DataFrame, accept: float, support: int, doubt: float) -> DataFrame:
     """cue, confidence of the accepted patterns."""
-    each = found.select(F.explode("seen").alias("m")).select("m.cue", "m.instance", "m.kind")
+    each = found.select(F.explode("seen").alias("m")).select(F.explode("m.cues").alias("cue"), "m.instance", "m.kind")
     edges = common.written(each.groupBy("cue", "instance").agg(F.max("kind").alias("kind")), "pii_edges")
     # an instance that is a seed anywhere is one everywhere
     nodes = edges.groupBy("instance").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).alias("seed"))
-    scores = nodes.withColumn("conf", F.col("seed"))
-    patterns = None
-    for _ in range(rounds):
+    scores, total = nodes.withColumn("conf", F.col("seed")), 0.0
+    while True:
         told = edges.join(scores, "instance")
-        patterns = told.groupBy("cue").agg(
-            (F.sum("conf") / (F.count(F.lit(1)) + doubt)).alias("confidence"), F.sum("seed").alias("seeds"))
-        patterns = common.written(patterns.where(F.col("seeds") >= support), "pii_patterns")
+        patterns = told.groupBy("cue").agg(F.sum("conf").alias("support"), F.count(F.lit(1)).alias("n"))
+        patterns = patterns.select("cue", "support", (F.col("support") / (F.col("n") + doubt)).alias("confidence"))
+        patterns = common.written(patterns.where((F.col("support") >= support) & (F.col("confidence") >= accept)), "pii_patterns")
+        # a new pattern adds at least ``accept`` to the sum
+        before, total = total, patterns.agg(F.sum("confidence")).first()[0] or 0.0
+        if total - before < SETTLED:
+            return patterns.select("cue", "confidence")
         best = edges.join(patterns, "cue").groupBy("instance").agg(F.max("confidence").alias("best"))
         scores = common.written(nodes.join(best, "instance", "left").select(
             "instance", "seed", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("conf")), "pii_instances")
-    return patterns.where(F.col("confidence") >= accept).select("cue", "confidence")
 
 
-def discover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, accept: float = 0.8,
+def discover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.8,
              support: int = 5, doubt: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(key, id, base spans of each row; key, more spans of the rows where the bootstrap found some)."""
     found = common.written(mentions(docs, id_col, text_col), "pii_mentions")
-    patterns = learned_patterns(found, rounds, accept, support, doubt)
+    patterns = learned_patterns(found, accept, support, doubt)
     told = found.select("key", F.explode("seen").alias("m")).where("m.kind IS NULL")
-    hits = told.select("key", "m.cue", "m.start", "m.end").join(patterns, "cue")
+    hits = told.select("key", F.explode("m.cues").alias("cue"), "m.start", "m.end").join(patterns, "cue")
     # a row's spans, which its text bounds; rows of one key repeat the same spans
     more = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end"))).alias("more"))
     return found.drop("seen"), more

@@ -95,6 +95,22 @@ def test_pii_learns_cues_and_masks(spark):
     assert masked[90] == "please write contact: <CONTEXT> today" and masked[0] == "please write contact: <EMAIL> today" and masked[92] is None
 
 
+def test_pii_learns_cues_of_prose_and_goes_on_from_what_it_found(spark):
+    rng = random.Random(9)
+    noise = iter(rng.sample(range(10**6), 900))
+    word = lambda: f"w{''.join(rng.choice('abcdefgh') for _ in range(6))}"
+    told = lambda cue, x: f"{word()} {word()} {cue} {x} {word()} {word()}"
+    codes = [f"kx-{1000 + i}-{i}" for i in range(30)]
+    rows = [told("my phone is", f"+1 (499) 555-{6000 + i}") for i in range(60)]  # seeds
+    rows += [told("my phone is", x) for x in codes[:12]]  # found by the cue of the seeds
+    rows += [told("account number", x) for x in [*codes[:12], "kx-5555-1"]]  # no seed: only found instances support it
+    rows += [told("since the", f"{next(noise):06d}") for _ in range(40)] + [told("since the", "+1 (499) 555-6001")]  # vague
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.id: [s.kind for s in r.spans] for r in pii.find(frame).collect()}
+    assert all(found[i] == ["context"] for i in range(60, 85)) and all(found[i] == [] for i in range(85, 125))
+    assert found[0] == found[125] == ["phone"]
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
