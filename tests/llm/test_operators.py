@@ -183,6 +183,43 @@ def test_quality_probabilities_sum_to_one(spark):
         assert np.allclose(total, 1, atol=1e-2)
 
 
+def test_quality_every_character_and_language_counts(spark, monkeypatch):
+    import numpy as np
+
+    assert quality.even_quota([5, 100, 1000], 205) == 100 and quality.even_quota([3, 4], 50) == 4
+    rng = random.Random(12)
+    words = ["".join(chr(0x4E00 + rng.randrange(400)) for _ in range(2)) for _ in range(300)]
+    rows = [("zh", "".join(rng.choice(words) for _ in range(60)), i % 5 == 0) for i in range(300)]
+    sample = spark.createDataFrame(rows, "lang string, text string, held boolean")
+    model = quality.train(sample, 50)["zh"]
+    assert model[0]["size"] > 300
+    monkeypatch.setattr(quality, "DENSE", 0)
+    slow = quality.train(sample, 50)["zh"]
+    mean = lambda m, t: float(quality.log_probabilities(m, quality.signs_of(t, m[0]["table"], 2)).astype(float).mean())
+    text = rows[0][1]
+    assert slow[1] is None and mean(model, text) == mean(slow, text)
+    # the same rare characters in no known order are far less likely: they are no common sign
+    assert mean(model, text) > mean(model, "".join(rng.sample(text, len(text)))) + 1
+    every = np.arange(model[0]["size"])
+    context = quality.signs_of(text[:2], model[0]["table"], 0)[:2]
+    after = quality.log_probabilities(model, np.array([*context, 0]))
+    whole = sum(math.exp(quality.log_probabilities(model, np.array([*context, c]))[0]) for c in every)
+    assert len(after) == 1 and abs(whole - 1) < 1e-2
+
+
+def test_quality_threshold_is_the_quantile_and_small_languages_keep_their_labels(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 60), "en" if i < 2000 else "xx", 1, 0) for i in range(2100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int, toxic int")
+    labels = frame.select("doc_id", "quality", "toxic")
+    sample = quality.trusted_sample(frame, labels, "doc_id", "text", "lang", 600)
+    assert sample.where("lang = 'xx'").count() == 100 and 400 <= sample.where("lang = 'en'").count() <= 600
+    got = quality.classify(frame, labels, prior_chars=0, sample_labels=5000)
+    held = got.where("lang = 'en' AND pmod(xxhash64('held', cast(doc_id AS string)), 5) = 0")
+    bound, threshold = held.agg(F.percentile("perplexity", 0.99), F.max("threshold")).first()
+    assert abs(bound - threshold) < 1e-9
+
+
 def test_fingerprints(spark, docs, empty):
     got = fingerprint.fingerprints(docs, bucket_bytes=3000, keep={"text": F.col("text"), "edited": F.col("edited")}).collect()
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
