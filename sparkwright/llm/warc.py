@@ -4,11 +4,14 @@ Writing. One record a page; Spark's text sink writes the records (the record sep
 separator), so its commit protocol covers lost tasks and executors. Of records with equal payloads of at least
 ``min_bytes`` bytes the one with the smallest id is the response, the others are revisits of it.
 
-Reading. Each archive is one row of Spark's binary source (archives of up to 2 GB; ``records_per_file`` bounds those
-written here). A record must have a version line, a full header, a right length, its closing CRLF CRLF and, if it
+Archives have at most ``records_per_file`` records and some ``archive_bytes`` bytes (a larger record has an archive of its
+own): records of about equal size are written together, with as few to an archive as their size allows.
+
+Reading. Each archive is one row of Spark's binary source, which takes up to 2 GB. A record must have a version line, a full header, a right length, its closing CRLF CRLF and, if it
 states one, a right SHA-256 digest. Compressed archives hold one gzip member a record. After a failed check the reader
 looks for the next version line or member that passes every check, goes on there, and returns the bytes in between as
-a quarantined gap; no other record is lost.
+a quarantined gap; no other record is lost. Within a readable member that holds several records a bad one is passed over in
+the same way; a damaged member is lost as a whole.
 
 Defined results: null payload counts as empty; a null id or URL is written without value and read back as null; of
 repeated rows with the smallest id every one is a response; line breaks in a URL are percent-coded; an empty table
@@ -30,8 +33,10 @@ common.ship(__name__)
 ENDS = b"\r\n\r\n"
 #: Digests with copies are broadcast up to so many (some 100 bytes each); a shuffled join beyond it.
 MOST_BROADCAST = 100_000
-#: Longest header that is looked at.
-HEADER_BYTES = 65_536
+#: The version line that a record begins with.
+VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+[ \t]*\r\n")
+#: Record sizes are told apart by this factor; what a header has at most besides id and URL.
+SIZE_STEP, HEADER_REST = 16, 1_000
 
 READ_SCHEMA = ("file string, start long, end long, gap string, record_type string, record_id string, url string, "
                "refers_to string, payload_digest string, payload_length long, payload binary")
@@ -52,8 +57,17 @@ def classify(df: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
 
 
 def write_archives(df: DataFrame, where: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                   min_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
+                   min_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000,
+                   archive_bytes: int = 1 << 30) -> None:
     """Write a WARC record for each row of ``df`` to archives under ``where`` (any path that Spark can write)."""
+    # a bound of the record's bytes (line breaks in a URL take three); the first class is whatever fits records_per_file
+    bound = (F.coalesce(F.octet_length(F.col(payload_col).cast("string")), F.lit(0)).cast("long") + HEADER_REST
+             + 3 * F.coalesce(F.octet_length(F.col(url_col).cast("string")), F.lit(0)).cast("long")
+             + 2 * F.coalesce(F.octet_length(F.col(id_col).cast("string")), F.lit(0)).cast("long"))
+    largest = df.select(F.max(bound)).first()[0] or 0
+    tops = [max(1, archive_bytes // records_per_file)]
+    while tops[-1] < largest:
+        tops.append(tops[-1] * SIZE_STEP)
     rows = classify(df, id_col, url_col, payload_col, min_bytes)
     named = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))  # noqa: E731  null: no line
@@ -68,26 +82,34 @@ def write_archives(df: DataFrame, where: str, id_col: str = "page_id", url_col:
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, "0").otherwise(F.col("n_bytes").cast("string"))), F.lit("\r\n"),
         F.when(~revisit, F.col("payload")))
-    (rows.select(record.alias("value")).write.option("lineSep", ENDS.decode())
-     .option("maxRecordsPerFile", records_per_file).text(where))
+    made = F.octet_length("value")
+    for low, top in zip([-1, *tops[:-1]], tops, strict=True):
+        part = rows.select(record.alias("value"))
+        part = part.where(made + 4 > low) if low >= 0 else part  # with the separator
+        part = part.where(made + 4 <= top) if top < tops[-1] else part
+        (part.write.mode("append" if low >= 0 else "errorifexists").option("lineSep", ENDS.decode())
+         .option("maxRecordsPerFile", max(1, min(records_per_file, archive_bytes // top))).text(where))
 
 
 def parse_record(buf, at: int) -> tuple[dict | None, str, int]:
     """The record that starts at ``at`` (None if a check fails), why it failed, and where it ends."""
-    head_end = buf.find(ENDS, at, at + HEADER_BYTES)
-    if not buf.startswith(b"WARC/", at) or head_end < 0:
+    version = VERSION.match(buf, at)
+    if not version:
         return None, "no record header", at
-    lines = bytes(buf[at:head_end]).decode("utf-8", "replace").split("\r\n")
-    head = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
+    head, pos = {}, version.end()
+    while not buf.startswith(b"\r\n", pos):  # however long the header is; a line that is none, as another version line, ends it
+        line_end = buf.find(b"\r\n", pos)
+        if line_end < 0:
+            return None, "no record header", at
+        name, colon, value = bytes(buf[pos:line_end]).decode("utf-8", "replace").partition(":")
         if not colon:
             return None, "bad header line", at
         head[name.strip().lower()] = value.strip()
+        pos = line_end + 2
     size = head.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", size):
         return None, "no length", at
-    begin = head_end + 4
+    begin = pos + 2
     end = begin + int(size)
     if end > len(buf):
         return None, "truncated", at
@@ -114,29 +136,27 @@ def member(buf, at: int) -> tuple[bytes | None, int]:
     return b"".join(out), min(pos, len(buf)) - len(inflate.unused_data)
 
 
-def parse_archive(buf: bytes):
-    """(start, end, record or None, reason) for each record and each gap, in file order; they cover the whole file."""
-    at, gap, why, magic = 0, None, "", re.compile(rb"WARC/[0-9]|\x1f\x8b\x08")  # a cut record may end anywhere
+def parse_archive(buf: bytes, packed: bool = True):
+    """(start, end, record or None, reason) for each record and each gap, in file order; they cover the whole file.
+    What a gzip member (looked for if ``packed``) holds has the member's place."""
+    at, gap, why, magic = 0, None, "", re.compile(rb"WARC/[0-9]|\x1f\x8b\x08" if packed else rb"WARC/[0-9]")  # a cut record may end anywhere
     while at < len(buf):
         found, end, reason = [], at, "no record header"
-        if buf.startswith(b"\x1f\x8b\x08", at):
+        if packed and buf.startswith(b"\x1f\x8b\x08", at):
             inner, end = member(buf, at)
-            reason, pos = "damaged member", 0
-            while inner is not None and pos < len(inner):
-                head, reason, pos = parse_record(inner, pos)
-                if head is None:
-                    found, inner = [], None
-                else:
-                    found.append(head)
+            reason = "damaged member"
+            found = [(head, said) for _, _, head, said in parse_archive(inner, False)] if inner is not None else []
+            if not any(head for head, _ in found):
+                reason, found = found[0][1] if found else reason, []
         elif buf.startswith(b"WARC/", at):
             head, reason, end = parse_record(buf, at)
-            found = [head] if head else []
+            found = [(head, "")] if head else []
         if found:
             if gap is not None:
                 yield gap, at, None, why
                 gap = None
-            for head in found:
-                yield at, end, head, ""
+            for head, said in found:
+                yield at, end, head, said
             at = end
             continue
         if gap is None:

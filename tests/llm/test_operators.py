@@ -307,6 +307,29 @@ def test_warc_salvages_every_undamaged_record(zipped):
         assert covered[0][0] == 0 and covered[-1][1] == len(raw) and all(x[1] == y[0] for x, y in zip(covered, covered[1:]))
 
 
+def test_warc_takes_long_headers_and_large_pages(spark, tmp_path):
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    pages = [(0, "data:" + "x" * 200_000, "page of a long URL")] + [(i, f"http://{i}/", text((300, 5_000, 30_000)[i % 3])) for i in range(1, 60)]
+    where = tmp_path / "w"
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(where), records_per_file=100, archive_bytes=100_000)
+    got = {r.record_id: r for r in warc.read_archives(spark, str(where)).collect()}
+    assert len(got) == 60 and all(r.gap is None for r in got.values())
+    assert all(got[str(i)].url == url and bytes(got[str(i)].payload).decode() == html for i, url, html in pages)
+    sizes = sorted(p.stat().st_size for p in where.glob("part-*"))
+    assert sizes[-1] > 200_000 >= 100_000 >= sizes[-2]
+
+
+def test_warc_salvages_within_a_member():
+    import gzip
+
+    parts = [record(i, b"body %d " % i * 20, "0" * 64 if i == 2 else None) for i in range(5)]
+    raw = gzip.compress(b"".join(parts)) + gzip.compress(record(9, b"next"))
+    found = list(warc.parse_archive(raw))
+    assert [h["warc-record-id"] for _, _, h, _ in found if h] == [f"<urn:page:{i}>" for i in (0, 1, 3, 4, 9)]
+    assert [why for _, _, h, why in found if not h] == ["wrong digest"] and found[0][0] == 0 and found[-1][1] == len(raw)
+
+
 def test_leaks_with_substitutions(spark, docs, empty):
     rng = random.Random(2)
     items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(30))) for i in range(12)] + [(50, None), (51, "a b"), (52, "short item of six words here")]
