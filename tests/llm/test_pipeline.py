@@ -60,8 +60,8 @@ def test_run_equals_brute_force_with_near_copies_from_80_percent(spark, tmp_path
     near = []
     for r in docs.where("doc_id < 40").orderBy("doc_id").collect():
         words = r.text.split()  # 56 shingles; likenesses of 51, 50 and 49 common ones: 0.836, 0.806, 0.778
-        words[3 if r.doc_id % 3 == 0 else 4] = "changed"
-        words[-2 if r.doc_id % 3 == 2 else -1] = "altered"
+        words[3 if r.doc_id % 3 == 0 else 4] = "kappa"
+        words[-2 if r.doc_id % 3 == 2 else -1] = "lambda"
         near.append((700 + r.doc_id, " ".join(words), "en", "s", 0))
     docs.unionByName(spark.createDataFrame(near, docs.schema)).write.parquet(f"{folder}/documents.parquet")
 
