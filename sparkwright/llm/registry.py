@@ -1,6 +1,6 @@
 """The operators' queries by registered name, and their SQL where SQL can express them."""
 
-from sparkwright.llm import bpe, decontaminate, fingerprint, html_text, interpolation, minmax, pii, quality, repeats, warc
+from sparkwright.llm import bpe, decontaminate, fingerprint, html_text, interpolation, merkle, minmax, pii, quality, repeats, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,8 +13,10 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_html": html_text.op9_html,
     "op10_interpolation": interpolation.op10_interpolation,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 SQL: dict[str, str] = {
     "op7_warc": warc.SQL,
+    "op11_merkle": merkle.SQL,
 }
