@@ -223,6 +223,7 @@ class Manifest:
 
 def manifest(rows: DataFrame, order: list[str], height: int = HEIGHT) -> Manifest:
     """Trees over rows (tree, digest, the ``order`` columns and any to be kept)."""
+    rows = common.written(rows, "hashed")  # finding the ranges and dealing by them read the hashes, not the texts
     leaves = common.written(place(rows, [*order, "digest"]), "leaves")
     stages = build(leaves.select("tree", "pos", "total", "digest"), height)
     roots = finished(stages, height)
