@@ -1,6 +1,6 @@
 """The operators' queries by registered name, and their SQL where SQL can express them."""
 
-from sparkwright.llm import bpe, decontaminate, fingerprint, html_text, interpolation, merkle, minmax, pii, quality, repeats, warc
+from sparkwright.llm import bpe, decontaminate, fingerprint, html_text, interpolation, merkle, minmax, pii, quality, repeats, simhash, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_html": html_text.op9_html,
     "op10_interpolation": interpolation.op10_interpolation,
     "op11_merkle": merkle.op11_merkle,
+    "op12_simhash": simhash.op12_simhash,
 }
 
 SQL: dict[str, str] = {
