@@ -1,6 +1,6 @@
 """The operators' queries by registered name, and their SQL where SQL can express them."""
 
-from sparkwright.llm import bpe, decontaminate, fingerprint, html_text, interpolation, merkle, minmax, pii, quality, repeats, simhash, warc
+from sparkwright.llm import bpe, decontaminate, fingerprint, html_text, interpolation, merkle, minmax, pii, quality, repeats, simhash, warc, whitening
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_interpolation": interpolation.op10_interpolation,
     "op11_merkle": merkle.op11_merkle,
     "op12_simhash": simhash.op12_simhash,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 SQL: dict[str, str] = {
