@@ -75,25 +75,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def near(classes: DataFrame, radius: int = 4, small: int = SMALL) -> DataFrame:
     """fp, root (the least fingerprint reachable by links) for every fingerprint that has a link; classes: distinct fp."""
-    rows, links, roots = classes.select("fp", F.lit(0).cast("long").alias("mask"), F.col("fp").alias("root")), None, None
+    rows, roots = classes.select("fp", F.lit(0).cast("long").alias("mask"), F.col("fp").alias("root")), None
     alike = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
     for depth in range(len(FAMILIES)):
         masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius, depth)])
         rows = rows.withColumn("mask", F.explode(F.transform(masks, lambda m: m.bitwiseOR(F.col("mask")))))
         rows = rows.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
-        # only buckets that several components share; further families may reach the same bucket by several ways
-        torn = F.min("root") < F.max("root")
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("fp").alias("hub"), torn.alias("torn")).where("torn").drop("torn")
-        rows = common.written(rows.join(sizes, "bucket"), "buckets")
+        # only buckets that several components share
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("fp", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
+        rows = common.written(rows.join(sizes.where("low < high").drop("low", "high"), "bucket"), "buckets")
         last = depth + 1 == len(FAMILIES)  # so few bits are free there that buckets are small in any case
         few = rows if last else rows.where(F.col("m") <= small)
-        a, b = few.select("bucket", F.col("fp").alias("a"), F.col("root").alias("ra")), few.select("bucket", F.col("fp").alias("b"), F.col("root").alias("rb"))
-        pairs = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike("a", "b")).select("a", "b")
+        left, right = few.select("bucket", F.col("fp").alias("x"), F.col("root").alias("a")), few.select("bucket", F.col("fp").alias("y"), F.col("root").alias("b"))
+        links = left.join(right, "bucket").where((F.col("x") < F.col("y")) & (F.col("a") != F.col("b")) & alike("x", "y")).select("a", "b")
         large = rows.where(F.col("m") > small)
-        hubs = large.where((F.col("fp") != F.col("hub")) & alike("fp", "hub")).select(F.col("hub").alias("a"), F.col("fp").alias("b"))
-        found = pairs if last else pairs.unionByName(hubs)
-        links = common.written((found if links is None else links.unionByName(found)).distinct(), "near")
-        roots = common.written(components(links), "roots")
+        if not last:
+            links = links.unionByName(large.where((F.col("hub.root") != F.col("root")) & alike("fp", "hub.fp")).select(F.col("hub.root").alias("a"), F.col("root").alias("b")))
+        merged = components(links)  # of the components so far
+        if roots is None:
+            roots = common.written(merged, "roots")
+        else:
+            newer = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
+            joined = roots.join(newer, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+            roots = common.written(joined.unionByName(merged.join(roots, "node", "left_anti").select("node", "root")), "roots")
         if last or large.limit(1).count() == 0:
             return roots
         # the larger buckets that still hold several components
@@ -101,6 +105,8 @@ def near(classes: DataFrame, radius: int = 4, small: int = SMALL) -> DataFrame:
         large = large.select("bucket", "fp", "mask", F.coalesce("root", "fp").alias("root"))
         several = large.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("torn")).where("torn").select("bucket")
         rows = common.written(large.join(several, "bucket").select("fp", "mask", "root").distinct(), "torn")
+        if rows.limit(1).count() == 0:
+            return roots
     return roots
 
 
