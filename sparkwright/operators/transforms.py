@@ -13,6 +13,8 @@ Then, as one lazy step:
 * keys and aggregates          -> ``groupBy(keys).agg(...)`` (A1-A9)
 * keys only                    -> ``select(keys).distinct()`` (D3)
 * aggregates only              -> global ``agg`` (A10, D5)
+* ``group by cube(a, b)``, ``rollup(a, b)`` or ``grouping sets ((a, b), (a), ())`` with aggregates -> the lattice of
+  :mod:`.lattice`, one pass over the rows, with ``grouping_id`` (A11)
 * select items                 -> ``selectExpr`` (F2), later items may name earlier ones (F4)
 * columns only                 -> ``withColumns``, all input columns stay (F3, W2)
 
@@ -28,6 +30,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lattice import cube_sets, grouping_sets, measure_of, rollup_sets
+
 KINDS = ("group", "agg", "select", "column")
 
 _GROUP_RE = re.compile(r"^\s*group\s+by\s+(.*)$", re.IGNORECASE | re.DOTALL)
@@ -89,6 +93,27 @@ def classify(t: Transformation) -> str:
     return "select"
 
 
+_SETS_RE = re.compile(r"^\s*(cube|rollup|grouping\s+sets)\s*\((.*)\)\s*$", re.IGNORECASE | re.DOTALL)
+
+
+def grouping_sets_of(keys: list[str]) -> tuple[list[str], list[list[str]]] | None:
+    """Keys and sets of a single ``cube(..)``, ``rollup(..)`` or ``grouping sets (..)`` entry; None for plain keys."""
+    m = _SETS_RE.match(keys[0]) if len(keys) == 1 else None
+    if not m:
+        if any(_SETS_RE.match(k) for k in keys):
+            raise ValueError("a cube, rollup or grouping sets entry stands alone")
+        return None
+    items = split_top_level(m.group(2))
+    kind = m.group(1).lower()
+    if kind == "cube":
+        return items, [list(s) for s in cube_sets(items)]
+    if kind == "rollup":
+        return items, [list(s) for s in rollup_sets(items)]
+    sets = [split_top_level(i[1:-1]) if i.startswith("(") and i.endswith(")") else [i] for i in items]
+    # "()" is the set without keys; split_top_level drops blanks only inside a part
+    return list(dict.fromkeys(k for s in sets for k in s)), sets
+
+
 def group_keys(expression: str) -> list[str]:
     m = _GROUP_RE.match(expression)
     return split_top_level(m.group(1) if m else expression)
@@ -101,8 +126,12 @@ def only_adds_columns(entries: list[Transformation | dict]) -> bool:
     return bool(roles) and all(r in ("column", "window") for r in roles)
 
 
-def apply_transformations(df: DataFrame, entries: list[Transformation | dict]) -> DataFrame:
+def apply_transformations(df: DataFrame, entries: list[Transformation | dict], having: str | None = None) -> DataFrame:
+    """``having``: SQL text over the output of group keys and aggregates."""
     ts = [as_transformation(e) for e in entries]
+    having = having.strip() if having else None
+    if having and not any(classify(t) in ("group", "agg") for t in ts):
+        raise ValueError("having needs group keys or aggregates")
     if not ts:
         return df
     roles = [(classify(t), t) for t in ts]
@@ -119,13 +148,21 @@ def apply_transformations(df: DataFrame, entries: list[Transformation | dict]) -
         dropped = [t.output_column or t.expression for t in selects + columns]
         if dropped:
             raise ValueError(f"cannot combine group keys/aggregates with select or column entries: {dropped}")
+        lattice = grouping_sets_of(keys) if keys else None
+        if lattice:
+            unnamed = [t.expression for t in aggs if not t.output_column]
+            if unnamed or not aggs:
+                raise ValueError(f"grouping sets need aggregates with an output_column: {unnamed}")
+            return grouping_sets(df, *lattice, [measure_of(t.output_column, t.expression) for t in aggs], having)
         agg_cols = [F.expr(t.expression).alias(t.output_column) if t.output_column else F.expr(t.expression)
                     for t in aggs]
         if keys and agg_cols:
-            return df.groupBy(*[F.expr(k) for k in keys]).agg(*agg_cols)
-        if keys:
-            return df.select(*[F.expr(k) for k in keys]).distinct()
-        return df.agg(*agg_cols)
+            out = df.groupBy(*[F.expr(k) for k in keys]).agg(*agg_cols)
+        elif keys:
+            out = df.select(*[F.expr(k) for k in keys]).distinct()
+        else:
+            out = df.agg(*agg_cols)
+        return out.filter(F.expr(having)) if having else out
     if selects and columns:
         raise ValueError(f"cannot combine select items with added columns: {[t.output_column for t in columns]}")
     if selects:

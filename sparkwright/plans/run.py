@@ -75,7 +75,7 @@ def build_frame(spark: SparkSession, spec: dict | str | JobSpec, resolver: Resol
         chain = Chain(df, chain.cols)
     if js.transformations:
         before = df.columns
-        df = apply_transformations(df, js.transformations)
+        df = apply_transformations(df, js.transformations, js.having)
         if only_adds_columns(js.transformations):
             # every input column stays: keep their origins, the new columns are unqualified
             added = [("", c) for c in df.columns[len(before):]]

@@ -50,6 +50,7 @@ class JobSpec:
     target: Target | None = None
     preview: int | None = None
     settings: list[str] = field(default_factory=list)
+    having: str | None = None   # over the output of group keys and aggregates
 
 
 def _load(v: Any) -> Any:
@@ -164,4 +165,5 @@ def parse_spec(spec: dict | str) -> JobSpec:
     if isinstance(settings, str):
         settings = settings.splitlines()
     return JobSpec(tables=tables, joins=joins, predicates=spec.get("predicates") or None,
-                   transformations=trans, target=target, preview=spec.get("preview"), settings=list(settings))
+                   transformations=trans, target=target, preview=spec.get("preview"), settings=list(settings),
+                   having=spec.get("having") or None)
