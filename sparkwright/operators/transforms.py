@@ -172,9 +172,15 @@ def apply_transformations(df: DataFrame, entries: list[Transformation | dict], h
         raise ValueError(f"added columns need an output_column: {unnamed}")
     # in the written order, so a later entry may read an earlier one; consecutive skew-safe windows
     # that share partitioning and ordering run as one window
+    from .range_frames import from_spec as range_from_spec
     from .windows import from_spec
     batch: list[tuple[str, dict]] = []
     for t in columns:
+        if t.skew_safe and t.skew_safe.get("func") == "range":
+            if batch:
+                df, batch = from_spec(df, batch), []
+            df = range_from_spec(df, t.output_column, t.skew_safe)
+            continue
         if t.skew_safe:
             batch.append((t.output_column, t.skew_safe))
             continue

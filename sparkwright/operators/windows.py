@@ -11,6 +11,9 @@ with a third of the rows is a straggler that AQE cannot split. Here:
    table, so recomputed tasks bucket every row the same way. A row's bucket is the number of split points
    it passes. Buckets follow the ordering and keep equal values together, so ties and peers
    never straddle two buckets. Cold keys stay in bucket 0.
+   Where the first column can't make the cut (under half of a key's points differ, or a type without quantiles, such
+   as text), the split points are whole tuples of the ordering columns instead, picked from a small random
+   sample of the key's rows and compared column by column, in each column's own direction and null order.
 3. The window runs per ``(key, bucket)``: one shuffle, as for the plain window, but a hot key is now
    ``buckets`` tasks.
 4. A small per-(hot key, bucket) summary (row count, sum, last value) gives each bucket the row offset, the
@@ -103,6 +106,46 @@ def hot_keys(df: DataFrame, keys: list[str], hot_fraction: float) -> list:
     return rows
 
 
+#: Sampled rows for each bucket of a hot key when split points are tuples.
+SAMPLE_PER_BUCKET = 64
+
+
+def _tuple_splits(d: DataFrame, hot: DataFrame, keys: list[str], order_by: list[tuple[str, bool]], buckets: int):
+    """(rows, schema): per hot key, up to ``buckets - 1`` tuples of its ordering columns, in order.
+
+    The sample holds about ``SAMPLE_PER_BUCKET`` rows a bucket whatever the key's size, so sorting it is bounded.
+    Any sample gives right results, only the balance depends on it; the points are fixed once they are collected.
+    """
+    rows = d.join(F.broadcast(hot.alias("__h")), _null_safe_on(keys, "__d", "__h"), "left_semi")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = F.broadcast(d.sparkSession.createDataFrame(sizes.collect(), sizes.schema).alias("__c"))
+    names = [f"__t{i}" for i in range(len(order_by))]
+    picked = (rows.join(sizes, _null_safe_on(keys, "__d", "__c"))
+              .where(F.rand(0) * F.col("__c.__n") < SAMPLE_PER_BUCKET * buckets)
+              .select(*[F.col(f"__d.{k}") for k in keys], *[F.col(f"__d.{c}").alias(n) for (c, _), n in zip(order_by, names)]))
+    per_key = Window.partitionBy(*keys)
+    ordered = per_key.orderBy(*_order_cols([(n, asc) for n, (_, asc) in zip(names, order_by)]))
+    placed = picked.withColumn("__rn", F.row_number().over(ordered)).withColumn("__m", F.count(F.lit(1)).over(per_key))
+    edge = F.floor(F.col("__rn") * buckets / F.col("__m")) > F.floor((F.col("__rn") - 1) * buckets / F.col("__m"))
+    points = placed.where(edge & (F.col("__rn") < F.col("__m"))).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("__rn", F.struct(*names).alias("__t")))).alias("__p"))
+    points = points.select(*keys, F.transform("__p", lambda p: p["__t"]).alias("__splits"))
+    return points.collect(), points.schema
+
+
+def _after(row: list[Column], split, order_by: list[tuple[str, bool]]) -> Column:
+    """Whether a row's ordering tuple comes after a split tuple: first columns first, nulls as in ``_order_cols``."""
+    cond = F.lit(False)
+    for i in range(len(order_by) - 1, -1, -1):
+        a, b, asc = row[i], split[f"__t{i}"], order_by[i][1]
+        if asc:
+            later = F.when(a.isNull(), F.lit(False)).when(b.isNull(), F.lit(True)).otherwise(a > b)
+        else:
+            later = F.when(b.isNull(), F.lit(False)).when(a.isNull(), F.lit(True)).otherwise(a < b)
+        cond = later | (a.eqNullSafe(b) & cond)
+    return cond
+
+
 def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tuple[str, bool]],
                      outputs: list[WinOut], hot_fraction: float = 0.01, buckets: int = 16,
                      accuracy: int = 10000, hot_rows: list | None = None) -> DataFrame:
@@ -126,8 +169,6 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
     for o in outputs:
         if o.func not in FUNCS:
             raise ValueError(f"unsupported window function {o.func!r}")
-        if o.func in ("lag", "lead") and any(asc != order_by[0][1] for _, asc in order_by):
-            raise ValueError(f"{o.func} needs all ordering columns in one direction")
     first, first_asc = order_by[0]
     keys = list(partition_by)
     dtype = dict(df.dtypes)[first]
@@ -135,8 +176,8 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
     # 1. hot keys (bounded by construction, so they may be fixed as a small literal table)
     if hot_rows is None:
         hot_rows = hot_keys(df, keys, hot_fraction)
-    if not hot_rows or not _sketchable(dtype):
-        # nothing to split (or no split points for this type): the plain window is already balanced
+    if not hot_rows:
+        # nothing to split: the plain window is already balanced
         w = Window.partitionBy(*keys).orderBy(*_order_cols(order_by))
         return _plain(df, w, outputs)
     hot = df.sparkSession.createDataFrame(hot_rows, df.select(*keys).schema)
@@ -145,24 +186,34 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
     probs = [i / buckets for i in range(1, buckets)]
     d = df.alias("__d")
     sort_v = F.col(first)
-    sketch = (d.join(F.broadcast(hot.alias("__h")), _null_safe_on(keys, "__d", "__h"), "left_semi")
-                .groupBy(*keys).agg(F.percentile_approx(sort_v, probs, accuracy).alias("__splits")))
-    # The split points are fixed once, as a small literal table: a sketch recomputed after a lost executor
-    # could place them differently, and the bucketing and the summary below must agree on every row.
-    rows = sketch.collect()
-    splits = F.broadcast(df.sparkSession.createDataFrame(rows, sketch.schema).alias("__s"))
-
+    rows = None
+    if _sketchable(dtype):
+        sketch = (d.join(F.broadcast(hot.alias("__h")), _null_safe_on(keys, "__d", "__h"), "left_semi")
+                    .groupBy(*keys).agg(F.percentile_approx(sort_v, probs, accuracy).alias("__splits")))
+        # The split points are fixed once, as a small literal table: a sketch recomputed after a lost executor
+        # could place them differently, and the bucketing and the summary below must agree on every row.
+        rows, schema = sketch.collect(), sketch.schema
+        if buckets > 1 and len(order_by) > 1 and any(len(set(r["__splits"] or ())) < buckets // 2 for r in rows):
+            rows = None
     v = F.col("__v")
     passed = (F.filter(F.col("__splits"), lambda s: v > s) if first_asc
               else F.filter(F.col("__splits"), lambda s: v < s))
+    whole = rows is None
+    if whole:   # whole tuples, for every hot key
+        rows, schema = _tuple_splits(d, hot, keys, order_by, buckets)
+        passed = F.filter(F.col("__splits"), lambda s: _after([F.col(c) for c, _ in order_by], s, order_by))
+    splits = F.broadcast(df.sparkSession.createDataFrame(rows, schema).alias("__s"))
+
+    place = (F.when(F.col("__hot"), F.size(passed)).otherwise(F.lit(0)) if whole
+             else F.when(F.col("__hot") & v.isNotNull(), F.size(passed))
+                   .when(F.col("__hot") & first_asc, F.lit(0))
+                   .when(F.col("__hot"), F.lit(buckets - 1))
+                   .otherwise(F.lit(0)))
     bucketed = (d.join(splits, _null_safe_on(keys, "__d", "__s"), "left")
                   .select(*[F.col(f"__d.{c}") for c in df.columns], F.col("__s.__splits").alias("__splits"))
                   .withColumn("__v", sort_v)
                   .withColumn("__hot", F.col("__splits").isNotNull())
-                  .withColumn("__b", F.when(F.col("__hot") & v.isNotNull(), F.size(passed))
-                                      .when(F.col("__hot") & first_asc, F.lit(0))
-                                      .when(F.col("__hot"), F.lit(buckets - 1))
-                                      .otherwise(F.lit(0)))
+                  .withColumn("__b", place)
                   .drop("__splits", "__v"))
 
     # 3. the window per (key, bucket)
@@ -189,18 +240,22 @@ def skew_safe_window(df: DataFrame, partition_by: list[str], order_by: list[tupl
     # 4. per-(hot key, bucket) summary -> offsets, joined back by broadcast
     aggs = [F.count(F.lit(1)).alias("__cnt")]
     ord_struct = F.struct(*[F.col(c) for c, _ in order_by])
+    # with mixed directions a struct's own order is not the window's: a bucket's ends are told by row numbers
+    mixed = any(asc != first_asc for _, asc in order_by)
+    by, up = (F.col("__rn"), True) if mixed else (ord_struct, first_asc)
     for o in outputs:
         if o.func == "running_sum":
             aggs.append(F.sum(F.expr(o.value)).alias(f"__bsum_{o.output}"))
         elif o.func == "lag":
-            pick = F.max_by if first_asc else F.min_by
-            aggs.append(pick(F.expr(o.value), ord_struct).alias(f"__blast_{o.output}"))
+            pick = F.max_by if up else F.min_by
+            aggs.append(pick(F.expr(o.value), by).alias(f"__blast_{o.output}"))
         elif o.func == "lead":
-            pick = F.min_by if first_asc else F.max_by
-            aggs.append(pick(F.expr(o.value), ord_struct).alias(f"__bfirst_{o.output}"))
+            pick = F.min_by if up else F.max_by
+            aggs.append(pick(F.expr(o.value), by).alias(f"__bfirst_{o.output}"))
         elif o.func == "dense_rank":
             aggs.append(F.count_distinct(ord_struct).alias(f"__bdist_{o.output}"))
-    summary = bucketed.filter("__hot").groupBy(*keys, "__b").agg(*aggs)
+    ends = mixed and any(o.func in ("lag", "lead") for o in outputs)
+    summary = (local if ends else bucketed).filter("__hot").groupBy(*keys, "__b").agg(*aggs)
     ws = Window.partitionBy(*keys).orderBy("__b")
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     offs = summary.select(*keys, "__b", F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"),

@@ -84,8 +84,9 @@ def test_cross_join_only_over_a_broadcast_side(at_scale):
 
 
 def test_no_python_in_any_plan(at_scale):
+    # the text operators choose their style one by one; tests/llm holds those that promise native functions
     for name in E.queries():
-        if name.startswith("write_") or name == "fact_sales_load":
+        if name.startswith("write_") or name in ("fact_sales_load", "pipeline") or re.match(r"op\d+_", name):
             continue
         p = plan(at_scale, name)
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
