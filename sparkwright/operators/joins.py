@@ -248,6 +248,18 @@ class Chain:
         df = left_b.join(right_b, on, "inner").drop("__lband", "__rband")
         return Chain(df, self.cols + [(right_alias, x) for x in right.columns])
 
+    def join_theta(self, right: DataFrame, right_alias: str, cond: str | Column | None, theta: dict) -> "Chain":
+        """An inner join by inequalities (``bounds``) or by overlapping spans (``left``, ``right``); see :mod:`.theta`."""
+        from .theta import grid_join, overlap_join
+        if right_alias in self.aliases:
+            raise ValueError(f"alias {right_alias!r} is already in the join chain")
+        r = right.alias(right_alias)
+        if theta.get("bounds"):
+            df = grid_join(self.df, r, [tuple(b) for b in theta["bounds"]], cond, int(theta.get("bands", 8)), int(theta.get("target_rows", 100_000)))
+        else:
+            df = overlap_join(self.df, r, tuple(theta["left"]), tuple(theta["right"]), [tuple(k) for k in theta.get("keys", [])], cond, theta.get("width"))
+        return Chain(df, self.cols + [(right_alias, x) for x in right.columns])
+
     def self_join(self, left_alias: str, right_alias: str, cond: str | Column) -> "Chain":
         """The current result with itself under two new aliases, inner.
 

@@ -565,6 +565,32 @@ def window_analytics(spark, sf_dir):
     })
 
 
+def theta_grid(spark, sf_dir):
+    """Inequalities on two columns. Urgent orders beaten by far dearer low-priority orders of long before."""
+    return _run(spark, sf_dir, {
+        "tables": [_t("orders", "u", "o_orderpriority = '1-URGENT'"), _t("orders", "p", "o_orderpriority = '5-LOW'")],
+        "joins": [{"type": "inner", "right_table": "p", "strategy": "grid",
+                   "theta": {"bounds": [["u.o_totalprice + 450000", "<", "p.o_totalprice"],
+                                        ["datediff(u.o_orderdate, DATE '1970-01-01')", ">=", "datediff(p.o_orderdate, DATE '1970-01-01') + 2200"]]}}],
+        "transformations": _sel(("urgent_key", "u.o_orderkey"), ("low_key", "p.o_orderkey"), ("urgent_price", "u.o_totalprice"), ("low_price", "p.o_totalprice")),
+    })
+
+
+def overlap_join(spark, sf_dir):
+    """Overlap of two spans. The first week of dear finished orders with the days that large returned items travel
+    (longer for larger ones, so spans of several levels)."""
+    day = "unix_date(CAST({} AS DATE))"
+    return _run(spark, sf_dir, {
+        "tables": [_t("orders", "o", "o_orderstatus = 'F' AND o_totalprice > 300000"),
+                   _t("lineitem", "l", "l_returnflag = 'R' AND l_quantity >= 48 AND l_discount >= 0.08")],
+        "joins": [{"type": "inner", "right_table": "l", "strategy": "overlap",
+                   "theta": {"left": [day.format("o.o_orderdate"), day.format("o.o_orderdate") + " + 7"],
+                             "right": [day.format("l.l_shipdate"), day.format("l.l_shipdate") + " + CASE WHEN l.l_linenumber = 7 THEN 90 ELSE l.l_linenumber END"]}}],
+        "transformations": _sel(("o_orderkey", "o.o_orderkey"), ("l_orderkey", "l.l_orderkey"), ("l_linenumber", "l.l_linenumber"),
+                                ("o_orderdate", "o.o_orderdate"), ("l_shipdate", "l.l_shipdate")),
+    })
+
+
 # ---------------------------------------------------------------------------------------------------------
 # whole jobs
 # ---------------------------------------------------------------------------------------------------------

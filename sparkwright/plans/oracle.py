@@ -257,3 +257,17 @@ SQL["spec_select"] = """
 SELECT c.c_name, o.o_orderkey, l.l_linenumber, l.l_extendedprice * (1 - l.l_discount) AS revenue,
        o.o_orderpriority = '1-URGENT' AS is_urgent
 """ + _JOIN_CHAIN_FROM
+
+SQL["theta_grid"] = """
+SELECT u.o_orderkey AS urgent_key, p.o_orderkey AS low_key, u.o_totalprice AS urgent_price, p.o_totalprice AS low_price
+FROM orders u JOIN orders p ON u.o_totalprice + 450000 < p.o_totalprice
+  AND date_diff('day', DATE '1970-01-01', CAST(u.o_orderdate AS DATE)) >= date_diff('day', DATE '1970-01-01', CAST(p.o_orderdate AS DATE)) + 2200
+WHERE u.o_orderpriority = '1-URGENT' AND p.o_orderpriority = '5-LOW'
+"""
+
+SQL["overlap_join"] = """
+SELECT o_orderkey, l_orderkey, l_linenumber, o_orderdate, l_shipdate
+FROM (SELECT *, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 7 AS b FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000) o
+JOIN (SELECT *, CAST(l_shipdate AS DATE) AS c, CAST(l_shipdate AS DATE) + CASE WHEN l_linenumber = 7 THEN 90 ELSE l_linenumber END AS d
+      FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48 AND l_discount >= 0.08) l ON a <= d AND c <= b
+"""

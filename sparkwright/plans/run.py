@@ -61,6 +61,8 @@ def build_frame(spark: SparkSession, spec: dict | str | JobSpec, resolver: Resol
                                           salts=int(opts.get("salts", 8)), salt_from=opts.get("salt_from"),
                                           hot_fraction=opts.get("hot_fraction"),
                                           skewed_side=opts.get("skewed_side", "left"))
+            elif j.strategy in ("grid", "overlap"):
+                chain = chain.join_theta(right, j.right_table, j.conditions, j.theta)
             elif j.strategy == "band":
                 b = j.band
                 width = b["width"] if b["width"] == "auto" else float(b["width"])

@@ -39,6 +39,7 @@ class JoinSpec:
     strategy: str | None = None       # None (Spark decides) | "broadcast" | "salted"
     salt: dict | None = None          # salted join options: left_keys, right_keys, salts, hot_fraction
     band: dict | None = None          # band join options: low, high, point, width, range_side
+    theta: dict | None = None         # grid join: bounds, bands, target_rows; overlap join: left, right, keys, width
 
 
 @dataclass
@@ -89,7 +90,7 @@ def parse_spec(spec: dict | str) -> JobSpec:
         js = JoinSpec(type=kind, conditions=j.get("conditions"), right_table=j.get("right_table"),
                       left_table=j.get("left_table"), subquery=j.get("subquery"),
                       left_alias=j.get("left_alias"), right_alias=j.get("right_alias"),
-                      strategy=j.get("strategy"), salt=j.get("salt"), band=j.get("band"))
+                      strategy=j.get("strategy"), salt=j.get("salt"), band=j.get("band"), theta=j.get("theta"))
         # left_table, when given, must already be in the chain
         if js.left_table and js.left_table not in chain and kind != "self":
             raise ValueError(f"join left_table {js.left_table!r} is not in the chain {chain}")
@@ -107,7 +108,7 @@ def parse_spec(spec: dict | str) -> JobSpec:
             if js.right_table not in aliases:
                 raise ValueError(f"join right_table {js.right_table!r} is not a table alias")
             chain.append(js.right_table)
-        if js.strategy not in (None, "broadcast", "salted", "band"):
+        if js.strategy not in (None, "broadcast", "salted", "band", "grid", "overlap"):
             raise ValueError(f"unknown join strategy {js.strategy!r}")
         if kind == "self" and js.strategy:
             raise ValueError("a self join takes no strategy")
@@ -131,6 +132,12 @@ def parse_spec(spec: dict | str) -> JobSpec:
                 raise ValueError("a band join needs band.low, band.high, band.point and band.width")
             if spark_join_type(kind) != "inner":
                 raise ValueError("a band join is only exact as an inner join")
+        if js.strategy in ("grid", "overlap"):
+            need = ("bounds",) if js.strategy == "grid" else ("left", "right")
+            if not all((js.theta or {}).get(k) for k in need):
+                raise ValueError(f"a join by {js.strategy} needs theta.{' and theta.'.join(need)}")
+            if spark_join_type(kind) != "inner":
+                raise ValueError(f"a join by {js.strategy} is only exact as an inner join")
         joins.append(js)
 
     trans = []
