@@ -142,6 +142,60 @@ def scalar_array(spark, sf_dir):
     })
 
 
+def scalar_variant(spark, sf_dir):
+    """F8 (VARIANT): JSON text parsed once into a variant, typed access by path, and its fields as rows."""
+    v = "parse_json(e.props)"
+    return _run(spark, sf_dir, {
+        "tables": [_t("events", "e")],
+        "joins": [{"type": "subquery", "right_alias": "f", "conditions": "e.event_id = f.of_event",
+                   "subquery": "SELECT event_id AS of_event, x.pos, x.key, CAST(x.value AS INT) AS item FROM {e}, LATERAL variant_explode(parse_json(props)) AS x"}],
+        "transformations": _sel(
+            ("event_id", "e.event_id"),
+            ("k", f"variant_get({v}, '$.k', 'int')"),
+            ("k_text", f"variant_get({v}, '$.k', 'string')"),
+            ("nothing", f"try_variant_get({v}, '$.nothing', 'int')"),
+            ("is_object", f"schema_of_variant({v}) LIKE 'OBJECT<%'"),
+            ("compact", f"to_json({v})"),
+            ("field", "f.key"), ("field_pos", "CAST(f.pos AS INT)"), ("field_value", "f.item")),
+    })
+
+
+def scalar_map(spark, sf_dir):
+    """F8 (maps): built, filtered, transformed, zipped and joined maps."""
+    props = "from_json(props, 'map<string,int>')"
+    made = "map_from_arrays(array('k', 'v', 'e'), array(coalesce(element_at(from_json(props, 'map<string,int>'), 'k'), 0), CAST(floor(value) AS INT), CAST(event_id % 100 AS INT)))"
+    return _run(spark, sf_dir, {
+        "tables": [_t("events", "e")],
+        "transformations": _sel(
+            ("event_id", "event_id"),
+            ("n_big", f"CAST(size(map_filter({made}, (n, x) -> x > 50)) AS INT)"),
+            ("big_names", f"array_join(array_sort(map_keys(map_filter({made}, (n, x) -> x > 50))), ',')"),
+            ("k_doubled", f"element_at(transform_values({props}, (n, x) -> x * 2), 'k')"),
+            ("renamed", f"array_join(map_keys(transform_keys({props}, (n, x) -> concat(n, '_old'))), ',')"),
+            ("zipped", f"element_at(map_zip_with({made}, {props}, (n, a, b) -> a + coalesce(b, 0)), 'k')"),
+            ("n_joined", f"CAST(size(map_concat({props}, map('one', 1, 'two', 2))) AS INT)"),
+            ("has_k", f"map_contains_key({props}, 'k')"),
+            ("sum_items", f"aggregate(map_values({made}), 0, (a, x) -> a + x)")),
+    })
+
+
+def scalar_conditional(spark, sf_dir):
+    """F8 (conditionals): null handling, choices and comparisons across columns."""
+    return _run(spark, sf_dir, {
+        "tables": [_t("lineitem", "l")],
+        "transformations": _sel(
+            ("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber"), ("l_partkey", "l_partkey"), ("l_suppkey", "l_suppkey"),
+            ("no_zero_tax", "nullif(l_tax, 0.0D)"),
+            ("tax_or_discount", "coalesce(nullif(l_tax, 0.0D), nullif(l_discount, 0.0D), -1.0D)"),
+            ("has_tax", "nvl2(nullif(l_tax, 0.0D), 'taxed', 'free')"),
+            ("larger_rate", "greatest(l_tax, l_discount)"), ("smaller_rate", "least(l_tax, l_discount)"),
+            ("flag_name", "decode(l_returnflag, 'R', 'returned', 'A', 'accepted', 'open')"),
+            ("size_class", "if(l_quantity >= 25, 'large', if(l_quantity >= 10, 'middle', 'small'))"),
+            ("price_per_rate", "try_divide(l_extendedprice, nullif(l_discount, 0.0D))"),
+            ("same_rates", "l_tax <=> l_discount")),
+    })
+
+
 # ---------------------------------------------------------------------------------------------------------
 # joins
 # ---------------------------------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jobs as J
 from ..operators.partitioning import spread_if_narrow
+from ..operators.profile import column_profile as _heavy
 from ..operators.skew import key_skew_profile as _profile
 from ..operators.windows import WinOut, skew_safe_window
 
@@ -200,6 +201,11 @@ def key_skew_profile(spark, sf_dir):
     return _profile(li, ["l_suppkey", "l_partkey", "l_orderkey"], table_name="lineitem")
 
 
+def column_profile(spark, sf_dir):
+    """K14 for every column: the values of at least 5 % of the lines, counted exactly; two scans, no shuffle of lines."""
+    return _heavy(_lineitem(spark, sf_dir).withColumn("l_shipyear", F.year("l_shipdate").cast("int")), share=0.05)
+
+
 def cached_branches(spark, sf_dir):
     """One join result persisted (memory, spilling to disk) and read by two aggregates.
 
@@ -231,6 +237,7 @@ QUERIES = {
     "job_advice": job_advice,
     "fleet_summary": fleet_summary,
     "key_skew_profile": key_skew_profile,
+    "column_profile": column_profile,
     "cached_branches": cached_branches,
 }
 
@@ -473,6 +480,11 @@ SELECT 'lineitem' AS table_name, '{k}' AS key_column, CAST(sum(n) AS BIGINT) AS
        CAST(sum(n) AS DOUBLE) / count(*) AS avg_freq,
        CAST(least(10, greatest(1, round(max(n) / (CAST(sum(n) AS DOUBLE) / count(*))))) AS INTEGER) AS skew
 FROM (SELECT {k}, count(*) AS n FROM lineitem GROUP BY {k})""" for k in ("l_suppkey", "l_partkey", "l_orderkey")),
+    "column_profile": "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n, (SELECT count(*) FROM lineitem) AS n_rows
+FROM (SELECT *, year(l_shipdate) AS l_shipyear FROM lineitem) GROUP BY {c} HAVING count(*) >= 0.05 * (SELECT count(*) FROM lineitem)""" for c in (
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+        "l_shipdate", "l_shipyear")),
     "cached_branches": """
 SELECT 'brand' AS branch, p_brand AS grp, count(*) AS n_lines,
        CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS sum_qty

@@ -271,3 +271,33 @@ FROM (SELECT *, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 7 AS
 JOIN (SELECT *, CAST(l_shipdate AS DATE) AS c, CAST(l_shipdate AS DATE) + CASE WHEN l_linenumber = 7 THEN 90 ELSE l_linenumber END AS d
       FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48 AND l_discount >= 0.08) l ON a <= d AND c <= b
 """
+
+SQL["scalar_variant"] = """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.k') AS k_text,
+  CAST(json_extract_string(props, '$.nothing') AS INTEGER) AS nothing, json_type(props) = 'OBJECT' AS is_object,
+  CAST(json(props) AS VARCHAR) AS compact, f.key AS field, CAST(f.id - f.id AS INTEGER) AS field_pos, CAST(json_extract_string(props, '$.' || f.key) AS INTEGER) AS field_value
+FROM events, json_each(props) AS f
+"""
+
+SQL["scalar_map"] = """
+WITH m AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(floor(value) AS INTEGER) AS v, CAST(event_id % 100 AS INTEGER) AS e FROM events)
+SELECT event_id,
+  CAST((coalesce(k, 0) > 50)::INTEGER + (v > 50)::INTEGER + (e > 50)::INTEGER AS INTEGER) AS n_big,
+  concat_ws(',', CASE WHEN e > 50 THEN 'e' END, CASE WHEN coalesce(k, 0) > 50 THEN 'k' END, CASE WHEN v > 50 THEN 'v' END) AS big_names,
+  k * 2 AS k_doubled, CASE WHEN k IS NOT NULL THEN 'k_old' ELSE '' END AS renamed,
+  coalesce(k, 0) + coalesce(k, 0) AS zipped, CAST(2 + (k IS NOT NULL)::INTEGER AS INTEGER) AS n_joined, k IS NOT NULL AS has_k,
+  CAST(coalesce(k, 0) + v + e AS INTEGER) AS sum_items
+FROM m
+"""
+
+SQL["scalar_conditional"] = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, nullif(l_tax, 0.0) AS no_zero_tax,
+  coalesce(nullif(l_tax, 0.0), nullif(l_discount, 0.0), CAST(-1.0 AS DOUBLE)) AS tax_or_discount,
+  CASE WHEN nullif(l_tax, 0.0) IS NOT NULL THEN 'taxed' ELSE 'free' END AS has_tax,
+  greatest(l_tax, l_discount) AS larger_rate, least(l_tax, l_discount) AS smaller_rate,
+  CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'accepted' ELSE 'open' END AS flag_name,
+  CASE WHEN l_quantity >= 25 THEN 'large' WHEN l_quantity >= 10 THEN 'middle' ELSE 'small' END AS size_class,
+  CASE WHEN l_discount <> 0 THEN l_extendedprice / l_discount END AS price_per_rate,
+  l_tax IS NOT DISTINCT FROM l_discount AS same_rates
+FROM lineitem
+"""

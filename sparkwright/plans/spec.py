@@ -166,7 +166,10 @@ def parse_spec(spec: dict | str) -> JobSpec:
         parts = [(p["column"], p.get("value")) for p in (tgt.get("partitions") or [])]
         target = Target(table=tgt["table"], schema=tgt.get("schema") or None, path=tgt.get("path"), mode=mode,
                         partitions=parts, replace_partitions=bool(tgt.get("replace_partitions")),
-                        columns=tgt.get("columns"), format=tgt.get("format"), rebalance=tgt.get("rebalance"))
+                        columns=tgt.get("columns"), format=tgt.get("format"), rebalance=tgt.get("rebalance"),
+                        bucket_by=tgt.get("bucket_by"), buckets=tgt.get("buckets"), sort_by=tgt.get("sort_by"))
+        if target.bucket_by and (target.columns or target.replace_partitions):
+            raise ValueError("a bucketed write takes neither a column list nor replace_partitions")
 
     settings = spec.get("settings") or []
     if isinstance(settings, str):

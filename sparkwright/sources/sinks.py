@@ -29,12 +29,48 @@ class Target:
     format: str | None = None          # None: the session's default source (spark.sql.sources.default)
     # REBALANCE on the dynamic partition columns before writing; None = only when there are dynamic ones
     rebalance: bool | None = None
+    # rows hashed to files by these keys, so that joins and aggregates on them need no shuffle; see bucketed
+    bucket_by: list[str] | None = None
+    buckets: int | None = None         # None: by the measured size of the rows
+    sort_by: list[str] | None = None   # order within each bucket; None: the bucket keys
 
     @property
     def qualified(self) -> str:
         return f"{self.schema}.{self.table}" if self.schema else self.table
 
 
+#: Size a bucket aims at when their number is not given.
+BUCKET_BYTES = 128 << 20
+
+
+def bucket_count(df: DataFrame, target_bytes: int = BUCKET_BYTES) -> int:
+    """Number of buckets for rows of this size: a power of two, so that tables of other sizes have a multiple of it or a
+    divisor, which Spark can still join bucket by bucket."""
+    from ..operators.joins import measure
+
+    _, size = measure(df)
+    n = 1
+    while n * target_bytes < size:
+        n *= 2
+    return n
+
+
+def bucketed(df: DataFrame, target: Target) -> tuple[DataFrame, int]:
+    """The rows dealt to one task a bucket, as the writer deals them, and the number of buckets.
+
+    Without that each task writes a file for every bucket it has rows of. A key with more rows than a bucket should hold
+    makes its bucket that large: such a table is better left unbucketed and joined with salted keys.
+    """
+    keys = target.bucket_by or []
+    unknown = [k for k in [*keys, *(target.sort_by or [])] if k not in df.columns]
+    if unknown or not keys:
+        raise ValueError(f"bucket and sort keys must be columns of the rows: {unknown or keys}")
+    n = target.buckets or bucket_count(df)
+    if n < 1:
+        raise ValueError("a table needs at least one bucket")
+    return df.repartition(n, *keys), n
+
+
 def preview(df: DataFrame, n: int = 20, order_by: list[str] | None = None) -> DataFrame:
     """First ``n`` rows (S5). With an order this is a top-k (``TakeOrderedAndProject``), not a full sort."""
     if order_by:
@@ -93,6 +129,9 @@ def write(df: DataFrame, target: Target) -> str:
             finally:
                 spark.conf.set(key, old)
             return name
+    buckets = 0
+    if target.bucket_by:
+        df, buckets = bucketed(df, target)
     w = df.write.mode(target.mode)
     if target.format:
         w = w.format(target.format)
@@ -100,6 +139,8 @@ def write(df: DataFrame, target: Target) -> str:
         w = w.partitionBy(*part_cols)
     if target.path:
         w = w.option("path", target.path)
+    if target.bucket_by:
+        w = w.bucketBy(buckets, *target.bucket_by).sortBy(*(target.sort_by or target.bucket_by))
     w.saveAsTable(name)
     return name
 
