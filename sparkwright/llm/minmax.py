@@ -9,8 +9,11 @@ Equal sets are one class from the start, so copies cost nothing further. Within
 1. buckets of up to ``SMALL`` classes compare all their classes; larger ones compare each class with about ``HUBS``
    classes of the bucket, so the comparisons grow with the classes, not with their square;
 2. the confirmed links give components. In larger buckets that still hold several components, classes of different
-   components are compared where they can still be alike: an exact prefix and position filter over their full sets
-   (rarest shingles first) leaves no linked pair out and keeps apart what differs in too many rare shingles.
+   components are compared where they can still be alike: a prefix and position filter over their full sets (rarest
+   shingles first) leaves no linked pair out and keeps apart what differs in too many rare shingles. Groups of documents
+   that are all somewhat alike share their rarest shingles, too. So the join also compares one-bit signatures of
+   ``SIGN`` min-max values, made for these classes alone, and makes a row only for pairs that agree in as many bits as
+   linked ones do, less five standard deviations (a linked pair fails with a chance of 3 in 10 million).
 Every link is confirmed on the full sets. Nothing is dropped or sampled, and no bucket's rows meet in one task as a
 group: buckets are counted by aggregation and paired by joins that AQE splits.
 
@@ -30,6 +33,8 @@ common.ship(__name__)
 
 BANDS, ROWS = 28, 6
 SMALL, HUBS = 8, 4
+#: Bits of the signatures that torn buckets compare, in longs of 64.
+SIGN = 2048
 #: Classes whose texts are sought by broadcast (some 40 bytes each); a shuffled join beyond it.
 MOST_BROADCAST = 100_000
 
@@ -74,6 +79,21 @@ def band_keys(values, factors, offsets):
     return key.view(np.int64)
 
 
+def sign_bits(values):
+    """One bit of the least and of the greatest value under each of SIGN / 2 permutations, as longs."""
+    import numpy as np
+
+    factors, offsets = permutations(SIGN // 2)
+    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    high = np.zeros(len(factors), np.uint64)
+    for at in range(0, len(values), 256):
+        hashed = (values[None, at : at + 256] ^ offsets) * factors
+        np.minimum(low, hashed.min(1), out=low)
+        np.maximum(high, hashed.max(1), out=high)
+    bits = (common.mix64(np.concatenate([low, high])) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
 def node_of(values) -> bytes:
     import hashlib
 
@@ -81,7 +101,7 @@ def node_of(values) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """__id, n_shingles, node (digest of the set, null if empty), bands."""
+    """__id, __key (of the row, by id and text), n_shingles, node (digest of the set, null if empty), bands."""
     import pyarrow as pa
 
     @F.arrow_udf("struct<n: long, node: binary, bands: array<long>>")
@@ -96,8 +116,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
             bands.append(band_keys(values, factors, offsets) if len(values) else None)
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["n", "node", "bands"])
 
-    rows = docs.select(F.col(id_col).alias("__id"), sign.asNondeterministic()(F.col(text_col).cast("string")).alias("s"))
-    return rows.select("__id", F.col("s.n").alias("n_shingles"), F.col("s.node").alias("node"), F.col("s.bands").alias("bands"))
+    rows = docs.select(F.col(id_col).alias("__id"), common.row_key(id_col, text_col).alias("__key"), sign.asNondeterministic()(F.col(text_col).cast("string")).alias("s"))
+    return rows.select("__id", "__key", F.col("s.n").alias("n_shingles"), F.col("s.node").alias("node"), F.col("s.bands").alias("bands"))
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -145,33 +165,48 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components (nodes: node, root) that a prefix and position filter lets through."""
+    """Pairs of classes of different components (nodes: node, root) that a prefix and position filter and the bits of
+    their signatures let through."""
+    import math
+
     import pyarrow as pa
 
-    @F.arrow_udf("array<long>")
-    def items(x: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<items: array<long>, bits: array<long>>")
+    def unpacked(x: pa.Array) -> pa.Array:
         import numpy as np
 
-        return pa.array([np.frombuffer(y.as_buffer(), np.int64) for y in x], pa.list_(pa.int64()))
+        sets = [np.frombuffer(y.as_buffer(), np.uint64) for y in x]
+        return pa.StructArray.from_arrays([pa.array([v.view(np.int64) for v in sets], pa.list_(pa.int64())), pa.array([sign_bits(v) for v in sets], pa.list_(pa.int64()))], ["items", "bits"])
 
-    rows = sets.join(nodes, "node").select("node", "root", F.explode(items(F.col("items"))).alias("item"))
+    known = sets.join(nodes, "node").select("node", "root", unpacked(F.col("items")).alias("u"))
+    known = common.written(known.select("node", "root", F.col("u.items").alias("items"), F.col("u.bits").alias("bits")), "torn_sets")
+    rows = known.select("node", "root", F.explode("items").alias("item"))
     often = rows.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
     # a set's shingles, rarest first: bounded by its document
     ranked = rows.join(often, "item").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("order"))
     n = F.size("order")
     first = n - F.ceil(n * percent / F.lit(100)) + 1
-    tokens = common.written(ranked.select("node", "root", n.alias("n"), F.posexplode(F.expr("slice(order, 1, size(order))")).alias("at", "x"), first.alias("first"))
-                            .where("at < first AND x.often > 1").select("node", "root", "n", "at", F.col("x.item").alias("item")), "prefixes")
+    tokens = ranked.select("node", "root", n.alias("n"), F.posexplode(F.expr("slice(order, 1, size(order))")).alias("at", "x"), first.alias("first"))
+    tokens = tokens.where("at < first AND x.often > 1").select("node", "root", "n", "at", F.col("x.item").alias("item"))
+    tokens = common.written(tokens.join(known.select("node", "bits"), "node"), "prefixes")
     a, b = tokens.alias("a"), tokens.alias("b")
     # what can still be shared from here on must reach percent / (100 + percent) of both sizes
     can = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
+    # bits of a pair of likeness s agree with a chance of (1 + s) / 2
+    chance = (1 + percent / 100) / 2
+    most = SIGN - math.floor(SIGN * chance - 5 * math.sqrt(SIGN * chance * (1 - chance)))
+    differ = F.lit(0)
+    for i in range(SIGN // 64):
+        differ = differ + F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i]))
     return (a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-                   & ((can + F.least("a.at", "b.at")) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent))
+                   & ((can + F.least("a.at", "b.at")) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent) & (differ <= most))
             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 5) -> DataFrame:
-    """__id, n_shingles, node, component (the smallest id reachable), one row for each row of ``docs``."""
+    """__id, __key, n_shingles, node, root and component (the smallest id reachable), one row for each row of ``docs``.
+
+    ``root`` tells components apart even where ids repeat; node and root are null for an empty set."""
     signed = common.written(signatures(docs, id_col, text_col, shingle), "signatures")
     classes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("__id").alias("rep"), F.first("bands").alias("bands"))
     classes = common.written(classes, "classes")
@@ -202,21 +237,23 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
     rooted = classes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    of_node = rooted.join(smallest, "root").select("node", "component")
+    of_node = rooted.join(smallest, "root").select("node", "root", "component")
     found = signed.drop("bands").join(of_node, "node", "left")
-    return found.select("__id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component")).alias("component"))
+    return found.select("__id", "__key", "n_shingles", "node", "root", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component")).alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, that of the smallest id; columns as in ``docs``. A repeated row stays once."""
+    """One row of each component, that of the smallest id (a null id is the largest; of equal ids the one of the least
+    key); columns as in ``docs``. A document without words is its own component; a repeated row stays once."""
     found = link(docs, id_col, text_col, **options)
-    # a key that is never null, so that the join and the removal of repeated rows share one shuffle of the texts
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    kept = found.where(F.col("__id").eqNullSafe(F.col("component"))).select(name("__id").alias("__key")).distinct()
-    return docs.withColumn("__key", name(id_col)).join(kept, "__key", "left_semi").dropDuplicates(["__key", text_col]).drop("__key")
+    chosen = found.groupBy(F.coalesce("root", F.col("__key").cast("binary"))).agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__key"))).alias("least"))
+    kept = chosen.select(F.col("least.__key").alias("__key"))
+    # the join and the removal of repeated rows share one shuffle of the texts
+    return docs.withColumn("__key", common.row_key(id_col, text_col)).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every row of ``documents``; results of nulls, ties and repeated rows as in the module."""
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return link(docs).select(
         F.col("__id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),

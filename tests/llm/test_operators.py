@@ -146,6 +146,49 @@ def test_minmax_components_equal_brute_force(spark, docs, empty):
     assert minmax.link(empty).count() == 0
 
 
+def test_minmax_stage_keeps_one_row_of_each_component_with_repeated_and_null_ids(spark):
+    rng = random.Random(31)
+    a, b = prose(rng, 80), prose(rng, 80)
+    other = " ".join([*b.split()[:-1], "ending"])
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, other), (7, a.upper()), (7, a.upper()), (8, None), (8, None), (9, ""), (None, prose(rng, 60))]
+    kept = minmax.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # of a's component document 1, of b's document 5, of the one without an id its only row; rows without words once each
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, a), (5, b), (8, None), (9, ""), rows[-1]], key=repr)
+
+
+def test_minmax_links_copies_that_are_not_alike_among_themselves(spark, monkeypatch):
+    # copies of one base with edits of their own: most linked to the base alone, which is no hub of their buckets
+    monkeypatch.setattr(minmax, "SMALL", 2)
+    monkeypatch.setattr(minmax, "HUBS", 1)
+    rng = random.Random(32)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 90):
+        w = list(base)
+        for at in rng.sample(range(400), rng.choice([4, 5, 6, 7])):
+            w[at] = f"edit{i}_{at}"
+        rows.append((i, " ".join(w)))
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r["__id"]: r.component for r in minmax.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and len(set(got.values())) > 3
+
+
 def test_minmax_large_family_with_chains(spark):
     """A bucket beyond SMALL whose classes are only partly linked: hubs, then the exact filter."""
     rng = random.Random(11)
