@@ -216,38 +216,89 @@ def test_quality_separates_noise(spark, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
-def test_quality_probabilities_sum_to_one(spark):
-    import numpy as np
-
+class KneserNey:
+    """Interpolated modified Kneser-Ney over character trigrams, written out over dictionaries."""
+
+    def __init__(self, texts):
+        three = collections.Counter(tuple(("", "", *t, "")[i : i + 3]) for t in texts for i in range(len(t) + 1))
+        two = collections.Counter(g[1:] for g in three)
+        one = collections.Counter(g[1:] for g in two)
+        self.orders = [self.order(c) for c in (one, two, three)]
+        self.base = 1 / (len(one) + 1)
+
+    @staticmethod
+    def order(counts):
+        seen = [max(1, sum(n == 1 for n in counts.values()))] + [sum(n == k for n in counts.values()) for k in (2, 3, 4)]
+        y = seen[0] / (seen[0] + 2 * seen[1])
+        cut = []
+        for k in (1, 2, 3):
+            d = k - (k + 1) * y * seen[k] / seen[k - 1] if seen[k - 1] else 0.5 * k
+            cut.append(max(0.1, min(d, k - 0.05)))
+        whole, gone = collections.Counter(), collections.Counter()
+        for g, n in counts.items():
+            whole[g[:-1]] += n
+            gone[g[:-1]] += min(cut[min(n, 3) - 1], n)
+        return counts, cut, whole, gone
+
+    def p(self, gram):
+        if not gram:
+            return self.base
+        counts, cut, whole, gone = self.orders[len(gram) - 1]
+        low, n = self.p(gram[1:]), counts.get(gram, 0)
+        if gram[:-1] not in whole:
+            return low
+        own = (n - min(cut[min(n, 3) - 1], n)) / whole[gram[:-1]] if n else 0
+        return own + gone[gram[:-1]] / whole[gram[:-1]] * low
+
+    def nll(self, text):
+        signs = ("", "", *text, "")
+        return -sum(math.log(self.p(signs[i : i + 3])) for i in range(len(text) + 1))
+
+
+def test_quality_perplexity_equals_written_out_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 7)  # many blocks
     rng = random.Random(6)
-    sample = spark.createDataFrame([("en", prose(rng, 50), False) for _ in range(60)], "lang string, text string, held boolean")
-    for _, logp in quality.train(sample, 50).values():  # float16
-        total = np.exp(logp.astype(np.float64)).reshape(quality.ALPHABET, quality.ALPHABET, quality.ALPHABET).sum(2)
-        assert np.allclose(total, 1, atol=1e-2)
+    fit = [("=en", prose(rng, 12), False) for _ in range(50)] + [("", prose(rng, 12).upper(), False) for _ in range(50)] + [("=xx", "few", False)]
+    models, tables = quality.train(spark.createDataFrame(fit, "lang string, text string, held boolean"), 50)
+    number = {r.lang: r.model for r in models.collect()}
+    assert set(number) == {"=en", ""} and sorted(number.values()) == [1, 2]
+    brute = {0: KneserNey([t for _, t, _ in fit])} | {number[x]: KneserNey([t for y, t, _ in fit if y == x]) for x in number}
+    texts_ = [prose(rng, 20), prose(rng, 5).upper(), "", None, "日本 é # unseen", "alpha", prose(rng, 400), "alpha"]
+    rows = [(i, m, t) for i, (m, t) in enumerate((m, t) for m in brute for t in texts_)]
+    got = quality.score(spark.createDataFrame(rows, "id int, __model int, text string").repartition(3).sortWithinPartitions("id"), tables, "text").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["__n"] == len(r.text or "") + 1
+        assert r["__nll"] == pytest.approx(brute[r["__model"]].nll(r.text or ""), rel=1e-9)
+
 
+def test_quality_probabilities_sum_to_one(spark):
+    rng = random.Random(6)
+    model = KneserNey([prose(rng, 50) for _ in range(20)])
+    chars = [g[0] for g in model.orders[0][0]] + ["unseen"]
+    for context in (("a", "l"), ("", ""), ("q", "z"), ("unseen", "a")):
+        assert abs(sum(model.p((*context, c)) for c in chars) - 1) < 1e-9
 
-def test_quality_every_character_and_language_counts(spark, monkeypatch):
-    import numpy as np
 
+def test_quality_null_and_empty_languages_are_languages_of_their_own(spark):
+    rng = random.Random(14)
+    made = {"en": lambda: prose(rng, 40), None: lambda: prose(rng, 40).upper(), "": lambda: prose(rng, 40)[::-1]}
+    rows = [(i, made[k](), k, 1, 0, "clash", "clash", "clash") for i, k in enumerate([*made] * 400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int, toxic int, perplexity string, threshold string, kept string")
+    labels = frame.select("doc_id", "quality", "toxic")
+    got = quality.classify(frame, labels).collect()
+    assert len(got) == len(rows)
+    by = {k: [r for r in got if r.lang == k] for k in made}
+    assert len({r.threshold for r in got}) == 3 and all(len({r.threshold for r in v}) == 1 for v in by.values())
+    assert all(sum(r.kept for r in v) >= 380 for v in by.values())
+    # text of another language is far off a language's own
+    swapped = frame.withColumn("lang", F.when(F.col("lang").isNull(), F.lit("")).otherwise(F.lit(None)))
+    assert quality.classify(swapped.unionByName(frame), labels).columns[-3:] == ["perplexity", "threshold", "kept"]
+    assert quality.keep_good(frame, labels).columns == frame.columns
+
+
+def test_quality_sample_is_even(spark):
     assert quality.even_quota([5, 100, 1000], 205) == 100 and quality.even_quota([3, 4], 50) == 4
-    rng = random.Random(12)
-    words = ["".join(chr(0x4E00 + rng.randrange(400)) for _ in range(2)) for _ in range(300)]
-    rows = [("zh", "".join(rng.choice(words) for _ in range(60)), i % 5 == 0) for i in range(300)]
-    sample = spark.createDataFrame(rows, "lang string, text string, held boolean")
-    model = quality.train(sample, 50)["zh"]
-    assert model[0]["size"] > 300
-    monkeypatch.setattr(quality, "DENSE", 0)
-    slow = quality.train(sample, 50)["zh"]
-    mean = lambda m, t: float(quality.log_probabilities(m, quality.signs_of(t, m[0]["table"], 2)).astype(float).mean())
-    text = rows[0][1]
-    assert slow[1] is None and mean(model, text) == mean(slow, text)
-    # the same rare characters in no known order are far less likely: they are no common sign
-    assert mean(model, text) > mean(model, "".join(rng.sample(text, len(text)))) + 1
-    every = np.arange(model[0]["size"])
-    context = quality.signs_of(text[:2], model[0]["table"], 0)[:2]
-    after = quality.log_probabilities(model, np.array([*context, 0]))
-    whole = sum(math.exp(quality.log_probabilities(model, np.array([*context, c]))[0]) for c in every)
-    assert len(after) == 1 and abs(whole - 1) < 1e-2
 
 
 def test_quality_threshold_is_the_quantile_and_small_languages_keep_their_labels(spark):
@@ -256,7 +307,7 @@ def test_quality_threshold_is_the_quantile_and_small_languages_keep_their_labels
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int, toxic int")
     labels = frame.select("doc_id", "quality", "toxic")
     sample = quality.trusted_sample(frame, labels, "doc_id", "text", "lang", 600)
-    assert sample.where("lang = 'xx'").count() == 100 and 400 <= sample.where("lang = 'en'").count() <= 600
+    assert sample.where("lang = '=xx'").count() == 100 and 400 <= sample.where("lang = '=en'").count() <= 600
     got = quality.classify(frame, labels, prior_chars=0, sample_labels=5000)
     held = got.where("lang = 'en' AND pmod(xxhash64('held', cast(doc_id AS string)), 5) = 0")
     bound, threshold = held.agg(F.percentile("perplexity", 0.99), F.max("threshold")).first()
