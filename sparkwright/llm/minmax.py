@@ -189,7 +189,10 @@ def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     tokens = ranked.select("node", "root", n.alias("n"), F.posexplode(F.expr("slice(order, 1, size(order))")).alias("at", "x"), first.alias("first"))
     tokens = tokens.where("at < first AND x.often > 1").select("node", "root", "n", "at", F.col("x.item").alias("item"))
     tokens = common.written(tokens.join(known.select("node", "bits"), "node"), "prefixes")
-    a, b = tokens.alias("a"), tokens.alias("b")
+    # the smaller set of a pair shares at least 2 * percent / (100 + percent) of its own shingles, so a shorter prefix of it will do
+    short = F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent)) + 1
+    a, b = tokens.where(F.col("at") < short).alias("a"), tokens.alias("b")
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
     # what can still be shared from here on must reach percent / (100 + percent) of both sizes
     can = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
     # bits of a pair of likeness s agree with a chance of (1 + s) / 2
@@ -198,7 +201,7 @@ def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     differ = F.lit(0)
     for i in range(SIGN // 64):
         differ = differ + F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i]))
-    return (a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    return (a.join(b, (F.col("a.item") == F.col("b.item")) & smaller & (F.col("a.root") != F.col("b.root"))
                    & ((can + F.least("a.at", "b.at")) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent) & (differ <= most))
             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
 
