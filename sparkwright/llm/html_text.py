@@ -6,7 +6,8 @@ advert and the like). A decision tree, trained on the small labelled table below
 decides which blocks belong to the article. Their texts, white space collapsed, are joined in page order.
 
 Defined results: null or empty pages and pages without article text give an empty text; unclosed comments, scripts and
-tags end with the page; any length is read whole; character references are decoded; repeated rows get equal results;
+elements end with the page, and a tag that no ">" follows is text but for a last one, which is cut off; any length is
+read whole, in one pass; character references are decoded; repeated rows get equal results;
 an empty table gives an empty table; an input column with an output's name is replaced, other columns are kept.
 """
 
@@ -21,20 +22,20 @@ from sparkwright.llm import common
 common.ship(__name__)
 
 #: Elements whose tags do not end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   # formulas read as running text
+                   "math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover semantics mstyle mpadded mphantom".split())
 #: Elements whose content is no text of the page.
-HIDDEN = ("script", "style", "noscript", "template", "title", "textarea", "select", "iframe", "object", "svg", "math", "button")
+HIDDEN = ("script", "style", "noscript", "template", "title", "textarea", "select", "iframe", "object", "svg", "button")
 #: Elements, and words of class, id or role, that name a role other than the article.
 ASIDE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright dialog disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 WHOLE = frozenset(("html", "body", "main", "article"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(" + "|".join(HIDDEN) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S | re.I)  # the last: a tag with a quote left open
+NAME = re.compile("[a-zA-Z][a-zA-Z0-9:-]*")
+SPECIAL = re.compile("[>\"']")
+CLOSERS = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
 ROLE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 FEATURES = ("words", "link", "before_words", "before_link", "after_words", "after_link", "in_article", "aside")
@@ -89,6 +90,61 @@ def decide(tree, x) -> int:
     return tree
 
 
+def tags(page: str):
+    """(start, end, name, whether it closes, attributes) of each piece of markup, the name None where it has no role here.
+
+    One pass: every piece is found by searches that start where the last one ended. Where an attribute's quotation is left
+    open, the tag ends at the next ">"; whether a quotation leads to a tag's end is worked out once for each quotation
+    mark, however many tags begin before it. A tag that no ">" follows is no tag.
+    """
+    ends: dict[int, int] = {}  # opening quotation mark -> end of the tag around it, -1 if there is none
+    last = page.rfind(">")
+
+    def tag_end(at: int) -> int:
+        m = SPECIAL.search(page, at)
+        way = []
+        while True:
+            if m is None:
+                end = -1
+            elif m[0] == ">":
+                end = m.end()
+            elif m.start() in ends:
+                end = ends[m.start()]
+            else:
+                way.append(m.start())
+                closing = page.find(m[0], m.end())
+                m = SPECIAL.search(page, closing + 1) if closing >= 0 else None
+                continue
+            for x in way:
+                ends[x] = end
+            return end if end >= 0 else page.find(">", at) + 1
+
+    at = page.find("<")
+    while at >= 0:
+        following = page[at + 1 : at + 2]
+        if following in ("!", "?"):
+            opened, closer = ("<!--", "-->") if page.startswith("<!--", at) else ("<![CDATA[", "]]>") if page.startswith("<![CDATA[", at) else (following, ">")
+            end = page.find(closer, at + len(opened))
+            end = len(page) if end < 0 else end + len(closer)
+            yield at, end, None, False, ""
+        else:
+            closes = following == "/"
+            m = NAME.match(page, at + 1 + closes)
+            if m is None or at > last:
+                at = page.find("<", at + 1)
+                continue
+            end = tag_end(m.end())
+            name, attributes = m[0].lower(), page[m.end() : end - 1]
+            if name in CLOSERS and not closes:
+                if name != "svg" or not attributes.rstrip().endswith("/"):
+                    found = CLOSERS[name].search(page, end)
+                    end = found.end() if found else len(page)
+                yield at, end, None, False, ""
+            else:
+                yield at, end, name, closes, attributes
+        at = page.find("<", end)
+
+
 def blocks(page: str) -> list[list]:
     """[text, words, words in links, in article, aside] of each text block, in page order."""
     out, parts, linked = [], [], 0
@@ -109,14 +165,12 @@ def blocks(page: str) -> list[list]:
         if link:
             linked += len(html.unescape(piece).split())
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        ends, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+    for start, end, name, ends, attributes in tags(page):
+        if start > at:
+            text(page[at:start])
+        at = end
         if name is None:
             continue  # a comment, declaration or hidden element
-        name = name.lower()
         if name in INLINE:
             if name == "a":
                 link = 0 if ends else 1
@@ -177,5 +231,6 @@ def extract(df: DataFrame, html_col: str = "html", out: str = "text") -> DataFra
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages``; results of nulls, empty pages and repeated rows as in the module."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
