@@ -27,8 +27,10 @@ from sparkwright.llm import common
 
 common.ship(__name__)
 
-#: Words and chunks between white space whose ids a Python worker keeps, and pairs of tokens it has judged.
-WORD_CACHE, CHUNK_CACHE, PAIR_CACHE = 140_000, 80_000, 60_000
+#: Words whose ids a Python worker keeps, and pairs of tokens it has judged; emptied when full.
+WORD_CACHE, PAIR_CACHE = 320_000, 60_000
+#: Characters of the texts whose distinct chunks are encoded together.
+GROUP_CHARS = 6_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -74,6 +76,36 @@ class Offsets:
         return b"".join(out)[:-1].decode()
 
 
+class Numbers(dict):
+    """Each key's place in the order of first sight."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+class WordIds:
+    """Ids of words seen before, all in one array; emptied when it holds ``WORD_CACHE`` words."""
+
+    def __init__(self, make):
+        import array
+
+        self.make, self.known, self.ids = make, {}, array.array("i")
+
+    def __getitem__(self, word: str):
+        place = self.known.get(word)
+        if place is not None:
+            return self.ids[place >> 8 : (place >> 8) + (place & 255)]
+        found = self.make(word)
+        if len(word) <= 64 and len(found) < 256:
+            if len(self.known) >= WORD_CACHE:
+                self.known.clear()
+                del self.ids[:]
+            self.known[word] = len(self.ids) << 8 | len(found)
+            self.ids.extend(found)
+        return found
+
+
 class Tables:
     """The encoding side: vocabulary, merge tables and automaton (bounded by the vocabulary's size)."""
 
@@ -118,12 +150,11 @@ class Tables:
         self.shorter = shorter
         self.automaton = ahocorasick.Automaton()
         for s, i in self.id_of.items():
-            self.automaton.add_word(s, (i, len(s)))
+            self.automaton.add_word(s, (i, len(s) - 1))
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
 
-        self.word_ids = common.Remembered(lambda word: tuple(self.encode_word(word)), WORD_CACHE)
-        self.chunk_ids = common.Remembered(lambda chunk: tuple(i for w in self.words.findall(chunk) for i in self.word_ids[w]), CHUNK_CACHE)
+        self.words_seen = WordIds(self.encode_word)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' symbols in rank order leaves exactly these two tokens."""
@@ -167,9 +198,11 @@ class Tables:
         if whole is not None and n <= 2:
             return [whole]
         longest: list[int | None] = [None] * n
-        for end, (token, size) in self.automaton.iter(s):
-            longest[end - size + 1] = token  # ends rise, so the last one at a start is the longest
+        for end, (token, before) in self.automaton.iter(s):
+            longest[end - before] = token  # ends rise, so the last one at a start is the longest
         open_ = bytearray(b"\x01") * (n + 1)
+        if whole is not None and longest[0] == whole:
+            return [whole]  # nothing stands before it, so nothing can forbid it
         length, shorter, compatible = self.length, self.shorter, self.compatible
         out: list[int] = []
         at, token = 0, longest[0]
@@ -197,21 +230,53 @@ class Tables:
             return self.encode_symbols(raw[:-1].decode("latin-1") + chr(raw[-1] + 256))
         return self.encode_symbols(raw.decode("latin-1"))
 
-    def encode(self, text: str) -> list[int]:
-        from itertools import chain
+    def chunks(self, text: str) -> list:
+        """A text's special tokens (as tuples of their id) and the chunks between white space, in order.
 
-        parts = self.special_split.split(text) if self.special_split and "<|" in text else (text,)
-        out: list[int] = []
+        No pre-token holds white space, so chunks can be encoded apart.
+        """
+        parts = self.special_split.split(text) if self.special_split else (text,)
+        out: list = []
         for part in parts:
             if part in self.specials:
-                out.append(self.specials[part])
+                out.append((self.specials[part],))
             elif part:
                 part = self.normal(part)
-                # no pre-token holds white space, so chunks between white space are encoded apart and remembered
-                chunks = self.words.findall(part) if self.odd_space.search(part) else part.split()
-                out.extend(chain.from_iterable(map(self.chunk_ids.__getitem__, chunks)))
+                out.extend(self.words.findall(part) if self.odd_space.search(part) else part.split())
         return out
 
+    def encode_all(self, texts: list[str]):
+        """Ids of all texts in one array, and where each text's ids end: each distinct chunk is encoded once and its ids
+        gathered for every place where it stands."""
+        import array
+
+        import numpy as np
+
+        numbers, places, counts = Numbers(), array.array("i"), []
+        for text in texts:
+            found = self.chunks(text)
+            places.extend(map(numbers.__getitem__, found))
+            counts.append(len(found))
+        flat, sizes, seen = array.array("i"), [], self.words_seen
+        for chunk in numbers:
+            before = len(flat)
+            if isinstance(chunk, tuple):
+                flat.append(chunk[0])
+            else:
+                for w in self.words.findall(chunk):
+                    flat.extend(seen[w])
+            sizes.append(len(flat) - before)
+        if not flat:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        at, size = np.frombuffer(places, np.int32), np.array(sizes, np.int64)
+        starts, own = (np.cumsum(size) - size)[at], size[at]
+        ends = np.cumsum(own)
+        ids = np.frombuffer(flat, np.int32)[np.repeat(starts - (ends - own), own) + np.arange(ends[-1])]
+        return ids, np.concatenate([[0], ends])[np.cumsum(counts)]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
     def normal(self, text: str) -> str:
         """NFC, runs of white space as one space, lower case letter by letter (no final-sigma rule)."""
         import unicodedata
@@ -238,15 +303,20 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        import array
-
         import numpy as np
 
-        t, flat, ends = tables(), array.array("i"), [0]
-        for x in texts:
-            flat.extend(t.encode(x.as_py() or ""))
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)) if flat else pa.array([], pa.int32()))
+        t, parts, ends, total = tables(), [], [np.zeros(1, np.int64)], 0
+        group, chars = [], 0
+        for k, x in enumerate(texts):
+            group.append(x.as_py() or "")
+            chars += len(group[-1])
+            if chars >= GROUP_CHARS or k + 1 == len(texts):
+                found, stops = t.encode_all(group)
+                parts.append(found)
+                ends.append(stops + total)
+                total += len(found)
+                group, chars = [], 0
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
 
     return df.withColumn(out, ids.asNondeterministic()(F.col(text_col).cast("string")))
 
