@@ -28,9 +28,9 @@ from sparkwright.llm import common
 common.ship(__name__)
 
 #: Words whose ids a Python worker keeps, and pairs of tokens it has judged; emptied when full.
-WORD_CACHE, PAIR_CACHE = 320_000, 60_000
+WORD_CACHE, PAIR_CACHE = 200_000, 50_000
 #: Characters of the texts whose distinct chunks are encoded together.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 2_500_000
 
 
 def byte_symbols() -> list[str]:
