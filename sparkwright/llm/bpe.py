@@ -22,6 +22,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkwright.llm import common
 
@@ -30,7 +31,7 @@ common.ship(__name__)
 #: Words whose ids a Python worker keeps, and pairs of tokens it has judged; emptied when full.
 WORD_CACHE, PAIR_CACHE = 200_000, 50_000
 #: Characters of the texts whose distinct chunks are encoded together.
-GROUP_CHARS = 2_500_000
+GROUP_CHARS = 4_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -295,44 +296,60 @@ def _tables(spark: SparkSession, path: str, kind: type):
     return lambda: common.per_process(key, lambda: kind(sent.value))
 
 
+def _with_column(df: DataFrame, out: str, kind: str, source: str, source_kind: str, make) -> DataFrame:
+    """``df`` with ``out``, replaced if it is there; ``make`` turns an array of ``source`` into (rows, array of them) in
+    parts, so that a task holds and sends no more than a part's result."""
+    kept = [c for c in df.columns if c != out]
+    rows = df.select(*kept, F.col(source).cast(source_kind).alias("__source"))
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "__source"], *T._parse_datatype_string(f"`{out}` {kind}").fields])
+
+    def parts(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = 0
+            for n, values in make(batch.column("__source")):
+                columns = [batch.column(c).slice(at, n) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, values], [*kept, out])
+                at += n
+
+    found = rows.mapInArrow(parts, schema)
+    return found.select(*df.columns) if out in df.columns else found
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """Add ``out``: the ids of each text (array<int>, never null)."""
-    import pyarrow as pa
-
     tables = _tables(df.sparkSession, path, Tables)
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
+    def ids(texts):
         import numpy as np
+        import pyarrow as pa
 
-        t, parts, ends, total = tables(), [], [np.zeros(1, np.int64)], 0
-        group, chars = [], 0
+        t, group, chars = tables(), [], 0
         for k, x in enumerate(texts):
             group.append(x.as_py() or "")
             chars += len(group[-1])
             if chars >= GROUP_CHARS or k + 1 == len(texts):
-                found, stops = t.encode_all(group)
-                parts.append(found)
-                ends.append(stops + total)
-                total += len(found)
+                found, ends = t.encode_all(group)
+                yield len(group), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(found))
                 group, chars = [], 0
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
 
-    return df.withColumn(out, ids.asNondeterministic()(F.col(text_col).cast("string")))
+    return _with_column(df, out, "array<int>", text_col, "string", ids)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the decoded text of each array of ids (null ids: empty text)."""
-    import pyarrow as pa
-
     tables = _tables(df.sparkSession, path, Offsets)
 
-    @F.arrow_udf("string")
-    def text(ids: pa.Array) -> pa.Array:
+    def text(ids):
+        import pyarrow as pa
+
         t = tables()
-        return pa.array([t.decode(x.values.drop_null().to_numpy()) if x.is_valid else "" for x in ids], pa.string())
+        for at in range(0, len(ids), 1000):
+            part = ids.slice(at, 1000)
+            yield len(part), pa.array([t.decode(x.values.drop_null().to_numpy()) if x.is_valid else "" for x in part], pa.string())
 
-    return df.withColumn(out, text.asNondeterministic()(F.col(ids_col).cast("array<int>")))
+    return _with_column(df, out, "string", ids_col, "array<int>", text)
 
 
 def default_path() -> str:
