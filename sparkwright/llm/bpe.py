@@ -292,7 +292,7 @@ def _tables(spark: SparkSession, path: str, kind: type):
     """A function that gives tables of a kind on an executor; the file's bytes go there once, by broadcast."""
     with open(path, "rb") as f:
         raw = f.read()
-    sent, key = spark.sparkContext.broadcast(raw), f"{kind.__name__}:{hashlib.sha256(raw).hexdigest()}"
+    sent, key = spark.sparkContext.broadcast(raw), f"bpe:{kind.__name__}:{hashlib.sha256(raw).hexdigest()}"
     return lambda: common.per_process(key, lambda: kind(sent.value))
 
 

@@ -11,8 +11,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.session import fresh_location
-
 
 def ship(module: str) -> None:
     """Send the functions of ``module`` to the executors with the task, so that they need not have the package."""
@@ -22,12 +20,40 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
+def _store() -> dict:
+    return sys.modules.setdefault("_sparkwright_llm_tables", types.ModuleType("_sparkwright_llm_tables")).__dict__
+
+
+def release(*families: str) -> None:
+    """Give up what an earlier operator's tasks have left in this Python process, but for these families of tables.
+
+    Spark hands a worker from one stage to the next, so without this the tables of all stages of a pipeline would add up.
+    """
+    store = _store()
+    old = [k for k, v in store.items() if k.startswith("table ") and v[0] not in families]
+    if old:
+        import ctypes
+        import gc
+
+        for k in old:
+            del store[k]
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)  # freed memory goes back to the system where the C library can do that
+        except (AttributeError, OSError):
+            pass
+
+
 def per_process(key: str, build: Callable):
-    """``build()``, made once in a Python process and kept there for later tasks of the same worker."""
-    store = sys.modules.setdefault("_sparkwright_llm_tables", types.ModuleType("_sparkwright_llm_tables")).__dict__
+    """``build()``, made once in a Python process and kept there for later tasks of the same worker.
+
+    A key's part before its first colon is its family: tables of one family stay together, those of others go.
+    """
+    store, family, key = _store(), key.split(":")[0], f"table {key}"
     if key not in store:
-        store[key] = build()
-    return store[key]
+        release(family)
+        store[key] = (family, build())
+    return store[key][1]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -49,6 +75,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
     The folder is the one that spark.checkpoint.dir names, so the rows survive the loss of any executor.
     """
+    from sparkwright.session import fresh_location  # for the driver alone: this module goes to workers without the package
+
     spark = df.sparkSession
     where = fresh_location(spark, label)
     df.write.parquet(where)

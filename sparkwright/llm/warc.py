@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm import common
-from sparkwright.session import fresh_location
 
 common.ship(__name__)
 
@@ -195,6 +194,8 @@ def read_archives(spark: SparkSession, where: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, read back; lengths and digests of responses are those of the bytes read."""
+    from sparkwright.session import fresh_location  # for the driver alone, as in common
+
     where = fresh_location(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), where)
     records = read_archives(spark, where).where("gap IS NULL")
