@@ -296,12 +296,14 @@ def _tables(spark: SparkSession, path: str, kind: type):
     return lambda: common.per_process(key, lambda: kind(sent.value))
 
 
-def _with_column(df: DataFrame, out: str, kind: str, source: str, source_kind: str, make) -> DataFrame:
-    """``df`` with ``out``, replaced if it is there; ``make`` turns an array of ``source`` into (rows, array of them) in
-    parts, so that a task holds and sends no more than a part's result."""
-    kept = [c for c in df.columns if c != out]
+def _with_columns(df: DataFrame, outs: dict[str, str], source: str, source_kind: str, make) -> DataFrame:
+    """``df`` with the columns ``outs`` (name: type), replaced if they are there; ``make`` turns an array of ``source`` into
+    (rows, arrays of them) in parts, so that a task holds and sends no more than a part's results."""
+    kept = [c for c in df.columns if c not in outs]
     rows = df.select(*kept, F.col(source).cast(source_kind).alias("__source"))
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "__source"], *T._parse_datatype_string(f"`{out}` {kind}").fields])
+    added = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in outs.items()]
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "__source"], *added])
+    names = [*kept, *outs]
 
     def parts(batches):
         import pyarrow as pa
@@ -310,31 +312,37 @@ def _with_column(df: DataFrame, out: str, kind: str, source: str, source_kind: s
             at = 0
             for n, values in make(batch.column("__source")):
                 columns = [batch.column(c).slice(at, n) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, values], [*kept, out])
+                yield pa.RecordBatch.from_arrays([*columns, *values], names)
                 at += n
 
     found = rows.mapInArrow(parts, schema)
-    return found.select(*df.columns) if out in df.columns else found
+    return found.select(*df.columns, *[c for c in outs if c not in df.columns])
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Add ``out``: the ids of each text (array<int>, never null)."""
-    tables = _tables(df.sparkSession, path, Tables)
+def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add ``out``: the ids of each text (array<int>, never null); and ``decoded``, if named: the text decoded from them,
+    as ``decode`` gives it, without the ids leaving the worker in between."""
+    tables, offsets = _tables(df.sparkSession, path, Tables), _tables(df.sparkSession, path, Offsets)
 
     def ids(texts):
         import numpy as np
         import pyarrow as pa
 
-        t, group, chars = tables(), [], 0
+        t, back = tables(), offsets() if decoded else None
+        group, chars = [], 0
         for k, x in enumerate(texts):
             group.append(x.as_py() or "")
             chars += len(group[-1])
             if chars >= GROUP_CHARS or k + 1 == len(texts):
                 found, ends = t.encode_all(group)
-                yield len(group), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(found))
+                bounds = np.concatenate([[0], ends])
+                columns = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found))]
+                if decoded:
+                    columns.append(pa.array([back.decode(found[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
+                yield len(group), columns
                 group, chars = [], 0
 
-    return _with_column(df, out, "array<int>", text_col, "string", ids)
+    return _with_columns(df, {out: "array<int>"} | ({decoded: "string"} if decoded else {}), text_col, "string", ids)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -347,9 +355,9 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
         t = tables()
         for at in range(0, len(ids), 1000):
             part = ids.slice(at, 1000)
-            yield len(part), pa.array([t.decode(x.values.drop_null().to_numpy()) if x.is_valid else "" for x in part], pa.string())
+            yield len(part), [pa.array([t.decode(x.values.drop_null().to_numpy()) if x.is_valid else "" for x in part], pa.string())]
 
-    return _with_column(df, out, "string", ids_col, "array<int>", text)
+    return _with_columns(df, {out: "string"}, ids_col, "array<int>", text)
 
 
 def default_path() -> str:
@@ -362,7 +370,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest columns of every document's ids and decoded text."""
     path = default_path()
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    both = decode(encode(docs, path).drop("text"), path)
+    both = encode(docs, path, decoded="decoded").drop("text")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

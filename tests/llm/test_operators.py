@@ -57,6 +57,8 @@ def test_bpe_equals_merges_in_rank_order_and_decodes(docs, empty):
         assert r.ids == ids
         assert r.decoded == reference.decode(ids, skip_special_tokens=False)
     assert len(got) == docs.count() and bpe.encode(empty, path).count() == 0
+    once = bpe.encode(docs, path, decoded="decoded").collect()
+    assert sorted(map(tuple, once), key=repr) == sorted(map(tuple, got), key=repr)
 
 
 def test_every_token_encodes_to_itself():
