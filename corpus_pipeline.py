@@ -35,8 +35,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text and the text decoded from them."""
-    path = bpe.default_path()
-    return bpe.decode(bpe.encode(docs, path), path).withColumn("n_tokens", F.size("ids").cast("long"))
+    both = bpe.encode(docs, bpe.default_path(), decoded="decoded")
+    return both.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
