@@ -29,9 +29,9 @@ from sparkwright.llm import common
 common.ship(__name__)
 
 #: Words whose ids a Python worker keeps, and pairs of tokens it has judged; emptied when full.
-WORD_CACHE, PAIR_CACHE = 200_000, 50_000
+WORD_CACHE, PAIR_CACHE = 120_000, 50_000
 #: Characters of the texts whose distinct chunks are encoded together.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -132,20 +132,24 @@ class Tables:
             return "".join(map(chr, body[:-1])) + chr(body[-1] + 256 * ends)
 
         self.id_of = {symbols(t): i for t, i in vocab.items()}
-        self.length = {i: len(s) for s, i in self.id_of.items()}
-        self.split = {i: (i, i) for s, i in self.id_of.items() if len(s) == 1}
+        # by id; a single symbol is taken apart into itself
+        self.length, self.left, self.right = [0] * self.size, [-1] * self.size, [-1] * self.size
+        for s, i in self.id_of.items():
+            self.length[i] = len(s)
+            if len(s) == 1:
+                self.left[i] = self.right[i] = i
         self.merged, rank = {}, {}
         for r, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            whole, key = vocab[left + right], (vocab[left], vocab[right])
+            whole, a, b = vocab[left + right], vocab[left], vocab[right]
             if whole in rank:
                 raise ValueError("a token that two merges make has no single place in the merge order")
-            self.merged[key], self.split[whole], rank[whole] = whole, key, r
+            self.merged[a << 32 | b], self.left[whole], self.right[whole], rank[whole] = whole, a, b, r
         # the walk compares tokens by merge order, which must be the order of their ids
         order = sorted(rank, key=rank.get)
-        if order != sorted(order) or (order and order[0] <= max(i for i in self.split if i not in rank)):
+        if order != sorted(order) or (order and order[0] <= max(i for i in self.id_of.values() if i not in rank)):
             raise ValueError("ids do not follow the merge order")
-        shorter = {}
+        shorter: list[int | None] = [None] * self.size
         for s, i in self.id_of.items():
             shorter[i] = next((self.id_of[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in self.id_of), None)
         self.shorter = shorter
@@ -153,13 +157,13 @@ class Tables:
         for s, i in self.id_of.items():
             self.automaton.add_word(s, (i, len(s) - 1))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
 
         self.words_seen = WordIds(self.encode_word)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' symbols in rank order leaves exactly these two tokens."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) > PAIR_CACHE:
@@ -170,28 +174,24 @@ class Tables:
     def _compatible(self, left: int, right: int) -> bool:
         limit = self.size
         while True:
-            across = self.merged.get((left, right))
+            across = self.merged.get(left << 32 | right)
             if across is not None and across < limit:
                 return False
             # undo the later of the two merges; equal ids are undone on the right, as merges run from the left
             if left > right:
-                parts = self.split[left]
-                if parts[1] != left:
-                    limit, left = left, parts[1]
+                if self.right[left] != left:
+                    limit, left = left, self.right[left]
                     continue
-                parts = self.split[right]
-                if parts[0] == right:
+                if self.left[right] == right:
                     return True
-                limit, right = right + 1, parts[0]
+                limit, right = right + 1, self.left[right]
             else:
-                parts = self.split[right]
-                if parts[0] != right:
-                    limit, right = right + 1, parts[0]
+                if self.left[right] != right:
+                    limit, right = right + 1, self.left[right]
                     continue
-                parts = self.split[left]
-                if parts[1] == left:
+                if self.right[left] == left:
                     return True
-                limit, left = left, parts[1]
+                limit, left = left, self.right[left]
 
     def encode_symbols(self, s: str) -> list[int]:
         whole = self.id_of.get(s)

@@ -35,9 +35,12 @@ def release(*families: str) -> None:
         import ctypes
         import gc
 
+        import pyarrow as pa
+
         for k in old:
             del store[k]
         gc.collect()
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)  # freed memory goes back to the system where the C library can do that
         except (AttributeError, OSError):
