@@ -217,8 +217,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     entries = common.written(entries.join(sizes, "bucket"), "buckets")  # only buckets that classes share
 
-    # a hash of class and bucket picks about HUBS of a larger bucket, and always the one of the least hash
-    entries = entries.withColumn("mark", F.xxhash64("node", "bucket"))
+    # a hash picks about HUBS of a larger bucket, and always the one of the least hash; there are four such hashes, so a
+    # group that meets in many buckets is compared with few hubs and not with others in each of them
+    entries = entries.withColumn("mark", F.xxhash64("node", F.pmod("bucket", F.lit(4))))
     large = entries.where(F.col("m") > SMALL)
     least = large.groupBy("bucket").agg(F.min("mark").alias("least"))
     chosen = (F.pmod("mark", F.lit(1_000_003)) * F.col("m") < HUBS * 1_000_003) | (F.col("mark") == F.col("least"))
