@@ -1,23 +1,26 @@
 """Operator 8: benchmark decontamination by spaced-seed hashing.
 
-Words are runs of letters and digits, lower case. Fixed masks read some word positions of a window and ignore the
-others, so a window still hits where ignored words were substituted. All windows of all documents are looked up
-among the benchmark's seed hashes, and around each hit the two word sequences are compared position by position on
-the hit's diagonal: the longest stretch of which 80 % agree is a leak if it has ``min_words`` words, or as many as the
-item if that is shorter.
-
-The benchmark is the query set: it is dealt into blocks of about ``block_words`` words, whose seeds go to the
-executors one block after the other; every block meets every document, whatever the benchmark's size. Documents are
-never shuffled, and their hits never leave the task.
+Words are runs of letters and digits, lower case; in scripts written without spaces every character is a word. Fixed
+masks read some word positions of a window and ignore the others, so a window still hits where ignored words were
+substituted. The seed hashes of all windows of all documents are joined with those of the benchmark, and around each
+hit the two word sequences are compared position by position on the hit's diagonal: the longest stretch of which 80 %
+agree is a leak if it has ``min_words`` words, or as many as the item if that is shorter.
+
+No such stretch is missed: every placement of up to a fifth of substitutions leaves a window of some mask whole, for
+every length from 10 to 25 with ``LONG`` and from 5 to 9 with ``SHORT`` (tests enumerate them). A longer stretch has a
+shorter one that is as alike: of two halves, one is. A similarity below 0.8 has no such guarantee.
+
+Plan: a bitmap of the benchmark's hashes, of at most ``MOST_BITS`` bits whatever the benchmark's size, goes to the
+executors and keeps the windows that can hit; these are joined by hash with the benchmark's windows in Spark. Texts
+are named by a 128-bit hash, so copies ask once. What a text is asked (items and diagonals) is written, joined to the
+documents, and compared there. Nothing is collected but the bitmap and the numbers of the masks. A seed that many items
+and many documents share makes one row for each pair of them that meets on it.
 
 Defined results: null text counts as empty and has no leak; items of fewer than five words are not sought (five words
-are the least evidence); items shorter than the masks are sought as a whole, unmasked; repeated rows get equal
-results, equal items are all reported; an empty benchmark leaks nothing; an input column with an output's name is
-replaced, other columns are kept.
+are the least evidence); repeated rows get equal results, equal items are all reported; an empty benchmark leaks
+nothing; an input column with an output's name is replaced, other columns are kept.
 """
 
-import hashlib
-import math
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,34 +30,51 @@ from sparkwright.llm import common
 
 common.ship(__name__)
 
-#: 1: the word at this place counts; 0: it is ignored.
-MASKS = ("1101100101", "1011010011", "1110010110001")
-LEAST_WORDS = 5
+#: 1: the word at this place counts; 0: it is ignored. For stretches from ten words up, and for those of five to nine.
+LONG = ("11111", "111011", "11001011")
+SHORT = ("1111", "11101", "11011", "10111")
+MASKS = LONG + SHORT
+LEAST_WORDS, LEAST_LONG = 5, 10
+#: Bits of the map for each seed of the benchmark, and at most (16 MB).
+SEED_BITS, MOST_BITS = 64, 1 << 27
 LEAK = "array<struct<item_id: string, start_word: int, end_word: int, item_start: int, matched: int>>"
+#: Thai to Lao, Myanmar, Khmer, kana and Han: scripts that put no spaces between words.
+NO_SPACES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 
 
 def word_list(text: str) -> list[str]:
     import re
 
-    return re.findall(r"[^\W_]+", text.lower())
+    return re.findall(f"[{NO_SPACES}]|[^\\W_{NO_SPACES}]+", text.lower())
+
+
+def word_hashes(chunk: str) -> tuple[int, ...]:
+    import xxhash
+
+    return tuple(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in word_list(chunk))
+
+
+def sequence(text: str):
+    """The hashes of a text's words. No word holds white space: chunks between white space are looked up and remembered."""
+    import numpy as np
+
+    seen = common.per_process("chunks", lambda: common.Remembered(word_hashes, 80_000))
+    return np.array(list(chain.from_iterable(map(seen.__getitem__, text.lower().split()))), np.uint64)
 
 
-def window_hashes(ids, mask: str):
-    """Start positions whose masked words are all known, and their hashes. ids: uint64, 0 for an unknown word."""
+def window_hashes(words, mask: int):
+    """The hash of the places that a mask reads, for each window of a word sequence."""
     import numpy as np
 
-    n = len(ids) - len(mask) + 1
+    places = [i for i, c in enumerate(MASKS[mask]) if c == "1"]
+    n = len(words) - len(MASKS[mask]) + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    places = [i for i, c in enumerate(mask) if c == "1"]
-    known, ok = ids != 0, np.ones(n, bool)
-    for i in places:
-        ok &= known[i : i + n]
-    at = np.flatnonzero(ok)
-    h = np.full(len(at), len(mask) * 1_000_003 + int(mask, 2), np.uint64)
+        return np.empty(0, np.uint64)
+    h = np.full(n, mask + 1, np.uint64)
     for i in places:
-        h = common.mix64(h * np.uint64(0x9E3779B97F4A7C15) + ids[at + i])
-    return at, h
+        h = (h + words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return common.mix64(h)
 
 
 def longest_alike(same, similarity: float) -> tuple[int, int]:
@@ -72,114 +92,144 @@ def longest_alike(same, similarity: float) -> tuple[int, int]:
     return best
 
 
-class Seeds:
-    """One block of the benchmark: word ids, item sequences and the sorted seed hashes with their places."""
+def bit_places(hashes, bits: int):
+    """The two places of each hash in a map of ``bits`` bits, a power of two."""
+    import numpy as np
+
+    most = np.uint64(bits - 1)
+    return hashes & most, (hashes >> np.uint64(32)) & most
+
+
+def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str, min_words: int) -> DataFrame:
+    """item (digest of the word sequence), words (the sequence as bytes), names (of all items that have it), seeds."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("mask", pa.int32()), ("hash", pa.int64()), ("at", pa.int32())]))
+
+    @F.arrow_udf("binary")
+    def words_of(texts: pa.Array) -> pa.Array:
+        return pa.array([sequence(x.as_py()).tobytes() for x in texts], pa.binary())
 
-    def __init__(self, items: list[tuple[str, str]], min_words: int, similarity: float):
+    @F.arrow_udf("array<struct<mask: int, hash: long, at: int>>")
+    def seeds_of(words: pa.Array) -> pa.Array:
         import numpy as np
 
-        self.names, self.vocab, self.items = [], {}, []
-        self.min_words, self.similarity = min_words, similarity
-        found = {}
-        for name, text in items:
-            words = word_list(text)
-            if len(words) < LEAST_WORDS:
-                continue
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.uint64)
-            k = len(self.items)
-            self.names.append(name)
-            self.items.append(ids)
-            masks = [m for m in MASKS if len(m) <= len(ids)] or ["1" * len(ids)]
-            for mask in masks:
-                at, h = window_hashes(ids, mask)
-                found.setdefault(mask, []).append((h, np.full(len(at), k, np.int64), at))
-        self.seeds = {}
-        for mask, parts in found.items():
-            h, k, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            self.seeds[mask] = (h[order], k[order], at[order])
-        self.chunk_ids = common.Remembered(lambda chunk: tuple(self.vocab.get(w, 0) for w in word_list(chunk)), 80_000)
-
-    def leaks(self, texts: list[str | None], batch_words: int = 200_000):
-        """The leaks of each text; texts are looked up together, some ``batch_words`` words at a time."""
-        held, n = [], 0
-        for text in texts:
-            # no word holds white space: chunks between white space are looked up apart and remembered
-            held.append(list(chain.from_iterable(map(self.chunk_ids.__getitem__, text.lower().split()))) if text else [])
-            n += len(held[-1])
-            if n >= batch_words:
-                yield from self._leaks(held)
-                held, n = [], 0
-        yield from self._leaks(held)
-
-    def _leaks(self, texts: list[list[int]]) -> list[list[dict]]:
+        out = []
+        for x in words:
+            seq = np.frombuffer(x.as_buffer(), np.uint64)
+            long = min(min_words, len(seq)) >= LEAST_LONG
+            masks = range(len(LONG)) if long else range(len(LONG), len(MASKS))
+            out.append([(m, h, at) for m in masks for at, h in enumerate(window_hashes(seq, m).view(np.int64).tolist())])
+        return pa.array([[dict(zip(("mask", "hash", "at"), x, strict=True)) for x in one] for one in out], kind)
+
+    rows = benchmark.select(F.col(item_col).cast("string").alias("name"), words_of(common.text_or_empty(text_col)).alias("words"))
+    rows = rows.where(F.octet_length("words") >= 8 * LEAST_WORDS)
+    # a struct keeps null names in the list
+    same = rows.groupBy("words").agg(F.sort_array(F.collect_list(F.struct("name"))).alias("names"))
+    return same.select(F.unhex(F.md5("words")).alias("item"), "words", "names", seeds_of("words").alias("seeds"))
+
+
+def bit_map(seeds: DataFrame, bits: int) -> bytes:
+    """The map with both places of every seed set: bits / 32768 rows of 4 KB, or fewer, are collected."""
+    most = F.lit(bits - 1)
+    places = seeds.select(F.explode(F.array(F.col("hash").bitwiseAND(most), F.shiftrightunsigned("hash", 32).bitwiseAND(most))).alias("place"))
+    parts = places.groupBy(F.shiftright("place", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
+    out = bytearray(bits // 8)
+    for row in parts.collect():
+        out[row.part * 4096 : (row.part + 1) * 4096] = row.bits
+    return bytes(out)
+
+
+def possible_hits(texts: DataFrame, sent, bits: int, masks: list[int]) -> DataFrame:
+    """k1, k2 (of the text), hash, at: the windows of ``texts`` (k1, k2, text) whose hash is in the map."""
+    import pyarrow as pa
+
+    def search(batches):
         import numpy as np
 
-        out = [[] for _ in texts]
-        if not self.items or not texts:
-            return out
-        # one sequence; the unknown word 0 after each text keeps windows from crossing
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        ids = np.array(list(chain.from_iterable((*t, 0) for t in texts)), np.uint64)
-        diagonals = set()
-        for mask, (hashes, item, item_at) in self.seeds.items():
-            at, h = window_hashes(ids, mask)
-            if not len(at):
-                continue
-            low = np.searchsorted(hashes, h)
-            hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h)
-            if not len(hit):
-                continue
-            high = np.searchsorted(hashes, h[hit], side="right")
-            doc = np.searchsorted(starts, at[hit], side="right") - 1
-            for d, p, a, b in zip(doc.tolist(), at[hit].tolist(), low[hit].tolist(), high.tolist(), strict=True):
-                # a mask may ignore the place between two texts; such a hit is refused below, as texts are compared apart
-                diagonals.update((d, int(item[j]), p - int(starts[d]) - int(item_at[j])) for j in range(a, b))
-        for d, k, shift in sorted(diagonals):
-            seq, words = self.items[k], ids[starts[d] : starts[d + 1] - 1]
+        table = np.frombuffer(sent.value, np.uint8)
+
+        def found(keys, words):
+            # one sequence; a window that runs into the next text may pass here and is refused when texts are compared
+            starts = np.cumsum([0, *map(len, words)])
+            line = np.concatenate(words)
+            for mask in masks:
+                h = window_hashes(line, mask)
+                a, b = bit_places(h, bits)
+                at = np.flatnonzero((table[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (table[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+                text = np.searchsorted(starts, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0][text]), pa.array(keys[1][text]), pa.array(h[at].view(np.int64)), pa.array((at - starts[text]).astype(np.int32))],
+                                                 ["k1", "k2", "hash", "at"])
+
+        for batch in batches:
+            keys = [batch.column(i).to_numpy() for i in (0, 1)]
+            held, first, n = [], 0, 0
+            for i, x in enumerate(batch.column(2)):
+                held.append(sequence(x.as_py()))
+                n += len(held[-1])
+                if n >= 200_000 or i == batch.num_rows - 1:
+                    yield from found([k[first : i + 1] for k in keys], held)
+                    held, first, n = [], i + 1, 0
+
+    return texts.mapInArrow(search, "k1 long, k2 long, hash long, at int")
+
+
+def compare(text: str, asked: list[dict], min_words: int, similarity: float) -> list[dict]:
+    """The leaks of one text among the items and diagonals it was asked."""
+    import numpy as np
+
+    words, out = sequence(text), []
+    for item in asked:
+        seq = np.frombuffer(item["words"], np.uint64)
+        for shift in sorted(item["shifts"]):
             first, last = max(0, -shift), min(len(seq), len(words) - shift)
             if last <= first:
                 continue
             same = seq[first:last] == words[first + shift : last + shift]
-            begin, end = longest_alike(same, self.similarity)
+            begin, end = longest_alike(same, similarity)
             matched = int(same[begin:end].sum())
-            if end - begin >= min(self.min_words, len(seq)) and matched >= self.similarity * (end - begin):
-                out[d].append({"item_id": self.names[k], "start_word": begin + first + shift, "end_word": end + first + shift,
-                               "item_start": begin + first, "matched": matched})
-        return out
+            if end - begin >= min(min_words, len(seq)) and matched >= similarity * (end - begin):
+                out += [{"item_id": x["name"], "start_word": begin + first + shift, "end_word": end + first + shift, "item_start": begin + first, "matched": matched}
+                        for x in item["names"]]
+    return sorted(out, key=lambda x: (x["item_id"] is not None, x["item_id"] or "", x["start_word"] - x["item_start"], x["end_word"]))
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", min_words: int = 13, similarity: float = 0.8,
-               block_words: int = 1_000_000, out: str = "leaks") -> DataFrame:
+               most_bits: int = MOST_BITS, out: str = "leaks") -> DataFrame:
     """Add ``out``: the benchmark passages in each text (item, word spans in text and item, words that agree)."""
     import pyarrow as pa
 
+    if min_words < LEAST_WORDS:
+        raise ValueError(f"min_words must be {LEAST_WORDS} at least")
     spark = df.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("name"), common.text_or_empty(item_text_col).alias("body"))
-    words = items.agg(F.sum(F.octet_length("body")).alias("n")).first().n or 0  # bytes: at least as many as words
-    n_blocks = max(1, math.ceil(words / block_words))
-    items = items.withColumn("block", F.pmod(F.xxhash64("name", "body"), F.lit(n_blocks)))
+    items = common.written(benchmark_items(benchmark, item_col, item_text_col, min_words), "benchmark")
+    seeds = items.select("item", F.explode("seeds").alias("s")).select("item", "s.*")
+    count = seeds.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()  # at most as many rows as masks
+    none = F.array().cast(LEAK)
+    if not count:
+        return df.withColumn(out, none)
+    bits = 1 << 15
+    while bits < min(most_bits, SEED_BITS * sum(r.n for r in count)):
+        bits *= 2
+    sent = spark.sparkContext.broadcast(bit_map(seeds, bits))
+
+    text = common.text_or_empty(text_col)
+    k1, k2 = F.xxhash64(text), F.xxhash64(F.lit(1), text, F.length(text))
+    hits = possible_hits(df.select(k1.alias("k1"), k2.alias("k2"), text.alias("text")), sent, bits, sorted(r.mask for r in count)).distinct()
+    met = hits.join(seeds.select("hash", "item", F.col("at").alias("item_at")), "hash")
+    met = met.groupBy("k1", "k2", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))  # bounded by text and item
+    asked = met.join(items.select("item", "words", "names"), "item").groupBy("k1", "k2").agg(F.collect_list(F.struct("names", "words", "shifts")).alias("__asked"))
+    asked = common.written(asked.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), "asked")
     kind = pa.list_(pa.struct([("item_id", pa.string()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("item_start", pa.int32()), ("matched", pa.int32())]))
 
-    def search(rows):
-        sent = spark.sparkContext.broadcast(rows)
-        digest = hashlib.sha256(repr((rows, min_words, similarity)).encode()).hexdigest()
-        key = f"seeds:{digest}"
-
-        @F.arrow_udf(LEAK)
-        def found(texts: pa.Array) -> pa.Array:
-            seeds = common.per_process(key, lambda: Seeds(sent.value, min_words, similarity))
-            return pa.array(list(seeds.leaks([x.as_py() for x in texts])), kind)
-
-        return found.asNondeterministic()(F.col(text_col).cast("string"))
+    @F.arrow_udf(LEAK)
+    def leaks(texts: pa.Array, asked: pa.Array) -> pa.Array:
+        return pa.array([compare(x.as_py(), a.as_py(), min_words, similarity) if a.is_valid else None for x, a in zip(texts, asked, strict=True)], kind)
 
-    parts = []
-    for block in range(n_blocks):  # each block is bounded; its rows are benchmark rows, not documents
-        rows = [(r.name, r.body) for r in items.where(F.col("block") == block).select("name", "body").collect()]
-        df = df.withColumn(part := f"__leaks_{block}", search(sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))))
-        parts.append(part)
-    return df.withColumn(out, F.concat(*parts) if len(parts) > 1 else F.col(parts[0])).drop(*parts)
+    rows = df.withColumns({"__k1": k1, "__k2": k2}).join(asked, ["__k1", "__k2"], "left")
+    found = leaks(F.when(F.col("__asked").isNotNull(), F.col(text_col).cast("string")), F.col("__asked"))  # other texts stay in the JVM
+    return rows.withColumn(out, F.coalesce(found, none)).drop("__k1", "__k2", "__asked")
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

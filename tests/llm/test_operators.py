@@ -438,8 +438,8 @@ def test_leaks_with_substitutions(spark, docs, empty):
         rows.append((i, prose(rng, 30) + " " + " ".join(w).upper() + "! " + prose(rng, 30)))
     rows += [(20, items[0][1][: len(items[0][1]) // 4]), (21, prose(rng, 200)), (22, None), (23, "x Short item, of six words here y")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (1_000_000, 300):
-        got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontaminate.find_leaks(frame, bench, block_words=block).collect()}
+    for bits in (1 << 27, 1 << 15):
+        got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontaminate.find_leaks(frame, bench, most_bits=bits).collect()}
         assert all(got[i] == [str(i)] for i in range(12)) and got[20] == got[21] == got[22] == [] and got[23] == ["52"]
     assert decontaminate.decontaminate(frame, bench).count() == 3 and decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.where("false")).count() == docs.count()
