@@ -37,6 +37,8 @@ MASKS = LONG + SHORT
 LEAST_WORDS, LEAST_LONG = 5, 10
 #: Bits of the map for each seed of the benchmark, and at most (16 MB).
 SEED_BITS, MOST_BITS = 64, 1 << 27
+#: Windows that are hashed at once.
+SLICE = 1 << 18
 LEAK = "array<struct<item_id: string, start_word: int, end_word: int, item_start: int, matched: int>>"
 #: Thai to Lao, Myanmar, Khmer, kana and Han: scripts that put no spaces between words.
 NO_SPACES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -54,27 +56,61 @@ def word_hashes(chunk: str) -> tuple[int, ...]:
     return tuple(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in word_list(chunk))
 
 
-def sequence(text: str):
-    """The hashes of a text's words. No word holds white space: chunks between white space are looked up and remembered."""
-    import numpy as np
+class ChunkCodes(dict):
+    """Running numbers of text chunks seen in this process; the hashes of their words are runs of one array."""
+
+    def __init__(self):
+        import array
+
+        super().__init__()
+        self.hashes, self.ends = array.array("Q"), array.array("q", [0])
+
+    def __missing__(self, chunk):
+        self.hashes.extend(word_hashes(chunk))
+        self.ends.append(len(self.hashes))
+        if len(chunk) <= 64:
+            self[chunk] = len(self.ends) - 2
+        return len(self.ends) - 2
 
-    seen = common.per_process("chunks", lambda: common.Remembered(word_hashes, 80_000))
-    return np.array(list(chain.from_iterable(map(seen.__getitem__, text.lower().split()))), np.uint64)
 
+def sequences(texts: list[str], most: int = 200_000):
+    """The hashes of the words of all texts in one array, and where each text begins in it (and the last one ends).
 
-def window_hashes(words, mask: int):
-    """The hash of the places that a mask reads, for each window of a word sequence."""
+    No word holds white space: chunks between white space are numbered, and forgotten between calls beyond ``most``."""
+    import array
+
+    import numpy as np
+
+    codes = common.per_process("chunks", ChunkCodes)
+    if len(codes.hashes) > most or len(codes) > most:
+        codes.clear()
+        del codes.hashes[:], codes.ends[1:]
+    chunks, starts = array.array("q"), [0]
+    for text in texts:
+        chunks.extend(map(codes.__getitem__, text.lower().split()))
+        starts.append(len(chunks))
+    chunks, ends, hashes = np.array(chunks, np.int64), np.array(codes.ends, np.int64), np.array(codes.hashes, np.uint64)
+    first, n = ends[chunks], ends[chunks + 1] - ends[chunks]
+    place = np.concatenate([[0], np.cumsum(n)])
+    return hashes[np.repeat(first - place[:-1], n) + np.arange(place[-1])], place[starts]
+
+
+def window_hashes(words, masks: list[int]):
+    """mask, first window, and the hashes of the places the mask reads in the windows from there on, slice by slice.
+    Words' hashes are spread evenly, so their sum, each times an odd number of its place, is too."""
     import numpy as np
 
-    places = [i for i, c in enumerate(MASKS[mask]) if c == "1"]
-    n = len(words) - len(MASKS[mask]) + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.full(n, mask + 1, np.uint64)
-    for i in places:
-        h = (h + words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return common.mix64(h)
+    factors = common.mix64(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
+    for begin in range(0, len(words), SLICE):
+        parts = [words[begin : begin + SLICE + 7] * f for f in factors]
+        for mask in masks:
+            places = [i for i, c in enumerate(MASKS[mask]) if c == "1"]
+            n = min(SLICE, len(parts[0]) - len(MASKS[mask]) + 1)
+            if n > 0:
+                h = parts[0][:n].copy()
+                for i in places[1:]:
+                    h += parts[i][i : i + n]
+                yield mask, begin, h
 
 
 def longest_alike(same, similarity: float) -> tuple[int, int]:
@@ -92,12 +128,10 @@ def longest_alike(same, similarity: float) -> tuple[int, int]:
     return best
 
 
-def bit_places(hashes, bits: int):
-    """The two places of each hash in a map of ``bits`` bits, a power of two."""
+def in_map(table, places):
     import numpy as np
 
-    most = np.uint64(bits - 1)
-    return hashes & most, (hashes >> np.uint64(32)) & most
+    return (table[(places >> np.uint64(3)).view(np.int64)] >> (places & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
 
 
 def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -108,7 +142,8 @@ def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str, min_word
 
     @F.arrow_udf("binary")
     def words_of(texts: pa.Array) -> pa.Array:
-        return pa.array([sequence(x.as_py()).tobytes() for x in texts], pa.binary())
+        words, starts = sequences(texts.to_pylist())
+        return pa.array([words[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
 
     @F.arrow_udf("array<struct<mask: int, hash: long, at: int>>")
     def seeds_of(words: pa.Array) -> pa.Array:
@@ -119,7 +154,7 @@ def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str, min_word
             seq = np.frombuffer(x.as_buffer(), np.uint64)
             long = min(min_words, len(seq)) >= LEAST_LONG
             masks = range(len(LONG)) if long else range(len(LONG), len(MASKS))
-            out.append([(m, h, at) for m in masks for at, h in enumerate(window_hashes(seq, m).view(np.int64).tolist())])
+            out.append([(m, h, at) for m, first, found in window_hashes(seq, masks) for at, h in enumerate(found.view(np.int64).tolist(), first)])
         return pa.array([[dict(zip(("mask", "hash", "at"), x, strict=True)) for x in one] for one in out], kind)
 
     rows = benchmark.select(F.col(item_col).cast("string").alias("name"), words_of(common.text_or_empty(text_col)).alias("words"))
@@ -149,25 +184,25 @@ def possible_hits(texts: DataFrame, sent, bits: int, masks: list[int]) -> DataFr
 
         table = np.frombuffer(sent.value, np.uint8)
 
-        def found(keys, words):
+        most = np.uint64(bits - 1)
+
+        def found(keys, texts):
             # one sequence; a window that runs into the next text may pass here and is refused when texts are compared
-            starts = np.cumsum([0, *map(len, words)])
-            line = np.concatenate(words)
-            for mask in masks:
-                h = window_hashes(line, mask)
-                a, b = bit_places(h, bits)
-                at = np.flatnonzero((table[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (table[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
-                text = np.searchsorted(starts, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0][text]), pa.array(keys[1][text]), pa.array(h[at].view(np.int64)), pa.array((at - starts[text]).astype(np.int32))],
+            words, starts = sequences(texts)
+            for _, begin, h in window_hashes(words, masks):
+                at = np.flatnonzero(in_map(table, h & most))
+                at = at[in_map(table, (h[at] >> np.uint64(32)) & most) > 0]
+                text = np.searchsorted(starts, begin + at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0][text]), pa.array(keys[1][text]), pa.array(h[at].view(np.int64)), pa.array((begin + at - starts[text]).astype(np.int32))],
                                                  ["k1", "k2", "hash", "at"])
 
         for batch in batches:
             keys = [batch.column(i).to_numpy() for i in (0, 1)]
             held, first, n = [], 0, 0
             for i, x in enumerate(batch.column(2)):
-                held.append(sequence(x.as_py()))
+                held.append(x.as_py())
                 n += len(held[-1])
-                if n >= 200_000 or i == batch.num_rows - 1:
+                if n >= 1_500_000 or i == batch.num_rows - 1:
                     yield from found([k[first : i + 1] for k in keys], held)
                     held, first, n = [], i + 1, 0
 
@@ -178,7 +213,7 @@ def compare(text: str, asked: list[dict], min_words: int, similarity: float) ->
     """The leaks of one text among the items and diagonals it was asked."""
     import numpy as np
 
-    words, out = sequence(text), []
+    (words, _), out = sequences([text]), []
     for item in asked:
         seq = np.frombuffer(item["words"], np.uint64)
         for shift in sorted(item["shifts"]):

@@ -72,3 +72,16 @@ def test_hits_are_found_without_a_large_map(spark):
         assert got == {i: [str(i)] for i, _ in items}
     with pytest.raises(ValueError):
         D.find_leaks(docs, bench, min_words=4)
+
+
+def test_slices_give_the_hashes_of_the_whole(monkeypatch):
+    import numpy as np
+
+    words = np.random.default_rng(1).integers(0, 2**64, 3000, np.uint64)
+    whole = {m: h for m, _, h in D.window_hashes(words, range(len(D.MASKS)))}
+    monkeypatch.setattr(D, "SLICE", 700)
+    parts = {m: np.empty(0, np.uint64) for m in whole}
+    for m, begin, h in D.window_hashes(words, range(len(D.MASKS))):
+        assert begin == len(parts[m])
+        parts[m] = np.concatenate([parts[m], h])
+    assert all((whole[m] == parts[m]).all() and len(whole[m]) == 3001 - len(D.MASKS[m]) for m in whole)
