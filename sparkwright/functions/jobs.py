@@ -127,7 +127,7 @@ def _padded_sum(col: str, n: Column, k: Column, pad: str = "repeat") -> Column:
     is shorter (``pad="repeat"``, the default). ``pad="last"`` instead extends it with its last item. A list
     at least n long keeps its first n items."""
     if pad == "last":
-        short = F.sum(col) + (n - k).cast("decimal(10,0)") * F.max_by(F.col(col), F.col("pos"))
+        short = F.sum(col) + (n - k).cast("decimal(10,0)") * F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col("pos")))
     else:
         short = n.cast("decimal(10,0)") * F.sum(col)
     return F.when(k < n, short).otherwise(F.sum(F.when(F.col("pos") < n, F.col(col))))
@@ -173,6 +173,45 @@ def job_features(jobs: DataFrame, job_tables: DataFrame, pad: str = "repeat") ->
         "status", F.when(F.least(*[F.col(c) for c in counts]) == 0, F.lit("empty list")).otherwise(F.lit("ok")))
 
 
+def _listed(values: Column, start: Column) -> Column:
+    """Sum of an array, null when it is empty (as SQL sums are)."""
+    return F.when(F.size(values) > 0, F.aggregate(values, start, lambda acc, x: acc + x))
+
+
+def job_features_from_lists(jobs: DataFrame, lists: dict[str, str], pad: str = "repeat") -> DataFrame:
+    """The columns of ``job_features`` for jobs that hold their lists as arrays: array column -> size_gb, join_cx,
+    xf_cx or skew. Every feature is worked out within the row, so nothing is exploded, shuffled or joined."""
+    column = {of: name for name, of in lists.items()}
+    n = F.col("num_tables")
+    kept = jobs.withColumn(column["size_gb"], F.transform(column["size_gb"], lambda x: x.cast(SIZE)))
+    size, others = F.col(column["size_gb"]), {"join": "join_cx", "xf": "xf_cx", "skew": "skew"}
+    zero, count = F.lit(0).cast("decimal(37,10)"), F.size(size).cast("decimal(10,0)")
+    total = lambda values: F.when(F.size(values) > 0, F.aggregate(
+        values, zero, lambda acc, x: (acc + x).cast("decimal(37,10)"))).cast("decimal(38,10)")
+    first = lambda values: F.slice(values, 1, F.greatest(n, F.lit(0)))
+    kept = kept.withColumns({"k_size": F.size(size).cast("bigint"), "total_size": total(size),
+                             **{f"k_{o}": F.size(column[c]).cast("bigint") for o, c in others.items()}})
+    mean = F.col("total_size").cast("double") / F.col("k_size")
+    spread = _listed(F.transform(size, lambda x: (x.cast("double") - mean) * (x.cast("double") - mean)), F.lit(0.0))
+    extended = (F.col("total_size") + (n - F.col("k_size")).cast("decimal(10,0)") * F.try_element_at(size, F.lit(-1))
+                if pad == "last" else n.cast("decimal(10,0)") * F.col("total_size"))
+    padded = F.when(F.col("k_size") < n, extended).otherwise(total(first(size)))
+    out = kept.withColumns({
+        "avg_size": (F.col("total_size") / F.when(count > 0, count)).cast("decimal(38,10)"), "max_size": F.array_max(size),
+        "_var": spread / F.col("k_size"),
+        **{f"avg_{o}": _listed(F.col(column[c]), F.lit(0.0)) / F.col(f"k_{o}") for o, c in others.items()},
+        **{f"max_{o}": F.array_max(column[c]) for o, c in others.items()},
+        "padded_total_size": padded.cast("decimal(38,10)"),
+        **{f"padded_max_{o}": F.when(F.col(f"k_{o}") < n, F.array_max(column[c])).otherwise(F.array_max(first(F.col(column[c]))))
+           for o, c in others.items()}})
+    counts = [F.col(f"k_{o}") for o in ("size", *others)]
+    out = out.withColumns({"var_size": F.col("_var").try_cast("decimal(38,2)"), "var_over_10000": F.col("_var") > 10000,
+                           "status": F.when(F.least(*counts) == 0, F.lit("empty list")).otherwise(F.lit("ok"))})
+    names = ("k_size k_join k_xf k_skew total_size avg_size max_size avg_join max_join avg_xf max_xf avg_skew max_skew "
+             "padded_total_size padded_max_join padded_max_xf padded_max_skew var_size var_over_10000 status").split()
+    return out.select(*[c for c in jobs.columns if c not in lists], *names)
+
+
 # ---------------------------------------------------------------------------------------------------------
 # K3 + K4: scores and workload type
 # ---------------------------------------------------------------------------------------------------------
@@ -294,7 +333,11 @@ def recommend(jobs: DataFrame, job_tables: DataFrame, gb_per_core: int = GB_PER_
     """Everything per job: features, scores, type, sizing, settings map and advice list."""
     if pad not in ("repeat", "last"):
         raise ValueError("pad must be 'repeat' or 'last'")
-    c = sizing_columns(classify_jobs(jobs, job_tables, pad), gb_per_core)
+    return _recommended(job_features(jobs, job_tables, pad), gb_per_core)
+
+
+def _recommended(features: DataFrame, gb_per_core: int) -> DataFrame:
+    c = sizing_columns(score_columns(features).withColumn("computed_type", workload_type_column()), gb_per_core)
     return c.withColumn("spark_conf", spark_conf_column()).withColumn("advice", advice_column())
 
 
@@ -302,14 +345,13 @@ TEXT_LISTS = {"table_sizes": "size_gb", "join_complexities": "join_cx",
               "transformation_complexities": "xf_cx", "data_skews": "skew"}
 
 
-def recommend_from_text(descriptors: DataFrame, gb_per_core: int = GB_PER_CORE) -> DataFrame:
+def recommend_from_text(descriptors: DataFrame, gb_per_core: int = GB_PER_CORE, pad: str = "repeat") -> DataFrame:
     """Recommendations for job descriptors as the form takes them: ``job_id, num_tables``, the four lists as
     comma text, ``use_spot_instances, sla_requirements, enable_auto_termination, recency, frequency`` and
-    an optional ``workload_type`` override. Parsing is row-local, and the lists become the long form
-    without any shuffle."""
-    from ..operators.partitioning import spread_if_narrow
-
-    descriptors = spread_if_narrow(descriptors)
+    an optional ``workload_type`` override. A row has all that its job needs, so the lists stay arrays and the
+    plan is row-local: no explode, shuffle or join. Rows that repeat a job_id are jobs of their own."""
+    if pad not in ("repeat", "last"):
+        raise ValueError("pad must be 'repeat' or 'last'")
     cols = set(descriptors.columns)
     jobs = descriptors.select(
         "job_id", F.col("num_tables").cast("int").alias("num_tables"),
@@ -317,8 +359,9 @@ def recommend_from_text(descriptors: DataFrame, gb_per_core: int = GB_PER_CORE)
         F.coalesce(F.col("use_spot_instances"), F.lit(False)).alias("use_spot"),
         F.coalesce(F.col("sla_requirements"), F.lit(False)).alias("sla"),
         F.coalesce(F.col("enable_auto_termination"), F.lit(False)).alias("auto_terminate"),
-        (F.col("workload_type") if "workload_type" in cols else F.lit(None)).cast("string").alias("workload_type"))
-    return recommend(jobs, lists_to_long(descriptors, "job_id", TEXT_LISTS), gb_per_core)
+        (F.col("workload_type") if "workload_type" in cols else F.lit(None)).cast("string").alias("workload_type"),
+        *[parse_number_list(F.col(t)).alias(t) for t in TEXT_LISTS])
+    return _recommended(job_features_from_lists(jobs, TEXT_LISTS, pad), gb_per_core)
 
 
 def settings_lines(rec: DataFrame, job_id) -> list[str]:
