@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import jobs as J
+from ..functions.conf import settings_table
 from ..operators.partitioning import spread_if_narrow
 from ..operators.profile import column_profile as _heavy
 from ..operators.skew import key_skew_profile as _profile
@@ -195,6 +196,15 @@ def job_text_recommend(spark, sf_dir):
                     .alias("skew_factor"), F.size("advice").cast("int").alias("n_advice"))
 
 
+def setting_texts(spark, sf_dir):
+    """The settings in one text per order (notes, blanks and cluster settings among them), and which a session may set."""
+    k = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("note: for order "), k, F.lit("\n  spark.sql.shuffle.partitions = "), F.concat(k, F.lit("  \n\n")),
+                    F.lit("spark.executor.cores=4\nspark.sql.warehouse.dir = /w/"), F.col("o_orderstatus"), F.lit("\nspark.sql.adaptive.enabled = true"))
+    orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    return settings_table(orders.select("o_orderkey", text.alias("settings"))).withColumn("line", F.col("line").cast("int"))
+
+
 def key_skew_profile(spark, sf_dir):
     """Rows, keys, largest key and a 1-10 skew score per profiled column."""
     li = _lineitem(spark, sf_dir)
@@ -226,6 +236,7 @@ def cached_branches(spark, sf_dir):
 QUERIES = {
     "job_list_parse": job_list_parse,
     "job_text_recommend": job_text_recommend,
+    "setting_texts": setting_texts,
     "job_features": job_features,
     "job_scores": job_scores,
     "workload_type": workload_type,
@@ -457,6 +468,11 @@ SELECT job_id, status, CASE WHEN status = 'ok' THEN workload_type END AS compute
        CAST(greatest(5, CAST(floor(padded_max_skew) AS BIGINT)) AS VARCHAR) AS skew_factor,
        {_N_ADVICE} AS n_advice
 FROM r""",
+    "setting_texts": """
+SELECT o_orderkey, CAST(1 AS INTEGER) AS line, 'spark.sql.shuffle.partitions' AS key, CAST(o_orderkey AS VARCHAR) AS value, true AS modifiable FROM orders
+UNION ALL SELECT o_orderkey, 3, 'spark.executor.cores', '4', false FROM orders
+UNION ALL SELECT o_orderkey, 4, 'spark.sql.warehouse.dir', '/w/' || o_orderstatus, false FROM orders
+UNION ALL SELECT o_orderkey, 5, 'spark.sql.adaptive.enabled', 'true', true FROM orders""",
     "job_list_parse": f"""
 WITH t AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
