@@ -397,6 +397,12 @@ def broadcast_join(left: DataFrame, right: DataFrame, cond: str | Column | None,
 SALTABLE = ("inner", "left", "left_semi", "left_anti")
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A salted side, never to be broadcast: Spark's size estimate knows nothing of the replicas that ``explode`` makes, so
+    a side that looks small would pass the driver ``salts`` times over."""
+    return df.hint("merge")
+
+
 def add_salt_columns(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
                      salts: int = 8, salt_from: list[str] | None = None,
                      hot_fraction: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -412,7 +418,7 @@ def add_salt_columns(left: DataFrame, right: DataFrame, left_keys: list[str], ri
     lsalt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_from]), F.lit(salts)).cast("int")
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
     if hot_fraction is None:
-        return left.withColumn("__lsalt", lsalt), right.withColumn("__rsalt", F.explode(all_salts))
+        return _shuffled(left.withColumn("__lsalt", lsalt)), _shuffled(right.withColumn("__rsalt", F.explode(all_salts)))
 
     total = left.count()
     threshold = max(1, int(total * hot_fraction))
@@ -431,7 +437,7 @@ def add_salt_columns(left: DataFrame, right: DataFrame, left_keys: list[str], ri
                .withColumn("__rsalt", F.explode(F.when(F.col("__is_hot"), all_salts)
                                                 .otherwise(F.array(F.lit(0)))))
                .drop(*drop))
-    return left_s, right_s
+    return _shuffled(left_s), _shuffled(right_s)
 
 
 def add_salt_columns_right_skew(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
@@ -464,7 +470,7 @@ def add_salt_columns_right_skew(left: DataFrame, right: DataFrame, left_keys: li
                .withColumn("__rsalt", F.when(F.col("__is_hot"), rsalt).otherwise(F.lit(0)))
                .withColumn("__rmark", F.lit(True))
                .drop(*drop))
-    return left_s, right_s
+    return _shuffled(left_s), _shuffled(right_s)
 
 
 def salted_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],

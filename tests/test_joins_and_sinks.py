@@ -272,3 +272,19 @@ def test_subquery_text_with_literal_braces(spark):
 
     df = spark.createDataFrame([("ab",), ("a",)], "v string")
     assert [r.v for r in subquery(spark, "SELECT v FROM {t} WHERE v RLIKE '^.{2}$'", {"t": df}).collect()] == ["ab"]
+
+
+@pytest.mark.parametrize("hot", [None, 0.01])
+def test_salted_sides_are_never_broadcast(spark, hot):
+    # each right row is there eight times, so a side that looks small must not pass the driver
+    left = spark.createDataFrame([(i % 3, i) for i in range(300)], "k long, v long")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (None, "d")], "k2 long, w string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(64 << 20))
+    try:
+        salted = salted_join(left, right, ["k"], ["k2"], "inner", salts=8, salt_from=["v"], hot_fraction=hot)
+        plan = salted._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == (0 if hot is None else 2)  # two: the bounded list of hot keys
+        assert _rows(salted) == _rows(left.join(right, left.k == right.k2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
