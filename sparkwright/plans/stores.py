@@ -7,21 +7,32 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_location, fresh_table_name
 from ..sources.batches import append_batch, read_batches, stage_batch
+from ..sources.sinks import bucket_count
 from ..sources.tables import parquet_dir_resolver
 from .run import run_job
 
 
-def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and lineitem stored in buckets of the order key, then joined and aggregated without a shuffle."""
-    names = {}
-    for table, alias, key, columns in (("orders", "o", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderdate"]),
-                                       ("lineitem", "l", "l_orderkey", ["l_orderkey", "l_extendedprice", "l_quantity"])):
+#: Least number of buckets of a joined table, and the size of its rows that one task sorts and joins.
+LEAST_BUCKETS, JOINED_BUCKET_BYTES = 8, 16 << 20
+
+
+def bucketed_join(spark: SparkSession, sf_dir: str, bucket_bytes: int = JOINED_BUCKET_BYTES) -> DataFrame:
+    """Orders and lineitem stored in buckets of the order key, then joined and aggregated without a shuffle.
+
+    A bucket is one task of the join, so their number grows with the larger table and a task's memory doesn't; both
+    tables have the same number.
+    """
+    stored = (("orders", "o", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderdate"]),
+              ("lineitem", "l", "l_orderkey", ["l_orderkey", "l_extendedprice", "l_quantity"]))
+    resolve, names = parquet_dir_resolver(sf_dir), {}
+    buckets = max(LEAST_BUCKETS, *(bucket_count(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns), bucket_bytes) for table, _, _, columns in stored))
+    for table, alias, key, columns in stored:
         names[table] = fresh_table_name(f"bk_{table}")
         run_job(spark, {
             "tables": [{"name": table, "alias": alias}],
             "transformations": [{"kind": "select", "output_column": c, "expression": c} for c in columns],
-            "target": {"table": names[table], "path": fresh_location(spark, f"bk_{table}"), "mode": "overwrite", "bucket_by": [key], "buckets": 8}},
-            resolver=parquet_dir_resolver(sf_dir))
+            "target": {"table": names[table], "path": fresh_location(spark, f"bk_{table}"), "mode": "overwrite", "bucket_by": [key], "buckets": buckets}},
+            resolver=resolve)
     return run_job(spark, {
         "tables": [{"name": names["orders"], "alias": "o"}, {"name": names["lineitem"], "alias": "l"}],
         "joins": [{"type": "inner", "right_table": "l", "conditions": "o.o_orderkey = l.l_orderkey"}],

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from sparkwright import run_job
 from sparkwright.operators.profile import candidates, column_profile
+from sparkwright.plans import stores
 from sparkwright.sources import batches
 from sparkwright.sources.sinks import Target, bucket_count, bucketed
 
@@ -103,6 +104,13 @@ def test_bucketed_tables_join_and_aggregate_without_exchange(shuffled):
     assert len(files) <= 16
 
 
+def test_joined_buckets_grow_with_the_rows(shuffled):
+    # some 6,000 lines of 32 bytes: a task sorts a bucket's rows, so a bucket has so many at most
+    df = stores.bucketed_join(shuffled, SF_SMALL, bucket_bytes=13_000)
+    assert len(re.findall(r"SelectedBucketsCount: 16 out of 16", explained(df))) == 2 and "Exchange" not in explained(df)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, E.queries()["bucketed_join"](shuffled, SF_SMALL).collect()))
+
+
 def test_bucket_numbers_and_errors(spark):
     df = spark.range(1000).withColumn("k", F.col("id") % 7)
     assert bucket_count(df) == 1 and bucket_count(df, 4096) == 8
