@@ -315,7 +315,7 @@ def _with_columns(df: DataFrame, outs: dict[str, str], source: str, source_kind:
                 yield pa.RecordBatch.from_arrays([*columns, *values], names)
                 at += n
 
-    found = rows.mapInArrow(parts, schema)
+    found = rows.mapInArrow(common.tidy(parts), schema)
     return found.select(*df.columns, *[c for c in outs if c not in df.columns])
 
 

@@ -32,19 +32,42 @@ def release(*families: str) -> None:
     store = _store()
     old = [k for k, v in store.items() if k.startswith("table ") and v[0] not in families]
     if old:
-        import ctypes
-        import gc
-
-        import pyarrow as pa
-
         for k in old:
             del store[k]
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)  # freed memory goes back to the system where the C library can do that
-        except (AttributeError, OSError):
-            pass
+        trim()
+
+
+def trim() -> None:
+    """Give the memory that this Python process has freed back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # freed memory goes back to the system where the C library can do that
+    except (AttributeError, OSError):
+        pass
+
+
+def trimmed(task: Callable, *given):
+    """``task(*given)``; then the process is trimmed. Spark keeps idle workers and takes them in turn, so what each one has
+    freed but kept would add up on an executor."""
+    found = task(*given)
+    trim()
+    return found
+
+
+def tidy(task: Callable) -> Callable:
+    """A function for ``mapInArrow`` that trims the process after ``task``, as ``trimmed`` does."""
+
+    def run(batches):
+        yield from task(batches)
+        trim()
+
+    return run
 
 
 def per_process(key: str, build: Callable):

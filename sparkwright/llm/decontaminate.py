@@ -206,7 +206,7 @@ def possible_hits(texts: DataFrame, sent, bits: int, masks: list[int]) -> DataFr
                     yield from found([k[first : i + 1] for k in keys], held)
                     held, first, n = [], i + 1, 0
 
-    return texts.mapInArrow(search, "k1 long, k2 long, hash long, at int")
+    return texts.mapInArrow(common.tidy(search), "k1 long, k2 long, hash long, at int")
 
 
 def compare(text: str, asked: list[dict], min_words: int, similarity: float) -> list[dict]:

@@ -104,8 +104,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     """__id, __key (of the row, by id and text), n_shingles, node (digest of the set, null if empty), bands."""
     import pyarrow as pa
 
-    @F.arrow_udf("struct<n: long, node: binary, bands: array<long>>")
-    def sign(texts: pa.Array) -> pa.Array:
+    def signed(texts):
         words = common.per_process("words", common.WordHashes)
         factors, offsets = permutations(BANDS * ROWS // 2)
         n, nodes, bands = [], [], []
@@ -116,6 +115,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
             bands.append(band_keys(values, factors, offsets) if len(values) else None)
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["n", "node", "bands"])
 
+    @F.arrow_udf("struct<n: long, node: binary, bands: array<long>>")
+    def sign(texts: pa.Array) -> pa.Array:
+        return common.trimmed(signed, texts)
+
     rows = docs.select(F.col(id_col).alias("__id"), common.row_key(id_col, text_col).alias("__key"), sign.asNondeterministic()(F.col(text_col).cast("string")).alias("s"))
     return rows.select("__id", "__key", F.col("s.n").alias("n_shingles"), F.col("s.node").alias("node"), F.col("s.bands").alias("bands"))
 
@@ -124,12 +127,15 @@ def set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, sh
     """node, items (the sorted set as bytes) for the wanted classes; wanted: node and the id of one of its rows."""
     import pyarrow as pa
 
-    @F.arrow_udf("struct<node: binary, items: binary>")
-    def sets(texts: pa.Array) -> pa.Array:
+    def made(texts):
         words = common.per_process("words", common.WordHashes)
         values = [shingle_set(x.as_py() or "", words, shingle) for x in texts]
         return pa.StructArray.from_arrays([pa.array([node_of(v) for v in values], pa.binary()), pa.array([v.tobytes() for v in values], pa.binary())], ["node", "items"])
 
+    @F.arrow_udf("struct<node: binary, items: binary>")
+    def sets(texts: pa.Array) -> pa.Array:
+        return common.trimmed(made, texts)
+
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t"))
     wanted = common.written(wanted, "wanted")
     if wanted.count() <= MOST_BROADCAST:

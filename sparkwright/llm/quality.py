@@ -1,8 +1,8 @@
 """Operator 4: quality classifier, an interpolated modified Kneser-Ney character trigram model of trusted text.
 
-Training. Trusted rows (quality 1, not toxic) are fitted on a bounded sample of the labels: at most about
-``sample_labels`` labelled rows, dealt evenly to the languages that have so many and chosen by a hash of the id (a
-documented bound; the whole texts of all of them count).
+Training. All trusted rows (quality 1, not toxic) count, with their whole texts: a bitmap of hashed ids, of a fixed size,
+keeps most other documents out of the shuffle in which documents and trusted ids are joined. (A caller may ask for a
+sample instead: ``sample_labels`` labelled rows, dealt evenly to the languages and chosen by a hash of the id.)
 Spark counts n-grams per model, and joins between the count tables, dealt by context, give the adjusted counts, the
 discounts (one, two, three or more), the back-off masses and the interpolated probabilities. Models are numbered: 0 is
 that of all trusted text, the others are the languages with at least ``least_docs`` trusted documents. An n-gram is one
@@ -10,10 +10,11 @@ number of 21 bits a character, so no alphabet is cut; all characters that a mode
 
 Scoring. The documents are dealt in blocks of ``BLOCK`` rows. The distinct n-grams that a block asks for are joined to the
 tables of probabilities and masses, dealt by n-gram, and the answers go back to the block, where each document's
-counts give its perplexity per character. No task holds a model, only its block's answers; texts are shuffled once.
+counts give its perplexity per character. No task holds a model, only its block's answers; texts are shuffled once,
+compressed by runs of rows.
 Short texts say little, so the decision uses the perplexity after adding ``prior_chars`` characters at the language's
 median. A document is kept unless that exceeds its language's threshold: the ``quantile`` of the held-out trusted
-documents (a fifth of the sample, not trained on).
+documents (a fifth of them, not trained on).
 
 Defined results: null or empty text has the end sign alone and is kept or not like any other; a null language and an
 empty one are languages of their own, and have a model, a median and a threshold like any other if they have enough
@@ -35,6 +36,8 @@ BITS = 21
 SIGN, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 #: Documents of a block.
 BLOCK = 4096
+#: Bits of the bitmap of trusted ids (4 MB).
+MARKS = 1 << 25
 
 
 def language(column: str):
@@ -52,9 +55,32 @@ def even_quota(sizes: list[int], total: int) -> float:
     return max(sizes, default=0)
 
 
+def trusted_ids(labels: DataFrame, id_col: str) -> DataFrame:
+    return labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
+
+
+def is_held():
+    """A fifth of the trusted documents, by a hash of the id."""
+    return F.pmod(F.xxhash64(F.lit("held"), F.col("__id").cast("string")), F.lit(5)) == 0
+
+
+def trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """lang, text, held of all trusted documents; not written, as the rows are filtered before they are shuffled."""
+    good = common.written(trusted_ids(labels, id_col), "trusted_ids")
+    docs = docs.select(F.col(id_col).alias("__id"), common.text_or_empty(text_col).alias("text"), language(lang_col).alias("lang"))
+    if docs.schema["__id"].dataType == good.schema["__id"].dataType:  # else equal ids may have other hashes
+        mark = F.pmod(F.xxhash64("__id"), F.lit(MARKS)) + 1
+        marks = good.groupBy(F.bitmap_bucket_number(mark).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("__bits"))
+        marks = F.broadcast(common.written(marks, "marks"))  # MARKS bits
+        at = F.bitmap_bit_position(mark)
+        byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        docs = docs.join(marks, F.bitmap_bucket_number(mark) == F.col("__part")).where(F.getbit(byte, at % 8) == 1).drop("__part", "__bits")
+    return docs.join(good.hint("merge"), "__id", "left_semi").select("lang", "text", is_held().alias("held"))
+
+
 def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, sample_labels: int) -> DataFrame:
-    """key, lang, text, held (a fifth of the sample) of the trusted documents of the sample."""
-    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
+    """lang, text, held of the trusted documents of a sample."""
+    good = trusted_ids(labels, id_col)
     docs = docs.select(F.col(id_col).alias("__id"), common.text_or_empty(text_col).alias("text"), language(lang_col).alias("lang"))
     told = common.written(docs.select("__id", "lang").join(good, "__id").distinct(), "labelled")
     each = {r.lang: r["count"] for r in told.groupBy("lang").count().collect()}  # one row a language
@@ -63,7 +89,7 @@ def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     chosen = told.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64(F.lit("sample"), F.col("__id").cast("string")), F.lit(1_000_000)) < F.col("share")).select("__id", "lang")
     # the sample is bounded, so it goes to the documents rather than the documents to it
     rows = docs.join(F.broadcast(chosen), ["__id", "lang"]).select(
-        "lang", "text", (F.pmod(F.xxhash64(F.lit("held"), F.col("__id").cast("string")), F.lit(5)) == 0).alias("held"))
+        "lang", "text", is_held().alias("held"))
     return common.written(rows, "trusted")
 
 
@@ -100,7 +126,7 @@ def count_trigrams(rows: DataFrame) -> DataFrame:
                     held, many = {}, 0
         yield from (summed(m, h) for m, h in held.items())
 
-    return rows.select("model", "text").mapInArrow(counted, "model int, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("model", "text").mapInArrow(common.tidy(counted), "model int, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> DataFrame:
@@ -194,15 +220,20 @@ def score(rows: DataFrame, tables: Tables, text: str) -> DataFrame:
                     parts[:] = [np.unique(np.concatenate(parts))]
         yield from answer()
 
-    asked = dealt.select("__block", "__model", text).mapInArrow(ask, "__block long, model int, gram long")
+    asked = dealt.select("__block", "__model", text).mapInArrow(common.tidy(ask), "__block long, model int, gram long")
     asked = common.written(asked, "asked")
     told = asked.join(common.written(tables.answers(asked), "answers"), ["model", "gram"]).select("__block", "model", "gram", "logp")
 
+    moved = "the documents came in other partitions when read again; write them to a table first"
+
     def apply(left, right):
         import numpy as np
         import pyarrow as pa
 
         common.release()
+        if not left.num_rows:
+            raise ValueError(moved)
+        left = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in left["__rows"]])
         models, grams, logp = (right[c].to_numpy() for c in ("model", "gram", "logp"))
         known = {}
         for model in np.unique(models):
@@ -215,37 +246,56 @@ def score(rows: DataFrame, tables: Tables, text: str) -> DataFrame:
             keys, values = known.get(model, (own[:0], own[:0]))
             at = np.searchsorted(keys, own)
             if not len(keys) or (keys[np.minimum(at, len(keys) - 1)] != own).any():
-                raise ValueError("the documents came in other partitions when read again; write them to a table first")
+                raise ValueError(moved)
             nll.append(-float((values[at] * times).sum()))
             n.append(int(times.sum()))
-        left = left.drop_columns(["__block"])
         return left.append_column("__nll", pa.array(nll, pa.float64())).append_column("__n", pa.array(n, pa.int64()))
 
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        common.release()
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            blocks = batch.column("__block").to_numpy()
+            ends = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            batch = batch.drop_columns(["__block"])
+            for i, j in zip(ends[:-1], ends[1:], strict=True):
+                if i < j:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                        out.write_batch(batch.slice(i, j - i))
+                    yield pa.RecordBatch.from_pydict({"__block": pa.array(blocks[i : i + 1]), "__rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
     schema = T.StructType([*rows.schema.fields, T.StructField("__nll", T.DoubleType()), T.StructField("__n", T.LongType())])
-    return dealt.groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(apply, schema)
+    return dealt.mapInArrow(common.tidy(pack), "__block long, __rows binary").groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(lambda left, right: common.trimmed(apply, left, right), schema)
 
 
 def train(sample: DataFrame, least_docs: int) -> tuple[DataFrame, Tables | None]:
     """lang, model (a number above 0) of the languages that have one, and the tables of all models; None without text."""
     fit = sample.where("NOT held")
-    own = fit.groupBy("lang").count().where(F.col("count") >= least_docs).select("lang").collect()  # at most one a sampled label
+    each = common.written(fit.groupBy("lang").count(), "languages")
+    own = each.where(F.col("count") >= least_docs).select("lang").collect()  # one row a language with so many documents
     models = sample.sparkSession.createDataFrame([(r.lang, i) for i, r in enumerate(sorted(own), 1)], "lang string, model int")
-    rows = fit.join(F.broadcast(models), "lang").select("model", "text").unionByName(fit.select(F.lit(0).alias("model"), "text"))
-    return models, Tables(rows) if fit.limit(1).count() else None
+    rows = fit.join(F.broadcast(models), "lang", "left").select(F.explode(F.array_compact(F.array(F.lit(0), "model"))).alias("model"), "text")
+    return models, Tables(rows) if each.limit(1).count() else None
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             sample_labels: int = 20_000, least_docs: int = 50, quantile: float = 0.99,
+             sample_labels: int | None = None, least_docs: int = 50, quantile: float = 0.99,
              prior_chars: int = 40) -> DataFrame:
-    """Add perplexity, threshold (of the smoothed perplexity) and kept to each document."""
+    """Add perplexity, threshold (of the smoothed perplexity) and kept to each document; trained on all trusted documents,
+    or on a sample of ``sample_labels`` if a number is given."""
     columns = [c for c in docs.columns if c not in ("perplexity", "threshold", "kept")]
-    sample = trusted_sample(docs, labels, id_col, text_col, lang_col, sample_labels)
+    names = (id_col, text_col, lang_col)
+    sample = trusted(docs, labels, *names) if sample_labels is None else trusted_sample(docs, labels, *names, sample_labels)
     models, tables = train(sample, least_docs)
     if tables is None:
         return docs.select(*columns, F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     own = lambda df, lang: df.withColumn("__lang", lang).join(F.broadcast(models.select(F.col("lang").alias("__lang"), "model")), "__lang", "left").withColumn("__model", F.coalesce("model", F.lit(0))).drop("__lang", "model")
     smooth = lambda center: F.exp((F.col("__nll") + prior_chars * F.log(center)) / (F.col("__n") + prior_chars))
-    held = own(sample.where("held"), F.col("lang")).select("__model", "text")
+    held = common.written(own(sample.where("held"), F.col("lang")).select("__model", "text"), "held")
     held = common.written(score(held, tables, "text").select("__model", "__nll", "__n"), "held_out")
     # a language's document counts for its own threshold and, by its own model, for that of all
     held = held.unionByName(held.where("__model <> 0").withColumn("__model", F.lit(0)))

@@ -316,6 +316,26 @@ def test_quality_threshold_is_the_quantile_and_small_languages_keep_their_labels
     assert abs(bound - threshold) < 1e-9
 
 
+def test_quality_learns_from_every_trusted_document(spark, monkeypatch):
+    # more trusted documents than a sample of 20,000 would take, repeated ids among them; the rows of others don't count
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("ab "), F.col("id").cast("string")).alias("text"),
+                                      F.when(F.col("id") % 2 == 0, "en").alias("lang"))
+    rows = rows.unionByName(rows.where("doc_id < 10"))
+    labels = rows.select("doc_id", F.when(F.col("doc_id") % 10 == 0, 0).otherwise(1).alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    got = quality.trusted(rows, labels, "doc_id", "text", "lang")
+    want = rows.where("doc_id % 10 <> 0")
+    assert got.count() == want.count() == 27_009
+    assert got.select("text").exceptAll(want.select("text")).count() == 0
+    held = "pmod(xxhash64('held', cast(doc_id AS string)), 5) = 0"
+    assert got.where("held").count() == want.where(held).count()
+    seen = []
+    monkeypatch.setattr(quality, "Tables", lambda fit: seen.append(fit.groupBy("model").count().collect()))
+    quality.classify(rows, labels)
+    assert sum(r["count"] for r in seen[0] if r.model == 0) == want.where(f"NOT {held}").count()
+    # ids of another type join as before
+    assert quality.trusted(rows, labels.withColumn("doc_id", F.col("doc_id").cast("int")), "doc_id", "text", "lang").count() == 27_009
+
+
 def test_fingerprints(spark, docs, empty):
     got = fingerprint.fingerprints(docs, bucket_bytes=3000, keep={"text": F.col("text"), "edited": F.col("edited")}).collect()
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
