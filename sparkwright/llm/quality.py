@@ -75,7 +75,8 @@ def trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
         at = F.bitmap_bit_position(mark)
         byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         docs = docs.join(marks, F.bitmap_bucket_number(mark) == F.col("__part")).where(F.getbit(byte, at % 8) == 1).drop("__part", "__bits")
-    return docs.join(good.hint("merge"), "__id", "left_semi").select("lang", "text", is_held().alias("held"))
+    # ids are distinct; a semi join would be pushed below the bitmap's, and shuffle every text
+    return docs.join(good.hint("merge"), "__id").select("lang", "text", is_held().alias("held"))
 
 
 def trusted_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, sample_labels: int) -> DataFrame:

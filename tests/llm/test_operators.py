@@ -332,6 +332,9 @@ def test_quality_learns_from_every_trusted_document(spark, monkeypatch):
     monkeypatch.setattr(quality, "Tables", lambda fit: seen.append(fit.groupBy("model").count().collect()))
     quality.classify(rows, labels)
     assert sum(r["count"] for r in seen[0] if r.model == 0) == want.where(f"NOT {held}").count()
+    # the bitmap's join comes first, below the shuffle of the texts
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("rightHint=(strategy=merge)") < plan.index("rightHint=(strategy=broadcast)")
     # ids of another type join as before
     assert quality.trusted(rows, labels.withColumn("doc_id", F.col("doc_id").cast("int")), "doc_id", "text", "lang").count() == 27_009
 
