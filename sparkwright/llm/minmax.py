@@ -8,7 +8,8 @@ other in all bands with a chance of 2 in a million, two of likeness 0.8 (the pip
 Equal sets are one class from the start, so copies cost nothing further. Within buckets:
 1. buckets of up to ``SMALL`` classes compare all their classes; larger ones compare each class with about ``HUBS``
    classes of the bucket, so the comparisons grow with the classes, not with their square;
-2. the confirmed links give components. In larger buckets that still hold several components, classes of different
+2. the confirmed links give components; of a class's links to its hubs one stays, and its hubs are linked to one another,
+   which is the same for all classes of a group. In larger buckets that still hold several components, classes of different
    components are compared where they can still be alike: a prefix and position filter over their full sets (rarest
    shingles first) leaves no linked pair out and keeps apart what differs in too many rare shingles. Groups of documents
    that are all somewhat alike share their rarest shingles, too. So the join also compares one-bit signatures of
@@ -170,6 +171,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.where(alike(F.col("left_items"), F.col("right_items"))).select("a", "b")
 
 
+def bundled(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the components of these: of each a, one to its least b, and one from there to each other b.
+
+    Classes of one group share their hubs, so the links between hubs come once for all of them. Only the b of one a meet,
+    the hubs of a class, which the buckets of a class bound."""
+    of = links.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("hubs"))
+    ends = F.concat(F.array("a"), F.expr("slice(hubs, 2, size(hubs))"))
+    return of.select(F.explode(ends).alias("a"), F.col("hubs")[0].alias("b")).distinct()
+
+
 def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components (nodes: node, root) that a prefix and position filter and the bits of
     their signatures let through."""
@@ -231,10 +242,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     hubs = large.join(least, "bucket").where(chosen).select("bucket", F.col("node").alias("hub"))
     few = entries.where(F.col("m") <= SMALL).select("bucket", F.col("node").alias("hub"))
     pairs = entries.select("bucket", "node").join(hubs.unionByName(few), "bucket").where("node <> hub")
-    pairs = common.written(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    # a pair once, b being the hub: a class has the hubs of its buckets alone, a hub any number of classes
+    pairs = pairs.groupBy(F.least("node", "hub").alias("low"), F.greatest("node", "hub").alias("high")).agg(F.min(F.col("node") < F.col("hub")).alias("up"))
+    pairs = pairs.select(F.when(F.col("up"), F.col("low")).otherwise(F.col("high")).alias("a"), F.when(F.col("up"), F.col("high")).otherwise(F.col("low")).alias("b"))
+    pairs = common.written(pairs, "pairs")
     wanted = entries.select("node").distinct().join(classes.select("node", "rep"), "node")
     sets = set_table(docs, wanted, id_col, text_col, shingle)
-    links = common.written(confirm(pairs, sets, percent), "links")
+    links = common.written(bundled(confirm(pairs, sets, percent)), "links")
     roots = components(links)
 
     # larger buckets with more than one component

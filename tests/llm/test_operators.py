@@ -205,6 +205,32 @@ def test_minmax_large_family_with_chains(spark):
     assert got == linked(rows)
 
 
+def test_minmax_group_of_near_copies_gives_few_links_to_the_components(spark, monkeypatch):
+    given = []
+    real = minmax.components
+    monkeypatch.setattr(minmax, "components", lambda links: (given.append(links.count()), real(links))[1])
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(300)] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    got = minmax.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component for r in got} == {0}
+    # each class once and the links between hubs, not each class with each hub of its 28 buckets
+    assert 299 <= given[0] < 1500
+
+
+def test_minmax_bundled_links_have_the_same_components(spark):
+    rng = random.Random(4)
+    links = {(f"n{rng.randrange(200)}", f"n{rng.randrange(200)}") for _ in range(180)}
+    links = spark.createDataFrame([x for x in links if x[0] != x[1]], "a string, b string")
+    few = minmax.bundled(links)
+    want, got = ({r.node: r.root for r in minmax.components(x).collect()} for x in (links, few))
+    assert got == want and few.count() <= links.count()
+
+
 def test_quality_separates_noise(spark, empty):
     rng = random.Random(5)
     good = [(i, prose(rng, 60), "en", 1, 0) for i in range(300)]
