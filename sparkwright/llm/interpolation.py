@@ -2,17 +2,21 @@
 
 The model mixes the maximum-likelihood bigram estimate with a smoothed unigram,
     p(w | h) = L[b(h)] * c(h, w) / c(h) + (1 - L[b(h)]) * (c(w) + 0.1) / (N + 0.1 * (V + 1)),
-where b(h) is the bucket of the history's frequency (powers of two). Histories with less than the share ``SHARE`` of
-all tokens form one class, so there are at most 1 / SHARE histories and their counts are bounded. The weights L come
-from expectation-maximisation on deleted counts: every training occurrence is predicted from the counts without it.
+where b(h) is the bucket of the history's frequency (powers of two). Every word that occurs twice in the training text
+is a history of its own, whatever the input's size. Words that occur once form one class with unknown ones: without its
+only occurrence such a history has no counts. The weights L come from expectation-maximisation on deleted counts: every
+training occurrence is predicted from the counts without it.
+
+Words with the share ``SHARE`` of all tokens are frequent, the others rare.
 
 All counts cover all training documents; what is gathered grows with the input:
 1. word counts, combined per task, then by word;
 2. word pairs with a large share of the tokens (at most some 1 / SHARE of them), counted on their own, so that no hot
    pair is ever gathered in a bucket;
-3. all other training pairs, combined per batch, in buckets: a frequent word's pairs by pair, a rare word's pairs by
-   word (a rare word has less than SHARE of all tokens). A bucket has pair and word counts whole and gives the deleted
-   counts as a histogram of estimate ratios, on which the weights are fitted;
+3. all other training pairs in buckets: those of two frequent words by pair, a rare word's by word, with the frequent word
+   that follows it, so those of a rare history and a frequent word by history. A bucket has pair and word counts whole and so the history's, too, but for
+   two rare words: the counts of the rare histories that occur there are joined to it. It gives the deleted counts as a
+   histogram of estimate ratios, on which the weights are fitted, and the counts of frequent words after the class;
 4. the tokens of all documents in the same buckets, which reply to each batch with its sums by document; hot pairs
    are scored where they are read. A batch's replies are added up, then those of equal keys.
 Buckets hold some ``bucket_tokens`` tokens each, whatever the input's size. A reply has a sum for each document that
@@ -102,16 +106,15 @@ def before(codes, sizes):
 class Model:
     """Bounded tables: frequent words with counts, histories, hot pairs with counts, totals."""
 
-    def __init__(self, hashes, counts, total: int, words: int, texts: int, hints):
+    def __init__(self, hashes, counts, total: int, words: int, texts: int, once: int, hints):
         import numpy as np
 
         order = np.argsort(hashes)
         self.words, self.word_counts = hashes[order], counts[order]
         self.total, self.n_words = total, words
         self.floor = 0.1 / (total + 0.1 * (words + 1))
-        plain = int(self.word_counts[self.words != np.uint64(END)].sum())
-        # histories: the rare class, the start, then the frequent words
-        self.history = np.concatenate([[total - texts - plain, texts], self.word_counts]).astype(np.int64)
+        # histories: the class of words that occur once, the start, then the frequent words
+        self.history = np.concatenate([[once, texts], self.word_counts]).astype(np.int64)
         self.base = len(self.history)
         rare = np.arange(len(self.words), dtype=np.int64) + RARE_AT * self.base
         (h, _), (_, w) = self.places(hints[:, 0]), self.places(hints[:, 1])
@@ -231,8 +234,16 @@ def counted_words(rows: DataFrame) -> DataFrame:
             .groupBy("kind", "left", "word").agg(F.sum("n").alias("n")))
 
 
-def hot_pair_counts(rows: DataFrame, sent) -> DataFrame:
-    """at, n of the hot pairs in the training rows."""
+def place_in(buckets: int, values):
+    """Buckets of 64-bit values."""
+    import numpy as np
+
+    return (common.mix64(values) % np.uint64(buckets)).astype(np.int64)
+
+
+def hot_pairs_and_needs(rows: DataFrame, sent, buckets: int) -> DataFrame:
+    """bucket, at, n: hot pairs in the training rows with their counts (bucket null), and the rare words (at, a hash) of
+    which a bucket needs the counts, as they come before rare words in any rows."""
     import pyarrow as pa
 
     def count(batches):
@@ -241,19 +252,25 @@ def hot_pair_counts(rows: DataFrame, sent) -> DataFrame:
         m = sent.value
         total = np.zeros(len(m.hot), np.int64)
         for batch in batches:
-            for _, codes, hashes, sizes in token_batches(batch, 0):
+            for part, codes, hashes, sizes in token_batches(batch, 0):
+                learn = np.repeat(np.array(batch.column(1)[part].to_pylist(), bool), sizes)
                 as_history, as_word = m.places(hashes)
-                h, w = as_history[before(codes, sizes)], as_word[codes]
-                at = m.hot_at((h * m.base + w)[w >= 0])
+                left = before(codes, sizes)
+                h, w = as_history[left], as_word[codes]
+                at = m.hot_at((h * m.base + w)[learn & (w >= 0) & (h != RARE_AT)])
                 total += np.bincount(at[at >= 0], minlength=len(m.hot))
+                both = (w < 0) & (h == RARE_AT)
+                to = place_in(buckets, hashes + np.uint64(1))[codes[both]]
+                need = np.unique(left[both].astype(np.int64) * buckets + to)
+                yield pa.RecordBatch.from_arrays([pa.array(need % buckets), pa.array(hashes.view(np.int64)[need // buckets]), pa.array(np.zeros(len(need), np.int64))], ["bucket", "at", "n"])
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some), pa.array(total[some])], ["bucket", "at", "n"])
 
-    return rows.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    return rows.select("text", "learn").mapInArrow(count, "bucket long, at long, n long").groupBy("bucket", "at").agg(F.sum("n").alias("n"))
 
 
 ENTRIES = ("bucket long, batch long, pairs binary, pair_docs binary, lefts binary, words binary, word_docs binary, "
-           "docs binary, learns binary, sums binary")
+           "nexts binary, docs binary, learns binary, sums binary")
 
 
 def entries(rows: DataFrame, sent, buckets: int, by_doc: bool) -> DataFrame:
@@ -275,9 +292,10 @@ def entries(rows: DataFrame, sent, buckets: int, by_doc: bool) -> DataFrame:
                 learn = np.array(batch.column(2)[part.start : part.stop].to_pylist(), bool)
                 doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
                 as_history, as_word = m.places(hashes)
-                h, w = as_history[before(codes, sizes)], as_word[codes]
-                often = w >= 0
-                pair, pair_doc, word_doc = h[often] * m.base + w[often], doc[often], doc[~often]
+                lefts = before(codes, sizes)
+                h, w = as_history[lefts], as_word[codes]
+                often, known = w >= 0, h != RARE_AT
+                pair, pair_doc, word_doc = (h * m.base + w)[often & known], doc[often & known], doc[~often]
                 at = m.hot_at(pair)
                 hot = at >= 0
                 out = {n.split()[0]: [] for n in ENTRIES.split(", ")}
@@ -291,15 +309,18 @@ def entries(rows: DataFrame, sent, buckets: int, by_doc: bool) -> DataFrame:
                     sums = [np.bincount(hot_doc, minlength=len(sizes)), *(np.bincount(hot_doc, x[hot_at], len(sizes)) for x in logs)]
                     put(bucket=number % buckets, batch=number, docs=pack(keys), sums=pack(np.concatenate(sums).astype(np.float64)))
                 pair, pair_doc = pair[~hot], pair_doc[~hot]
-                to = (common.mix64(pair.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                left, word = h[~often].astype(np.int32), hashes[codes[~often]]
-                to_word = (common.mix64(word + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+                # before a rare word: the place of a history, or the hash of a rare one; after it: a frequent word's place or -1
+                left, word = np.where(as_history == RARE_AT, hashes, as_history.astype(np.uint64))[lefts[~often]], hashes[codes[~often]]
+                following = np.append(w[1:], -1).astype(np.int32)
+                following[codes == END_CODE] = -1
+                following = following[~often]
+                to, to_word = place_in(buckets, pair.view(np.uint64)), place_in(buckets, word + np.uint64(1))
                 a, b = np.argsort(to, kind="stable"), np.argsort(to_word, kind="stable")
                 ends_a = np.searchsorted(to[a], np.arange(buckets + 1))
                 ends_b = np.searchsorted(to_word[b], np.arange(buckets + 1))
                 for k in np.flatnonzero((np.diff(ends_a) > 0) | (np.diff(ends_b) > 0)).tolist():
                     x, y = a[ends_a[k] : ends_a[k + 1]], b[ends_b[k] : ends_b[k + 1]]
-                    row = {"bucket": k, "batch": number, "pairs": pack(pair[x]), "lefts": pack(left[y]), "words": pack(word[y])}
+                    row = {"bucket": k, "batch": number, "pairs": pack(pair[x]), "lefts": pack(left[y]), "words": pack(word[y]), "nexts": pack(following[y])}
                     if by_doc:
                         found = np.zeros(len(sizes), bool)
                         found[pair_doc[x]] = found[word_doc[y]] = True
@@ -313,12 +334,13 @@ def entries(rows: DataFrame, sent, buckets: int, by_doc: bool) -> DataFrame:
 
 
 class Bucket:
-    """The entries of one bucket (rows of tokens) and their counts."""
+    """The entries of one bucket (rows of tokens), the counts of rare histories that it needs (word, n), and its counts."""
 
-    def __init__(self, rows: list[dict], m: Model, by_doc: bool):
+    def __init__(self, rows: list[dict], needs, m: Model, by_doc: bool):
         import numpy as np
 
-        kinds = {"pairs": np.int64, "lefts": np.int32, "words": np.uint64} | ({"pair_docs": np.uint32, "word_docs": np.uint32} if by_doc else {})
+        kinds = {"pairs": np.int64, "lefts": np.uint64, "words": np.uint64, "nexts": np.int32}
+        kinds |= {"pair_docs": np.uint32, "word_docs": np.uint32} if by_doc else {}
         got = {n: [np.empty(0, kind)] for n, kind in kinds.items()}
         learns, self.ends = [np.empty(0, bool)], [0]  # documents of each row
         for row in rows:
@@ -332,20 +354,43 @@ class Bucket:
         learns = np.concatenate(learns).astype(np.float64)
         self.got, self.m = got, m
         count = lambda inverse, docs, n: np.bincount(inverse, learns[got[docs]] if by_doc else None, n).astype(np.int64)
-        # frequent words: pairs are whole here
-        self.pairs, self.pair_of = np.unique(got["pairs"], return_inverse=True)
-        self.pair_n = count(self.pair_of, "pair_docs", len(self.pairs))
-        self.pair_history, self.pair_word = m.history[self.pairs // m.base], m.word_counts[self.pairs % m.base] if len(self.pairs) else self.pairs
-        # rare words: all of a word's pairs are here
-        _, word_of = np.unique(got["words"], return_inverse=True)
-        words_n = count(word_of, "word_docs", int(word_of.max()) + 1 if len(word_of) else 0)
-        self.rares, self.rare_of = np.unique(word_of * m.base + got["lefts"], return_inverse=True)
-        self.rare_n = count(self.rare_of, "word_docs", len(self.rares))
-        self.rare_history, self.rare_word = m.history[self.rares % m.base], words_n[self.rares // m.base] if len(self.rares) else self.rares
+
+        # frequent words after frequent ones: pairs are whole here
+        pairs, pair_of = np.unique(got["pairs"], return_inverse=True)
+        pair_word = m.word_counts[pairs % m.base] if len(pairs) else pairs
+        # rare words: all of a word's pairs are here; a history that occurs less than twice is the class
+        words, word_of = np.unique(got["words"], return_inverse=True)
+        words_n = count(word_of, "word_docs", len(words))
+        lefts, left_of = np.unique(got["lefts"], return_inverse=True)
+        place = lefts < m.base
+        times = np.zeros(len(lefts), np.int64)
+        if len(needs[0]):
+            at = np.minimum(np.searchsorted(needs[0], lefts), len(needs[0]) - 1)
+            times = np.where(needs[0][at] == lefts, needs[1][at], 0)
+        lefts, same = np.unique(np.where(place | (times >= 2), lefts, np.uint64(RARE_AT)), return_inverse=True)
+        histories = np.zeros(len(lefts), np.int64)
+        histories[same] = np.where(place | (times < 2), m.history[np.where(place, lefts[same], RARE_AT).astype(np.int64)], times)
+        width = max(1, len(lefts))
+        rares, rare_of = np.unique(word_of * width + same[left_of], return_inverse=True)
+        # frequent words after rare ones: all of the history's pairs are here, and all of it as a word
+        some = got["nexts"] >= 0
+        head, following = word_of[some], got["nexts"][some].astype(np.int64)
+        own = words_n[head] >= 2
+        nexts, next_of = np.unique(head[own] * m.base + following[own], return_inverse=True)
+        self.after_class = following[~own]  # also the numbers of the pairs, as the class comes first
+        if by_doc:
+            docs = got["word_docs"][some]
+            got |= {"own_docs": docs[own], "class_docs": docs[~own]}
+        #: For each kind of tokens: the pair of each, documents; of each pair its count, the history's, the word's.
+        self.kinds = [
+            (pair_of, "pair_docs", count(pair_of, "pair_docs", len(pairs)), m.history[pairs // m.base], pair_word),
+            (rare_of, "word_docs", count(rare_of, "word_docs", len(rares)), histories[rares % width], words_n[rares // width]),
+            (next_of, "own_docs", count(next_of, "own_docs", len(nexts)), words_n[nexts // m.base], m.word_counts[nexts % m.base]),
+        ]
 
     def histogram(self):
-        m = self.m
-        return m.histogram(self.pair_n, self.pair_history, self.pair_word) + m.histogram(self.rare_n, self.rare_history, self.rare_word)
+        """Of all pairs but those of a frequent word after the class, which only all buckets together count."""
+        return sum(self.m.histogram(*counts) for _, _, *counts in self.kinds)
 
     def sums(self):
         """For each row: tokens, known tokens, base and model log10 probabilities by document."""
@@ -353,51 +398,76 @@ class Bucket:
 
         m, n = self.m, self.ends[-1]
         total = np.zeros((4, n))
-        for of, docs, pair_n, history, word_n in ((self.pair_of, "pair_docs", self.pair_n, self.pair_history, self.pair_word),
-                                                  (self.rare_of, "word_docs", self.rare_n, self.rare_history, self.rare_word)):
-            if len(pair_n):
+        after, after_of = np.unique(self.after_class, return_inverse=True)
+        in_class = (after_of, "class_docs", m.hot_counts[m.hot_at(after)], np.full(len(after), m.history[RARE_AT]), m.word_counts[after])
+        for of, docs, *counts in [*self.kinds, in_class]:
+            if len(of):
                 at = self.got[docs]
                 total[0] += np.bincount(at, minlength=n)
-                for k, x in enumerate(m.logs(pair_n, history, word_n), 1):
+                for k, x in enumerate(m.logs(*counts), 1):
                     total[k] += np.bincount(at, x[of], n)
         return [total[:, i:j] for i, j in zip(self.ends[:-1], self.ends[1:], strict=True)]
 
 
-def fitted(rows: DataFrame, bucket_tokens: int) -> tuple[Model | None, int]:
+def counts_needed(table):
+    """The sorted hashes and the counts of a bucket's needs."""
+    import numpy as np
+
+    words, n = table.column("word").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(words)
+    return words[order], n[order]
+
+
+def fitted(rows: DataFrame, bucket_tokens: int) -> tuple[Model, int]:
+    """The model and the number of buckets."""
+    return trained(rows, bucket_tokens)[:2]
+
+
+def trained(rows: DataFrame, bucket_tokens: int) -> tuple[Model, int, DataFrame]:
+    """The model, the number of buckets and the counts of rare histories by bucket (bucket, word, n)."""
     import numpy as np
 
     spark = rows.sparkSession
     learn = rows.where("learn")
     counts = common.written(counted_words(learn), "word_counts")
-    totals = counts.where("kind = 0").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    once = F.count(F.when((F.col("n") == 1) & (F.col("word") != END), 1))
+    totals = counts.where("kind = 0").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), once.alias("once")).first()
     total, n_words = int(totals.n or 0), int(totals.v)
     ends = counts.where(F.col("kind") == 0).where(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
     # at most 1 / SHARE words have the share, and as many pairs
     least = max(2.0, SHARE * total)
     often = counts.where((F.col("kind") == 0) & (F.col("n") >= least)).select("word", "n").toPandas()
     hints = counts.where((F.col("kind") == 1) & (F.col("n") >= least)).select("left", "word").toPandas()
-    model = Model(often["word"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64), total, n_words, int(ends),
+    model = Model(often["word"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64), total, n_words, int(ends), int(totals.once),
                   hints.to_numpy(np.int64).reshape(-1, 2).view(np.uint64))
     buckets = max(1, math.ceil(total / bucket_tokens))
     if not total:
-        return model, buckets
-    sent = spark.sparkContext.broadcast(model)
-    hot = hot_pair_counts(learn, sent).toPandas()  # bounded like the hot pairs
+        return model, buckets, spark.createDataFrame([], "bucket long, word long, n long")
+    found = common.written(hot_pairs_and_needs(rows, spark.sparkContext.broadcast(model), buckets), "needs")
+    rare = counts.where(F.col("kind") == 0).where((F.col("n") >= 2) & (F.col("n") < least)).select("word", "n")
+    needs = found.where("bucket IS NOT NULL").select("bucket", F.col("at").alias("word")).join(rare, "word")
+    needs = common.written(needs.select("bucket", "word", "n"), "histories")
+    hot = found.where("bucket IS NULL").select("at", "n").toPandas()  # bounded like the hot pairs
     model.hot_counts[hot["at"].to_numpy(np.int64)] = hot["n"].to_numpy(np.int64)
     sent = spark.sparkContext.broadcast(model)
     import pyarrow as pa
 
-    def stats(table: pa.Table) -> pa.Table:
-        n = Bucket(table.to_pylist(), sent.value, False).histogram()
+    def stats(table: pa.Table, needed: pa.Table) -> pa.Table:
+        bucket = Bucket(table.to_pylist(), counts_needed(needed), sent.value, False)
+        n = bucket.histogram()
         at = np.flatnonzero(n)
-        return pa.table({"at": pa.array(at), "n": pa.array(n[at])})
-
-    found = (entries(learn, sent, buckets, False).groupBy("bucket").applyInArrow(stats, "at long, n double")
-             .groupBy("at").agg(F.sum("n").alias("n")).toPandas())  # bounded: buckets of histories x steps
+        after, times = np.unique(bucket.after_class, return_counts=True)
+        return pa.table({"at": pa.array(np.concatenate([at, after + len(n)])), "n": pa.array(np.concatenate([n[at], times.astype(np.float64)]))})
+
+    found = (entries(learn, sent, buckets, False).groupBy("bucket").cogroup(needs.groupBy("bucket")).applyInArrow(stats, "at long, n double")
+             .groupBy("at").agg(F.sum("n").alias("n")).toPandas())  # bounded: buckets of histories x steps, frequent words
+    at, n = found["at"].to_numpy(np.int64), found["n"].to_numpy()
+    width = len(model.histogram(*(np.empty(0, np.int64),) * 3))
+    model.hot_counts[model.hot_at(at[at >= width] - width)] = n[at >= width]
     histogram = model.histogram(model.hot_counts, model.history[model.hot // model.base], model.word_counts[model.hot % model.base])
-    np.add.at(histogram, found["at"].to_numpy(np.int64), found["n"].to_numpy())
+    np.add.at(histogram, at[at < width], n[at < width])
     model.fit(histogram)
-    return model, buckets
+    return model, buckets, needs
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_tokens: int = 4_000_000) -> DataFrame:
@@ -407,13 +477,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
     text = common.text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), learns(id_col).alias("learn"),
                        F.xxhash64(F.col(id_col).cast("string"), text).alias("key"))
-    model, buckets = fitted(rows, bucket_tokens)
+    model, buckets, needs = trained(rows, bucket_tokens)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def replies(table: pa.Table) -> pa.Table:
+    def replies(table: pa.Table, needed: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         tokens = [r for r in rows if r["sums"] is None]
-        for row, sums in zip(tokens, Bucket(tokens, sent.value, True).sums(), strict=True):
+        for row, sums in zip(tokens, Bucket(tokens, counts_needed(needed), sent.value, True).sums(), strict=True):
             row["sums"] = pack(sums.ravel())
         return pa.table({n: pa.array([r[n] for r in rows], kind) for n, kind in (("batch", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()))})
 
@@ -425,7 +495,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
         sums = np.concatenate([unpack(r["sums"], np.float64).reshape(4, -1) for r in rows], 1)
         return pa.table({"key": keys} | {n: np.bincount(of, x, len(keys)) for n, x in zip(("n", "known", "base", "mixed"), sums, strict=True)})
 
-    got = (entries(rows, sent, buckets, True).groupBy("bucket").applyInArrow(replies, "batch long, docs binary, sums binary")
+    got = (entries(rows, sent, buckets, True).groupBy("bucket").cogroup(needs.groupBy("bucket")).applyInArrow(replies, "batch long, docs binary, sums binary")
            .groupBy("batch").applyInArrow(added, "key long, n double, known double, base double, mixed double")
            .groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "mixed")]))
     # rows of one key repeat a text; their sums came together and are dealt back evenly

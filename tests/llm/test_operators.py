@@ -543,3 +543,42 @@ def test_scores_equal_brute_force(docs, empty):
         assert abs(r.score - want_score) < 1e-6 * max(1, abs(want_score))
     assert interpolation.score(empty).count() == 0
     assert all(r.score == 0 for r in interpolation.score(docs.where("doc_id IS NULL")).collect())
+
+
+@pytest.mark.parametrize("share", [0.0009, 0.003, 0.05])
+def test_scores_give_rare_words_histories_of_their_own(spark, monkeypatch, share):
+    monkeypatch.setattr(interpolation, "SHARE", share)
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(60)))) for i in range(150)]
+    rows += [(None, "w1 w2 unseen w3 unseen words"), (500, None), rows[3]]
+    split = [(k, (t or "").split() + [None]) for k, t in rows]
+    learn = [w for k, w in split if k is not None and zlib.crc32(str(k).encode()) % 10]
+    c = collections.Counter(x for w in learn for x in w)
+    total, vocab = sum(c.values()), len(c)
+    history = lambda x: x if x == 0 or c[x] >= 2 else "once"
+    pairs = collections.Counter((history(h), x) for w in learn for h, x in zip([0, *w], w))
+    contexts = collections.Counter()
+    for (h, _), n in pairs.items():
+        contexts[h] += n
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    frame = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), interpolation.learns("doc_id").alias("learn"), F.xxhash64("doc_id", "text").alias("key"))
+    model, buckets = interpolation.fitted(frame, 700)
+    # words with an own history that the frequent ones leave out, and more buckets than one
+    assert buckets > 3 and sum(n >= 2 for n in c.values()) > len(model.words)
+
+    # the weights come from the same deleted counts as with every word of two occurrences among the frequent ones
+    monkeypatch.setattr(interpolation, "SHARE", 1e-6)
+    plain, _ = interpolation.fitted(frame, 700)
+    monkeypatch.setattr(interpolation, "SHARE", share)
+    assert sum(n >= 2 for n in c.values()) == len(plain.words) and abs(plain.weights - model.weights).max() < 1e-9
+
+    want = collections.Counter()
+    for k, w in split:
+        score = 0.0
+        for h, x in zip([0, *w], w):
+            h = history(h)
+            weight = model.weights[math.frexp(max(contexts[h], 1))[1]]
+            score += math.log10(weight * pairs[(h, x)] / max(contexts[h], 1) + (1 - weight) * (c[x] + 0.1) / (total + 0.1 * (vocab + 1)))
+        want[(k, len(w), sum(c[x] > 0 for x in w), round(score, 5))] += 1
+    got = interpolation.score(docs, bucket_tokens=700).collect()
+    assert collections.Counter((r.id, r.n_tokens, r.n_known, round(r.score, 5)) for r in got) == want
