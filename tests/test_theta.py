@@ -7,6 +7,7 @@ import operator
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkwright import run_job
 from sparkwright.operators.theta import grid_join, overlap_join
@@ -129,6 +130,31 @@ def test_long_spans_have_few_copies(spark):
     assert sent.count() == 1000
 
 
+@pytest.mark.parametrize("target", [3, 20, 100_000])
+def test_dealt_buckets_give_every_pair_once(spark, spans, target):
+    a, b = spans
+    a, b = a + a[:60], b + b[50:90]  # repeated rows stay apart
+    schema = "id long, lo int, hi int, k int"
+    left, right = spark.createDataFrame(a, schema).alias("a"), spark.createDataFrame(b, schema).alias("b")
+    got = overlap_join(left, right, ("a.lo", "a.hi"), ("b.lo", "b.hi"), width=50.0, target_rows=target)
+    want = [(p[0], q[0]) for p, q in itertools.product(a, b)
+            if None not in (*p, *q) and p[1] <= p[2] and q[1] <= q[2] and p[1] <= q[2] and q[1] <= p[2]]
+    assert sorted(map(tuple, got.select("a.id", "b.id").collect())) == sorted(want)
+
+
+def test_rows_of_one_bucket_are_dealt_to_tasks(spark):
+    left = spark.range(2000).selectExpr("id", "0 AS lo", "1 AS hi").alias("a")
+    right = spark.range(300).selectExpr("id", "0 AS lo", "2 AS hi").alias("b")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = overlap_join(left, right, ("a.lo", "a.hi"), ("b.lo", "b.hi"), width=4.0, target_rows=50)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(sizes) == 600_000 and len(sizes) == 8 and max(sizes) < 200_000
+
+
 def test_spec_errors_and_empty_sides(spark, spans):
     left = spark.createDataFrame(spans[0], "id long, lo int, hi int, k int")
     tables = [{"name": "t", "alias": "a"}, {"name": "t", "alias": "b"}]
