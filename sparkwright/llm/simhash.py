@@ -14,7 +14,9 @@ Equal fingerprints are one class from the start. Classes that agree on a mask ar
 2. components of these links. Larger buckets that still hold several are taken further: their classes get a second
    family of masks on top of the bucket's own, with the same guarantee, and so on until buckets are small. Groups that
    are one component are left alone, nothing is sampled or capped.
-Every link is confirmed by the bits that differ. All of this is joins and aggregations of longs in Spark.
+Every link is confirmed by the bits that differ. All of this is joins and aggregations of longs in Spark. Joins with what
+masks make of the classes, and by fingerprint with the roots, are shuffled (hint ``merge``): Spark's estimate counts neither
+the 31 rows of a class nor how well their files are compressed, so it would broadcast many times its threshold.
 
 Defined results: null or empty text, or one without words, has the fingerprint zero and is linked like any other; fewer
 words than a shingle are one shingle; copies and repeated rows share a component; rows with a null id take part, and a
@@ -83,11 +85,11 @@ def near(classes: DataFrame, radius: int = 4, small: int = SMALL) -> DataFrame:
         rows = rows.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
         # only buckets that several components share
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("fp", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
-        rows = common.written(rows.join(sizes.where("low < high").drop("low", "high"), "bucket"), "buckets")
+        rows = common.written(rows.join(sizes.where("low < high").drop("low", "high").hint("merge"), "bucket"), "buckets")
         last = depth + 1 == len(FAMILIES)  # so few bits are free there that buckets are small in any case
         few = rows if last else rows.where(F.col("m") <= small)
         left, right = few.select("bucket", F.col("fp").alias("x"), F.col("root").alias("a")), few.select("bucket", F.col("fp").alias("y"), F.col("root").alias("b"))
-        links = left.join(right, "bucket").where((F.col("x") < F.col("y")) & (F.col("a") != F.col("b")) & alike("x", "y")).select("a", "b")
+        links = left.join(right.hint("merge"), "bucket").where((F.col("x") < F.col("y")) & (F.col("a") != F.col("b")) & alike("x", "y")).select("a", "b")
         large = rows.where(F.col("m") > small)
         if not last:
             links = links.unionByName(large.where((F.col("hub.root") != F.col("root")) & alike("fp", "hub.fp")).select(F.col("hub.root").alias("a"), F.col("root").alias("b")))
@@ -97,11 +99,11 @@ def near(classes: DataFrame, radius: int = 4, small: int = SMALL) -> DataFrame:
         else:
             newer = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
             joined = roots.join(newer, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-            roots = common.written(joined.unionByName(merged.join(roots, "node", "left_anti").select("node", "root")), "roots")
+            roots = common.written(joined.unionByName(merged.join(roots.hint("merge"), "node", "left_anti").select("node", "root")), "roots")
         if last or large.limit(1).count() == 0:
             return roots
         # the larger buckets that still hold several components
-        large = large.select("bucket", "fp", "mask").join(roots, F.col("fp") == F.col("node"), "left")
+        large = large.select("bucket", "fp", "mask").join(roots.hint("merge"), F.col("fp") == F.col("node"), "left")
         large = large.select("bucket", "fp", "mask", F.coalesce("root", "fp").alias("root"))
         several = large.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("torn")).where("torn").select("bucket")
         rows = common.written(large.join(several, "bucket").select("fp", "mask", "root").distinct(), "torn")
@@ -115,7 +117,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius
     signed = common.written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = common.written(signed.groupBy("fp").agg(F.min("__id").alias("rep")), "classes")
     roots = near(classes, radius, small)
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     return signed.join(rooted.join(least, "root").select("fp", "component"), "fp").select("__id", "fp", "component")
 

@@ -103,3 +103,22 @@ def test_any_four_positions_are_left_free_by_some_mask(family):
     for k in range(31):
         free |= ~held[fours, k].any(1)
     assert free.all()
+
+
+def test_no_join_is_broadcast_by_an_estimate(spark, rows, monkeypatch):
+    # Spark takes the 31 rows that masks make of a class for one, so that any small table of classes is below its threshold
+    plans, written, components = {}, simhash.common.written, simhash.components
+
+    def planned(label, df):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash.common, "written", lambda df, label: written(planned(label, df), label))
+    monkeypatch.setattr(simhash, "components", lambda links: components(planned("links of buckets", links)))
+    found = simhash.link(spark.createDataFrame(rows, "doc_id long, text string"), small=1)
+    planned("found", found)
+    assert {"classes", "buckets", "links of buckets", "roots", "torn", "found"} <= set(plans)
+    assert all("Join" in p for k in ("buckets", "links of buckets", "torn", "found") for p in plans[k])
+    assert not [k for k in ("buckets", "links of buckets") if any("Broadcast" in p for p in plans[k])]
+    # the estimate of a join is the product of both sides, so only the joins with the roots' files could be broadcast in error
+    assert not [x for k in ("torn", "found") for p in plans[k] for x in p.splitlines() if "BroadcastHashJoin" in x and "LeftOuter" in x]
