@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwright import run_job
+from sparkwright.operators import theta
 from sparkwright.operators.theta import grid_join, overlap_join
 
 OPS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
@@ -170,3 +171,38 @@ def test_spec_errors_and_empty_sides(spark, spans):
         grid_join(left.alias("a"), left.alias("b"), [("a.lo", "=", "b.lo")])
     none = left.where("false")
     assert overlap_join(none.alias("a"), left.alias("b"), ("a.lo", "a.hi"), ("b.lo", "b.hi")).collect() == []
+
+
+def test_pairs_follow_one_another_in_the_order_of_their_spans(spark):
+    # 30 left spans and 40 right ones of a few lengths, mixed; a cell's rows come by their spans, so that few runs are made
+    left = spark.createDataFrame([(i, i % 3, i % 3 + 1) for i in range(30)], "id long, lo int, hi int").alias("a").repartition(4)
+    right = spark.createDataFrame([(i, i % 4, i % 4) for i in range(40)], "id long, lo int, hi int").alias("b").repartition(4)
+    got = overlap_join(left, right, ("a.lo", "a.hi"), ("b.lo", "b.hi"), width=1000.0)
+    rows = [tuple(r) for r in got.select("a.lo", "a.hi", "b.lo", "a.id", "b.id").collect()]
+    assert len(rows) == 30 * 20
+    assert [r[:2] for r in rows] == sorted(r[:2] for r in rows)
+    for _, of in itertools.groupby(rows, key=lambda r: r[3]):
+        seen = [r[2] for r in of]
+        assert len(seen) == 20 and seen == sorted(seen)
+
+
+def test_right_rows_of_a_cell_are_few(spark, monkeypatch):
+    monkeypatch.setattr(theta, "RUN_ROWS", 16)
+    left = spark.range(100).selectExpr("id", "0 AS lo", "1 AS hi").alias("a")
+    right = spark.range(400).selectExpr("id", "0 AS lo", "2 AS hi").alias("b")
+    got = overlap_join(left, right, ("a.lo", "a.hi"), ("b.lo", "b.hi"), width=4.0).select("a.id", "b.id").collect()
+    assert len(got) == len({tuple(r) for r in got}) == 40_000
+    assert max(len(list(g)) for _, g in itertools.groupby(got, key=lambda r: r[0])) < 100  # 25 cells of some 16 right rows
+
+
+def test_tasks_grow_with_the_pairs_not_with_the_rows(spark, monkeypatch):
+    # AQE would merge so few rows into one task; a second shuffle for the join would take the tasks back
+    monkeypatch.setattr(theta, "TASK_PAIRS", 400)
+    left = spark.range(1000).selectExpr("id", "id div 10 AS lo", "id div 10 AS hi").alias("a")
+    right = spark.range(2000).selectExpr("id", "id div 20 AS lo", "id div 20 AS hi").alias("b")
+    got = overlap_join(left, right, ("a.lo", "a.hi"), ("b.lo", "b.hi"), width=1.0)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    # a hundred buckets of 10 and 20 rows, 50 tasks
+    assert sum(sizes) == 20_000 and 25 < len(sizes) <= 50
+    p = explained(got)
+    assert p.count("REPARTITION_BY_NUM") == 2 and "hashpartitioning(__lcell" in p and "ENSURE_REQUIREMENTS" not in p.split("BroadcastExchange")[0]
